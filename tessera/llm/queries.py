@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, pii, simple8b, token_trie, warc
+from . import common, itq, jaccard, packing, pii, simple8b, token_trie, warc
+
+
+def op1_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.join(common.table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
 def op2_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +33,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_trie.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
