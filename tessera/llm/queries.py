@@ -6,9 +6,8 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import common, itq, jaccard, packing, pii, simple8b, token_trie, warc
+from . import common, decontam, itq, jaccard, langid, packing, pii, simple8b, token_trie, toxicity, warc
 
 
 def op1_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +18,14 @@ def op2_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(common.table(spark, sf_dir, "documents"))
 
 
+def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(common.table(spark, sf_dir, "pages")))
 
@@ -41,6 +48,10 @@ def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_trie.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     import corpus_pipeline
