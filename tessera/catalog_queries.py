@@ -1,8 +1,9 @@
 """Registered queries of the graph engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import sparql_queries
+from .sparql_queries import flagship
 
+QUERIES: dict = {**sparql_queries.QUERIES}
+ORACLES: dict = {**sparql_queries.ORACLES}
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
