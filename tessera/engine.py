@@ -1,4 +1,4 @@
-"""The engine: SPARQL SELECT queries over tables and triples."""
+"""The engine: SPARQL SELECT queries over tables, triples and web services."""
 
 from __future__ import annotations
 
@@ -6,22 +6,40 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.planner import Options, Planner
 from .plans.compiler import Compiler
-from .plans.sparql import parse
+from .plans.sparql import Select, parse
 from .sources.graph import Graph
+from .sources.mapping import Mapping
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, graph: Graph | None = None, prefixes: dict[str, str] | None = None):
-        self.spark, self.graph, self.prefixes = spark, graph or Graph(), prefixes or {}
+    """graph: tables and triples at hand. mapping and responder: services that a query may call first."""
 
-    def query(self, sparql: str) -> DataFrame:
+    def __init__(self, spark: SparkSession, graph: Graph | None = None, prefixes: dict[str, str] | None = None, mapping: Mapping | None = None, responder=None, options: Options | None = None):
+        self.spark, self.graph, self.prefixes = spark, graph or Graph(), prefixes or {}
+        self.mapping, self.responder, self.options = mapping, responder, options
+
+    def _ready(self, sparql: str, mapping: Mapping | str | None) -> tuple[Select, Graph]:
+        q = parse(sparql, self.prefixes)
+        m = Mapping.parse(mapping) if isinstance(mapping, str) else mapping or self.mapping
+        if m is None:
+            return q, self.graph
+        planner = Planner(self.spark, m, self.responder, self.options or Options())
+        found = planner.run(q)
+        if self.graph.triples is not None:
+            found = found.unionByName(self.graph.triples.select("s", "p", "o", "o_kind")).distinct()
+        return q, Graph(self.graph.maps, found, self.graph.strings)
+
+    def query(self, sparql: str, mapping: Mapping | str | None = None) -> DataFrame:
         """A column for each projected variable; unbound is null."""
-        return Compiler(self.spark, self.graph).result(parse(sparql, self.prefixes))[0]
+        q, graph = self._ready(sparql, mapping)
+        return Compiler(self.spark, graph).result(q)[0]
 
-    def json(self, sparql: str) -> str:
+    def json(self, sparql: str, mapping: Mapping | str | None = None) -> str:
         """The SPARQL 1.1 results document; its rows come through the driver one partition at a time."""
-        df = Compiler(self.spark, self.graph).solutions(parse(sparql, self.prefixes))
+        q, graph = self._ready(sparql, mapping)
+        df = Compiler(self.spark, graph).solutions(q)
         rows = []
         for r in df.toLocalIterator():
             rows.append({v: {k: x for k, x in t.asDict().items() if x is not None} for v, t in r.asDict().items() if t is not None})
