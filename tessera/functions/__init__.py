@@ -1 +1 @@
-"""Part of the graph query engine."""
+"""SPARQL functions as columns."""

@@ -1 +1 @@
-"""Part of the graph query engine."""
+"""Planning of service calls, extraction, materialisation and mapping tools."""

@@ -1 +1 @@
-"""Part of the graph query engine."""
+"""Query parsing, algebra and compilation."""

@@ -1 +1 @@
-"""Part of the graph query engine."""
+"""Tables, triples, mappings and service responders."""

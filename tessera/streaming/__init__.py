@@ -1 +1 @@
-"""Part of the graph query engine."""
+"""Queries over streams."""
