@@ -9,19 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators.planner import Options, Planner
 from .plans.compiler import Compiler
 from .plans.sparql import Select, parse
+from .sources.config import within
 from .sources.graph import Graph
 from .sources.mapping import Mapping
 
 
 class Engine:
-    """graph: tables and triples at hand. mapping and responder: services that a query may call first."""
+    """graph: tables and triples at hand. mapping and responder: services that a query may call first.
+    folder: where queries may name mapping files."""
 
-    def __init__(self, spark: SparkSession, graph: Graph | None = None, prefixes: dict[str, str] | None = None, mapping: Mapping | None = None, responder=None, options: Options | None = None):
+    def __init__(self, spark: SparkSession, graph: Graph | None = None, prefixes: dict[str, str] | None = None, mapping: Mapping | None = None, responder=None, options: Options | None = None, folder: str | None = None):
         self.spark, self.graph, self.prefixes = spark, graph or Graph(), prefixes or {}
-        self.mapping, self.responder, self.options = mapping, responder, options
+        self.mapping, self.responder, self.options, self.folder = mapping, responder, options, folder
 
-    def _ready(self, sparql: str, mapping: Mapping | str | None) -> tuple[Select, Graph]:
+    def _ready(self, sparql: str, mapping: Mapping | str | None, path: str | None) -> tuple[Select, Graph]:
         q = parse(sparql, self.prefixes)
+        if path is not None:
+            if self.folder is None:
+                raise ValueError("the engine has no folder of mappings")
+            mapping = within(self.folder, path).read_text("utf-8")
         m = Mapping.parse(mapping) if isinstance(mapping, str) else mapping or self.mapping
         if m is None:
             return q, self.graph
@@ -31,14 +37,14 @@ class Engine:
             found = found.unionByName(self.graph.triples.select("s", "p", "o", "o_kind")).distinct()
         return q, Graph(self.graph.maps, found, self.graph.strings)
 
-    def query(self, sparql: str, mapping: Mapping | str | None = None) -> DataFrame:
+    def query(self, sparql: str, mapping: Mapping | str | None = None, mapping_path: str | None = None) -> DataFrame:
         """A column for each projected variable; unbound is null."""
-        q, graph = self._ready(sparql, mapping)
+        q, graph = self._ready(sparql, mapping, mapping_path)
         return Compiler(self.spark, graph).result(q)[0]
 
-    def json(self, sparql: str, mapping: Mapping | str | None = None) -> str:
+    def json(self, sparql: str, mapping: Mapping | str | None = None, mapping_path: str | None = None) -> str:
         """The SPARQL 1.1 results document; its rows come through the driver one partition at a time."""
-        q, graph = self._ready(sparql, mapping)
+        q, graph = self._ready(sparql, mapping, mapping_path)
         df = Compiler(self.spark, graph).solutions(q)
         rows = []
         for r in df.toLocalIterator():

@@ -26,20 +26,39 @@ def by_label(namespace: str, label: Column, cls: str) -> Column:
 @dataclass
 class Minting:
     """How entities get their IRIs. plugins: findURI name -> expression of namespace, label column and class.
+    lookups: findURI name -> rows (label, class, iri); labels that it lacks get readable IRIs.
     known: rows (label, class, iri) of entities that have an IRI already; they win."""
 
     namespace: str = "urn:entity:"
     plugins: dict[str, Callable[[str, Column, str], Column]] = field(default_factory=lambda: {"label": by_label})
+    lookups: dict[str, DataFrame] = field(default_factory=dict)
     known: DataFrame | None = None
 
     def put(self, df: DataFrame, column: str, cls: str, find_uri: str | None) -> DataFrame:
         """The column of labels replaced by IRIs."""
-        make = self.plugins.get(find_uri or "", minted)
-        own = make(self.namespace, F.col(column), cls)
-        if self.known is None:
-            return df.withColumn(column, own)
-        k = self.known.where(F.col("class") == cls).groupBy(F.col("label").alias(column)).agg(F.min("iri").alias("__iri"))
-        return df.join(k, column, "left").withColumn(column, F.coalesce("__iri", own)).drop("__iri")
+        tables = [t for t in (self.known, self.lookups.get(find_uri or "")) if t is not None]
+        make = by_label if find_uri in self.lookups else self.plugins.get(find_uri or "", minted)
+        own, hits = make(self.namespace, F.col(column), cls), []
+        for k, t in enumerate(tables):
+            first = t.where(F.col("class") == cls).groupBy(F.col("label").alias(column)).agg(F.min("iri").alias(f"__iri{k}"))
+            df = df.join(first, column, "left")
+            hits.append(f"__iri{k}")
+        return df.withColumn(column, F.coalesce(*hits, own)).drop(*hits)
+
+
+def nearest(points: DataFrame, places: DataFrame, within: float = 0.5) -> DataFrame:
+    """points (id, lat, long) with the nearest of places (iri, lat, long) in `within` degrees, or null.
+
+    Both sides are put into cells of that size; a point looks into its own and the eight around it, so the
+    join is one on cells. Equally near places: the least IRI.
+    """
+    cell = lambda c: F.floor(c / within).cast("long")
+    around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
+    p = points.select("id", "lat", "long", F.explode(around).alias("d")).select("id", "lat", "long", (cell(F.col("lat")) + F.col("d.x")).alias("cx"), (cell(F.col("long")) + F.col("d.y")).alias("cy"))
+    q = places.select("iri", F.col("lat").alias("plat"), F.col("long").alias("plong"), cell(F.col("lat")).alias("cx"), cell(F.col("long")).alias("cy"))
+    far = (F.col("lat") - F.col("plat")) ** 2 + (F.col("long") - F.col("plong")) ** 2
+    hit = p.join(q, ["cx", "cy"]).where(far <= within**2).groupBy("id").agg(F.min(F.struct(far.alias("far"), "iri")).alias("best")).select("id", F.col("best.iri").alias("iri"))
+    return points.select("id").join(hit, "id", "left")
 
 
 def stripped(value: Column) -> Column:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera import service_queries as sq
 from tessera.operators import extract, infer
+from tessera.engine import Engine
+from tessera.operators.materialise import Minting, nearest
 from tessera.operators.planner import Options, Planner, needed
 from tessera.operators.suggest import domains_and_ranges, suggestions
 from tessera.plans.sparql import parse
 from tessera.plans.terms import Iri
-from tessera.sources import turtle
+from tessera.sources import config, turtle
 from tessera.sources.mapping import MalformedMapping, Mapping, merged
 from tessera.sources.responders import Http, full_url
 
@@ -206,3 +208,44 @@ def test_mappings_are_not_changed_by_edits():
     before = m.triples
     m.add_property("urn:a", "urn:b", "urn:c")
     assert m.triples == before and (Iri("urn:a"), Iri("urn:b"), Iri("urn:c")) not in before
+
+
+def test_properties_and_lookup_services(tmp_path):
+    (tmp_path / "config.properties").write_text("# main\nservices = one\nbasepathuri=http\\://h\n")
+    (tmp_path / "one.properties").write_text("contains=known\nendpoint = http://e\nquery=SELECT ?l { <URI> ?p \\\n  ?l }\nplaceholder: URI\n")
+    c = config.load(str(tmp_path))
+    assert c.base_path == "http://h" and c.lookups[0].contains == "known"
+    assert c.lookups[0].text("urn:a$1") == "SELECT ?l { <urn:a$1> ?p ?l }"
+    with pytest.raises(ValueError):
+        c.lookups[0].text("urn:a> } #")
+    with pytest.raises(ValueError):
+        config.within(str(tmp_path), "../secret")
+
+
+def test_mapping_files_come_from_the_folder_only(spark, tmp_path):
+    (tmp_path / "free.ttl").write_text(sq.FREE)
+    base = sq._engine(spark, "/root/testdata/sf0.001", sq.FREE)
+    e = Engine(spark, prefixes=sq.PREFIXES, responder=base.responder, options=Options(deadline=None), folder=str(tmp_path))
+    assert e.query("SELECT ?k WHERE { ?r ex:key ?k ; ex:name ?n }", mapping_path="free.ttl").count() == 25
+    with pytest.raises(ValueError):
+        e.query("SELECT ?k WHERE { ?r ex:key ?k }", mapping_path="../free.ttl")
+    assert e.query("SELECT ?k WHERE { ?r ex:key ?k ; ex:name ?n }", mapping=sq.FREE).count() == 25
+
+
+def test_minting_by_lookup_falls_back_to_readable_iris(spark):
+    table = spark.createDataFrame([("ROME", "http://x/o/Place", "urn:b"), ("ROME", "http://x/o/Place", "urn:a")], "label string, class string, iri string")
+    m = Minting("urn:e:", lookups={"place": table})
+    df = spark.createDataFrame([("ROME",), ("BARI B",)], "x string")
+    assert sorted(r.x for r in m.put(df, "x", "http://x/o/Place", "place").collect()) == ["urn:a", "urn:e:Place#BARI%20B"]
+
+
+def test_nearest_place_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(4)
+    points = [(k, rnd.uniform(-3, 3), rnd.uniform(-3, 3)) for k in range(80)]
+    places = [(f"p{k:02}", rnd.uniform(-3, 3), rnd.uniform(-3, 3)) for k in range(30)]
+    got = {r.id: r.iri for r in nearest(spark.createDataFrame(points, "id int, lat double, long double"), spark.createDataFrame(places, "iri string, lat double, long double")).collect()}
+    for k, a, b in points:
+        best = min(((a - x) ** 2 + (b - y) ** 2, p) for p, x, y in places)
+        assert got[k] == (best[1] if best[0] <= 0.25 else None)
