@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_code
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch; long texts times this stay far below a worker's memory.
 ROWS = 1000
@@ -26,16 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors once per context and sets small Arrow batches."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_tessera_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp()) / "tessera_code.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(to))
-        sc._tessera_shipped = True
+    """Sends this package to the executors and sets small Arrow batches."""
+    ship_code(spark)
     if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default
         spark.conf.set(BATCH_ROWS, str(ROWS))
     return spark
@@ -164,3 +156,13 @@ def shared(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     return sc.getCheckpointDir()
+
+
+#: Ids that are broadcast at most, 16 bytes each; beyond that both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """left_semi or left_anti join with a computed frame of ids: without shuffling df while they are few."""
+    ids = ids.select(on)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)

@@ -42,8 +42,9 @@ def test_toxicity_does_not_see_held_out_labels(spark):
 
 
 def test_kneser_ney_model_is_a_distribution_and_shares_its_backoff():
-    texts = [[["a", "b", "a", "c"], ["b", "a"]], [["a", "bad", "c"], ["x", "bad", "b"], ["y", "bad"], ["z", "bad", "a"], ["b", "bad"], ["c", "bad"], ["u", "bad"]]]
-    m = toxicity.Model(texts)
+    texts = [["a b a c", "b a"], ["a bad c", "x bad b", "y bad", "z bad a", "b bad", "c bad", "u bad"]]
+    ids = {w: k + 1 for k, w in enumerate(sorted({w for part in texts for t in part for w in t.split()}))}
+    m = toxicity.Model(ids, [[np.array([ids[w] for w in t.split()], np.int32) for t in part] for part in texts])
     assert m.word[m.ids["bad"]] > 0.3
     low = m.word[m.ids["x"]], m.word[m.size - 1]
     assert abs(low[0] - low[1]) < 1e-9  # once seen is discounted to what both classes share
