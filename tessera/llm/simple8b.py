@@ -17,8 +17,10 @@ no shards; other columns are not read; ids up to 64 bits round-trip.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,19 +39,25 @@ BITS = tuple(60 // n for n in COUNTS)
 SHARD_IDS = 2_000_000
 
 
+_WIDTHS = sorted(set(BITS))
+#: For ids below 2**16: how many of the widths are too narrow.
+_NEED = np.searchsorted(_WIDTHS, [max(1, k.bit_length()) for k in range(1 << 16)]).astype(np.uint8)
+
+
 def _choices(ids: np.ndarray) -> np.ndarray:
     """ids: blocks x BLOCK, padded by zeros. The selector with most ids that fits from each place; 0: escape."""
-    blocks, width = ids.shape
+    width = ids.shape[1]
     best = np.zeros(ids.shape, np.uint8)
-    need = np.zeros(ids.shape, np.uint8)
-    for b in sorted(set(BITS)):
-        need += (ids >> np.uint64(b)) > 0  # how many of the widths are too narrow
-    widths = sorted(set(BITS))
+    if int(ids.max()) < 1 << 16:
+        need = _NEED[ids]
+    else:
+        need = np.zeros(ids.shape, np.uint8)
+        for b in _WIDTHS:
+            need += (ids >> np.uint64(b)) > 0
     for s in range(len(COUNTS), 0, -1):
-        n, level = COUNTS[s - 1], widths.index(BITS[s - 1])
-        ok = need <= level
-        run, have = ok, 1  # whether `have` ids from here on fit
-        while have < n:
+        n, level = COUNTS[s - 1], _WIDTHS.index(BITS[s - 1])
+        run, have = need <= level, 1  # whether `have` ids from here on fit
+        while have < n and run.any():
             step = min(have, n - have)
             new = run.copy()
             new[:, : width - step] &= run[:, step:]
@@ -147,14 +155,30 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def _strip(data: bytes, first: int, last: int) -> np.ndarray:
-    blocks, count, offsets, at = _header(data)
+    """The ids of blocks first to last, without the padding of their last words."""
+    _, count, offsets, at = _header(data)
     words = np.frombuffer(data, "<u8", int(offsets[last] - offsets[first]), at + 8 * int(offsets[first]))
-    # a block's last word may be padded beyond the block: decode blocks with escapes or padding one by one
-    out = []
-    for b in range(first, last):
-        part = words[int(offsets[b] - offsets[first]) : int(offsets[b + 1] - offsets[first])]
-        out.append(_decode_words(part)[: min(BLOCK, count - b * BLOCK)])
-    return np.concatenate(out)
+    sel = (words >> np.uint64(60)).astype(np.int64)
+    n = min(count, last * BLOCK) - first * BLOCK
+    begin = (offsets[first:last] - offsets[first]).astype(np.int64)
+    if not sel.all():  # with escapes, block by block
+        end = [*begin[1:], len(words)]
+        return np.concatenate([_decode_words(words[a:b])[: min(BLOCK, n - k * BLOCK)] for k, (a, b) in enumerate(zip(begin, end))])
+    takes = np.array([0, *COUNTS], np.int64)[sel]
+    before = np.cumsum(takes) - takes
+    block = np.repeat(np.arange(last - first), np.diff([*begin, len(words)]))
+    place = block * BLOCK + before - before[begin][block]
+    stop = np.minimum((block + 1) * BLOCK, n)
+    out = np.empty(n, np.uint64)
+    for s in np.unique(sel):
+        m = np.flatnonzero(sel == s)
+        b = np.uint64(BITS[s - 1])
+        mask = np.uint64((1 << BITS[s - 1]) - 1)
+        lanes = np.arange(COUNTS[s - 1])
+        to = place[m][:, None] + lanes
+        inside = to < stop[m][:, None]
+        out[to[inside]] = ((words[m][:, None] >> (lanes.astype(np.uint64) * b)) & mask)[inside]
+    return out
 
 
 def decode_range(data: bytes, start: int, stop: int) -> np.ndarray:
@@ -165,43 +189,58 @@ def decode_range(data: bytes, start: int, stop: int) -> np.ndarray:
     return _strip(data, first, last)[start - first * BLOCK : stop - first * BLOCK]
 
 
+#: Letters that are one code point in NFC, whose lower case is one letter, with a full stop or comma behind.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def _byte_letters() -> str:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is printable, else the
+    next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in shown else chr(next(rest)) for b in range(256))
+
+
+_LETTERS = _byte_letters()
+
+
 class Tokenizer:
-    """Ids of whole texts by the tokenizers library, each distinct pre-token being encoded once.
+    """Ids of whole texts by the tokenizers library, each distinct part being encoded once.
 
     White space separates pre-tokens in these vocabularies, so a text's ids are those of its space-separated
-    parts one after the other. Plain lower-case ASCII words go to the library's model directly, all other
-    parts through its whole chain.
+    parts one after the other. Words of plain Latin letters go to the library's model directly, all other
+    parts through its whole chain; a probe checks at the start that both agree for this vocabulary.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         import tokenizers
 
         self.full = tokenizers.Tokenizer.from_file(path)
         self.model = self.full.model
-        self.most, self.known = most, {}
-        probe = ["word", "Word", "don't", "a,b"]
-        self.direct = all(self._ids(x) == self.full.encode(x, add_special_tokens=False).ids for x in probe)
-
-    def _ids(self, part: str) -> list[int]:
-        """Only for ASCII letters and punctuation without an apostrophe or a special token's bracket."""
-        low = part.lower()
-        if low.isalpha():
-            return [t.id for t in self.model.tokenize(low)]
-        return self.full.encode(part, add_special_tokens=False).ids
+        self.most, self.known, self.words = most, {}, {}
+        self.tails = {x: self._whole(x) for x in (".", ",")} | {"": b""}
+        probe = ["word", "Word.", "THE,", "été", "Straße", "ÜBER,", "ciónñ.", "ÀÿØþ", "edtionrereinsh"]
+        self.direct = all(self._direct(m) == self._whole(x) for x in probe for m in [_PLAIN.fullmatch(x)])
+        self.words.clear()
+
+    def _whole(self, part: str) -> bytes:
+        return array("I", self.full.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _direct(self, m: re.Match) -> bytes:
+        low = m[1].lower()
+        ids = self.words.get(low)
+        if ids is None:
+            mapped = low if low.isascii() else "".join(map(_LETTERS.__getitem__, low.encode()))
+            ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            if len(low) <= 100:
+                if len(self.words) >= self.most:
+                    self.words.clear()
+                self.words[low] = ids
+        return ids + self.tails[m[2]]
 
     def part(self, part: str) -> bytes:
-        if self.direct and part.isascii():
-            if part.isalpha():
-                ids = self._ids(part)
-            elif part[:-1].isalpha() and part[-1] in ".,":
-                ids = self._ids(part[:-1]) + [t.id for t in self.model.tokenize(part[-1])]
-            else:
-                ids = self.full.encode(part, add_special_tokens=False).ids
-        elif self.direct and len(part) > 1 and part[-1] in ".," and part[:-1].isalpha():
-            ids = self.full.encode(part[:-1], add_special_tokens=False).ids + [t.id for t in self.model.tokenize(part[-1])]
-        else:
-            ids = self.full.encode(part, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        m = _PLAIN.fullmatch(part) if self.direct else None
+        return self._direct(m) if m else self._whole(part)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
