@@ -98,17 +98,43 @@ NUMBER_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 REPEATS = {"double": 2, "triple": 3}
+_TO_DIGIT = str.maketrans("OolI", "0011")
+_GAPS = str.maketrans("-,.", "   ")
 
 _NUM = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
 _UNIT = rf"(?:(?:double|triple)[ -]+)?(?:{_NUM})"
+_STEP = rf"(?:[ ,-]+(?:(?:dot|point)[ -]+)?(?:{_UNIT}|[0-9]+))"
 #: Three number words in a row at least: fewer are ordinary prose.
-_SPELLED = rf"(?<!\w)(?P<plus>plus[ -]+)?(?P<run>{_UNIT}(?:[ -]+(?:{_UNIT}|[0-9]+)){{2,}}+)(?!\w)"
-_AT = r"(?P<at>\s*[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]\s*|(?<=[\w%+-])\s+(?:at|arroba|arobase)\s+(?=[\w-]+(?:\s*[\[({<]|\s+dot\s|\.\w))|\s+@\s+(?=[\w-]+(?:\.|\s+dot\s|\s*[\[({<])))"
-_DOT = r"(?P<dot>\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*|(?<=\w)\s+dot\s+(?=\w))"
-_RULES = re.compile(rf"{_AT}|{_DOT}|{_SPELLED}", re.IGNORECASE)
-_WORDS = re.compile(rf"(?P<times>double|triple)|(?P<word>{_NUM})|(?P<digits>[0-9]+)", re.IGNORECASE)
-#: Words or brackets without which no rule can apply; a cheap look before the rules.
-_HINT = re.compile(rf"[\[({{<]\s*(?:at|@|dot|\.|arroba|arobase|punkt|point|punto)\s*[\])}}>]|\s(?:at|dot|arroba|arobase|@)\s|(?<!\w){_UNIT}[ -]+(?:{_UNIT}|[0-9]+)(?!\w)", re.IGNORECASE)
+_SPELLED = rf"(?<!\w)(?P<plus>plus[ -]+)?(?P<run>{_UNIT}{_STEP}{{2,}}+)(?!\w)"
+_AT = r"(?P<at>&#0*64;|&commat;|\s*[\[({<_*]\s*(?:at|@|arroba|arobase)\s*[\])}>_*]\s*|(?<=[\w%+-])\s+(?:at|arroba|arobase)\s+(?=[\w-]+(?:\s*[\[({<]|\s+dot\s|(?:\.[\w-]+)*\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)\b))|\s+@\s+(?=[\w-]+(?:\.|\s+dot\s|\s*[\[({<])))"
+_DOT = r"(?P<dot>&#0*46;|&period;|\s*[\[({<_*]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>_*]\s*|(?<=\w)\s+dot\s+(?=\w))"
+#: Letters that stand for 0 and 1 next to digits.
+_ALIKE = r"(?P<alike>(?<=[0-9])[OolI]+(?![^\W\d_])|(?<![^\W\d_])[OolI]+(?=[0-9]))"
+_RULES = re.compile(rf"{_AT}|{_SPELLED}|{_DOT}|(?-i:{_ALIKE})", re.IGNORECASE)
+_WORDS = re.compile(rf"(?P<times>double|triple)|(?P<word>{_NUM})|(?P<point>dot|point)|(?P<digits>[0-9]+)", re.IGNORECASE)
+#: Cheap looks before the rules.
+_WRAPPED = re.compile(r"[\[({<_*]\s*(?:at|@|dot|\.|arroba|arobase|punkt|point|punto)\s*[\])}>_*]|&#0*(?:64|46);|&commat;|&period;", re.IGNORECASE)
+_NEAR_DIGIT = re.compile(r"[0-9][OolI]|[OolI][0-9]")
+_SPACED = re.compile(rf"\s(?:at|arroba|arobase|@)\s+[\w-]+(?:\s*[\[({{<]|\s+dot\s|(?:\.[\w-]+)*\.\w)", re.IGNORECASE)
+_AMONG = frozenset(NUMBER_WORDS) | frozenset(("double", "triple", "dot", "point"))
+
+
+def _hinted(text: str) -> bool:
+    """False only where no rule can change what the detectors find."""
+    if _WRAPPED.search(text) or _NEAR_DIGIT.search(text):
+        return True
+    words = text.lower().translate(_GAPS).split()
+    known = set(words)
+    if "dot" in known or not known.isdisjoint(("at", "arroba", "arobase", "@")) and _SPACED.search(text):
+        return True
+    if known.isdisjoint(NUMBER_WORDS):
+        return False
+    run = 0
+    for w in words:
+        run = run + 1 if w in _AMONG or w.isdigit() else 0
+        if run >= 3:
+            return True
+    return False
 
 
 def _plain(c: str) -> str | None:
@@ -140,7 +166,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
         ends = [k + 1 for k in starts]
         changed = len(chars) != len(text) or any(text[k] != r for r, k in out)
     flat = "".join(chars)
-    if _HINT.search(flat):
+    if _hinted(flat):
         pieces: list[str] = []
         new_s: list[int] = []
         new_e: list[int] = []
@@ -152,7 +178,11 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
             pieces.append(flat[done:a])
             new_s += s[done:a]
             new_e += e[done:a]
-            if m["at"] or m["dot"]:
+            if m["alike"]:
+                pieces.append(flat[a:b].translate(_TO_DIGIT))
+                new_s += s[a:b]
+                new_e += e[a:b]
+            elif m["at"] or m["dot"]:
                 pieces.append("@" if m["at"] else ".")
                 new_s.append(s[a])
                 new_e.append(e[b - 1])
@@ -166,6 +196,11 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
                     if w["times"]:
                         times, at = REPEATS[w["times"].lower()], w.start()
                         continue
+                    if w["point"]:
+                        pieces.append(".")
+                        new_s.append(s[w.start()])
+                        new_e.append(e[w.end() - 1])
+                        continue
                     digits = NUMBER_WORDS[w["word"].lower()] * times if w["word"] else w["digits"]
                     at = at if times > 1 else w.start()
                     for k, d in enumerate(digits):

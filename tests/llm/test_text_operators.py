@@ -57,6 +57,10 @@ def test_base_spans_equal_plain_regexes(text):
         ("call plus one four one five five five five one two one two today", "phone", "plus one four one five five five five one two one two"),
         ("１２７.0.0.1 is home", "ip", "１２７.0.0.1"),
         ("card 4111 1111 1111 one one one one ok", "card", "4111 1111 1111 one one one one"),
+        ("host one two seven dot zero dot zero dot one up", "ip", "one two seven dot zero dot zero dot one"),
+        ("mail ann_at_mail&#46;com soon", "email", "ann_at_mail&#46;com"),
+        ("ring +1 (4l5) 555-O123 now", "phone", "+1 (4l5) 555-O123"),
+        ("tel +1 double five five, one two three, nine nine", "phone", "+1 double five five, one two three, nine nine"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, part):
@@ -78,6 +82,11 @@ def test_pii_query_on_table_and_odd_rows(spark):
     assert pii.spans(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["one of the two at home", "un deux trois", "meet me at noon.ok", "x <at> y", "model l5 and O2 +3", "uno dos tres cuatro cinco", "ten o'clock 10.5.3 a.b", "look at this. dot it"])
+def test_prose_is_left_alone(text):
+    assert pii.find(text) == ([], [])
+
+
 def test_redaction_keeps_clean_text(spark):
     assert pii.redact("nothing here") == "nothing here"
     assert pii.redact("x a.b@c.de y") == "x <EMAIL> y"
