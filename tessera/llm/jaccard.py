@@ -163,7 +163,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, re
     buckets = nodes.join(shared, ["t", "key"]).join(able, "id").select("t", "key", "id", F.lit(0).alias("probe"), "code")
     marked = links.marks(buckets, _first_tree).groupBy("id").agg(F.collect_list(F.struct("t", "key", "probe")).alias("at"))
     marked = common.cut(marked.join(classes.select(F.col("rep").alias("id"), "h1", "h2", "size", "code"), "id"))
-    texts = df.join(marked, F.col("doc_id") == F.col("id")).select("h1", "h2", "id", "size", "code", "at", "text")
+    texts = common.by_ids(df.withColumnRenamed("doc_id", "id"), marked, "id", "left_semi").join(marked, "id").select("h1", "h2", "id", "size", "code", "at", "text")
     sets = texts.mapInArrow(_sets, "id long, size long, code binary, at array<struct<t:int,key:long,probe:int>>, item binary").dropDuplicates(["id"])
     rows = sets.select("id", "size", "code", "item", F.explode("at").alias("x")).select("x.*", "id", "size", "code", "item")
     parts = links.counted(rows, _first_tree, _similar(similarity))
@@ -174,5 +174,5 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, re
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents without those that repeat another of their component."""
-    gone = join(docs).where("NOT kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = common.cut(join(docs).where("NOT kept").select(F.col("id").alias("doc_id")).distinct())
+    return common.by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
