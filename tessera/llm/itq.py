@@ -1,14 +1,15 @@
 """Near copies among vectors by iterative quantisation.
 
 A rotation learned on a sample makes the signs of a vector's rotated components a balanced binary code.
-Codes are cut into substrings of 16 bits, one Hamming table each; a vector lies in the bucket of its own
-substring and looks into those at distance one. Pairs that meet in a table, and whose whole codes are near, are
-reranked by the cosine of the original vectors in double precision.
+Codes are cut into substrings, one Hamming table each; a vector lies in the bucket of its own substring and
+looks into those at distance one. Pairs that meet in a table, and whose whole codes are near, are reranked by
+the cosine of the original vectors in double precision. Substrings get longer with the logarithm of the number
+of vectors, so that buckets don't fill up, and their number is what the recall then needs.
 
 Result: (id, n_links, component_id, kept) by cosine >= 0.9. Equal vectors are one class that is searched once.
 
 The rotation is fitted on at most SAMPLE vectors of the least hashes of their ids; all vectors are indexed.
-With TABLES tables a pair at exactly 0.9 is met with a probability of about 0.99, and of more above that.
+A pair at exactly 0.9 is met with a probability of RECALL, and of more above that.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor
 do vectors of different lengths with each other; rows of one id are one vector, the one of the least hash;
@@ -28,14 +29,24 @@ from pyspark.sql import functions as F
 from . import common, links
 
 COSINE = 0.9
-TABLES, WIDTH = 12, 16
+#: Bits of a substring at least and at most, vectors to a bucket on average, and the recall at the threshold.
+WIDTHS, FILL, RECALL = (16, 28), 16, 0.985
 #: Vectors that the rotation is fitted on at most, and rounds of fitting.
 SAMPLE, ROUNDS = 10_000, 40
 #: Components of the longest vectors whose rotation is learned; longer ones are cut into parts of this many.
 PART = 512
 
 
-def fit(x: np.ndarray, tables: int = TABLES, width: int = WIDTH, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+def shape(n: int, cosine: float = COSINE) -> tuple[int, int]:
+    """Tables and bits of each for n vectors."""
+    width = min(WIDTHS[1], max(WIDTHS[0], int(np.ceil(np.log2(max(n, 1) / FILL)))))
+    p = float(np.arccos(cosine) / np.pi)
+    meet = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - meet)))
+    return tables + tables % 2, width
+
+
+def fit(x: np.ndarray, tables: int, width: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """Columns that project unit vectors (rows of x) to tables x width signs."""
     rng = np.random.default_rng(seed)
     dim, bits = x.shape[1], tables * width
@@ -84,7 +95,13 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(x >> 64) - (1 << 63) for x in h], pa.int64()), pa.array([(x & (2**64 - 1)) - (1 << 63) for x in h], pa.int64()), pa.array([len(r) // 8 if r else 0 for r in raw], pa.int64()), pa.array(raw, pa.binary())], names=["id", "h1", "h2", "n", "item"])
 
 
-def _codes(models: dict[int, np.ndarray]):
+def codes(x: np.ndarray, model: np.ndarray, width: int) -> np.ndarray:
+    """Substrings of the codes of unit vectors, as 32-bit integers: vectors x tables."""
+    bits = (x @ model >= 0).reshape(len(x), -1, width)
+    return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+
+
+def _codes(models: dict[int, np.ndarray], width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(1).to_numpy()
@@ -93,24 +110,23 @@ def _codes(models: dict[int, np.ndarray]):
             for dim in np.unique(n):
                 m = np.flatnonzero(n == dim)
                 x = unit(np.stack([np.frombuffer(items[k], np.float64) for k in m]))
-                packed = np.packbits(x @ models[int(dim)] >= 0, axis=1)
-                for k, row in zip(m, packed):
+                for k, row in zip(m, codes(x, models[int(dim)], width)):
                     code[k] = row.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code, pa.binary())], names=["id", "n", "code"])
 
     return run
 
 
-def _buckets(tables: int):
-    flips = np.array([0, *(1 << k for k in range(WIDTH))], np.int64)
+def _buckets(tables: int, width: int):
+    flips = np.array([0, *(1 << k for k in range(width))], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 code = links.matrix(part.column(2))
-                sub = code.view(np.uint16).reshape(len(code), -1)[:, :tables].astype(np.int64)
-                own = sub | (part.column(1).to_numpy()[:, None] << WIDTH)  # lengths have tables of their own
+                sub = code.view(np.uint32).reshape(len(code), -1).astype(np.int64)
+                own = sub | (part.column(1).to_numpy()[:, None] << 32)  # lengths have tables of their own
                 key = own[:, :, None] ^ flips
                 n = len(code)
                 which = np.repeat(np.arange(n), tables * len(flips))
@@ -122,11 +138,11 @@ def _buckets(tables: int):
     return run
 
 
-def _candidate(tables: int, most: int):
+def _candidate(most: int):
     def candidate(a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
         if not len(a):
             return np.zeros(0, bool)
-        apart = np.bitwise_count((a ^ b).view(np.uint16).reshape(len(a), -1)[:, :tables])
+        apart = np.bitwise_count((a ^ b).view(np.uint32).reshape(len(a), -1))
         return ((apart <= 1).argmax(1) == t) & (apart.sum(1, dtype=np.int64) <= most)
 
     return candidate
@@ -140,23 +156,24 @@ def _similar(cosine: float):
     return similar
 
 
-def join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, tables: int = TABLES) -> DataFrame:
+def join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     spark = common.ship(vectors.sparkSession)
     df = common.only(vectors, **{id_col: "long", vector_col: "array<double>"})
     rows = df.mapInArrow(_hashes, "id long, h1 long, h2 long, n long, item binary")
     rows = common.cut(rows.groupBy("id").agg(F.min(F.struct((F.col("n") == 0).alias("none"), "h1", "h2", "n", "item")).alias("x")).select("id", "x.h1", "x.h2", "x.n", "x.item"))
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("item").alias("item"))
     classes = common.cut(classes)
+    tables, width = shape(classes.count(), cosine)
     models = {}
     for r in classes.groupBy("n").agg(F.count(F.lit(1))).collect():  # a row for each length of vectors
         picked = classes.where(F.col("n") == r.n).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("item").collect()
-        models[r.n] = fit(unit(np.stack([np.frombuffer(x.item, np.float64) for x in picked])), tables)
-    codes = classes.select(F.col("rep").alias("id"), "n", "item").mapInArrow(_codes(models), "id long, n long, code binary")
-    codes = common.cut(codes)
-    candidate = _candidate(tables, near(tables * WIDTH, cosine))
-    buckets = codes.mapInArrow(_buckets(tables), "t int, key long, id long, probe int, code binary")
+        models[r.n] = fit(unit(np.stack([np.frombuffer(x.item, np.float64) for x in picked])), tables, width)
+    coded = classes.select(F.col("rep").alias("id"), "n", "item").mapInArrow(_codes(models, width), "id long, n long, code binary")
+    coded = common.cut(coded)
+    candidate = _candidate(near(tables * width, cosine))
+    buckets = coded.mapInArrow(_buckets(tables, width), "t int, key long, id long, probe int, code binary")
     marked = links.marks(buckets, candidate).groupBy("id").agg(F.collect_list(F.struct("t", "key", "probe")).alias("at"))
-    items = classes.select(F.col("rep").alias("id"), "size", "item").join(codes.select("id", "code"), "id").join(marked, "id")
+    items = classes.select(F.col("rep").alias("id"), "size", "item").join(coded.select("id", "code"), "id").join(marked, "id")
     parts = links.counted(items.select("id", "size", "item", "code", F.explode("at").alias("x")).select("x.*", "id", "size", "item", "code"), candidate, _similar(cosine))
     of = rows.select("id", "h1", "h2").join(classes.select("h1", "h2", "rep", "size"), ["h1", "h2"], "left")
     own = F.col("id").isNotNull()

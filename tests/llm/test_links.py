@@ -92,17 +92,24 @@ def test_itq_equals_brute_force(spark):
     assert all(g[2] == (k == g[1]) for k, g in got.items())
 
 
-def test_itq_recall_at_the_threshold():
+@pytest.mark.parametrize("n", [1000, 1 << 24])
+def test_itq_recall_at_the_threshold(n):
     rng = np.random.default_rng(0)
-    a = itq.unit(rng.standard_normal((4000, 64)))
+    a = itq.unit(rng.standard_normal((3000, 64)))
     e = rng.standard_normal(a.shape)
     e = itq.unit(e - (e * a).sum(1, keepdims=True) * a)
     b = 0.9 * a + np.sqrt(1 - 0.81) * e
-    p = itq.fit(a)
-    code = [np.packbits(x @ p >= 0, axis=1).view(np.uint64) for x in (a, b)]
-    apart = np.bitwise_count((code[0] ^ code[1]).view(np.uint16))
-    met = (apart <= 1).any(1) & (apart.sum(1) <= itq.near(itq.TABLES * itq.WIDTH))
-    assert met.mean() >= 0.97
+    tables, width = itq.shape(n)
+    p = itq.fit(a, tables, width)
+    x, y = (itq.codes(v, p, width) for v in (a, b))
+    apart = np.bitwise_count(x ^ y)
+    met = (apart <= 1).any(1) & (apart.sum(1, dtype=np.int64) <= itq.near(tables * width))
+    assert met.mean() >= 0.96
+
+
+def test_itq_substrings_grow_with_the_vectors():
+    assert itq.shape(1000)[1] == 16 and itq.shape(1 << 24)[1] == 20
+    assert itq.shape(1 << 24)[0] > itq.shape(1000)[0]
 
 
 def test_itq_odd_rows(spark):
