@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -258,13 +258,15 @@ class Labeller:
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Crf | None:
     """docs: (doc_id, text, lang), held-out ids excluded by the caller."""
     known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL")
-    labels = sorted(r.lang for r in known.select("lang").distinct().collect())
-    texts: list[list[list[str]]] = []
-    for lang in labels:
-        ids = known.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
-        rows = known.where(F.col("lang") == lang).join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect()
-        unique = dict.fromkeys(r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.text or "")))
-        texts.append([letters(t) for t in unique])
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_lang)
+    # per_lang rows of two columns for each language, first cut down where they are read
+    rows = known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()
+    unique: dict[str, dict[str | None, None]] = {}
+    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text or "")):
+        unique.setdefault(r.lang, {})[r.text] = None
+    labels = list(unique)
+    texts = [[letters(t) for t in unique[lang]] for lang in labels]
     have = [k for k in range(len(labels)) if any(texts[k])]
     labels, texts = [labels[k] for k in have], [texts[k] for k in have]
     if not labels:
