@@ -169,3 +169,27 @@ def test_language_odd_rows(spark):
     rows = langid.identified(odd(spark)).collect()
     assert len(rows) == 7 and all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (1, 2, 3))
     assert langid.identified(odd(spark).limit(0)).count() == 0
+
+
+def test_toxicity_counts_all_labelled_texts_and_all_words_of_the_corpus(spark, monkeypatch):
+    texts = [(k, f"plain talk number{k} about things") for k in range(40)] + [(k, f"plain talk number{k} you vile{k % 4} thing") for k in range(40, 80)] + [(200, "unlabelled words only"), (201, None)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k, int(k >= 40)) for k in range(80)], "doc_id long, toxic int")
+    c = toxicity.Counts(docs, labels, 80)
+    key = lambda *ws: toxicity.keys(list(ws), c.mask)
+    at = int(np.searchsorted(c.words, key("vile3")[0]))
+    assert c.stats.where(f"word = {key('vile3')[0]}").select("un20", "un21", "n").first() == (0, 1, 10)
+    words = [w for _, t in texts if t for w in set(t.split())]
+    assert np.isclose(c.shared[at], 10.5 / (len(words) + 0.5 * (len(set(words)) + 1)))  # "unlabelled" and "only" take their share
+    few = toxicity.fit(docs, labels, 2)  # the sample has 2 texts a class, the models all
+    ratio = dict(zip("you vile3 thing".split(), few.model.ratios(key(*"you vile3 thing".split()))))
+    assert ratio["vile3"] > 0.3 and set(key(*[f"number{k}" for k in range(80)])) <= set(few.model.words)
+    ids = {w: k + 1 for k, w in enumerate(sorted(set(words)))}
+    shared = np.bincount([ids[w] for w in words], minlength=len(ids) + 2)
+    plain = toxicity.Model(ids, [[np.array([ids[w] for w in t.split()]) for k, t in texts[:80] if (k >= 40) == y] for y in (False, True)], shared)
+    w = "plain talk number50 you vile2 thing".split()
+    full = c.model(2)
+    assert len(full.pairs) == len(plain.pairs) and np.allclose(np.sort(full.pair), np.sort(plain.pair), atol=0.02)
+    assert np.allclose(full.ratios(key(*w)), plain.ratios(np.array([ids[x] for x in w])), atol=0.02)
+    monkeypatch.setattr(toxicity, "MOST_PAIRS", 8)
+    shared = c.model(2)
+    assert shared.slots and np.allclose(shared.ratios(key(*w)), full.ratios(key(*w)), atol=0.02)
