@@ -1,17 +1,19 @@
 """Benchmark decontamination by templates.
 
 Words of a text become a template: numbers, names and units are replaced by typed placeholders. Windows of
-WINDOW template words of the benchmark are hash-joined with those of the documents. A pair of windows counts
-if it has FIXED words that are not placeholders, and if its slots are consistent, that is, equal slot values of
-the item stand against equal values of the document, and different against different ones. So re-parameterised
-questions are caught and chance templates are not.
+WINDOW template words of the benchmark are hash-joined with those of the documents. A pair of whole windows counts
+if its slot values are equal, whatever its words. Else it counts if it has FIXED words that are not placeholders, and
+if its slots are consistent, that is, equal slot values of the item stand against equal values of the document, and
+different against different ones. So re-parameterised questions are caught and chance templates are not. Where no
+window of a document and an item counts by itself, RUN windows in a row do, if all their slots together are consistent
+and they have RUN_FIXED words that are not placeholders.
 
 Numbers are words that begin with a digit, number words included; units are words of UNITS; a name is a word
 with a capital first letter whose lower-case form the benchmark and the start of a sentence do not explain:
 one that stands inside a sentence. An item shorter than the window has one window of all its words.
 
-Result of matches(): (doc_id, item_id, n_windows, exact), a row for each pair that is found; exact tells that
-all slot values are equal. Windows of an item are kept in full, in a table that is joined by hash; documents
+Result of matches(): (doc_id, item_id, n_windows, exact), a row for each pair that is found; n_windows are the
+windows that count by themselves, or else those that begin a run; exact tells that all their slot values are equal. Windows of an item are kept in full, in a table that is joined by hash; documents
 are first tested against a Bloom filter of a fixed size, which only saves shuffling.
 
 Defined cases: null and empty texts match nothing; repeated rows of documents or items are found each once by
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,6 +37,8 @@ from .jaccard import _mix
 WINDOW = 8
 #: Words of an alignment that must not be placeholders.
 FIXED = 5
+#: Windows in a row that are judged together, and words of theirs that must not be placeholders.
+RUN, RUN_FIXED = 4, 3
 #: Bits of the Bloom filter; about 2 MB whatever the benchmark's size.
 BLOOM_BITS = 1 << 24
 
@@ -158,13 +162,28 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = found.join(items, "w").where("doc_forms = forms")
     fixed = F.size(F.filter("forms", lambda x: ~x.startswith("\x01")))
     slots = F.filter(F.arrays_zip(F.col("forms"), F.col("item_values").alias("item_values"), F.col("doc_values").alias("doc_values")), lambda x: x["forms"].startswith("\x01"))
-    # a window's slots are consistent if values map one to one
-    forward = F.array_distinct(F.transform(slots, lambda x: F.struct(x["forms"], x["item_values"], x["doc_values"])))
-    left = F.array_distinct(F.transform(slots, lambda x: F.struct(x["forms"], x["item_values"])))
-    right = F.array_distinct(F.transform(slots, lambda x: F.struct(x["forms"], x["doc_values"])))
-    consistent = (F.size(forward) == F.size(left)) & (F.size(forward) == F.size(right))
-    good = pairs.where((fixed >= F.least(F.lit(FIXED), F.greatest(F.lit(1), F.col("width") - 1))) & consistent)
-    return good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").cast("long").alias("n_windows"), F.every(F.col("item_values") == F.col("doc_values")).alias("exact"))
+    whole = F.col("width") == WINDOW
+    equal = F.col("item_values") == F.col("doc_values")
+    enough = fixed >= F.least(F.lit(FIXED), F.greatest(F.lit(1), F.col("width") - 1))
+    plain = F.filter(F.transform("forms", lambda x, k: F.when(~x.startswith("\x01"), F.col("item_at") + k)), lambda x: x.isNotNull())
+    good = pairs.withColumn("slots", slots).where(_consistent("slots"))
+    good = good.select("doc_id", "item_id", "item_at", "slots", whole.alias("whole"), plain.alias("plain"), equal.alias("equal"), (enough | whole & equal).alias("alone"), (F.col("doc_at") - F.col("item_at")).alias("shift"))
+    ahead = Window.partitionBy("doc_id", "item_id", "shift").orderBy("item_at").rangeBetween(0, RUN - 1)
+    good = good.withColumns({"run": F.size(F.collect_set("item_at").over(ahead)), "all_slots": F.flatten(F.collect_list("slots").over(ahead)), "all_plain": F.flatten(F.collect_list("plain").over(ahead))})
+    run = F.col("whole") & (F.col("run") == RUN) & (F.size(F.array_distinct("all_plain")) >= RUN_FIXED) & _consistent("all_slots")
+    at, same = {}, {}
+    for k, x in (("alone", F.col("alone")), ("run", run)):
+        at[k], same[k] = F.countDistinct(F.when(x, F.col("item_at"))).cast("long").alias(f"n_{k}"), F.every(F.when(x, F.col("equal"))).alias(f"{k}_equal")
+    found = good.groupBy("doc_id", "item_id").agg(*at.values(), *same.values()).where("n_alone > 0 OR n_run > 0")
+    return found.selectExpr("doc_id", "item_id", "if(n_alone > 0, n_alone, n_run) AS n_windows", "if(n_alone > 0, alone_equal, run_equal) AS exact")
+
+
+def _consistent(name: str):
+    """Whether the slot values of item and document map one to one."""
+    forward = F.array_distinct(F.transform(name, lambda x: F.struct(x["forms"], x["item_values"], x["doc_values"])))
+    left = F.array_distinct(F.transform(name, lambda x: F.struct(x["forms"], x["item_values"])))
+    right = F.array_distinct(F.transform(name, lambda x: F.struct(x["forms"], x["doc_values"])))
+    return (F.size(forward) == F.size(left)) & (F.size(forward) == F.size(right))
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -193,3 +193,18 @@ def test_toxicity_counts_all_labelled_texts_and_all_words_of_the_corpus(spark, m
     monkeypatch.setattr(toxicity, "MOST_PAIRS", 8)
     shared = c.model(2)
     assert shared.slots and np.allclose(shared.ratios(key(*w)), full.ratios(key(*w)), atol=0.02)
+
+
+def test_passages_of_many_slots_are_found(spark):
+    items = [(1, "5 km in 2 hours and 3 km in 1 hour and 9 km in 4 days"), (2, "1 2 3 4 5 6 7 8 9"), (3, "so Ann Bob Cid Dan Eve Fay Gus Hal Ian")]
+    texts = [
+        (1, "he ran 5 km in 2 hours and 3 km in 1 hour and 9 km in 4 days then slept"),  # copied
+        (2, "they ran 6 km in 7 hours and 8 km in 5 hour and 1 km in 3 days then slept"),  # other numbers
+        (3, "they ran 6 km in 7 hours and 6 km in 7 hour and 6 km in 7 days then slept"),  # one value for several
+        (4, "count 1 2 3 4 5 6 7 8 9 now"),
+        (5, "count 9 8 7 6 5 4 3 2 1 now"),
+        (6, "with Ann Bob Cid Dan Eve Fay Gus Hal Ian here"),
+        (7, "ran 6 km in 7 hours and stopped"),
+    ]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontam.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): True, (2, 1): False, (4, 2): True, (6, 3): True}
