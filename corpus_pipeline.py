@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import common, decontam, jaccard, packing, pii, toxicity
@@ -39,7 +40,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in training sequences of several lengths."""
-    return packing.packed(docs)
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", civil), ("ngram_jaccard", single), ("decontamination", unseen), ("pii", private), ("best_fit_packing", pack)]

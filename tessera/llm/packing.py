@@ -5,6 +5,9 @@ the open bin with the least room that takes them. Where none does, the bin size
 token it can still be filled with, given what is left to place. At the end each bin shrinks to the smallest
 permitted length that holds its contents.
 
+Lengths, starts and capacities count ids of a tokenizer where its file is given, as the query and the pipeline do, so
+a piece is ids start to start + length of its document with one end mark; else they count white-space separated words.
+
 Groups are hashes of the id and hold about `group_rows` pieces, whatever the size of the corpus; a group that
 repeated ids make larger is cut into runs of `group_rows`. Only ids and lengths are shuffled.
 
@@ -14,12 +17,14 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simple8b
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Tokens that opening a sequence costs beyond its length.
@@ -98,5 +103,22 @@ def lengths(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", (words + 1).cast("long").alias("length"))
 
 
-def packed(docs: DataFrame, **options) -> DataFrame:
-    return pack_pieces(lengths(docs), **options)
+def _token_lengths(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = simple8b.tokenizer(path)
+        for batch in batches:
+            n = [len(enc.encode(t)) // 4 + 1 if t else 1 for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "length"])
+
+    return run
+
+
+def token_lengths(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and its number of ids with one end mark, as simple8b writes them; computed once."""
+    common.ship(docs.sparkSession)
+    return common.cut(common.only(docs, doc_id="long", text="string").mapInArrow(_token_lengths(path), "doc_id long, length long"))
+
+
+def packed(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+    """path: the tokenizer whose ids are packed; words are where there is none."""
+    return pack_pieces(token_lengths(docs, path) if path else lengths(docs), **options)

@@ -208,3 +208,21 @@ def test_token_counts_equal_plain_dynamic_programming(spark):
     assert trie.computed == len("▁anything") + len("one")
     rows = token_trie.token_counts(odd(spark), path).collect()
     assert len(rows) == 7 and [r.n_tokens for r in rows if r.doc_id in (1, 2, 3)] == [0, 0, 0]
+
+
+def test_packing_counts_tokens(spark):
+    import tokenizers
+
+    import corpus_pipeline
+
+    tk = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = frame(spark, [(1, "antidisestablishmentarianism " * 2000, "x"), (2, "https://example.com/a?b=c&d=" * 4000, "x"), (3, None, "x"), (4, "", "x")])
+    want = {r.doc_id: len(tk.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    assert want[2] > 8192
+    pieces = {}
+    for r in corpus_pipeline.pack(spark, docs, None).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+    for doc, n in want.items():
+        runs = sorted(pieces[doc])
+        assert sum(x for _, x in runs) == n and runs[0][0] == 0 and all(x <= 8192 for _, x in runs)
+        assert all(b[0] == a[0] + a[1] for a, b in zip(runs, runs[1:]))
