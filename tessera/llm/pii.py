@@ -99,23 +99,33 @@ NUMBER_WORDS = {
 }
 REPEATS = {"double": 2, "triple": 3}
 _TO_DIGIT = str.maketrans("OolI", "0011")
-_GAPS = str.maketrans("-,.", "   ")
+_GAPS = str.maketrans({c: " " for c in "-,.;:!?()\"'"})
 
 _NUM = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
-_UNIT = rf"(?:(?:double|triple)[ -]+)?(?:{_NUM})"
-_STEP = rf"(?:[ ,-]+(?:(?:dot|point)[ -]+)?(?:{_UNIT}|[0-9]+))"
-#: Three number words in a row at least: fewer are ordinary prose.
-_SPELLED = rf"(?<!\w)(?P<plus>plus[ -]+)?(?P<run>{_UNIT}{_STEP}{{2,}}+)(?!\w)"
-_AT = r"(?P<at>&#0*64;|&commat;|\s*[\[({<_*]\s*(?:at|@|arroba|arobase)\s*[\])}>_*]\s*|(?<=[\w%+-])\s+(?:at|arroba|arobase)\s+(?=[\w-]+(?:\s*[\[({<]|\s+dot\s|(?:\.[\w-]+)*\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)\b))|\s+@\s+(?=[\w-]+(?:\.|\s+dot\s|\s*[\[({<])))"
+_UNIT = rf"(?:(?:double|triple)[\s-]+)?(?:{_NUM})(?!\w)"
+_STEP = rf"(?:[\s,-]+(?:(?:dot|point)[\s-]+)?(?:{_UNIT}|[0-9]+(?!\w)))"
+#: Number words next to each other or to digits; a lone one is ordinary prose.
+_SPELLED = rf"(?P<beside>(?<=[0-9])[\s,-]+(?={_UNIT}))?(?<!\w)(?P<plus>plus[\s-]+)?(?P<run>{_UNIT}(?(beside){_STEP}*+|{_STEP}++))"
+#: Endings of hosts: all country codes and the usual others.
+_TLD = "(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|xyz|online|site|shop|store|cloud|tech|blog|email|eu|" + "|".join(
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+) + ")"
+#: Words for a dot; "at this point in" is prose.
+_POINT = r"(?:punkt|punto|point(?!\s+(?:in|is|it|to|so|no|at|be|me|my|as|us|do|am|re|we)\b))"
+_HOST = rf"[\w-]+(?:\s*[\[({{<]|(?:\.[\w-]+)*\s+dot\s|(?:\.[\w-]+)*\.{_TLD}\b(?!-)|(?:(?:\.|\s+{_POINT}\s+)[\w-]+)*?\s+{_POINT}\s+{_TLD}\b)"
+_AT = rf"(?P<at>&#0*64;|&commat;|\s*[\[({{<_*]\s*(?:at|@|arroba|arobase)\s*[\])}}>_*]\s*|(?<=[\w%+-])\s+(?:at|arroba|arobase)\s+(?={_HOST})|\s+@\s+(?=[\w-]+(?:\.|\s+dot\s|\s+{_POINT}\s|\s*[\[({{<])))"
 _DOT = r"(?P<dot>&#0*46;|&period;|\s*[\[({<_*]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>_*]\s*|(?<=\w)\s+dot\s+(?=\w))"
+#: A dot only in a host, behind an at.
+_DOT_IN_HOST = rf"(?P<point>(?<=\w)\s+{_POINT}\s+(?=\w))"
+_LABELS = re.compile(r"[\w-]+(?:\.[\w-]+)*")
 #: Letters that stand for 0 and 1 next to digits.
 _ALIKE = r"(?P<alike>(?<=[0-9])[OolI]+(?![^\W\d_])|(?<![^\W\d_])[OolI]+(?=[0-9]))"
-_RULES = re.compile(rf"{_AT}|{_SPELLED}|{_DOT}|(?-i:{_ALIKE})", re.IGNORECASE)
+_RULES = re.compile(rf"{_AT}|{_SPELLED}|{_DOT}|{_DOT_IN_HOST}|(?-i:{_ALIKE})", re.IGNORECASE)
 _WORDS = re.compile(rf"(?P<times>double|triple)|(?P<word>{_NUM})|(?P<point>dot|point)|(?P<digits>[0-9]+)", re.IGNORECASE)
 #: Cheap looks before the rules.
 _WRAPPED = re.compile(r"[\[({<_*]\s*(?:at|@|dot|\.|arroba|arobase|punkt|point|punto)\s*[\])}>_*]|&#0*(?:64|46);|&commat;|&period;", re.IGNORECASE)
 _NEAR_DIGIT = re.compile(r"[0-9][OolI]|[OolI][0-9]")
-_SPACED = re.compile(rf"\s(?:at|arroba|arobase|@)\s+[\w-]+(?:\s*[\[({{<]|\s+dot\s|(?:\.[\w-]+)*\.\w)", re.IGNORECASE)
+_SPACED = re.compile(rf"\s(?:at|arroba|arobase|@)\s+[\w-]+(?:\s*[\[({{<]|\s+dot\s|\s+{_POINT}\s|(?:\.[\w-]+)*\.\w|(?:\.[\w-]+)*\s+(?:dot|{_POINT})\s)|@[\w.-]+\s+{_POINT}\s", re.IGNORECASE)
 _AMONG = frozenset(NUMBER_WORDS) | frozenset(("double", "triple", "dot", "point"))
 
 
@@ -125,15 +135,16 @@ def _hinted(text: str) -> bool:
         return True
     words = text.lower().translate(_GAPS).split()
     known = set(words)
-    if "dot" in known or not known.isdisjoint(("at", "arroba", "arobase", "@")) and _SPACED.search(text):
+    if "dot" in known or ("@" in text or not known.isdisjoint(("at", "arroba", "arobase"))) and _SPACED.search(text):
         return True
     if known.isdisjoint(NUMBER_WORDS):
         return False
-    run = 0
+    before = False
     for w in words:
-        run = run + 1 if w in _AMONG or w.isdigit() else 0
-        if run >= 3:
+        now = w in _AMONG or w[-1].isdigit()
+        if now and before:
             return True
+        before = now
     return False
 
 
@@ -172,9 +183,13 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
         new_e: list[int] = []
         s = starts if starts is not None else range(len(flat))
         e = ends if ends is not None else range(1, len(flat) + 1)
-        done = 0
+        done = host = 0  # host: where the host behind the last at, or its next label, begins
         for m in _RULES.finditer(flat):
             a, b = m.span()
+            if m["point"] and not ((h := max(host, flat.rfind("@", max(0, a - 255), a) + 1)) and _LABELS.fullmatch(flat, h, a)):
+                continue
+            if m["at"] or m["point"] or m["dot"]:
+                host = b
             pieces.append(flat[done:a])
             new_s += s[done:a]
             new_e += e[done:a]
@@ -182,7 +197,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
                 pieces.append(flat[a:b].translate(_TO_DIGIT))
                 new_s += s[a:b]
                 new_e += e[a:b]
-            elif m["at"] or m["dot"]:
+            elif m["at"] or m["dot"] or m["point"]:
                 pieces.append("@" if m["at"] else ".")
                 new_s.append(s[a])
                 new_e.append(e[b - 1])

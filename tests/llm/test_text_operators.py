@@ -226,3 +226,28 @@ def test_packing_counts_tokens(spark):
         runs = sorted(pieces[doc])
         assert sum(x for _, x in runs) == n and runs[0][0] == 0 and all(x <= 8192 for _, x in runs)
         assert all(b[0] == a[0] + a[1] for a, b in zip(runs, runs[1:]))
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("card 4111 1111 1111 11 one one ok", "card", "4111 1111 1111 11 one one"),
+        ("card 4111 1111 1111 111 one ok", "card", "4111 1111 1111 111 one"),
+        ("card 4111 1111 1111 one one\none one ok", "card", "4111 1111 1111 one one\none one"),
+        ("call +1 555 12 five five now", "phone", "+1 555 12 five five"),
+        ("write to maria at example.ch soon", "email", "maria at example.ch"),
+        ("write to jan at voorbeeld.nl soon", "email", "jan at voorbeeld.nl"),
+        ("write to john at mail.example dot com soon", "email", "john at mail.example dot com"),
+        ("escribe a juan arroba correo punto es hoy", "email", "juan arroba correo punto es"),
+        ("contact jean arobase exemple point fr merci", "email", "jean arobase exemple point fr"),
+        ("mail an hans at beispiel punkt de bitte", "email", "hans at beispiel punkt de"),
+        ("mail hans@beispiel punkt de bitte", "email", "hans@beispiel punkt de"),
+    ],
+)
+def test_ordinary_disguises_are_found(text, kind, part):
+    assert (kind, text.index(part), text.index(part) + len(part)) in pii.find(text)[1]
+
+
+@pytest.mark.parametrize("text", ["look at this point in time", "we met at home and un punto es un punto", "chapter 12 one of 3 two", "le point de vue est un point fr", "the two at one point to note"])
+def test_prose_with_dots_and_numbers_is_left_alone(text):
+    assert pii.find(text) == ([], [])
