@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.relation import NUMERIC, Kind, Rel
+from ..plans.relation import NUMERIC, Kind, Rel, _named
 from ..plans.sparql import Call
 from ..plans.terms import XSD, BNode, Iri, Lit, UnsupportedQuery, Var
 
@@ -25,6 +25,7 @@ class E:
 
     @property
     def text(self) -> Column:
+        _named(self.kind)
         c = self.col.cast("string")
         return F.concat(F.lit(self.kind.prefix), c) if self.kind.prefix is not None else c
 
@@ -130,6 +131,8 @@ class Expressions:
             k = self.rel.kinds[e.name]
             if k.kind == "lit":
                 return E(self.rel.col(e.name), type_of(self.rel.type(e.name)))
+            if isinstance(self.rel.type(e.name), T.StructType):
+                return E(self.rel.text(e.name), "str", Kind("iri"))
             return E(self.rel.col(e.name), "any" if k.kind == "any" else "str", k, self.rel.kind_col(e.name) if k.kind == "any" else None)
         if isinstance(e, Lit):
             return literal(e)
@@ -149,7 +152,7 @@ class Expressions:
         for x, y in ((a, b), (b, a)):
             if isinstance(x, Var) and isinstance(y, Iri) and x.name in self.rel.kinds:
                 k = self.rel.kinds[x.name]
-                if k.prefix is not None:
+                if k.prefix is not None and not k.nameless:
                     return key_equal(self.rel.col(x.name), self.rel.type(x.name), k.prefix, y.value)
         return _same(self(a), self(b))
 
@@ -413,6 +416,12 @@ def key_equal(col: Column, t: T.DataType, prefix: str, iri: str) -> Column:
     if not iri.startswith(prefix):
         return F.lit(False)
     tail = iri[len(prefix) :]
+    if isinstance(t, T.StructType):
+        parts = tail.rsplit("/", len(t.fields) - 1)
+        out = F.lit(len(parts) == len(t.fields))
+        for f, part in zip(t.fields, parts):
+            out = out & key_equal(col[f.name], f.dataType, "", part)
+        return out
     if isinstance(t, T.StringType):
         return col == tail
     if type_of(t) == "int":

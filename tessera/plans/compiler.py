@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import E, Expressions, key_equal, literal, type_of
+from ..shipping import shared_folder
 from ..sources.graph import Graph, SubjectMap, as_triples
-from .relation import Kind, Rel, beside, joined, left_joined, name, semi_joined, unioned
+from ..sources.graph import bound as has_key
+from .relation import Kind, Rel, _named, apart, beside, joined, key_text, left_joined, name, semi_joined, unioned
 from .sparql import Aggregate, Call, Exists, Group, Path, Select, Triple, variables
 from .terms import RDF_TYPE, Iri, Lit, UnsupportedQuery, Var
 
@@ -143,13 +145,25 @@ class Compiler:
         return semi_joined(rel, right, not e.negated, condition if outer else None)
 
     def flagged(self, rel: Rel, e) -> tuple[Rel, dict]:
-        """Columns that tell whether EXISTS inside an expression holds."""
+        """Columns that tell whether EXISTS inside an expression holds: it depends on the values that a row
+        shares with the pattern, so each combination of them is tested once."""
         flags = {}
         for x in _exists_in(e):
-            rel = replace(rel, df=rel.frame(self.spark).withColumn("row_of_exists", F.monotonically_increasing_id()))
+            rel = replace(rel, df=rel.frame(self.spark))
             column = f"flag_{len(flags)}"
-            hold = self.exists(rel, replace(x, negated=False)).df.select("row_of_exists", F.lit(not x.negated).alias(column))
-            df = rel.df.join(hold, "row_of_exists", "left").withColumn(column, F.coalesce(column, F.lit(x.negated))).drop("row_of_exists")
+            seen = set(variables(x.group)) | _used_in(x.group)
+            mine = [v for v in rel.kinds if v in seen]
+            for v in mine:
+                _named(rel.kinds[v])
+            part = rel.keep(mine)
+            part = replace(part, df=part.df.distinct() if mine else self.spark.range(1).select(F.lit(True).alias("unit")))
+            hold = self.exists(part, replace(x, negated=False)).df
+            on, keys = F.lit(True), part.columns()
+            hold = hold.select(*[F.col(c).alias("e" + c) for c in keys], F.lit(True).alias(column))
+            for c in keys:
+                on = on & F.col(c).eqNullSafe(F.col("e" + c))
+            df = rel.df.join(hold if keys else F.broadcast(hold), on, "left").drop(*["e" + c for c in keys])  # without keys, one row
+            df = df.withColumn(column, F.coalesce(column, F.lit(False)) != F.lit(x.negated))
             flags[x] = column
             rel = replace(rel, df=df)
         return rel, flags
@@ -208,18 +222,18 @@ class Compiler:
         parts: list[tuple[set[str], int, object]] = []
         for t in triples:
             if isinstance(t.p, Path):
-                parts.append((_vars(t.s, t.o), -1, lambda t=t: self.path(t.s, t.p, t.o)))
+                parts.append((_vars(t.s, t.o), -1, lambda out, t=t: self.path(t.s, t.p, t.o)))
             elif isinstance(t.p, Var):
-                parts.append((_vars(t.s, t.p, t.o), -2, lambda t=t: self.any_predicate(t)))
+                parts.append((_vars(t.s, t.p, t.o), -2, lambda out, t=t: self.any_predicate(t, out)))
             else:
                 stars.setdefault(t.s, []).append(t)
         for s, ts in stars.items():
             found = _vars(s).union(*[_vars(t.o) for t in ts])
             fixed = sum(not isinstance(t.o, Var) for t in ts) + 3 * (not isinstance(s, Var))
-            parts.append((found, fixed, lambda s=s, ts=ts: self.star(s, ts)))
+            parts.append((found, fixed, lambda out, s=s, ts=ts: self.star(s, ts)))
         out = UNIT
         for _, _, build in order(parts, lambda p: p[0], lambda p: p[1]):
-            out = joined(out, build())
+            out = joined(out, build(out))
         return out
 
     def candidates(self, t: Triple) -> list[SubjectMap]:
@@ -293,10 +307,10 @@ class Compiler:
         """One scan of a map for patterns of one subject."""
         df = m.frame
         key = F.col(f"`{m.key}`") if m.key else F.monotonically_increasing_id()
-        tests = [key.isNotNull()] if m.key else []
+        tests = [has_key(key, df.schema[m.key].dataType)] if m.key else []
         cols: dict[str, tuple] = {}
         if isinstance(s, Var):
-            cols[s.name] = (key, Kind("iri", m.prefix))
+            cols[s.name] = (key, Kind("iri", m.prefix, nameless=m.key is None))
         else:
             tests.append(key_equal(key, df.schema[m.key].dataType, m.prefix, s.value))
         many: str | None = None
@@ -319,10 +333,12 @@ class Compiler:
                 kind = Kind("iri", c.link) if c.link is not None else Kind("lit")
                 if t.o.name in cols:
                     other, kind2 = cols[t.o.name]
+                    _named(kind2)
                     if kind2 == kind:
                         tests.append(other == v)
                     elif kind.kind == kind2.kind == "iri":
-                        tests.append(F.concat(F.lit(kind.prefix or ""), v.cast("string")) == F.concat(F.lit(kind2.prefix or ""), other.cast("string")))
+                        key_type = df.schema[m.key].dataType if m.key and t.o == s else None
+                        tests.append(F.concat(F.lit(kind.prefix or ""), v.cast("string")) == F.concat(F.lit(kind2.prefix or ""), key_text(other, key_type)))
                     else:
                         tests.append(F.lit(False))
                 else:
@@ -347,8 +363,8 @@ class Compiler:
             return v == F.lit(x.value).try_cast("timestamp")
         return F.lit(False)
 
-    def stored(self, t: Triple) -> Rel:
-        """A pattern over the plain triples."""
+    def stored(self, t: Triple, subject: Kind = Kind("iri")) -> Rel:
+        """A pattern over the plain triples. subject: what s holds."""
         df = self.graph.triples
         cols: dict[str, list] = {}
 
@@ -360,10 +376,10 @@ class Compiler:
                 cols[term.name] = [F.col(column), kind, column]
                 return []
             if column == "o":
-                return [F.col("o") == term.value, F.col("o_kind") == ("literal" if isinstance(term, Lit) else "iri")]
+                return [F.col("o") == term.value, (F.col("o_kind") == "literal") == F.lit(isinstance(term, Lit))]
             return [F.col(column) == term.value]
 
-        for x in place(t.s, "s", Kind("iri")) + place(t.p, "p", Kind("iri")) + place(t.o, "o", Kind("any")):
+        for x in place(t.s, "s", subject) + place(t.p, "p", Kind("iri")) + place(t.o, "o", Kind("any")):
             df = df.where(x)
         out, kinds = [], {}
         for v, (c, kind, _) in cols.items():
@@ -373,17 +389,26 @@ class Compiler:
                 out.append(F.col("o_kind").alias(beside(v)))
         return Rel(df.select(*out or [F.lit(True).alias("unit")]), kinds)
 
-    def any_predicate(self, t: Triple) -> Rel:
-        """A variable predicate: every source's triples, by one scan of each."""
-        frames = [as_triples(m) for m in self.graph.maps if not isinstance(t.s, Iri) or t.s.value.startswith(m.prefix)]
+    def any_predicate(self, t: Triple, beside: Rel = UNIT, without: frozenset[str] = frozenset()) -> Rel:
+        """A variable predicate: one scan of each source whose subjects the pattern, or the relation that it
+        will be joined with, can mean. without: predicates that don't count."""
+        maps = self.graph.maps
+        if isinstance(t.s, Iri):
+            maps = [m for m in maps if t.s.value.startswith(m.prefix)]
+        elif isinstance(t.s, Var) and t.s.name in beside.kinds and t.s.name not in beside.maybe:
+            maps = [m for m in maps if not apart(beside.kinds[t.s.name], Kind("iri", m.prefix))]
+        native = isinstance(t.s, Var) and t.s not in (t.p, t.o) and self.graph.triples is None and len({(m.prefix, m.key and m.frame.schema[m.key].dataType) for m in maps}) == 1
+        o = None if isinstance(t.o, Var) else t.o
+        frames = [as_triples(m, native, t.s, o, without) for m in maps]
         if self.graph.triples is not None:
-            frames.append(self.graph.triples.select("s", "p", "o", "o_kind"))
+            kept = self.graph.triples.select("s", "p", "o", "o_kind")
+            frames.append(kept.where(~F.col("p").isin(*sorted(without))) if without else kept)
         if not frames:
             return self.nothing(_vars(t.s, t.p, t.o))
         df = frames[0]
         for x in frames[1:]:
             df = df.union(x)
-        return Compiler(self.spark, Graph([], df)).stored(t)
+        return Compiler(self.spark, Graph([], df)).stored(t, Kind("iri", maps[0].prefix) if native else Kind("iri"))
 
     # property paths
 
@@ -409,22 +434,25 @@ class Compiler:
         if p.op == "neg":
             out = None
             for inverse in (False, True):
-                names = [Iri(x) for x, inv in p.args if inv == inverse]
+                names = frozenset(x for x, inv in p.args if inv == inverse)
                 if not names and (inverse or any(not inv for _, inv in p.args)):
                     continue
                 v = Var(self.temp())
-                rel = self.any_predicate(Triple(o, v, s) if inverse else Triple(s, v, o))
-                rel = rel.where(~rel.col(v.name).isin(*[x.value for x in names])).keep([x for x in rel.kinds if x != v.name])
+                rel = self.any_predicate(Triple(o, v, s) if inverse else Triple(s, v, o), without=names)
+                rel = rel.keep([x for x in rel.kinds if x != v.name])
                 out = rel if out is None else unioned(out, rel)
             return out
         return self.closure(s, p.op, p.args[0], o)
 
     def closure(self, s, op: str, part: Path, o) -> Rel:
-        """?, + and * as sets of pairs, in rounds that each double the length that paths can have."""
+        """?, + and * as sets of pairs: outward from a constant end, round by round, else in rounds that each
+        double the length that paths can have."""
         a, b = self.temp(), self.temp()
         step = self.path(Var(a), part, Var(b)).with_text(a).with_text(b)
         step = replace(step, df=step.df.select(F.col(name(a)).alias("a"), F.col(name(b)).alias("b")).distinct())
         pairs = step.df
+        if isinstance(s, Iri) or isinstance(o, Iri):
+            return self.reached(s, op, pairs, o)
         if op in ("plus", "star"):
             pairs = _checkpointed(pairs)
             n = pairs.count()
@@ -436,19 +464,28 @@ class Compiler:
                 n = now
         if op in ("star", "opt"):
             nodes = step.df.select("a").union(step.df.select("b")).distinct()
-            for t in (s, o):
-                if isinstance(t, Iri):  # a constant reaches itself, wherever it occurs
-                    nodes = nodes.union(self.spark.createDataFrame([(t.value,)], "a string")).distinct()
             pairs = pairs.union(nodes.select("a", F.col("a").alias("b"))).distinct()
         cols, kinds = {}, {}
         for t, c in ((s, "a"), (o, "b")):
-            if isinstance(t, Var):
-                if t.name in cols:
-                    pairs = pairs.where("a = b")
-                cols[t.name], kinds[t.name] = F.col(c), Kind("iri")
-            else:
-                pairs = pairs.where(F.col(c) == t.value)
-        return Rel(pairs.select(*[c.alias(name(v)) for v, c in cols.items()] or [F.lit(True).alias("unit")]), kinds)
+            if t.name in cols:
+                pairs = pairs.where("a = b")
+            cols[t.name], kinds[t.name] = F.col(c), Kind("iri")
+        return Rel(pairs.select(*[c.alias(name(v)) for v, c in cols.items()]), kinds)
+
+    def reached(self, s, op: str, step: DataFrame, o) -> Rel:
+        """What a constant end reaches; no more is ever kept than that."""
+        here, there, start, end = ("a", "b", s, o) if isinstance(s, Iri) else ("b", "a", o, s)
+        first = self.spark.createDataFrame([(start.value,)], "x string")
+        new = seen = _checkpointed(step.join(F.broadcast(first.withColumnRenamed("x", here)), here, "left_semi").select(F.col(there).alias("x")).distinct())
+        while op != "opt" and not new.isEmpty():
+            far = step.join(new.withColumnRenamed("x", here), here, "left_semi").select(F.col(there).alias("x")).distinct()
+            new = _checkpointed(far.join(seen, "x", "left_anti"))
+            seen = seen.union(new)
+        if op != "plus":  # a constant reaches itself, wherever it occurs
+            seen = seen.union(first).distinct()
+        if isinstance(end, Var):
+            return Rel(seen.select(F.col("x").alias(name(end.name))), {end.name: Kind("iri")})
+        return Rel(seen.where(F.col("x") == end.value).select(F.lit(True).alias("unit")))
 
     # SELECT
 
@@ -506,6 +543,7 @@ class Compiler:
                 rel = self.put(rel, v, Expressions(rel)(e))
             elif v not in rel.kinds:
                 rel = self.put(rel, v, E(F.lit(None).cast("string"), "str"))
+            _named(rel.kinds[v])
             keys.append(v)
         ex = Expressions(rel)
         cols, kinds, names, after = [], {}, {}, {}
@@ -573,11 +611,7 @@ class Compiler:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -595,6 +629,19 @@ def _used(e) -> set[str]:
     return {"."} if isinstance(e, Exists) else set()
 
 
+def _used_in(g: Group) -> set[str]:
+    """Variables that conditions of a group use, at any depth."""
+    out: set[str] = set()
+    for kind, x in g.elements:
+        if kind == "filter":
+            out |= _used(x).union(*[_used_in(y.group) | set(variables(y.group)) for y in _exists_in(x)])
+        elif kind in ("optional", "minus", "group"):
+            out |= _used_in(x)
+        elif kind == "union":
+            out = out.union(*[_used_in(y) for y in x])
+    return out
+
+
 def _exists_in(e) -> list[Exists]:
     if isinstance(e, Exists):
         return [e]

@@ -9,14 +9,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .terms import UnsupportedQuery
+
 
 @dataclass(frozen=True)
 class Kind:
     """kind: iri, lit, or any (a string whose kind stands in a column beside it). prefix: of an iri whose
-    column holds the native key behind it; None for whole IRIs."""
+    column holds the native key behind it, a struct if several columns are the key; None for whole IRIs.
+    nameless: rows without any key, which can be counted but neither joined, grouped nor shown."""
 
     kind: str = "lit"
     prefix: str | None = None
+    nameless: bool = False
+
+
+def key_text(col: Column, t: T.DataType) -> Column:
+    """What stands behind the prefix: the key, or its parts with a slash between them."""
+    if isinstance(t, T.StructType):
+        return F.when(col.isNotNull(), F.concat_ws("/", *[col[f.name].cast("string") for f in t.fields]))
+    return col.cast("string")
+
+
+def _named(k: Kind) -> None:
+    if k.nameless:
+        raise UnsupportedQuery(f"rows of {k.prefix} have no key: their patterns have to be one group of one subject, whose IRI is not used elsewhere")
 
 
 def name(var: str) -> str:
@@ -45,7 +61,8 @@ class Rel:
     def text(self, var: str) -> Column:
         """The term as a string."""
         k = self.kinds[var]
-        v = self.col(var).cast("string")
+        _named(k)
+        v = key_text(self.col(var), self.type(var))
         return F.concat(F.lit(k.prefix), v) if k.prefix is not None else v
 
     def kind_col(self, var: str) -> Column:
@@ -101,6 +118,8 @@ def apart(a: Kind, b: Kind) -> bool:
 def aligned(a: Rel, b: Rel, var: str) -> tuple[Rel, Rel]:
     """Both relations with the variable in one form, so that equal terms are equal values."""
     x, y = a.kinds[var], b.kinds[var]
+    _named(x)
+    _named(y)
     if x == y and x.kind == "iri":
         return a, b  # the same prefix: native keys
     if x == y == Kind("lit"):
@@ -166,17 +185,18 @@ def joined(a: Rel, b: Rel) -> Rel:
     for v, k in b.kinds.items():
         if v not in kinds or kinds[v].kind == "any":
             kinds[v] = k
-    right = b.df
-    for v in shared:
-        if a.kinds[v].kind == "any" and b.kinds[v].kind == "any":
-            right = right.drop(beside(v))
-    left = a.df
+    left, right, on = a.df, b.df, [name(v) for v in shared]
     for v in shared:
-        if a.kinds[v].kind == "any" and b.kinds[v].kind != "any":
-            left = left.drop(beside(v))
-        if b.kinds[v].kind == "any" and a.kinds[v].kind != "any":
+        mine, other = a.kinds[v].kind == "any", b.kinds[v].kind == "any"
+        if mine and other:  # a literal is no IRI of the same text
+            left, right = (x.withColumn("lit" + name(v), F.col(beside(v)) == "literal") for x in (left, right))
             right = right.drop(beside(v))
-    df = left.join(right, [name(v) for v in shared]) if shared else left.crossJoin(right)
+            on.append("lit" + name(v))
+        elif mine:
+            left = left.where((F.col(beside(v)) == "literal") == F.lit(b.kinds[v].kind == "lit")).drop(beside(v))
+        elif other:
+            right = right.where((F.col(beside(v)) == "literal") == F.lit(a.kinds[v].kind == "lit")).drop(beside(v))
+    df = left.join(right, on) if shared else left.crossJoin(right)
     return replace(Rel(df, kinds, a.maybe | b.maybe)).keep(list(kinds))
 
 
@@ -199,6 +219,17 @@ def _split(a: Rel, b: Rel, v: str) -> Rel:
     return out
 
 
+def _agree(a: Rel, b: Rel, v: str) -> Column:
+    """Whether a bound variable has one term on both sides, that of the right being renamed."""
+    same = F.col(name(v)) == F.col("r" + name(v))
+    x, y = a.kinds[v].kind, b.kinds[v].kind
+    if "any" not in (x, y):
+        return same
+    left = F.col(beside(v)) == "literal" if x == "any" else F.lit(x == "lit")
+    right = F.col("r" + beside(v)) == "literal" if y == "any" else F.lit(y == "lit")
+    return same & (left == right)
+
+
 def left_joined(a: Rel, b: Rel, condition=None) -> Rel:
     """OPTIONAL: each solution of a with those of b that agree and meet condition(row), or alone."""
     if b.df is None:
@@ -206,38 +237,27 @@ def left_joined(a: Rel, b: Rel, condition=None) -> Rel:
     if a.df is None:
         a = replace(a, df=b.df.sparkSession.range(1).select(F.lit(True).alias("unit")))
     shared = _shared(a, b)
+    if any(v in a.maybe | b.maybe for v in shared):
+        # bound and unbound values are joined apart; an OR in the condition would leave only a product
+        both = joined(a, b)
+        if condition is not None:
+            both = both.where(F.coalesce(condition(both), F.lit(False)))
+        return unioned(both, semi_joined(a, b, False, condition))
     dead = False
     for v in shared:
-        dead = dead or apart(a.kinds[v], b.kinds[v]) and v not in a.maybe | b.maybe
+        dead = dead or apart(a.kinds[v], b.kinds[v])
         a, b = aligned(a, b, v)
-    loose = [v for v in shared if v in a.maybe and v not in b.maybe]
-    if loose and not dead:
-        v = loose[0]
-        bound = replace(a.where(a.col(v).isNotNull()), maybe=a.maybe - {v})
-        rest = a.where(a.col(v).isNull()).keep([x for x in a.kinds if x != v])
-        return unioned(left_joined(bound, b, condition), left_joined(rest, b, condition))
     right = _renamed(b, shared)
     on = F.lit(not dead)
     for v in shared:
-        same = F.col(name(v)) == F.col("r" + name(v))
-        if v in a.maybe or v in b.maybe:
-            same = same | F.col(name(v)).isNull() | F.col("r" + name(v)).isNull()
-        on = on & same if on is not None else same
+        on = on & _agree(a, b, v)
     kinds = {**b.kinds, **a.kinds}
     both = Rel(None, kinds, a.maybe | b.maybe)
     if condition is not None:
         scope = Rel(a.df.join(right, F.lit(True)), kinds, both.maybe)  # only its schema is used
         on = on & F.coalesce(condition(scope), F.lit(False))
     df = a.df.join(right, on, "left")
-    cols = []
-    for v, k in kinds.items():
-        in_both = v in shared and v in a.maybe
-        for c in [name(v), beside(v)] if k.kind == "any" else [name(v)]:
-            if in_both and (c == name(v) or b.kinds[v].kind == "any"):
-                cols.append(F.coalesce(F.col(c), F.col("r" + c)).alias(c))
-            else:
-                cols.append(F.col(c))
-    return Rel(df.select(*cols), kinds, a.maybe | b.maybe | (set(b.kinds) - set(a.kinds)))
+    return Rel(df.select(*both.columns()), kinds, a.maybe | b.maybe | (set(b.kinds) - set(a.kinds)))
 
 
 def semi_joined(a: Rel, b: Rel, keep: bool, condition=None, minus: bool = False) -> Rel:
@@ -250,27 +270,46 @@ def semi_joined(a: Rel, b: Rel, keep: bool, condition=None, minus: bool = False)
     if spark is None:
         return a if keep else replace(a, df=SparkSession.getActiveSession().range(0).select(F.lit(True).alias("unit")))
     a, b = replace(a, df=a.frame(spark)), replace(b, df=b.frame(spark))
+    loose = [v for v in shared if v in a.maybe or v in b.maybe]
+    if loose:
+        return _semi_split(a, b, keep, condition, minus, loose[0])
     dead = False
     for v in shared:
-        dead = dead or apart(a.kinds[v], b.kinds[v]) and v not in a.maybe | b.maybe
+        dead = dead or apart(a.kinds[v], b.kinds[v])
         a, b = aligned(a, b, v)
     if dead:
         return a.none() if keep else a
     if condition is None:
-        b = replace(b.keep(shared), df=b.df.select(*[name(v) for v in shared]) if shared else b.df.select(F.lit(True).alias("some")).limit(1))
-        b = replace(b, kinds={v: Kind("lit") if k.kind == "any" else k for v, k in b.kinds.items()})
+        b = b.keep(shared) if shared else Rel(b.df.select(F.lit(True).alias("some")).limit(1))
     right = _renamed(b, shared)
-    on, some = F.lit(True), F.lit(False)
+    on = F.lit(True)
     for v in shared:
-        x, y = F.col(name(v)), F.col("r" + name(v))
-        same = x == y
-        if v in a.maybe or v in b.maybe:
-            same = same | x.isNull() | y.isNull()
-        on = on & same
-        some = some | (x.isNotNull() & y.isNotNull())
-    if minus and all(v in a.maybe or v in b.maybe for v in shared):
-        on = on & some
+        on = on & _agree(a, b, v)
     if condition is not None:
         scope = Rel(a.df.join(right, F.lit(True)), {**b.kinds, **a.kinds}, a.maybe | b.maybe)
         on = on & F.coalesce(condition(scope), F.lit(False))
     return replace(a, df=a.df.join(right, on, "left_semi" if keep else "left_anti"))
+
+
+def _semi_split(a: Rel, b: Rel, keep: bool, condition, minus: bool, v: str) -> Rel:
+    """As _split: bound rows look for equal ones and for unbound ones, unbound rows for any."""
+
+    def apart_by(r: Rel) -> tuple[Rel, Rel | None]:
+        if v not in r.maybe:
+            return r, None
+        rest = r.where(r.col(v).isNull())
+        return replace(r.where(r.col(v).isNotNull()), maybe=r.maybe - {v}), rest.keep([x for x in r.kinds if x != v])
+
+    (a1, a2), (b1, b2) = apart_by(a), apart_by(b)
+    # once a variable is bound on both sides, agreement on it is agreement
+    with_equal = semi_joined(a1, b1, keep, condition)
+    if b2 is None:
+        out = with_equal
+    elif keep:
+        out = unioned(with_equal, semi_joined(semi_joined(a1, b1, False, condition), b2, True, condition, minus))
+    else:
+        out = semi_joined(with_equal, b2, False, condition, minus)
+    if a2 is None:
+        return replace(out, maybe=a.maybe)
+    alone = semi_joined(a2, b, keep, condition, minus)
+    return replace(unioned(out, alone).keep(list(a.kinds)), maybe=a.maybe)

@@ -1,4 +1,4 @@
-"""Sends this package to the executors, where their own paths may not have it."""
+"""What driver and executors share: this package, where their own paths may not have it, and a folder."""
 
 from __future__ import annotations
 
@@ -21,3 +21,20 @@ def ship_code(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(to))
     sc._tessera_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset and Spark is a single process."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate rows, wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,8 @@ class Column:
 
 @dataclass(frozen=True)
 class SubjectMap:
-    """key: the unique column that makes the IRI; None: rows are subjects that nothing else can name."""
+    """key: the unique column that makes the IRI, a struct if several do; None: rows are subjects that can be
+    counted, but not named, joined or grouped."""
 
     frame: DataFrame
     prefix: str
@@ -42,20 +44,66 @@ class Graph:
     strings: bool = False  # literals of tables as strings, as in a store of plain text
 
 
-def table_map(frame: DataFrame, prefix: str, key: str | None, vocabulary: str, links: dict[str, str] | None = None, classes: tuple[str, ...] = (), nullable: tuple[str, ...] = ()) -> SubjectMap:
-    """Each column c as predicate vocabulary + c; links: column -> prefix of what it refers to."""
-    links = links or {}
-    return SubjectMap(frame, prefix, key, {vocabulary + c: Column(c, links.get(c), c in nullable) for c in frame.columns}, classes)
-
+#: As a key: the place of a row in its file.
+PLACE = ("_metadata.file_path", "_metadata.row_index")
+#: Column of a key of several parts.
+WHOLE_KEY = "key of the row"
 
-def as_triples(m: SubjectMap) -> DataFrame:
-    """The map's triples as rows (s, p, o, o_kind), by one scan."""
-    from ..plans.terms import RDF_TYPE
 
-    key = F.col(f"`{m.key}`").cast("string") if m.key else F.monotonically_increasing_id().cast("string")
-    cells = [F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(c).alias("o"), F.lit("iri").alias("o_kind")) for c in m.classes]
+def table_map(frame: DataFrame, prefix: str, key: str | tuple[str, ...] | None, vocabulary: str, links: dict[str, str] | None = None, classes: tuple[str, ...] = (), nullable: tuple[str, ...] = ()) -> SubjectMap:
+    """Each column c as predicate vocabulary + c; links: column -> prefix of what it refers to. key: the column
+    or columns that are unique together; PLACE for Parquet files where none are, which every scan, whatever
+    its filters, gives a row alike."""
+    links = links or {}
+    columns = {vocabulary + c: Column(c, links.get(c), c in nullable) for c in frame.columns}
+    if isinstance(key, tuple):
+        frame = frame.select("*", F.struct(*[F.col(k).alias(k.removeprefix("_metadata.")) for k in key]).alias(WHOLE_KEY))
+        key = WHOLE_KEY
+    return SubjectMap(frame, prefix, key, columns, classes)
+
+
+def bound(key, t) -> object:
+    """Whether a key has all its parts."""
+    if not isinstance(t, T.StructType):
+        return key.isNotNull()
+    out = F.lit(True)
+    for f in t.fields:
+        out = out & key[f.name].isNotNull()
+    return out
+
+
+def as_triples(m: SubjectMap, native: bool = False, s=None, o=None, without: frozenset[str] = frozenset()) -> DataFrame:
+    """The map's triples as rows (s, p, o, o_kind), by one scan. native: s is the key. s, o: constants that are
+    compared with keys and columns, so that they reach the scan. without: predicates that are left out."""
+    from ..functions.expressions import key_equal
+    from ..plans.relation import key_text
+    from ..plans.terms import RDF_TYPE, Iri, Lit, UnsupportedQuery
+
+    if m.key is None:
+        raise UnsupportedQuery(f"a variable predicate over rows of {m.prefix}, which have no key")
+    key, t = F.col(f"`{m.key}`"), m.frame.schema[m.key].dataType
+    df = m.frame.where(bound(key, t))
+    if isinstance(s, Iri):
+        df = df.where(key_equal(key, t, m.prefix, s.value))
+    cells, tests = [], []
+    for c in m.classes if RDF_TYPE not in without else ():
+        if o is None or o == Iri(c):
+            cells.append(F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(c).alias("o"), F.lit("iri").alias("o_kind")))
+            tests.append(F.lit(True))
     for p, c in m.columns.items():
-        v = F.col(f"`{c.name}`").cast("string")
+        col, kind = F.col(f"`{c.name}`"), m.frame.schema[c.name].dataType
+        if p in without or isinstance(o, Iri) and (c.link is None or not o.value.startswith(c.link)) or isinstance(o, Lit) and c.link is not None:
+            continue
+        v = col.cast("string")
         cells.append(F.struct(F.lit(p).alias("p"), (F.concat(F.lit(c.link), v) if c.link else v).alias("o"), F.lit("iri" if c.link else "literal").alias("o_kind")))
-    df = m.frame.select(F.concat(F.lit(m.prefix), key).alias("s"), F.explode(F.array(*cells)).alias("x"))
+        tests.append(col.isNotNull() if o is None else key_equal(col, kind, c.link or "", o.value))
+    if not cells:
+        df, cells = df.where(F.lit(False)), [F.struct(F.lit("").alias("p"), F.lit("").alias("o"), F.lit("").alias("o_kind"))]
+    elif o is not None:
+        some = tests[0]
+        for x in tests[1:]:
+            some = some | x
+        df = df.where(some)
+    subject = key if native else F.concat(F.lit(m.prefix), key_text(key, t))
+    df = df.select(subject.alias("s"), F.explode(F.array(*cells)).alias("x"))
     return df.select("s", "x.p", "x.o", "x.o_kind").where("o IS NOT NULL")

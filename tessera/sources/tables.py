@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .graph import Graph, table_map
+from .graph import PLACE, Graph, table_map
 
 T = "urn:t:"
 PREFIXES = {"t": T, "c": T + "class:", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "xsd": "http://www.w3.org/2001/XMLSchema#"}
@@ -16,7 +16,7 @@ TABLES = {
     "supplier": ("s_suppkey", {"s_nationkey": "nation"}, None),
     "part": ("p_partkey", {}, None),
     "orders": ("o_orderkey", {"o_custkey": "customer"}, None),
-    "lineitem": (None, {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, None),
+    "lineitem": (PLACE, {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, None),
     "events": ("event_id", {"user_id": "customer"}, None),
     "documents": ("doc_id", {}, None),
     "labels": ("doc_id", {}, "documents"),

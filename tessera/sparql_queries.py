@@ -37,7 +37,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "filter_cmp": ("SELECT ?e ?v WHERE { ?e t:value ?v FILTER(?v > 90 && ?v <= 95.5) }", "SELECT 'urn:t:events/' || event_id AS e, value AS v FROM events WHERE value > 90 AND value <= 95.5"),
     "filter_logic": ("SELECT ?p WHERE { ?p t:p_size ?s ; t:p_brand ?b FILTER((?s < 5 || ?s >= 45) && !(?b = 'Brand#11')) }", "SELECT 'urn:t:part/' || p_partkey AS p FROM part WHERE (p_size < 5 OR p_size >= 45) AND p_brand <> 'Brand#11'"),
     "filter_in": ("SELECT ?c WHERE { ?c t:c_mktsegment ?s ; t:c_nationkey ?n FILTER(?s IN ('BUILDING', 'MACHINERY') && ?n NOT IN (<urn:t:nation/1>, <urn:t:nation/2>)) }", "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (1, 2)"),
-    "filter_regex": ("SELECT ?n WHERE { ?x t:p_name ?n FILTER REGEX(?n, '^P.*[13579]$', 'i') }", "SELECT p_name AS n FROM part WHERE regexp_matches(p_name, '^P.*[13579]$', 'i')"),
+    "filter_regex": ("SELECT ?n WHERE { ?x t:p_name ?n FILTER REGEX(?n, '^(RED|blue).*t$', 'i') }", "SELECT p_name AS n FROM part WHERE regexp_matches(p_name, '^(RED|blue).*t$', 'i')"),
     "filter_str": ("SELECT ?n WHERE { ?x t:n_name ?n FILTER(STRSTARTS(?n, 'NATION_1') && CONTAINS(STR(?x), 'nation/1') && STRLEN(?n) = 9) }", "SELECT n_name AS n FROM nation WHERE n_name LIKE 'NATION\\_1%' ESCAPE '\\' AND 'urn:t:nation/' || n_nationkey LIKE '%nation/1%' AND length(n_name) = 9"),
     "filter_bound": ("SELECT ?d WHERE { ?d t:lang ?l OPTIONAL { ?d t:quality ?q } FILTER(!BOUND(?q) && ?l != 'en') }", "SELECT 'urn:t:documents/' || d.doc_id AS d FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NULL AND lang <> 'en'"),
     "filter_numeric_cast": ("SELECT ?n WHERE { ?x t:n_name ?n FILTER(xsd:integer(STRAFTER(?n, '_')) > 20) }", "SELECT n_name AS n FROM nation WHERE CAST(substr(n_name, 8) AS INTEGER) > 20"),
@@ -60,6 +60,41 @@ PAIRS: dict[str, tuple[str, str]] = {
     "exists": ("SELECT ?c WHERE { ?c t:c_mktsegment 'AUTOMOBILE' FILTER EXISTS { ?o t:o_custkey ?c ; t:o_orderstatus 'F' } }", "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')"),
     "exists_correlated": ("SELECT ?c WHERE { ?c t:c_acctbal ?a FILTER EXISTS { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > ?a * 50) } }", "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)"),
     "exists_in_expression": ("SELECT ?n WHERE { ?x t:n_name ?n FILTER(?n = 'NATION_3' || EXISTS { ?s t:s_nationkey ?x ; t:s_acctbal ?b FILTER(?b > 9000) }) }", "SELECT n_name AS n FROM nation WHERE n_name = 'NATION_3' OR EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)"),
+    # rows without a key, known by their place in the file
+    "keyless_optional": ("SELECT ?f (COUNT(*) AS ?n) (SUM(?q) AS ?s) WHERE { ?l t:l_returnflag ?f ; t:l_linenumber ?k OPTIONAL { ?l t:l_quantity ?q FILTER(?q < 25) } FILTER(?k > 2) } GROUP BY ?f", "SELECT l_returnflag AS f, count(*) AS n, coalesce(sum(CASE WHEN l_quantity < 25 THEN l_quantity END), 0) AS s FROM lineitem WHERE l_linenumber > 2 GROUP BY 1"),
+    "keyless_exists": ("SELECT ?f (COUNT(*) AS ?n) WHERE { ?l t:l_returnflag ?f FILTER EXISTS { ?l t:l_returnflag 'R' } } GROUP BY ?f", "SELECT l_returnflag AS f, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1"),
+    "keyless_minus": ("SELECT ?f (COUNT(*) AS ?n) WHERE { ?l t:l_returnflag ?f MINUS { ?l t:l_quantity ?q FILTER(?q > 10) } } GROUP BY ?f", "SELECT l_returnflag AS f, count(*) AS n FROM lineitem WHERE l_quantity <= 10 GROUP BY 1"),
+    "keyless_group": ("SELECT ?n (COUNT(*) AS ?k) WHERE { { SELECT ?l (COUNT(*) AS ?n) { { ?l t:l_returnflag 'R' } UNION { ?l t:l_linestatus 'F' } } GROUP BY ?l } ?l t:l_discount ?d FILTER(?d < 0.05) } GROUP BY ?n", "SELECT n, count(*) AS k FROM (SELECT (l_returnflag = 'R')::BIGINT + (l_linestatus = 'F')::BIGINT AS n FROM lineitem WHERE l_discount < 0.05) WHERE n > 0 GROUP BY 1"),
+    "keyless_union": ("SELECT (COUNT(DISTINCT ?l) AS ?n) WHERE { { ?l t:l_returnflag 'R' } UNION { ?l t:l_linenumber 1 } }", "SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R' OR l_linenumber = 1"),
+    # variables that may be unbound on either side
+    "optional_twice": (
+        "SELECT ?d ?q ?n WHERE { ?d t:lang 'de' OPTIONAL { ?d t:quality ?q } OPTIONAL { ?x t:r_regionkey ?q ; t:r_name ?n } }",
+        "SELECT 'urn:t:documents/' || d.doc_id AS d, CASE WHEN quality IS NULL THEN r_regionkey ELSE quality END AS q, r_name AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN region ON r_regionkey = quality OR quality IS NULL WHERE lang = 'de'",
+    ),
+    "optional_of_optional": (
+        "SELECT ?n ?k ?q WHERE { VALUES (?n ?q) { (1 0) (2 UNDEF) (3 7) } OPTIONAL { { SELECT ?q (COUNT(*) AS ?k) { ?d t:lang 'fr' OPTIONAL { ?d t:quality ?q } } GROUP BY ?q } FILTER(?k > ?n) } }",
+        "WITH k AS (SELECT quality AS q, count(*) AS k FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'fr' GROUP BY 1), v(n, q) AS (VALUES (1::BIGINT, 0::BIGINT), (2, NULL), (3, 7)) SELECT n, k, coalesce(v.q, k.q) AS q FROM v LEFT JOIN k ON (v.q = k.q OR v.q IS NULL OR k.q IS NULL) AND k > n",
+    ),
+    "minus_unbound": (
+        "SELECT ?d ?q WHERE { ?d t:lang 'es' OPTIONAL { ?d t:quality ?q } MINUS { ?d t:source ?s OPTIONAL { ?e t:toxic ?q FILTER(?e = ?d) } FILTER(?s = 'src3') } }",
+        "SELECT 'urn:t:documents/' || d.doc_id AS d, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'es' AND (source <> 'src3' OR quality IS DISTINCT FROM toxic)",
+    ),
+    "exists_unbound": (
+        "SELECT ?d WHERE { ?d t:lang 'fr' OPTIONAL { ?d t:quality ?q } FILTER EXISTS { ?x t:r_regionkey ?q ; t:r_name 'AFRICA' } }",
+        "SELECT 'urn:t:documents/' || d.doc_id AS d FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'fr' AND EXISTS (SELECT 1 FROM region WHERE r_name = 'AFRICA' AND (quality IS NULL OR quality = r_regionkey))",
+    ),
+    "exists_bind": (
+        "SELECT ?s (COUNT(*) AS ?n) WHERE { ?o t:o_custkey ?c ; t:o_totalprice ?p BIND(IF(EXISTS { ?c t:c_acctbal ?b FILTER(?b * 20 > ?p) }, 'rich', 'poor') AS ?s) } GROUP BY ?s",
+        "SELECT CASE WHEN c_acctbal * 20 > o_totalprice THEN 'rich' ELSE 'poor' END AS s, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
+    ),
+    # variable predicates of constants and of joined subjects
+    "bgp_predicates_of_constant": (
+        "SELECT ?p ?o WHERE { <urn:t:orders/5> ?p ?o FILTER(?p != t:o_orderdate && ?p != t:o_totalprice) }",
+        "SELECT unnest(['http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:t:o_orderkey', 'urn:t:o_custkey', 'urn:t:o_orderstatus', 'urn:t:o_orderpriority']) AS p, unnest(['urn:t:class:orders', o_orderkey::VARCHAR, 'urn:t:customer/' || o_custkey, o_orderstatus, o_orderpriority]) AS o FROM orders WHERE o_orderkey = 5",
+    ),
+    "bgp_predicates_to_constant": ("SELECT ?p (COUNT(*) AS ?n) WHERE { ?s ?p <urn:t:nation/3> } GROUP BY ?p", "SELECT 'urn:t:c_nationkey' AS p, count(*) AS n FROM customer WHERE c_nationkey = 3 HAVING n > 0 UNION ALL SELECT 'urn:t:s_nationkey', count(*) AS n FROM supplier WHERE s_nationkey = 3 HAVING n > 0"),
+    "path_plus_backward": ("SELECT ?x WHERE { ?x (t:s_nationkey|t:n_regionkey)+ <urn:t:region/2> }", "SELECT 'urn:t:nation/' || n_nationkey AS x FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'urn:t:supplier/' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2"),
+    "path_star_ends": ("SELECT (COUNT(*) AS ?n) WHERE { <urn:t:supplier/3> (t:s_nationkey|t:n_regionkey)* ?y . ?y t:r_name|t:n_name|t:s_name ?z }", "SELECT count(*) * 3 AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 3"),
     # union, values, sub-select
     "union_bag": ("SELECT ?n WHERE { { ?x t:c_nationkey ?n } UNION { ?x t:s_nationkey ?n } }", "SELECT 'urn:t:nation/' || c_nationkey AS n FROM customer UNION ALL SELECT 'urn:t:nation/' || s_nationkey FROM supplier"),
     "union_missing_vars": ("SELECT ?a ?b WHERE { { ?x t:c_acctbal ?a } UNION { ?x t:s_acctbal ?b } }", "SELECT c_acctbal AS a, CAST(NULL AS DOUBLE) AS b FROM customer UNION ALL SELECT NULL, s_acctbal FROM supplier"),
@@ -88,7 +123,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "reduced_project": ("SELECT REDUCED ?s WHERE { ?c t:c_mktsegment ?s }", "SELECT DISTINCT c_mktsegment AS s FROM customer"),
     "select_star": ("SELECT * WHERE { ?x t:r_name ?name }", "SELECT 'urn:t:region/' || r_regionkey AS x, r_name AS name FROM region"),
     # expressions
-    "bind_expr": ("SELECT ?p ?tax WHERE { ?x t:p_retailprice ?p ; t:p_size ?s BIND(?p * 0.5 + ?s AS ?tax) FILTER(?tax > 700) }", "SELECT p_retailprice AS p, p_retailprice * 0.5 + p_size AS tax FROM part WHERE p_retailprice * 0.5 + p_size > 700"),
+    "bind_expr": ("SELECT ?p ?tax WHERE { ?x t:p_retailprice ?p ; t:p_size ?s BIND(?p * 0.5 + ?s AS ?tax) FILTER(?tax > 470) }", "SELECT p_retailprice AS p, p_retailprice * 0.5 + p_size AS tax FROM part WHERE p_retailprice * 0.5 + p_size > 470"),
     "fn_string": (
         "SELECT (UCASE(?n) AS ?u) (LCASE(?n) AS ?l) (SUBSTR(?n, 2, 3) AS ?s) (STRBEFORE(?n, '_') AS ?b) (STRAFTER(?n, '#') AS ?a) (CONCAT(?n, '-', STR(?k)) AS ?c) (STRLEN(?n) AS ?len) (REPLACE(?n, '[0-9]+', 'x') AS ?r) (STRENDS(?n, '1') AS ?e) WHERE { ?x t:n_name ?n ; t:n_nationkey ?k }",
         "SELECT upper(n_name) AS u, lower(n_name) AS l, substr(n_name, 2, 3) AS s, 'NATION' AS b, '' AS a, n_name || '-' || n_nationkey AS c, length(n_name)::INTEGER AS len, regexp_replace(n_name, '[0-9]+', 'x', 'g') AS r, n_name LIKE '%1' AS e FROM nation",
@@ -109,6 +144,8 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT true AS a, true AS b, true AS c, false AS d, r_name = 'ASIA' AS e, 'http://www.w3.org/2001/XMLSchema#integer' AS f, '' AS g, true AS h FROM region",
     ),
     "fn_casts": ("SELECT ?k (xsd:string(?k) AS ?s) (xsd:double(?k) AS ?d) (xsd:boolean('true') AS ?b) (xsd:integer('x') AS ?e) WHERE { ?x t:r_regionkey ?k }", "SELECT r_regionkey AS k, r_regionkey::VARCHAR AS s, r_regionkey::DOUBLE AS d, true AS b, CAST(NULL AS BIGINT) AS e FROM region"),
+    "fn_uuid_shape": ("SELECT ?r (REGEX(STR(UUID()), '^urn:uuid:[0-9a-f]{8}-[0-9a-f-]{27}$') AS ?u) (STRLEN(STRUUID()) AS ?n) WHERE { ?x t:r_name ?r }", "SELECT r_name AS r, true AS u, 36::INTEGER AS n FROM region"),
+    "fn_make_terms": ("SELECT (IRI(CONCAT('urn:x:', STR(?k))) AS ?i) (isIRI(IRI('urn:a')) AS ?a) (isBlank(BNODE()) AS ?b) (STRDT(?n, xsd:string) AS ?d) WHERE { ?x t:r_regionkey ?k ; t:r_name ?n }", "SELECT 'urn:x:' || r_regionkey AS i, true AS a, true AS b, r_name AS d FROM region"),
     # property paths
     "path_seq": ("SELECT ?o ?r WHERE { ?o t:o_custkey/t:c_nationkey/t:n_regionkey/t:r_name ?r . ?o t:o_orderpriority '5-LOW' }", "SELECT 'urn:t:orders/' || o_orderkey AS o, r_name AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderpriority = '5-LOW'"),
     "path_inverse": ("SELECT ?n (COUNT(?s) AS ?k) WHERE { ?x t:n_name ?n . ?x ^t:s_nationkey ?s } GROUP BY ?n", "SELECT n_name AS n, count(*) AS k FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
@@ -151,7 +188,27 @@ def _rounded(name: str):
 
 ROUNDED = {"agg_expression": "mean", "bgp_snowflake": "sq"}
 
-QUERIES = {"flagship": flagship} | {n: _rounded(n) if n in ROUNDED else _query(n) for n in PAIRS}
-ORACLES = {"flagship": "SELECT n_name AS name, count(*) AS cnt, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"} | {
+def bgp_self_loop(spark, sf_dir):
+    """One variable as subject and object of a pattern: nations whose region has their own number."""
+    from .sources.graph import Graph, table_map
+
+    nation = table_map(spark.read.parquet(f"{sf_dir}/nation.parquet"), "urn:t:nation/", "n_nationkey", tables.T, {"n_regionkey": "urn:t:nation/"})
+    return Engine(spark, Graph([nation]), tables.PREFIXES).query("SELECT ?x ?n WHERE { ?x t:n_regionkey ?x ; t:n_name ?n }")
+
+
+def results_document(spark, sf_dir):
+    """The JSON results document, read again."""
+    import json
+
+    doc = json.loads(Engine(spark, tables.graph(spark, sf_dir), tables.PREFIXES).json("SELECT ?x ?n ?k ?q WHERE { ?x t:n_name ?n ; t:n_nationkey ?k OPTIONAL { ?x t:quality ?q } }"))
+    rows = [(b["x"]["type"], b["x"]["value"], b["n"]["value"], b["k"]["value"], b["k"]["datatype"], "q" in b, len(doc["head"]["vars"])) for b in doc["results"]["bindings"]]
+    return spark.createDataFrame(rows, "type string, x string, n string, k string, datatype string, q boolean, vars long")
+
+
+QUERIES = {"flagship": flagship, "bgp_self_loop": bgp_self_loop, "results_document": results_document} | {n: _rounded(n) if n in ROUNDED else _query(n) for n in PAIRS}
+ORACLES = {"flagship": "SELECT n_name AS name, count(*) AS cnt, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    "bgp_self_loop": "SELECT 'urn:t:nation/' || n_nationkey AS x, n_name AS n FROM nation WHERE n_nationkey = n_regionkey",
+    "results_document": "SELECT 'uri' AS type, 'urn:t:nation/' || n_nationkey AS x, n_name AS n, n_nationkey::VARCHAR AS k, 'http://www.w3.org/2001/XMLSchema#integer' AS datatype, false AS q, 4::BIGINT AS vars FROM nation",
+} | {
     n: f"SELECT * REPLACE (round({ROUNDED[n]}, 4) AS {ROUNDED[n]}) FROM ({sql})" if n in ROUNDED else sql for n, (_, sql) in PAIRS.items()
 }

@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..plans.sparql import Group, Select, parse
 from ..plans.terms import UnsupportedQuery
-from ..sources.graph import Graph
+from ..sources.graph import Graph, SubjectMap
 
 
 def streaming_graph(graph: Graph, streams: dict[str, DataFrame]) -> Graph:
     """The graph with the frames of some prefixes replaced by streams of the same columns."""
-    return replace(graph, maps=[replace(m, frame=streams.get(m.prefix, m.frame)) for m in graph.maps])
+
+    def over(m: SubjectMap) -> SubjectMap:
+        frame = streams.get(m.prefix, m.frame)
+        return replace(m, frame=frame, key=m.key if m.key in frame.columns else None)
+
+    return replace(graph, maps=[over(m) for m in graph.maps])
 
 
 def _stateless(q: Select) -> None:

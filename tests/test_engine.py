@@ -79,6 +79,59 @@ def test_links_join_on_native_keys_and_unbound_ones_without_a_product(spark):
     assert "CartesianProduct" not in text.split("Union")[0]
 
 
+MAYBE = "?d t:lang 'fr' OPTIONAL { ?d t:quality ?q }"
+
+
+@pytest.mark.parametrize("tail", ["OPTIONAL { ?d t:toxic ?q ; t:quality ?z }", "MINUS { ?d t:toxic ?q }", "FILTER EXISTS { ?d t:toxic ?q }", "FILTER NOT EXISTS { ?d t:toxic ?q }", "OPTIONAL { ?d t:n_chars ?c OPTIONAL { ?d t:toxic ?q } }"])
+def test_variables_that_may_be_unbound_need_no_nested_loop(spark, tail):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, f"SELECT * WHERE {{ {MAYBE} {tail} }}")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_variable_predicates_push_constants_and_keep_keys(spark):
+    text = plan(spark, "SELECT ?p ?o WHERE { <urn:t:orders/5> ?p ?o }")
+    assert "EqualTo(o_orderkey,5)" in text and text.count("FileScan") == 1
+    text = plan(spark, "SELECT ?s ?p WHERE { ?s ?p <urn:t:nation/3> }")
+    assert "EqualTo(c_nationkey,3)" in text and "EqualTo(s_nationkey,3)" in text and text.count("FileScan") == 2
+    text = plan(spark, "SELECT ?p ?o WHERE { ?s t:n_name 'NATION_1' ; ?p ?o }")
+    assert text.count("FileScan") == 2 and "urn:t:nation/" not in text.split("FileScan")[0].split("Join")[-1]
+    text = plan(spark, "SELECT ?o WHERE { <urn:t:nation/5> !(t:n_name|t:n_nationkey|rdf:type) ?o }")
+    assert "ReadSchema: struct<n_nationkey:bigint,n_regionkey:bigint>" in text or "n_name" not in text.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_paths_from_a_constant_keep_what_it_reaches(spark, monkeypatch):
+    from tessera.plans import compiler
+
+    sizes, keep = [], compiler._checkpointed
+    monkeypatch.setattr(compiler, "_checkpointed", lambda df: sizes.append((out := keep(df)).count()) or out)
+    df = Engine(spark, tables.graph(spark, SF), tables.PREFIXES).query("SELECT ?y WHERE { <urn:t:orders/5> (t:o_custkey|t:c_nationkey|t:n_regionkey)* ?y }")
+    assert df.count() == 4 and sizes == [1, 1, 1, 0]
+
+
+def test_rows_without_a_key_are_not_joined(spark):
+    from tessera.sources.graph import table_map
+
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
+    e = Engine(spark, Graph([table_map(df, "urn:t:x/", None, "urn:t:")]), tables.PREFIXES)
+    assert e.query("SELECT ?v WHERE { ?x t:k 1 ; t:v ?v }").count() == 2
+    assert e.query("SELECT (COUNT(?x) AS ?n) WHERE { ?x t:k 1 }").first().n == 2
+    for text in ("SELECT ?x WHERE { ?x t:k 1 }", "SELECT ?v WHERE { ?x t:v ?v OPTIONAL { ?x t:k ?k } }", "SELECT ?v WHERE { ?x t:v ?v MINUS { ?x t:k 1 } }", "SELECT ?v WHERE { ?x t:v ?v FILTER EXISTS { ?x t:k 1 } }", "SELECT (COUNT(*) AS ?n) WHERE { ?x t:k 1 } GROUP BY ?x", "SELECT ?p WHERE { ?x ?p ?o }", "SELECT DISTINCT ?x WHERE { ?x t:k 1 }"):
+        with pytest.raises(UnsupportedQuery):
+            e.query(text)
+    both = Engine(spark, Graph([table_map(df, "urn:t:x/", ("k", "v"), "urn:t:")]), tables.PREFIXES)
+    assert sorted(r.x for r in both.query("SELECT ?x WHERE { ?x t:k 1 OPTIONAL { ?x t:v ?v } }").collect()) == ["urn:t:x/1/a", "urn:t:x/1/b"]
+    assert [r.v for r in both.query("SELECT ?v WHERE { <urn:t:x/1/b> t:v ?v }").collect()] == ["b"]
+
+
+def test_a_literal_is_no_iri_of_the_same_text(spark):
+    assert rows(spark, "SELECT ?x WHERE { ?x u:q ?y . ?y u:p ?z }") == [("_:z",)]
+    assert rows(spark, "SELECT ?x ?a WHERE { ?x u:q ?y . ?a u:p ?y }") == [("_:z", "u:a")]
+
+
 def test_incompatible_prefixes_meet_nowhere(spark):
     assert "FileScan" not in plan(spark, "SELECT ?x WHERE { ?x t:n_name ?a ; t:c_name ?b }")
 
