@@ -285,9 +285,119 @@ def equivalent_property_rewrite(spark, sf_dir):
     return spark.createDataFrame([(u, m.equivalent(u)) for u in [*m.nodes, *m.inputs] if m.equivalent(u)], "node string, public string")
 
 
+#: Outputs that refer to the inputs they were asked with: as an object, and as the value of a property.
+BACK = CHAIN + """
+m:customers-name ex:livesIn m:customers-nation ; m:customers-since <http://www.w3.org/2001/XMLSchema#string> .
+m:customers m:hasInput m:customers-since .
+m:customers-since m:paramName "since" ; a owl:DatatypeProperty ; owl:equivalentProperty ex:since ; m:isRequired false .
+"""
+
+
+def _back(spark, sf_dir, p):
+    calls = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("call_id"), F.lit("urn:map:customers").alias("service"), F.create_map(F.lit("nation"), F.col("n_name"), F.lit("since"), F.concat(F.lit("y"), F.col("n_nationkey").cast("string"))).alias("params"))
+    m = Mapping.parse(BACK)
+    s = m.services["urn:map:customers"]
+    values = extract.extracted(m, s, _customers(spark, sf_dir)(calls))
+    return Materialiser(m, s, calls, values, Minting(plugins={"": lambda ns, label, cls: F.concat(F.lit(cls + "/"), label)})).triples().where(F.col("p") == EX + p)
+
+
+def input_object_triples(spark, sf_dir):
+    return _back(spark, sf_dir, "livesIn")
+
+
+def input_property_triples(spark, sf_dir):
+    return _back(spark, sf_dir, "since")
+
+
+def parameter_product(spark, sf_dir):
+    """Every combination of the constants of two inputs is one call."""
+    m = HEAD + """m:s m:hasUrl "http://x/s" ; m:hasLanguage "json" ; m:hasInput m:s-a , m:s-b ; m:hasOutput m:s-o .
+m:s-a m:paramName "a" ; a ex:A . m:s-b m:paramName "b" ; a ex:B . m:s-o a ex:C ; rdfs:label "o" ; m:isData true ; m:isRelatedToService m:s ."""
+    names = [r.r_name for r in _table(spark, sf_dir, "region").orderBy("r_name").collect()]
+    asked = " ".join(f'?a{k} a ex:A ; rdfs:label "{n}" . ?b{k} a ex:B ; rdfs:label "{n}" .' for k, n in enumerate(names))
+    answer = Tables({"urn:map:s": lambda calls: calls.select("call_id", F.lit("{}").alias("body"))})
+    p = Planner(spark, Mapping.parse(m), answer, _options())
+    p.run(parse(f"SELECT * WHERE {{ {asked} ?x a ex:C }}", PREFIXES))
+    return p.calls.select(F.col("params")["a"].alias("a"), F.col("params")["b"].alias("b"))
+
+
+def deadline_partial_answer(spark, sf_dir):
+    """Past the deadline no source is called; what the query itself says is the answer."""
+    e = _engine(spark, sf_dir)
+    e.options.deadline = 0.0
+    return e.query('SELECT ?l ?c WHERE { ?n a ex:Nation ; rdfs:label "NATION_3" , ?l OPTIONAL { ?n ex:hasCustomer ?c } }')
+
+
+def failing_source(spark, sf_dir):
+    """Sources that fail, or answer with a bad status, are rows beside those that answer."""
+    from .sources.responders import Http
+
+    def get(url):
+        k = int(url.rpartition("key=")[2])
+        if k % 3 == 1:
+            raise OSError("down")
+        return (404, None) if k % 3 == 2 else (200, str(k * 2))
+
+    calls = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("call_id"), F.lit("http://x/s").alias("url"), F.create_map(F.lit("key"), F.col("n_nationkey").cast("string")).alias("params"))
+    return Http(get, 4).answer(calls).select("call_id", "status", "body", "error")
+
+
+def ntriples_round_trip(spark, sf_dir):
+    """What the free document's rows say, written as N-Triples and read again."""
+    import uuid
+
+    from .shipping import shared_folder
+    from .sources import turtle
+
+    n = _table(spark, sf_dir, "nation")
+    iri = F.concat(F.lit("urn:n:"), F.col("n_nationkey").cast("string"))
+    rows = n.select(iri.alias("s"), F.lit("urn:name").alias("p"), F.concat("n_name", F.lit(' "x"\n')).alias("o"), F.lit("literal").alias("o_kind"))
+    rows = rows.union(n.select(iri, F.lit("urn:in"), F.concat(F.lit("urn:r:"), F.col("n_regionkey").cast("string")), F.lit("iri")))
+    to = f"{shared_folder(spark)}/triples-{uuid.uuid4().hex}"
+    turtle.write_ntriples(rows, to)
+    return turtle.read_ntriples(spark, to)
+
+
+def _inferred_xml(spark, sf_dir):
+    body = _xml(spark, sf_dir).orderBy("s_nationkey").first().body
+    return infer.infer_mapping("http://h.x/api/list?nation=1", "xml", body, "urn:map:")
+
+
+def infer_schema_xml(spark, sf_dir):
+    m = _inferred_xml(spark, sf_dir)
+    return spark.createDataFrame([(m.xpath(u), n.content or "", n.attribute) for u, n in m.nodes.items()], "path string, content string, attribute boolean")
+
+
+def readable_uris(spark, sf_dir):
+    """Inferred nodes and inputs are named by their paths and parameters."""
+    m = _inferred_xml(spark, sf_dir)
+    return spark.createDataFrame([(u,) for u in [*m.nodes, *m.inputs]], "uri string")
+
+
+def nested_listing(spark, sf_dir):
+    """The tree of outputs, each with the number of its children."""
+    tree = _inferred_xml(spark, sf_dir).parameter_tree()
+    return spark.createDataFrame([(x["label"], x["path"], len(x["children"]), x.get("isAttribute", False)) for x in tree["outputList"]], "label string, path string, children int, attribute boolean")
+
+
+def edit_outputs(spark, sf_dir):
+    """New inputs, changed outputs and new row entities, by what the mapping then holds."""
+    m = _inferred_xml(spark, sf_dir)
+    s, name = next(iter(m.services)), next(u for u, n in m.nodes.items() if n.label == "name")
+    new = m.apply({"addInput": [{"serviceURI": s, "label": "page", "isRequired": False}], "editOutput": [{"outputURI": name, "DatatypeProperty": True, "classRDF": "urn:ex:name"}], "addResource": [{"resourceIsSubjectOf": [{"propertyURI": name, "objectURI": "http://www.w3.org/2001/XMLSchema#string"}]}]})
+    rows = [("input", i.param, str(i.required)) for i in new.inputs.values()] + [("output", n.label, n.equivalent) for n in new.nodes.values() if n.equivalent] + [("row", p.rpartition("-")[2], None) for r in new.row_entities.values() for p, _ in r.properties]
+    return spark.createDataFrame(rows, "what string, name string, detail string")
+
+
+def vocabulary_terms(spark, sf_dir):
+    """Predicates of the mapping that describe it, and those that are asked for."""
+    m = Mapping.parse(CHAIN)
+    return spark.createDataFrame(sorted({(p.value, m.blacklisted(p.value)) for _, p, _ in m.triples if p.value.startswith("urn:ex:") or p.value.rpartition(":")[2] in ("hasUrl", "paramName", "isData")}), "predicate string, described boolean")
+
+
 NATIONS = "nation JOIN region ON n_regionkey = r_regionkey"
 
-QUERIES = {f.__name__: f for f in (fixpoint_chain, fixpoint_aggregate, limit_early_stop, dedup_calls, service_applicability, constants_of_query, iri_dereference_lookup, free_source_rows, row_entity_links, free_source_antijoin, generic_properties, input_subject_triples, entity_upsert_label_class, minting_by_label, json_path_extract, json_array_explode, root_array_wrap, xml_path_extract, xml_attr_extract, xml_ancestor_rows, url_params, infer_schema_json, merge_mappings, parameter_listing, edit_mapping, suggest_properties, type_infer_domain_range, equivalent_property_rewrite)}
+QUERIES = {f.__name__: f for f in (input_object_triples, input_property_triples, parameter_product, deadline_partial_answer, failing_source, ntriples_round_trip, infer_schema_xml, readable_uris, nested_listing, edit_outputs, vocabulary_terms, fixpoint_chain, fixpoint_aggregate, limit_early_stop, dedup_calls, service_applicability, constants_of_query, iri_dereference_lookup, free_source_rows, row_entity_links, free_source_antijoin, generic_properties, input_subject_triples, entity_upsert_label_class, minting_by_label, json_path_extract, json_array_explode, root_array_wrap, xml_path_extract, xml_attr_extract, xml_ancestor_rows, url_params, infer_schema_json, merge_mappings, parameter_listing, edit_mapping, suggest_properties, type_infer_domain_range, equivalent_property_rewrite)}
 
 ORACLES = {
     "fixpoint_chain": "SELECT c_name AS c, o_orderkey::VARCHAR AS o, o_totalprice::VARCHAR AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'",
@@ -299,6 +409,17 @@ ORACLES = {
     "iri_dereference_lookup": "SELECT n_name AS l, c_name AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey = 7",
     "free_source_rows": f"SELECT n_name AS name, n_nationkey::VARCHAR AS key, r_name AS region FROM {NATIONS}",
     "row_entity_links": "SELECT n_nationkey::VARCHAR AS a, n_nationkey::VARCHAR AS b FROM nation",
+    "input_object_triples": "SELECT 'urn:ex:Customer/' || c_name AS s, 'urn:ex:livesIn' AS p, 'urn:ex:Nation/' || n_name AS o, 'iri' AS o_kind FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "input_property_triples": "SELECT 'urn:ex:Customer/' || c_name AS s, 'urn:ex:since' AS p, 'y' || n_nationkey AS o, 'literal' AS o_kind FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "parameter_product": "SELECT x.r_name AS a, y.r_name AS b FROM region x CROSS JOIN region y",
+    "deadline_partial_answer": "SELECT n_name AS l, NULL::VARCHAR AS c FROM nation WHERE n_name = 'NATION_3'",
+    "failing_source": "SELECT n_name AS call_id, CASE n_nationkey % 3 WHEN 0 THEN 200 WHEN 2 THEN 404 END::INTEGER AS status, CASE WHEN n_nationkey % 3 = 0 THEN (n_nationkey * 2)::VARCHAR END AS body, CASE n_nationkey % 3 WHEN 1 THEN 'OSError: down' WHEN 2 THEN 'status 404' END AS error FROM nation",
+    "ntriples_round_trip": "SELECT 'urn:n:' || n_nationkey AS s, 'urn:name' AS p, n_name || ' \"x\"' || chr(10) AS o, 'literal' AS o_kind FROM nation UNION ALL SELECT 'urn:n:' || n_nationkey, 'urn:in', 'urn:r:' || n_regionkey, 'iri' FROM nation",
+    "infer_schema_xml": "SELECT * FROM (VALUES ('/', '', false), ('/doc/row', '', false), ('/doc/row/@id', 'Number', true), ('/doc/row/name', 'String', false), ('/doc/row/bal', 'Number', false)) t(path, content, attribute)",
+    "readable_uris": "SELECT 'urn:map:h-x-api-list-' || x AS uri FROM (VALUES ('root'), ('doc-row'), ('doc-row-id'), ('doc-row-name'), ('doc-row-bal'), ('nation')) t(x)",
+    "nested_listing": "SELECT * FROM (VALUES ('doc', '/', 1, false), ('row', '/doc/row', 3, false), ('id', '/doc/row/@id', 0, true), ('name', '/doc/row/name', 0, false), ('bal', '/doc/row/bal', 0, false)) t(label, path, children, attribute)",
+    "edit_outputs": "SELECT * FROM (VALUES ('input', 'nation', 'True'), ('input', 'page', 'False'), ('output', 'name', 'urn:ex:name'), ('row', 'name', NULL)) t(what, name, detail)",
+    "vocabulary_terms": "SELECT * FROM (VALUES ('urn:ex:hasCustomer', false), ('urn:ex:placed', false), ('urn:map:hasUrl', true), ('urn:map:paramName', true), ('urn:map:isData', true)) t(predicate, described)",
     "free_source_antijoin": "SELECT 'urn:map:nations' AS service",
     "generic_properties": "SELECT * FROM (SELECT 'urn:ex:name' AS p, count(*) AS n, count(DISTINCT n_name) AS d FROM nation UNION ALL SELECT 'urn:ex:key', 2 * count(*), count(*) FROM nation UNION ALL SELECT 'urn:ex:inRegion', count(*), count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'urn:ex:seenAs', count(*), count(*) FROM nation UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 2 * count(*) + count(DISTINCT n_regionkey), 3 FROM nation UNION ALL SELECT 'http://www.w3.org/2000/01/rdf-schema#label', 2 * count(*) + count(DISTINCT n_regionkey), 2 * count(*) + count(DISTINCT n_regionkey) FROM nation)",
     "input_subject_triples": "SELECT 'urn:ex:Nation/' || n_name AS s, 'urn:ex:hasCustomer' AS p, 'urn:ex:Customer/' || c_name AS o, 'iri' AS o_kind FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'urn:ex:Customer/' || c_name, 'urn:ex:balance', c_acctbal::VARCHAR, 'literal' FROM customer",
