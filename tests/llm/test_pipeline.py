@@ -36,4 +36,4 @@ def test_stages_on_odd_rows(spark):
             out = stage(spark, part, SF)
             if name != "best_fit_packing":
                 assert out.columns == list(pii.DOCUMENT)
-            assert out.count() == part.count()
+            assert out.count() == (4 if name == "ngram_jaccard" and part is docs else part.count())  # one of two equal rows
