@@ -35,6 +35,8 @@ SEQUENCES, LENGTH, PASSES, STEP = 2400, 32, 4, 48
 #: Words of a lexicon, and of a segment of forward-backward.
 LEXICON, SEGMENT = 500, 256
 HELD, HELD_REST = 3, 1
+#: Parts that the texts of a language are dealt to before the least are taken of all.
+SPREAD = 16
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -255,13 +257,25 @@ class Labeller:
         return lang, score
 
 
+def picked(docs: DataFrame, per_lang: int) -> DataFrame:
+    """(lang, text): for each language the per_lang different texts of the least hashes of their ids.
+
+    Each partition keeps the least of its own, and spread keys merge these before a language's meet, so that the
+    last step sees per_lang x SPREAD rows of a language, however many partitions there are."""
+    rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"))
+    for deal in (F.pmod(F.xxhash64("doc_id", "t"), F.lit(SPREAD)), F.lit(0)):
+        order = Window.partitionBy("lang", "deal").orderBy("h", "doc_id", "t")
+        rows = rows.withColumn("deal", deal).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).drop("deal", "k")
+    rows = rows.select("lang", "doc_id", "t").distinct()
+    found = docs.withColumn("t", F.xxhash64("text")).join(F.broadcast(rows), ["lang", "doc_id", "t"]).select("lang", "doc_id", "t", "text")
+    # a text that an id repeats comes once
+    return found.groupBy("lang", "doc_id", "t").agg(F.first("text").alias("text"))
+
+
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Crf | None:
     """docs: (doc_id, text, lang), held-out ids excluded by the caller."""
-    known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_lang)
-    # per_lang rows of two columns for each language, first cut down where they are read
-    rows = known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()
+    # per_lang rows of each language
+    rows = picked(docs, per_lang).collect()
     unique: dict[str, dict[str | None, None]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text or "")):
         unique.setdefault(r.lang, {})[r.text] = None
