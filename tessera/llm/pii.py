@@ -68,7 +68,7 @@ def detect(text: str) -> list[Span]:
     if _DIGIT.search(text) is None:
         return out
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -99,7 +99,7 @@ NUMBER_WORDS = {
 }
 REPEATS = {"double": 2, "triple": 3}
 _TO_DIGIT = str.maketrans("OolI", "0011")
-_GAPS = str.maketrans({c: " " for c in "-,.;:!?()\"'"})
+_GAPS = str.maketrans({chr(c): " " for c in range(128) if not (chr(c).isalnum() or c == 95)})
 
 _NUM = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
 _UNIT = rf"(?:(?:double|triple)[\s-]+)?(?:{_NUM})(?!\w)"
@@ -125,27 +125,24 @@ _WORDS = re.compile(rf"(?P<times>double|triple)|(?P<word>{_NUM})|(?P<point>dot|p
 #: Cheap looks before the rules.
 _WRAPPED = re.compile(r"[\[({<_*]\s*(?:at|@|dot|\.|arroba|arobase|punkt|point|punto)\s*[\])}>_*]|&#0*(?:64|46);|&commat;|&period;", re.IGNORECASE)
 _NEAR_DIGIT = re.compile(r"[0-9][OolI]|[OolI][0-9]")
-_SPACED = re.compile(rf"\s(?:at|arroba|arobase|@)\s+[\w-]+(?:\s*[\[({{<]|\s+dot\s|\s+{_POINT}\s|(?:\.[\w-]+)*\.\w|(?:\.[\w-]+)*\s+(?:dot|{_POINT})\s)|@[\w.-]+\s+{_POINT}\s", re.IGNORECASE)
-_AMONG = frozenset(NUMBER_WORDS) | frozenset(("double", "triple", "dot", "point"))
+_SPACED = re.compile(rf"\s(?:at|arroba|arobase|@)\s+[\w-]+(?:\s*[\[({{<]|\s+dot\s|\s+{_POINT}\s|\.|(?:\.[\w-]+)*\s+(?:dot|{_POINT})\s)|@[\w.-]+\s+{_POINT}\s", re.IGNORECASE)
+#: A number word beside another one or beside digits: what each match of _SPELLED begins with.
+_BESIDE = re.compile(rf"(?<!\w)(?:{_NUM})(?!\w)[\s,-]+(?:(?:dot|point)[\s-]+)?(?:(?:double|triple)[\s-]+)?(?:{_NUM}|[0-9])|[0-9][\s,-]+(?:(?:double|triple)[\s-]+)?(?:{_NUM})(?!\w)", re.IGNORECASE)
+#: Letters that an expression without case takes for i, s and k, though lower() doesn't.
+_FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")
+_FOLD = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")
+_TOKEN = re.compile(r"\w+")
 
 
 def _hinted(text: str) -> bool:
-    """False only where no rule can change what the detectors find."""
-    if _WRAPPED.search(text) or _NEAR_DIGIT.search(text):
+    """False only where no rule can change what the detectors find: each look takes all that its rule takes."""
+    if _WRAPPED.search(text) or _NEAR_DIGIT.search(text) or _FOLDED.search(text):
         return True
-    words = text.lower().translate(_GAPS).split()
-    known = set(words)
+    low = text.lower()
+    known = set(low.translate(_GAPS).split() if text.isascii() else _TOKEN.findall(low))
     if "dot" in known or ("@" in text or not known.isdisjoint(("at", "arroba", "arobase"))) and _SPACED.search(text):
         return True
-    if known.isdisjoint(NUMBER_WORDS):
-        return False
-    before = False
-    for w in words:
-        now = w in _AMONG or w[-1].isdigit()
-        if now and before:
-            return True
-        before = now
-    return False
+    return not known.isdisjoint(NUMBER_WORDS) and _BESIDE.search(text) is not None
 
 
 def _plain(c: str) -> str | None:
@@ -209,14 +206,14 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
                 times, at = 1, 0
                 for w in _WORDS.finditer(flat, m.start("run"), m.end("run")):
                     if w["times"]:
-                        times, at = REPEATS[w["times"].lower()], w.start()
+                        times, at = REPEATS[w["times"].translate(_FOLD).lower()], w.start()
                         continue
                     if w["point"]:
                         pieces.append(".")
                         new_s.append(s[w.start()])
                         new_e.append(e[w.end() - 1])
                         continue
-                    digits = NUMBER_WORDS[w["word"].lower()] * times if w["word"] else w["digits"]
+                    digits = NUMBER_WORDS[w["word"].translate(_FOLD).lower()] * times if w["word"] else w["digits"]
                     at = at if times > 1 else w.start()
                     for k, d in enumerate(digits):
                         pieces.append(d)
