@@ -8,6 +8,8 @@ permitted length that holds its contents.
 Lengths, starts and capacities count ids of a tokenizer where its file is given, as the query and the pipeline do, so
 a piece is ids start to start + length of its document with one end mark; else they count white-space separated words.
 
+sequences() joins the ids themselves to their places and returns whole sequences.
+
 Groups are hashes of the id and hold about `group_rows` pieces, whatever the size of the corpus; a group that
 repeated ids make larger is cut into runs of `group_rows`. Only ids and lengths are shuffled.
 
@@ -30,6 +32,8 @@ CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Tokens that opening a sequence costs beyond its length.
 OVERHEAD = 32
 GROUP_ROWS = 20_000
+#: Runs that a group is cut into at most, as bits of a bin's id.
+RUN_BITS = 24
 
 SCHEMA = "doc_id long, piece long, start long, length long, bin_id long, bin_capacity long, bin_offset long"
 
@@ -77,22 +81,28 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead:
 
 def pack_pieces(pieces: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Packs rows of doc_id and length (0 or more)."""
-    spark = common.ship(pieces.sparkSession)
+    return _packed(common.only(pieces, doc_id="long", length="long").withColumn("row", F.lit(0).cast("long")), capacities, overhead, group_rows).drop("row")
+
+
+def _packed(df: DataFrame, capacities: tuple[int, ...], overhead: int, group_rows: int) -> DataFrame:
+    """df: (doc_id, row, length), row being what tells rows of one id apart."""
+    spark = common.ship(df.sparkSession)
     top = max(capacities)
-    df = common.only(pieces, doc_id="long", length="long")
     groups = max(1, -(-df.count() // group_rows))
-    df = df.select("doc_id", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("length") / top) - 1).cast("long"))).alias("piece"))
+    bits = group_rows.bit_length()  # bins of a run have fewer
+    schema = SCHEMA + ", row long"
+    df = df.select("doc_id", "row", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("length") / top) - 1).cast("long"))).alias("piece"))
     df = df.withColumn("start", F.col("piece") * top).withColumn("n", F.least(F.lit(top), F.col("length") - F.col("start")))
-    df = df.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), "doc_id", "piece", "start", F.col("n").alias("length"))
+    df = df.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), "doc_id", "row", "piece", "start", F.col("n").alias("length"))
 
     def bins(t: pa.Table, part: int) -> pa.Table:
         b, o, caps = pack(t["length"].to_pylist(), capacities, overhead)
         b = np.array(b, np.int64)
-        ids = (t["g"].to_numpy() << 32) + (part << 20) + b
-        return pa.table([t["doc_id"], t["piece"], t["start"], t["length"], pa.array(ids), pa.array(np.array(caps, np.int64)[b]), pa.array(o, pa.int64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        ids = (t["g"].to_numpy() << (bits + RUN_BITS)) + (part << bits) + b
+        return pa.table([t["doc_id"], t["piece"], t["start"], t["length"], pa.array(ids), pa.array(np.array(caps, np.int64)[b]), pa.array(o, pa.int64()), t["row"]], names=[x.split()[0] for x in schema.split(", ")])
 
-    dealt = df.repartition(max(1, min(groups, common.partitions(df))), "g").sortWithinPartitions("g", "doc_id", "piece", "start", "length")
-    return dealt.mapInArrow(common.over_groups(["g"], bins, common.arrow_schema(spark, SCHEMA), most=group_rows), SCHEMA)
+    dealt = df.repartition(max(1, min(groups, common.partitions(df))), "g").sortWithinPartitions("g", "doc_id", "row", "piece", "start", "length")
+    return dealt.mapInArrow(common.over_groups(["g"], bins, common.arrow_schema(spark, schema), most=group_rows), schema)
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -122,3 +132,40 @@ def token_lengths(docs: DataFrame, path: str) -> DataFrame:
 def packed(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """path: the tokenizer whose ids are packed; words are where there is none."""
     return pack_pieces(token_lengths(docs, path) if path else lengths(docs), **options)
+
+
+SEQUENCE = "bin_id long, bin_capacity long, ids array<int>, doc_ids array<long>, starts array<int>"
+
+
+def _encoded(path: str, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = simple8b.tokenizer(path)
+        last = np.array([end], "<u4").tobytes()
+        for batch in batches:
+            ids = [(enc.encode(t) if t else b"") + last for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "row", "length", "ids"])
+
+    return run
+
+
+def _sequence(t: pa.Table, part: int) -> pa.Table:
+    order = np.lexsort((t["length"].to_numpy(), t["bin_offset"].to_numpy()))
+    data = [t["ids"][k].as_buffer() for k in order.tolist()]
+    ids = np.concatenate([np.frombuffer(x, "<u4").astype(np.int32) for x in data])
+    starts = t["bin_offset"].to_numpy()[order].astype(np.int32)
+    return pa.table([t["bin_id"].slice(0, 1), t["bin_capacity"].slice(0, 1), pa.array([ids], pa.list_(pa.int32())), pa.array([t["doc_id"].take(pa.array(order)).to_pylist()], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int32()))], names=[x.split()[0] for x in SEQUENCE.split(", ")])
+
+
+def sequences(docs: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group_rows: int = GROUP_ROWS, end: int = 1) -> DataFrame:
+    """A row for each bin: its ids, and the documents of its pieces with the places where they begin. Ids are
+    shuffled once, to their bins; a bin has no more than the largest capacity."""
+    spark = common.ship(docs.sparkSession)
+    df = common.only(docs, doc_id="long", text="string")
+    df = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    coded = common.cut(df.mapInArrow(_encoded(path, end), "doc_id long, row long, length long, ids binary"))
+    pieces = _packed(coded.select("doc_id", "row", "length"), tuple(capacities), overhead, group_rows)
+    same = coded.dropDuplicates(["row"]).select("row", "ids")
+    cut = F.expr("substring(ids, int(start * 4 + 1), int(length * 4))")
+    parts = pieces.join(same, "row").select("bin_id", "bin_capacity", "bin_offset", "length", "doc_id", cut.alias("ids"))
+    dealt = parts.repartition(common.partitions(parts), "bin_id").sortWithinPartitions("bin_id")
+    return dealt.mapInArrow(common.over_groups(["bin_id"], _sequence, common.arrow_schema(spark, SEQUENCE)), SEQUENCE)
