@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship_code
+from ..shipping import removed, shared_folder, ship_code
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch; long texts times this stay far below a worker's memory.
@@ -124,6 +123,89 @@ def word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
+#: Characters that are hashed at a time, and those of the longest word that is hashed with others.
+SPAN, LONGEST = 1 << 18, 255
+_ODD = 0x9E3779B97F4A7C15
+_tables: dict[tuple[str, int], np.ndarray] = {}
+
+
+def _table(name: str) -> np.ndarray:
+    """Which characters belong to words (as \\w has it), and the powers of _ODD and of its inverse."""
+    if (name, SPAN) not in _tables:
+        if name == "word":
+            made = np.fromiter((chr(c).isalnum() or c == 95 for c in range(0x110000)), bool, 0x110000)
+        else:
+            base = _ODD if name == "powers" else pow(_ODD, -1, 1 << 64)
+            made = np.full(SPAN + LONGEST + 1, base, np.uint64)
+            made[0] = 1
+            made = np.cumprod(made, dtype=np.uint64)
+        _tables[name, SPAN] = made
+    return _tables[name, SPAN]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words() of all texts, one after the other, and how many each text has: polynomials of
+    their characters, taken from running sums, so that no word becomes an object."""
+    found, counts, held, size = [], np.zeros(len(texts), np.int64), [], 0
+    for k, text in enumerate(texts):
+        for part in _slices(text.lower()) if text else ():
+            if size + len(part) > SPAN and held:
+                found.append(_hashed(held, counts))
+                held, size = [], 0
+            held.append((k, part))
+            size += len(part)
+    if held:
+        found.append(_hashed(held, counts))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), counts
+
+
+def _slices(text: str) -> Iterator[str]:
+    """Parts of about SPAN characters, cut at blanks."""
+    at = 0
+    while len(text) - at > SPAN:
+        cut = text.rfind(" ", at + 1, at + SPAN)
+        if cut < 0 and (cut := text.find(" ", at + SPAN)) < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def _hashed(held: list[tuple[int, str]], counts: np.ndarray) -> np.ndarray:
+    """Hashes of the words of parts of texts (number, part); adds to the counts of the texts."""
+    low = [part for _, part in held]
+    flat = "\n".join(low)
+    if flat:
+        char = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.zeros(len(char) + 2, np.int8)
+        inside[1:-1] = _table("word")[char]
+        edge = np.diff(inside)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        ends = np.cumsum([len(t) + 1 for t in low])
+        np.add.at(counts, [k for k, _ in held], np.diff(np.searchsorted(start, ends), prepend=0))
+        h = np.zeros(len(start), np.uint64)
+        short = end - start <= LONGEST
+        for k in range(0, len(char), SPAN):
+            a, b = np.searchsorted(start, (k, k + SPAN))
+            w = np.arange(a, b)[short[a:b]]
+            if not len(w):
+                continue
+            part = char[k : k + SPAN + LONGEST].astype(np.uint64)
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * _table("powers")[: len(part)], dtype=np.uint64)])
+            h[w] = (run[end[w] - k] - run[start[w] - k]) * _table("inverse")[start[w] - k]
+        h = mixed(h + (end - start).astype(np.uint64) * np.uint64(_ODD))
+        for k in np.flatnonzero(~short):
+            h[k] = word_hash(flat[start[k] : end[k]])
+        return h
+    return np.zeros(0, np.uint64)
+
+
 class Memo(dict):
     """A bounded cache: value(key) is computed on a miss, and the cache starts anew when it is full."""
 
@@ -139,6 +221,11 @@ class Memo(dict):
         return out
 
 
+def gone(spark: SparkSession, path: str) -> None:
+    """Deletes what was kept in the shared folder and is not read any more."""
+    removed(spark, path)
+
+
 def crc_mod(id_col: str, n: int):
     """crc32 of the id as text, mod n."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
@@ -151,11 +238,8 @@ def only(df: DataFrame, **types: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of the session's own where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return sc.getCheckpointDir()
+    """The folder that driver and executors share; a folder of the session's own where none is set, in one process."""
+    return shared_folder(spark)
 
 
 #: Ids that are broadcast at most, 16 bytes each; beyond that both sides are shuffled.

@@ -47,26 +47,33 @@ def depth(trees: int = TREES, deepest: int = DEEPEST, similarity: float = SIMILA
     return d
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_HASHES = common.Memo(common.word_hash)
+_mix = common.mixed
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its runs of words."""
+    flat, counts = common.hashed_words(texts)
+    runs = np.full(max(len(flat) - SHINGLE + 1, 0), SHINGLE, np.uint64)
+    for k in range(SHINGLE):
+        runs = runs * _P + flat[k : k + len(runs)]
+    runs = _mix(runs)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= SHINGLE:
+            out.append(np.unique(runs[at : at + n - SHINGLE + 1]))
+        elif n:
+            h = np.full(1, n, np.uint64)
+            for k in range(n):
+                h = h * _P + flat[at + k]
+            out.append(_mix(h))
+        else:
+            out.append(flat[:0])
+        at += n
+    return out
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the runs of words."""
-    ws = common.words(text)
-    w = np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
-    if not len(w):
-        return w
-    width = min(SHINGLE, len(w))
-    h = np.full(len(w) - width + 1, width, np.uint64)
-    for k in range(width):
-        h = h * _P + w[k : len(w) - width + 1 + k]
-    return np.unique(_mix(h))
+    return shingle_sets([text])[0]
 
 
 def _signatures(trees: int, deepest: int):
@@ -76,7 +83,7 @@ def _signatures(trees: int, deepest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1).to_pylist())
             n = np.array([len(s) for s in sets], np.int64)
             halves = [_halves(s) for s in sets]
             sig = np.zeros((len(sets), trees, deepest), np.uint16)
@@ -213,7 +220,7 @@ def _halves(s: np.ndarray) -> tuple[int, int]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hash and the set of each text."""
     for batch in batches:
-        sets = [shingles(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        sets = shingle_sets(batch.column(batch.schema.get_field_index("text")).to_pylist())
         halves = [_halves(s) for s in sets]
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in halves], pa.int64()), pa.array([h for _, h in halves], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h1", "h2", "item"])
 
@@ -275,7 +282,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, re
 def _hashed(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            halves = [_halves(shingles(t)) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            halves = [_halves(x) for x in shingle_sets(batch.column(batch.schema.get_field_index("text")).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([h for h, _ in halves], pa.int64()), pa.array([h for _, h in halves], pa.int64())], names=[*names, "set h1", "set h2"])
 
     return run
