@@ -33,6 +33,26 @@ def test_large_groups_are_cut_into_runs():
         assert seen == [(1, 2, 0), (1, 2, 1), (1, 1, 2), (2, 2, 0)]
 
 
+def test_hashed_words_are_those_of_the_texts(monkeypatch):
+    import random
+
+    monkeypatch.setattr(common, "SPAN", 64)
+    rnd = random.Random(2)
+    words = ["a", "ab", "ba", "Straße", "İx", "ΑΣ", "été", "x" * 300, "y" * 400, "y" * 401, "漢字", "1_2", "𝒳", "b" * 60, "c" * 70]
+    texts = [None, "", " - ", *["".join(rnd.choice(words) + rnd.choice([" ", "\n", ", ", "--"]) for _ in range(rnd.randrange(30))) for _ in range(60)]]
+    h, counts = common.hashed_words(texts)
+    plain = [common.words(t) for t in texts]
+    assert counts.tolist() == [len(w) for w in plain]
+    by: dict = {}
+    for w, x in zip([w for ws in plain for w in ws], h.tolist(), strict=True):
+        assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by)
+    assert common.hashed_words([])[0].tolist() == []
+    monkeypatch.undo()
+    one = common.hashed_words([texts[5]])[0]
+    assert one.tolist() == [by[w] for w in plain[5]]
+
+
 def test_memo_is_bounded():
     m = common.Memo(len, 3)
     assert [m[x] for x in ("a", "bb", "ccc", "dddd", "a")] == [1, 2, 3, 4, 1] and len(m) <= 3

@@ -111,13 +111,13 @@ def test_forest_recall_at_a_similarity(spark, similarity):
 
     sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in ws], np.uint64)) for _, ws in rows]
     run = jaccard._signatures(jaccard.TREES, jaccard.DEEPEST)
-    saved, jaccard.shingles = jaccard.shingles, lambda t: sets[int(t)]
+    saved, jaccard.shingle_sets = jaccard.shingle_sets, lambda texts: [sets[int(t)] for t in texts]
     try:
         import pyarrow as pa
 
         batch = next(run(iter([pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([str(k) for k in range(len(rows))])], names=["id", "text"])])))
     finally:
-        jaccard.shingles = saved
+        jaccard.shingle_sets = saved
     p = jaccard._prefixes(links.matrix(batch.column(4)), jaccard.DEEPEST)
     miss = lambda d: (1 - 0.8**d) ** jaccard.TREES
     deep = max(d for d in range(1, jaccard.DEEPEST + 1) if 1 - miss(d) >= jaccard.RECALL)

@@ -62,7 +62,8 @@ def plain_matches(docs, items):
     """Every pair of windows compared."""
     found = {}
     for (doc, a), (item, b) in itertools.product(docs, items):
-        fa, va = decontam.template(a)
+        begins = []
+        fa, va = decontam.template(a, begins)
         fb, vb = decontam.template(b)
         width = min(decontam.WINDOW, len(fb))
         hits = set()
@@ -72,7 +73,9 @@ def plain_matches(docs, items):
                     continue
                 slots = {(f, p, q) for f, p, q in zip(fb[x : x + width], vb[x : x + width], va[y : y + width]) if f[0] == "\x01"}
                 fixed = sum(f[0] != "\x01" for f in fb[x : x + width])
-                if fixed >= min(5, max(1, width - 1)) and len(slots) == len({s[:2] for s in slots}) == len({(s[0], s[2]) for s in slots}):
+                same = vb[x : x + width] == va[y : y + width]
+                sentence = y in begins and (y + width in begins or y + width == len(fa))
+                if (fixed >= 5 or same and (width == decontam.WINDOW or sentence)) and len(slots) == len({s[:2] for s in slots}) == len({(s[0], s[2]) for s in slots}):
                     hits.add(x)
         if hits:
             found[doc, item] = len(hits)
@@ -90,6 +93,7 @@ TEXTS = [
     (7, None),
     (8, ""),
     (9, "short question here " + "filler " * 20_000),
+    (10, "He asked. Short question here! And left."),
 ]
 
 
@@ -98,9 +102,11 @@ def test_templates_equal_plain_comparison(spark):
     bench = spark.createDataFrame([(*r, "z") for r in [*QUESTIONS, QUESTIONS[0], (None, "nothing of the kind")]], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): r.n_windows for r in decontam.matches(docs, bench).collect()}
     assert got == plain_matches(TEXTS, QUESTIONS)
-    assert {d for d, _ in got} == {1, 2, 3, 4, 9}
+    assert {d for d, _ in got} == {1, 2, 3, 10}  # three words count as a whole sentence only
     assert (2, 1) in got and got[2, 1] < got[1, 1]  # two cities where the item has one: those windows are inconsistent
-    assert decontam.clean(docs, bench).count() == 4
+    assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [4, 5, 6, 7, 8, 9]
+    nameless = docs.selectExpr("CASE WHEN doc_id > 2 THEN doc_id END AS doc_id", "text", "item_id")
+    assert sorted(str(r.doc_id) for r in decontam.clean(nameless, bench).collect()) == ["4", "5", "6", "7", "8", "9"]
     assert decontam.matches(docs.limit(0), bench).count() == 0 == decontam.matches(docs, bench.limit(0)).count()
 
 
@@ -175,7 +181,7 @@ def test_toxicity_counts_all_labelled_texts_and_all_words_of_the_corpus(spark, m
     texts = [(k, f"plain talk number{k} about things") for k in range(40)] + [(k, f"plain talk number{k} you vile{k % 4} thing") for k in range(40, 80)] + [(200, "unlabelled words only"), (201, None)]
     docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k, int(k >= 40)) for k in range(80)], "doc_id long, toxic int")
     c = toxicity.Counts(docs, labels, 80)
-    key = lambda *ws: toxicity.keys(list(ws), c.mask)
+    key = lambda *ws: toxicity.keys(list(ws), c.mask)[0]
     at = int(np.searchsorted(c.words, key("vile3")[0]))
     assert c.stats.where(f"word = {key('vile3')[0]}").select("un20", "un21", "n").first() == (0, 1, 10)
     words = [w for _, t in texts if t for w in set(t.split())]
@@ -195,6 +201,17 @@ def test_toxicity_counts_all_labelled_texts_and_all_words_of_the_corpus(spark, m
     assert shared.slots and np.allclose(shared.ratios(key(*w)), full.ratios(key(*w)), atol=0.02)
 
 
+def test_one_id_with_many_texts_stays_a_bounded_sample(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("vile thing number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    docs = many.union(spark.range(8, 40).select("id", F.concat(F.lit("plain talk of day "), F.col("id").cast("string")), F.lit("fr")))
+    labels = spark.createDataFrame([(k, int(k == 7)) for k in range(7, 40)], "doc_id long, toxic int")
+    c = toxicity.fit(docs.select("doc_id", "text"), labels, 50)
+    assert c.scores(["vile thing", "plain talk"])[0] > 0.5 > c.scores(["vile thing", "plain talk"])[1]
+    assert langid.picked(docs.select("doc_id", "text", "lang"), 50).groupBy("lang").count().where("count > 50").count() == 0
+
+
 def test_passages_of_many_slots_are_found(spark):
     items = [(1, "5 km in 2 hours and 3 km in 1 hour and 9 km in 4 days"), (2, "1 2 3 4 5 6 7 8 9"), (3, "so Ann Bob Cid Dan Eve Fay Gus Hal Ian")]
     texts = [
@@ -208,3 +225,65 @@ def test_passages_of_many_slots_are_found(spark):
     ]
     got = {(r.doc_id, r.item_id): r.exact for r in decontam.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(1, 1): True, (2, 1): False, (4, 2): True, (6, 3): True}
+
+
+def test_items_of_a_word_delete_nothing(spark):
+    docs = spark.createDataFrame([(1, "we saw the house on page 9 of it"), (2, "Yes. the end"), (3, "Is it so? Yes. No.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the"), (2, "Yes"), (3, "page 7"), (4, "")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).orderBy("doc_id").collect()] == [(2, 2), (3, 2)]
+    assert [r.doc_id for r in decontam.clean(docs, bench.where("item_id != 2")).orderBy("doc_id").collect()] == [1, 2, 3]
+
+
+def test_the_filter_loses_nothing_whatever_its_size(spark, monkeypatch):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    bench = spark.createDataFrame(QUESTIONS, "item_id long, text string")
+    want = sorted(map(tuple, decontam.matches(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOOM_LEAST", 64)
+    monkeypatch.setattr(decontam, "BLOOM_MOST", 64)
+    assert sorted(map(tuple, decontam.matches(docs, bench).collect())) == want
+
+
+def plain_kneser_ney(parts, shared, size):
+    """Log ratios of (before, word) by plain dictionaries: parts are the texts of both classes, as word numbers."""
+    import math
+
+    logs = []
+    for texts in parts:
+        behind, of_pair = {}, {}
+        for t in texts:
+            for a, b, c in zip([0, *t[:-1]], t, [*t[1:], size - 1]):
+                of_pair.setdefault((a, b), set()).add(c)
+        for a, b in of_pair:
+            behind.setdefault(b, set()).add(a)
+        n = {p: len(x) for p, x in of_pair.items()}
+        ones, twos = sum(x == 1 for x in n.values()), sum(x == 2 for x in n.values())
+        d = min(ones / (ones + 2 * twos), 0.9)
+        total = sum(len(x) for x in behind.values())
+        base = sum(shared) + 0.5 * size
+
+        def low(w, behind=behind, total=total, base=base):
+            k = len(behind.get(w, ()))
+            left = sum(min(len(x), 1) for x in behind.values()) / total
+            return (k - min(k, 1)) / total + left * (shared[w] + 0.5) / base
+
+        def p(a, b, n=n, d=d, low=low):
+            row = {x: k for (y, x), k in n.items() if y == a}
+            if not row:
+                return low(b)
+            return (max(row.get(b, 0) - d, 0) + d * len(row) * low(b)) / sum(row.values())
+
+        logs.append(p)
+    return lambda a, b: math.log(logs[1](a, b)) - math.log(logs[0](a, b))
+
+
+def test_kneser_ney_equals_plain_dictionaries():
+    rng = np.random.default_rng(3)
+    ids = {f"w{k}": k + 1 for k in range(12)}
+    parts = [[[int(x) for x in rng.integers(1, 13, rng.integers(1, 9))] for _ in range(25)] for _ in range(2)]
+    shared = np.zeros(14)
+    for w in range(1, 13):
+        shared[w] = sum(w in t for part in parts for t in part) + 3
+    m = toxicity.Model(ids, [[np.array(t) for t in part] for part in parts], shared)
+    plain = plain_kneser_ney(parts, shared.tolist(), 14)
+    for t in parts[0][:10] + parts[1][:10]:
+        assert np.allclose(m.ratios(np.array(t)), [plain(a, b) for a, b in zip([0, *t[:-1]], t)])

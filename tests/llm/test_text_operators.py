@@ -106,6 +106,60 @@ def test_warc_round_trip(spark):
     assert not any(re.search(r"<(p|div|script)\b|track\(", r.body) for r in rows if r.record_type == "conversion")
 
 
+def independent_records(data):
+    """A reader of WARC files that knows nothing of the writer's."""
+    out = []
+    while data:
+        m = re.match(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n", data)
+        head = [x.split(b": ", 1) for x in m[1].split(b"\r\n") if x]
+        assert len({k for k, _ in head}) == len(head)
+        head = {k.decode(): v.decode() for k, v in head}
+        n = int(head["Content-Length"])
+        out.append((head, data[m.end() : m.end() + n]))
+        assert data[m.end() + n : m.end() + n + 4] == b"\r\n\r\n"
+        data = data[m.end() + n + 4 :]
+    return out
+
+
+def test_warc_files_are_written_and_read(spark, tmp_path, monkeypatch):
+    import base64
+    import gzip
+
+    page = '<html lang="en"><title>A\n B</title><a title="x>y href=no" href=/about>q</a><A HREF=\'/b?c&amp;d\'>r</A><a href="http://x/&#13;&#10;title: forged">z</a>\r\n\r\nWARC/1.1 text</html>'
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page.encode()
+    source = b"".join(b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:uuid:%d>\r\nwarc-target-uri: http://h/%d\r\nWARC-Date: 2020-01-0%dT00:00:00Z\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, k, k, k, len(body), body) for k, kind in ((1, b"response"), (2, b"request"), (3, b"response")))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(gzip.compress(source[:200]) + gzip.compress(source[200:]))
+    (tmp_path / "in" / "b.warc").write_bytes(source.replace(b"urn:uuid:", b"urn:uuid:b"))
+    found = warc.read(spark, str(tmp_path / "in"))
+    assert found.count() == 6
+    made = warc.derivatives(found.where("record_type = 'response'"))
+    monkeypatch.setattr(warc, "FILE_RECORDS", 3)
+    warc.write(made, str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part-*"))
+    records = [r for f in files for r in independent_records(f.read_bytes())]
+    assert len(files) > 1 and len(records) == 8 == len({h["WARC-Record-ID"] for h, _ in records})
+    for head, data in records:
+        assert head["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+        assert head["WARC-Source-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(page.encode()).digest()).decode()
+        assert base64.b64decode(head["WARC-Source-Headers"]) == b"HTTP/1.1 200 OK\r\nContent-Type: text/html"
+        assert head["WARC-Refers-To"].startswith("<urn:uuid:") and head["WARC-Date"][:9] == "2020-01-0"
+    lines = next(d for h, d in records if h["WARC-Type"] == "metadata").decode().split("\r\n")
+    assert lines == [f"originalContentLength: {len(page)}", "declaredLanguage: en", "title: A B", "outlink: /about A/@href", "outlink: /b?c&d A/@href", "outlink: http://x/%0D%0Atitle: forged A/@href", ""]
+    again = {r.record_id: r for r in warc.read(spark, str(tmp_path / "out")).collect()}
+    for r in made.collect():
+        assert (again[r.record_id].payload, again[r.record_id].refers_to, again[r.record_id].source_headers) == (r.body, r.refers_to, r.source_headers)
+
+
+def test_warc_ids_differ_where_responses_do(spark):
+    rows = [(None, "u", "a"), (None, "u", "b"), (None, "v", "a"), ("same", "u", "a"), ("same", "u", "b"), ("same", "u", "b")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "record_id string, target_uri string, payload string, body string, BLOCK_digest int").selectExpr("*", "string(null) AS warc_date", "string(null) AS headers")
+    got = warc.derivatives(df).collect()
+    assert len(got) == 12 and len({r.record_id for r in got}) == 10 and all(r.warc_date is None and r.source_headers is None for r in got)
+    assert warc.derivatives(df.limit(0)).count() == 0
+    assert warc.plain("<p>" + "long " * 200_000) == ("long " * 200_000).strip() and len(warc.links("<a <a " * 50_000)) == 0
+
+
 def test_warc_odd_pages(spark):
     df = spark.createDataFrame([("a", None, None, None, None), ("b", "u", "d", "h", "<p>x<script>y"), ("b", "u", "d", "h", "<p>x<script>y")], "record_id string, target_uri string, warc_date string, headers string, payload string")
     rows = warc.derivatives(df).collect()
@@ -251,3 +305,142 @@ def test_ordinary_disguises_are_found(text, kind, part):
 @pytest.mark.parametrize("text", ["look at this point in time", "we met at home and un punto es un punto", "chapter 12 one of 3 two", "le point de vue est un point fr", "the two at one point to note"])
 def test_prose_with_dots_and_numbers_is_left_alone(text):
     assert pii.find(text) == ([], [])
+
+
+def test_digit_runs_of_any_length(spark):
+    text = "0" * 5000 + ".1.1.1 and " + "9" * 6000 + ".1.1.1 and 1." + "0" * 4400 + "7.2.3"
+    assert pii.detect(text) == [("ip", 0, 5006), ("ip", len(text) - 4407, len(text))]
+    assert pii.spans(frame(spark, [(1, text, "x")])).first().n_ip == 2
+
+
+BITS = ["one", "Two", "three", "fünf", "deux", "double", "triple", "plus", "dot", "point", "punkt", "at", "arroba", "@", "com", "de", "mail", "john", "x.y", "4", "41", "555", "l", "O", "ſeven", "sıx", "+1"]
+GAPS = [" ", "  ", "-", ", ", "(", ") ", " [", "]", "\"", "' ", ": ", "/", "\n", "", ".", "_", "“", "—", "\u00a0"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(BITS), st.sampled_from(GAPS)), max_size=14))
+def test_the_cheap_look_hides_nothing(parts):
+    text = "".join(a + b for a, b in parts)
+    quick = pii.find(text)
+    saved, pii._hinted = pii._hinted, lambda t: True
+    try:
+        assert quick == pii.find(text)
+    finally:
+        pii._hinted = saved
+
+
+@pytest.mark.parametrize("text", ["call +1 (four one five) 5551234", 'call +1 "four one five" 5551234', "call +1: four one five 555 1234", "call +1/four one five 5551234"])
+def test_number_words_beside_any_mark(text):
+    saved, pii._hinted = pii._hinted, lambda t: True
+    try:
+        want = pii.find(text)
+    finally:
+        pii._hinted = saved
+    assert pii.find(text) == want
+    if "(" in text:
+        assert [k for k, _, _ in want[1]] == ["phone"]
+
+
+def disguised(kind, how, rnd):
+    """A value of the kind, disguised."""
+    words = "zero one two three four five six seven eight nine".split()
+    if kind == "email":
+        name, host, end = (rnd.choice(x) for x in (["ann", "bob.k", "c_d", "eva1"], ["mail", "corp-x", "uni"], ["com", "org", "ch", "fr"]))
+        return {
+            "brackets": f"{name} [at] {host} (dot) {end}",
+            "spaced": f"{name} at {host} dot {end}",
+            "glyphs": f"{name}@{host}.{end}".replace("a", "а").replace("o", "о").replace("i", "і"),
+            "invisible": f"{name}\u200b@{host}\u200d.{end}",
+            "entities": f"{name}&#64;{host}&#46;{end}",
+        }[how]
+    if kind == "card":
+        digits = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        value = next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+    elif kind == "phone":
+        value = "+" + rnd.choice("123456789") + "".join(rnd.choice("0123456789") for _ in range(9))
+    else:
+        value = ".".join(str(rnd.randrange(256)) for _ in range(4))
+    if how == "wide":
+        return "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in value)
+    if how == "spelled":
+        return " ".join({"+": "plus", ".": "dot"}.get(c) or words[int(c)] for c in value)
+    if how == "tail":
+        return value[:-3] + (" " if kind != "ip" else "") + " ".join(words[int(c)] for c in value[-3:]) if kind != "ip" else value.replace(".", " dot ")
+    return value.replace("0", "O").replace("1", "l") if any(c in value for c in "01") else value
+
+
+KINDS = [("email", h) for h in ("brackets", "spaced", "glyphs", "invisible", "entities")] + [(k, h) for k in ("card", "phone", "ip") for h in ("wide", "spelled", "tail", "alike")]
+
+
+@pytest.mark.parametrize(("kind", "how"), KINDS)
+def test_recall_of_planted_disguises(kind, how):
+    import random
+
+    rnd = random.Random(f"{kind}{how}")
+    hits = 0
+    for _ in range(100):
+        value = disguised(kind, how, rnd)
+        text = f"Please note {value} for later."
+        a = text.index(value)
+        hits += any(k == kind and x < a + len(value) and y > a and y - x >= 0.8 * len(value) for k, x, y in pii.find(text)[1])
+    assert hits >= (80 if how == "alike" else 90)
+
+
+def plain_best_fit(lengths, capacities, overhead):
+    """Contents and capacity of each bin, all bins looked at for each piece."""
+    left = sorted(lengths, reverse=True)
+    bins = []
+    for at, n in enumerate(left):
+        open_ = [b for b in bins if b[1] - sum(b[0]) >= n]
+        if open_:
+            least = min(b[1] - sum(b[0]) for b in open_)
+            b = max((b for b in open_ if b[1] - sum(b[0]) == least), key=lambda b: b[2])  # of equal room, the last one used
+            b[0].append(n)
+            b[2] = at
+            continue
+        best = None
+        for c in sorted(capacities):
+            if c < n:
+                continue
+            filled = n + min(c - n, sum(x for x in left[at + 1 :] if x <= c - n))
+            cost = (overhead + min(x for x in capacities if x >= filled)) / max(filled, 1)
+            if best is None or cost < best[0]:
+                best = (cost, c)
+        bins.append([[n], best[1], at])
+    return sorted((sorted(b), min(c for c in capacities if c >= sum(b))) for b, _, _ in bins)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=40, unique=True), st.sampled_from([(64,), (16, 64), (8, 16, 32, 64), (24, 40, 64)]))
+def test_packing_equals_plain_best_fit(lengths, capacities):
+    bins, _, caps = packing.pack(lengths, capacities, 3)
+    got = sorted((sorted(n for n, b in zip(lengths, bins) if b == k), c) for k, c in enumerate(caps))
+    assert got == plain_best_fit(lengths, capacities, 3)
+
+
+def test_sequences_hold_the_ids_of_their_documents(spark):
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk = tokenizers.Tokenizer.from_file(path)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(frame(spark, [(-1, None, "x"), (-2, "a b c " * 9000, "x"), (-3, "twice", "x"), (-3, "twice", "x"), (None, "no id", "x")]).select("doc_id", "text"))
+    rows = packing.sequences(docs, path, group_rows=50).collect()
+    assert len({r.bin_id for r in rows}) == len(rows) and all(len(r.ids) <= r.bin_capacity for r in rows)
+    got = {}
+    for r in rows:
+        for doc, a, b in zip(r.doc_ids, r.starts, [*r.starts[1:], len(r.ids)]):
+            got.setdefault(doc, []).append(r.ids[a:b])
+    want = {}
+    for r in docs.collect():
+        want.setdefault(r.doc_id, []).append([*tk.encode(r.text or "", add_special_tokens=False).ids, 1])
+    assert set(got) == set(want)
+    for doc, parts in want.items():
+        assert sorted(x for p in got[doc] for x in p) == sorted(x for p in parts for x in p)
+        if len(parts[0]) <= 8192:
+            assert sorted(got[doc]) == sorted(parts)
+    assert packing.sequences(docs.limit(0), path).count() == 0
+
+
+def test_bins_of_many_runs_keep_their_ids(spark):
+    rows = packing.pack_pieces(spark.range(9000).selectExpr("7L AS doc_id", "int(400) AS length"), group_rows=1).select("bin_id", "bin_capacity").collect()
+    assert len({r.bin_id for r in rows}) == 9000
