@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Defined cases: documents with a null or empty text pass all stages and end as one piece of the end mark; rows without an
+id are compared, decontaminated and packed like others; of rows that repeat an id and its text, one stays; an empty table
+gives no rows; columns beyond those of documents are dropped. A stage's table is deleted once the next one is written.
+"""
 
 from __future__ import annotations
 
@@ -59,4 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             break
         out.write.mode("overwrite").parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if k:
+            common.gone(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return out
