@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,22 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run: Callable):
+    """A mapInArrow function that gives its memory back when it ends, as workers stay for later stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def over_groups(keys: list[str], fn: Callable[[pa.Table, int], pa.Table | None], schema: pa.Schema, most: int = 1 << 62):
     """A mapInArrow function for rows sorted by integer keys: fn sees one whole group at a time, or runs of
     `most` rows of it, with the run's number within the group."""
@@ -105,7 +122,7 @@ def grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     """fn over each whole group of integer keys; groups must be bounded by the caller."""
     arrow = arrow_schema(df.sparkSession, schema)
     dealt = df.repartition(partitions(df), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(over_groups(keys, fn, arrow), schema)
+    return dealt.mapInArrow(tidy(over_groups(keys, fn, arrow)), schema)
 
 
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

@@ -168,7 +168,7 @@ def deeper(sig: DataFrame, similarity: float, trees: int, least: int, deepest: i
     if least == deepest:
         return None
     names = [f"k{d}" for d in range(least, deepest + 1)]
-    rows = sig.select("id", "sig").mapInArrow(_levels(least, deepest), "id long, t int, " + ", ".join(f"{k} long" for k in names))
+    rows = sig.select("id", "sig").mapInArrow(common.tidy(_levels(least, deepest)), "id long, t int, " + ", ".join(f"{k} long" for k in names))
     crowded = common.cut(rows.groupBy("t", names[0]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("t", names[0]))
     if crowded.isEmpty():
         return None
@@ -253,7 +253,7 @@ def _settled(docs: DataFrame, similarity: float, trees: int, recall: float) -> t
     """What links.settled() says of (id, text), and whether some ids are not their rows' own."""
     common.ship(docs.sparkSession)
     df = common.only(docs, doc_id="long", text="string")
-    rows = common.cut(df.mapInArrow(_signatures(trees, DEEPEST), "id long, h1 long, h2 long, n long, sig binary"))
+    rows = common.cut(df.mapInArrow(common.tidy(_signatures(trees, DEEPEST)), "id long, h1 long, h2 long, n long, sig binary"))
     known, shared_ids = links.members(rows.select("id", "h1", "h2", "n"))
     odd = F.col("id").isNull() | (F.col("key") != F.col("id"))
     classes = known.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.sum("copies").alias("size"), F.min("n").alias("n"), F.min(F.when(~odd, F.col("id"))).alias("row"))
@@ -268,7 +268,7 @@ def _settled(docs: DataFrame, similarity: float, trees: int, recall: float) -> t
     if shared_ids:  # texts that no id leads to
         ids = known.where(odd & F.col("id").isNotNull()).select(F.col("id").alias("doc_id")).distinct()
         texts = texts.union(df.where("doc_id IS NULL").select("text")).union(common.by_ids(df, common.cut(ids), "doc_id", "left_semi").select("text"))
-    sets = texts.mapInArrow(_sets, "h1 long, h2 long, item binary").join(marked.select("h1", "h2"), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    sets = texts.mapInArrow(common.tidy(_sets), "h1 long, h2 long, item binary").join(marked.select("h1", "h2"), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     items = sets.join(marked, ["h1", "h2"]).select("id", "size", "code", "item", F.explode("at").alias("x")).select("x.*", "id", "size", "code", "item")
     parts = links.counted(items, _first_tree, _similar(similarity))
     return links.settled(parts, known, classes, shared_ids), shared_ids

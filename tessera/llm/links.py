@@ -129,7 +129,7 @@ def marks(nodes: DataFrame, coded: DataFrame, candidate: Callable) -> DataFrame:
     shared = _sized(nodes).join(coded.select("id", "code"), "id")
     df = _dealt(shared, BLOCK).select(*KEYS, "blk", "id", "code")
     dealt = df.repartition(common.partitions(df), *KEYS).sortWithinPartitions(*KEYS, "blk")
-    return dealt.mapInArrow(_marker(candidate), MARK).distinct()
+    return dealt.mapInArrow(common.tidy(_marker(candidate)), MARK).distinct()
 
 
 PART = "id long, links long, to long"

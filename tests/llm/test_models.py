@@ -199,6 +199,11 @@ def test_toxicity_counts_all_labelled_texts_and_all_words_of_the_corpus(spark, m
     monkeypatch.setattr(toxicity, "MOST_PAIRS", 8)
     shared = c.model(2)
     assert shared.slots and np.allclose(shared.ratios(key(*w)), full.ratios(key(*w)), atol=0.02)
+    # pairs that were never seen back off as without slots, however full these are
+    monkeypatch.setattr(toxicity, "SLOTS", 64)
+    few = c.model(2)
+    odd = "things vile1 number3 about thing plain".split()
+    assert (few.pairs > 0).mean() > 0.8 and np.allclose(few.ratios(key(*odd)), full.ratios(key(*odd)), atol=0.02)
 
 
 def test_one_id_with_many_texts_stays_a_bounded_sample(spark):
