@@ -202,7 +202,7 @@ def test_toxicity_counts_all_labelled_texts_and_all_words_of_the_corpus(spark, m
     # pairs that were never seen back off as without slots, however full these are
     monkeypatch.setattr(toxicity, "SLOTS", 64)
     few = c.model(2)
-    odd = "things vile1 number3 about thing plain".split()
+    odd = "things vile1 number3 thing about plain".split()  # no two of them follow each other anywhere
     assert (few.pairs > 0).mean() > 0.8 and np.allclose(few.ratios(key(*odd)), full.ratios(key(*odd)), atol=0.02)
 
 
