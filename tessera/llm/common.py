@@ -43,6 +43,20 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+_memos: list[dict] = []
+
+
+def settle() -> None:
+    """Empties this process's caches and gives its memory back."""
+    for memo in _memos:
+        memo.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(run: Callable):
     """A mapInArrow function that gives its memory back when it ends, as workers stay for later stages."""
 
@@ -50,11 +64,7 @@ def tidy(run: Callable):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            settle()
 
     return wrapped
 
@@ -224,11 +234,13 @@ def _hashed(held: list[tuple[int, str]], counts: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A bounded cache: value(key) is computed on a miss, and the cache starts anew when it is full."""
+    """A bounded cache of a module: value(key) is computed on a miss, and the cache starts anew when it is full or a
+    task ends."""
 
     def __init__(self, value: Callable, most: int = 300_000):
         super().__init__()
         self.value, self.most = value, most
+        _memos.append(self)
 
     def __missing__(self, key):
         out = self.value(key)

@@ -151,7 +151,7 @@ def _filter_bits(spark, items: DataFrame):
             at = np.unique(np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), size)))
             yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
 
-    words = items.select("w").mapInArrow(places, "at long").select((F.col("at") / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(at % 64 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = items.select("w").mapInArrow(common.tidy(places), "at long").select((F.col("at") / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(at % 64 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     bits = np.zeros(size // 64, np.int64)
     t = words.toArrow()  # no more words than the filter has
     bits[t["word"].to_numpy()] = t["bits"].to_numpy()
@@ -161,10 +161,10 @@ def _filter_bits(spark, items: DataFrame):
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = common.ship(docs.sparkSession)
     bench = common.only(benchmark, item_id="long", text="string").where("item_id IS NOT NULL").dropDuplicates(["item_id", "text"])
-    items = common.cut(bench.mapInArrow(_item_windows, "w long, item_id long, item_at int, width int, forms array<string>, item_values array<string>"))
+    items = common.cut(bench.mapInArrow(common.tidy(_item_windows), "w long, item_id long, item_at int, width int, forms array<string>, item_values array<string>"))
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # WINDOW of them at most
     df = common.only(docs, doc_id="long", text="string").where("doc_id IS NOT NULL")
-    found = df.mapInArrow(_doc_windows(_filter_bits(spark, items), widths), "w long, doc_id long, doc_at int, doc_forms array<string>, doc_values array<string>, sentence boolean")
+    found = df.mapInArrow(common.tidy(_doc_windows(_filter_bits(spark, items), widths)), "w long, doc_id long, doc_at int, doc_forms array<string>, doc_values array<string>, sentence boolean")
     pairs = found.join(items, "w").where("doc_forms = forms")
     fixed = F.size(F.filter("forms", lambda x: ~x.startswith("\x01")))
     slots = F.filter(F.arrays_zip(F.col("forms"), F.col("item_values").alias("item_values"), F.col("doc_values").alias("doc_values")), lambda x: x["forms"].startswith("\x01"))

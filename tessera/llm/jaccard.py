@@ -158,9 +158,9 @@ def forest(sig: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, d
     least = depth(trees, deepest, similarity)
     over = deeper(sig, similarity, trees, least, deepest, recall, crowd)
     if over is None:
-        return sig.select("id", "sig").mapInArrow(_codes(trees, least, deepest), "id long, code binary")
+        return sig.select("id", "sig").mapInArrow(common.tidy(_codes(trees, least, deepest)), "id long, code binary")
     at = over.groupBy("id").agg(F.collect_list(F.struct("t", "depth")).alias("at"))
-    return sig.select("id", "sig").join(at, "id", "left").mapInArrow(_codes(trees, least, deepest), "id long, code binary")
+    return sig.select("id", "sig").join(at, "id", "left").mapInArrow(common.tidy(_codes(trees, least, deepest)), "id long, code binary")
 
 
 def deeper(sig: DataFrame, similarity: float, trees: int, least: int, deepest: int, recall: float, crowd: int) -> DataFrame | None:
@@ -261,7 +261,7 @@ def _settled(docs: DataFrame, similarity: float, trees: int, recall: float) -> t
     # a set of fewer than four can only be similar to its equals
     able = common.cut(classes.where("n > 3").join(rows.where("n > 3").groupBy("h1", "h2").agg(F.first("sig").alias("sig")), ["h1", "h2"]).select(F.col("rep").alias("id"), "h1", "h2", "row", "size", "sig"))
     coded = common.cut(forest(able, similarity, trees, DEEPEST, recall))
-    marked = links.marks(coded.mapInArrow(_trees, "t int, key long, id long"), coded, _first_tree)
+    marked = links.marks(coded.mapInArrow(common.tidy(_trees), "t int, key long, id long"), coded, _first_tree)
     marked = marked.groupBy("id").agg(F.collect_list(F.struct("t", "key")).alias("at"))
     marked = common.cut(marked.join(able.drop("sig"), "id").join(coded, "id"))
     texts = common.by_ids(df, marked.where("row IS NOT NULL").select(F.col("row").alias("doc_id")), "doc_id", "left_semi").select("text")
@@ -302,7 +302,7 @@ def kept(docs: DataFrame) -> DataFrame:
     # rows that their id does not tell apart are told apart by their sets
     rest = common.by_ids(docs, ids, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rest = rest.mapInArrow(_hashed(docs.columns), f"{schema}, `set h1` long, `set h2` long")
+    rest = rest.mapInArrow(common.tidy(_hashed(docs.columns)), f"{schema}, `set h1` long, `set h2` long")
     stay = again.where("stays").union(found.where("stays AND id IS NULL")).select(F.col("id").alias("stay id"), F.col("h1").alias("stay h1"), F.col("h2").alias("stay h2")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("stay id")) & (F.col("set h1") == F.col("stay h1")) & (F.col("set h2") == F.col("stay h2"))
     rest = rest.join(stay, same, "left_semi").dropDuplicates(["doc_id", "set h1", "set h2"]).select(*docs.columns)

@@ -102,7 +102,7 @@ def _packed(df: DataFrame, capacities: tuple[int, ...], overhead: int, group_row
         return pa.table([t["doc_id"], t["piece"], t["start"], t["length"], pa.array(ids), pa.array(np.array(caps, np.int64)[b]), pa.array(o, pa.int64()), t["row"]], names=[x.split()[0] for x in schema.split(", ")])
 
     dealt = df.repartition(max(1, min(groups, common.partitions(df))), "g").sortWithinPartitions("g", "doc_id", "row", "piece", "start", "length")
-    return dealt.mapInArrow(common.over_groups(["g"], bins, common.arrow_schema(spark, schema), most=group_rows), schema)
+    return dealt.mapInArrow(common.tidy(common.over_groups(["g"], bins, common.arrow_schema(spark, schema), most=group_rows)), schema)
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _token_lengths(path: str):
 def token_lengths(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and its number of ids with one end mark, as simple8b writes them; computed once."""
     common.ship(docs.sparkSession)
-    return common.cut(common.only(docs, doc_id="long", text="string").mapInArrow(_token_lengths(path), "doc_id long, length long"))
+    return common.cut(common.only(docs, doc_id="long", text="string").mapInArrow(common.tidy(_token_lengths(path)), "doc_id long, length long"))
 
 
 def packed(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
@@ -162,7 +162,7 @@ def sequences(docs: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITI
     spark = common.ship(docs.sparkSession)
     df = common.only(docs, doc_id="long", text="string")
     df = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    coded = common.cut(df.mapInArrow(_encoded(path, end), "doc_id long, row long, length long, ids binary"))
+    coded = common.cut(df.mapInArrow(common.tidy(_encoded(path, end)), "doc_id long, row long, length long, ids binary"))
     pieces = _packed(coded.select("doc_id", "row", "length"), tuple(capacities), overhead, group_rows)
     same = coded.dropDuplicates(["row"]).select("row", "ids")
     cut = F.expr("substring(ids, int(start * 4 + 1), int(length * 4))")

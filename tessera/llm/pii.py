@@ -285,7 +285,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(docs: DataFrame) -> DataFrame:
     """One row per document with its spans; no shuffle."""
     common.ship(docs.sparkSession)
-    return common.only(docs, doc_id="long", text="string").mapInArrow(_rows, SCHEMA)
+    return common.only(docs, doc_id="long", text="string").mapInArrow(common.tidy(_rows), SCHEMA)
 
 
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,4 +302,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     """The documents with their spans replaced by <EMAIL>, <IP>, <CARD> or <PHONE>."""
     common.ship(docs.sparkSession)
     df = common.only(docs, **DOCUMENT)
-    return df.mapInArrow(_redacted, ", ".join(f"{k} {v}" for k, v in DOCUMENT.items()))
+    return df.mapInArrow(common.tidy(_redacted), ", ".join(f"{k} {v}" for k, v in DOCUMENT.items()))
