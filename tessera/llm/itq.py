@@ -35,6 +35,8 @@ COSINE = 0.9
 WIDTHS, RECALL, TABLES = (4, 33), 0.985, 768
 #: Bits and random pairs that chances are estimated on, and what a row of a table costs, in comparisons of two codes.
 BITS, STRANGERS, ROW = 512, 400_000, 30.0
+#: Pairs of the sample that the driver compares at once.
+AT_ONCE = 10_000
 #: Vectors of the sample at most, those that rotations are fitted on, those that the recall is measured on, and rounds of fitting.
 SAMPLE, FITTED, PROBED, ROUNDS = 10_000, 4_000, 2_000, 20
 #: Components of the longest vectors whose rotation is learned; longer ones are cut into parts of this many.
@@ -59,9 +61,10 @@ class Model:
         bits = (x - self.mean) @ self.out[:, :BITS] >= 0
         differ = [((a - self.mean) @ self.out[:, :BITS] >= 0) ^ ((b - self.mean) @ self.out[:, :BITS] >= 0) for a, b in pairs]
         i, j = rng.integers(0, len(x), (2, STRANGERS))
-        i, j = (k[(i != j) & ((x[i] * x[j]).sum(1) < cosine)] for k in (i, j))
+        apart = np.concatenate([(x[i[k : k + AT_ONCE]] * x[j[k : k + AT_ONCE]]).sum(1) < cosine for k in range(0, STRANGERS, AT_ONCE)])
+        i, j = (k[(i != j) & apart] for k in (i, j))
         packed = np.packbits(bits, axis=1)
-        strange = np.bitwise_count(packed[i] ^ packed[j]).sum(1, dtype=np.int64) / BITS
+        strange = np.concatenate([np.bitwise_count(packed[i[k : k + AT_ONCE]] ^ packed[j[k : k + AT_ONCE]]).sum(1, dtype=np.int64) for k in range(0, STRANGERS, AT_ONCE)]) / BITS
         least = None
         for width in range(*WIDTHS):
             tables = max(needed(meeting(d, width)) for d in differ)

@@ -249,3 +249,14 @@ def test_components(spark, seed):
         m[a, b] = m[b, a] = True
     want = truth(list(range(500)), m)
     assert got == {i: want[i][1] for i in ids if want[i][1] != i}
+
+
+def test_fitting_codes_takes_little_of_the_drivers_memory():
+    import tracemalloc
+
+    x = itq.unit(np.random.default_rng(5).standard_normal((1000, 64)))
+    tracemalloc.start()
+    itq.Model(x, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
