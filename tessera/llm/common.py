@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,13 +45,19 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-_memos: list[dict] = []
+_memos: list[weakref.ref] = []
+
+
+def kept(memo) -> None:
+    """Has settle() clear a cache that lives longer than a task."""
+    _memos.append(weakref.ref(memo, _memos.remove))
 
 
 def settle() -> None:
     """Empties this process's caches and gives its memory back."""
-    for memo in _memos:
-        memo.clear()
+    for ref in list(_memos):
+        if (memo := ref()) is not None:
+            memo.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -57,6 +65,13 @@ def settle() -> None:
         pass
 
 
+def settle_driver(spark: SparkSession) -> None:
+    """Gives back what the driver's Python and JVM don't hold any more, and what Spark keeps for it on executors."""
+    gc.collect()
+    settle()
+    spark._jvm.System.gc()
+
+
 def tidy(run: Callable):
     """A mapInArrow function that gives its memory back when it ends, as workers stay for later stages."""
 
@@ -240,7 +255,7 @@ class Memo(dict):
     def __init__(self, value: Callable, most: int = 300_000):
         super().__init__()
         self.value, self.most = value, most
-        _memos.append(self)
+        kept(self)
 
     def __missing__(self, key):
         out = self.value(key)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import struct
+import weakref
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -204,6 +205,22 @@ def _byte_letters() -> str:
 _LETTERS = _byte_letters()
 
 
+class _Parts(dict):
+    """Ids of parts that were encoded; others are encoded as they are asked for."""
+
+    def __init__(self, owner: Tokenizer):
+        super().__init__()
+        self.owner = weakref.proxy(owner)
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.owner.part(part) if part else b""
+        if len(part) <= 100:
+            if len(self) >= self.owner.most:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class Tokenizer:
     """Ids of whole texts by the tokenizers library, each distinct part being encoded once.
 
@@ -217,17 +234,28 @@ class Tokenizer:
 
         self.full = tokenizers.Tokenizer.from_file(path)
         self.model = self.full.model
-        self.most, self.known, self.words = most, {}, {}
+        self.most, self.known, self.words = most, _Parts(self), {}
+        self.used = True
+        common.kept(self)
         self.tails = {x: self._whole(x) for x in (".", ",")} | {"": b""}
         probe = ["word", "Word.", "THE,", "été", "Straße", "ÜBER,", "ciónñ.", "ÀÿØþ", "edtionrereinsh"]
         self.direct = all(self._direct(m) == self._whole(x) for x in probe for m in [_PLAIN.fullmatch(x)])
         self.words.clear()
 
+    def clear(self) -> None:
+        """Forgets the parts that were encoded, once a task has ended that did not use them."""
+        if not self.used:
+            self.known.clear()
+            self.words.clear()
+        self.used = False
+
     def _whole(self, part: str) -> bytes:
         return array("I", self.full.encode(part, add_special_tokens=False).ids).tobytes()
 
     def _direct(self, m: re.Match) -> bytes:
-        low = m[1].lower()
+        return self._word(m[1].lower()) + self.tails[m[2]]
+
+    def _word(self, low: str) -> bytes:
         ids = self.words.get(low)
         if ids is None:
             mapped = low if low.isascii() else "".join(map(_LETTERS.__getitem__, low.encode()))
@@ -236,31 +264,21 @@ class Tokenizer:
                 if len(self.words) >= self.most:
                     self.words.clear()
                 self.words[low] = ids
-        return ids + self.tails[m[2]]
+        return ids
 
     def part(self, part: str) -> bytes:
+        if self.direct and part.isascii():  # as _PLAIN has it
+            if part.isalpha():
+                return self._word(part.lower())
+            if part[-1] in ".," and part[:-1].isalpha():
+                return self._word(part[:-1].lower()) + self.tails[part[-1]]
+            return self._whole(part)
         m = _PLAIN.fullmatch(part) if self.direct else None
         return self._direct(m) if m else self._whole(part)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
-        out = []
-        for p in parts:
-            ids = known.get(p)
-            if ids is None:
-                ids = self.part(p) if p else b""
-                if len(p) <= 100:
-                    if len(known) >= self.most:
-                        known.clear()
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -270,6 +288,7 @@ def tokenizer(path: str) -> Tokenizer:
     if path not in _TOKENIZERS:
         _TOKENIZERS.clear()
         _TOKENIZERS[path] = Tokenizer(path)
+    _TOKENIZERS[path].used = True
     return _TOKENIZERS[path]
 
 

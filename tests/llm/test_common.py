@@ -68,3 +68,17 @@ def test_id_joins_are_the_same_either_way(spark, monkeypatch):
 def test_clashing_columns_stay_outside(spark):
     df = spark.range(2).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit(1).alias("held_out"))
     assert common.only(df, doc_id="long", text="string").columns == ["doc_id", "text"]
+
+
+def test_tokenizers_forget_parts_when_another_task_ends():
+    import public_tokenizers
+
+    from tessera.llm import simple8b
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = simple8b.tokenizer(path)
+    ids = enc.encode("some words of a text")
+    common.settle()
+    assert enc.known  # the task that ended has used them, and the next one may
+    common.settle()
+    assert not enc.known and not enc.words and simple8b.tokenizer(path).encode("some words of a text") == ids

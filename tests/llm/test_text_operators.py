@@ -444,3 +444,19 @@ def test_sequences_hold_the_ids_of_their_documents(spark):
 def test_bins_of_many_runs_keep_their_ids(spark):
     rows = packing.pack_pieces(spark.range(9000).selectExpr("7L AS doc_id", "int(400) AS length"), group_rows=1).select("bin_id", "bin_capacity").collect()
     assert len({r.bin_id for r in rows}) == 9000
+
+
+def test_plain_ascii_parts_take_no_pattern_and_get_the_library_s_ids(monkeypatch):
+    import public_tokenizers
+
+    from tessera.llm import simple8b
+
+    enc = simple8b.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+    class Never:
+        def fullmatch(self, part):
+            raise AssertionError(part)
+
+    monkeypatch.setattr(simple8b, "_PLAIN", Never())
+    for text in ("Some words, and THE end.", "x1 a-b  two  'q' .", ", . a. ,b"):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.full.encode(text, add_special_tokens=False).ids
