@@ -36,9 +36,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder, which outlives lost executors."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Computes df once into the shared checkpoint folder, which outlives lost executors. What was shuffled for it, and
+    tables that were cut before and are not used any more, are deleted: Spark does so only when the driver's JVM collects
+    its garbage, until when the files of all steps would stay on the executors' disks."""
+    spark = df.sparkSession
+    shared(spark)
+    # a frame of its own, as one that has run holds its shuffles as long as a caller holds it
+    out = df.select("*").checkpoint(eager=True)
+    settle_driver(spark)
+    return out
 
 
 def partitions(df: DataFrame) -> int:

@@ -1,5 +1,7 @@
 """Grouping over Arrow batches, caches and id joins."""
 
+import time
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -82,3 +84,19 @@ def test_tokenizers_forget_parts_when_another_task_ends():
     assert enc.known  # the task that ended has used them, and the next one may
     common.settle()
     assert not enc.known and not enc.words and simple8b.tokenizer(path).encode("some words of a text") == ids
+
+
+def test_cut_gives_back_what_was_shuffled(spark):
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    spark._jvm.System.gc()
+    time.sleep(1)
+    before = tracker.shuffleStatuses().size()
+    made = [spark.range(40).repartition(3, "id").groupBy((F.col("id") % (k + 2)).alias("k")).count() for k in range(6)]
+    cuts = [common.cut(df) for df in made]
+    end = time.time() + 10
+    # two shuffles each, of which Spark's threads may hold those of the last
+    while tracker.shuffleStatuses().size() > before + 2 and time.time() < end:
+        time.sleep(0.1)
+    assert tracker.shuffleStatuses().size() <= before + 2
+    assert [sorted(tuple(r) for r in df.collect()) for df in cuts] == [sorted(tuple(r) for r in df.collect()) for df in made]
+    assert [df.count() for df in cuts] == [k + 2 for k in range(6)]
