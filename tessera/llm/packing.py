@@ -113,9 +113,13 @@ def lengths(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", (words + 1).cast("long").alias("length"))
 
 
+#: Parts and words whose ids a worker keeps while it counts: the other cores' workers and the heap need the rest.
+MOST_KNOWN = 50_000
+
+
 def _token_lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = simple8b.tokenizer(path)
+        enc = simple8b.tokenizer(path, MOST_KNOWN)
         for batch in batches:
             n = [len(enc.encode(t)) // 4 + 1 if t else 1 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "length"])

@@ -38,6 +38,8 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = tuple(60 // n for n in COUNTS)
 #: Ids of a shard at most, unless one document has more.
 SHARD_IDS = 2_000_000
+#: Parts, and words, whose ids a worker keeps.
+MOST = 500_000
 
 
 _WIDTHS = sorted(set(BITS))
@@ -229,7 +231,7 @@ class Tokenizer:
     parts through its whole chain; a probe checks at the start that both agree for this vocabulary.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = MOST):
         import tokenizers
 
         self.full = tokenizers.Tokenizer.from_file(path)
@@ -281,15 +283,15 @@ class Tokenizer:
         return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_TOKENIZERS: dict[str, Tokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], Tokenizer] = {}
 
 
-def tokenizer(path: str) -> Tokenizer:
-    if path not in _TOKENIZERS:
+def tokenizer(path: str, most: int = MOST) -> Tokenizer:
+    if (path, most) not in _TOKENIZERS:
         _TOKENIZERS.clear()
-        _TOKENIZERS[path] = Tokenizer(path)
-    _TOKENIZERS[path].used = True
-    return _TOKENIZERS[path]
+        _TOKENIZERS[path, most] = Tokenizer(path, most)
+    _TOKENIZERS[path, most].used = True
+    return _TOKENIZERS[path, most]
 
 
 FILES = "shard long, first_doc long, data binary, doc_ids array<long>, sizes array<long>"

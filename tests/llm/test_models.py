@@ -298,8 +298,6 @@ def test_toxicity_is_the_same_however_many_words_and_pairs_there_are(spark, monk
     texts = [(k, f"plain talk number{k} about things") for k in range(40)] + [(k, f"plain talk number{k} you vile{k % 4} thing") for k in range(40, 80)]
     docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k, int(k >= 40)) for k in range(80)], "doc_id long, toxic int")
     want = toxicity.fit(docs, labels)
-    monkeypatch.setattr(toxicity, "MOST_WORDS", 4, raising=False)
-    monkeypatch.setattr(toxicity, "SLOT_BITS", 3, raising=False)
     monkeypatch.setattr(toxicity, "MOST_PAIRS", 8)
     monkeypatch.setattr(toxicity, "SLOTS", 64)
     monkeypatch.setattr(toxicity, "AT_ONCE", 50)
