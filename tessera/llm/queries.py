@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontam, itq, jaccard, langid, packing, pii, runs, simple8b, token_trie, toxicity, warc
+from . import common, decontam, itq, jaccard, langid, packing, pii, runs, simple8b, token_trie, toxicity, warc, word_table
 
 
 def op1_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.found(runs.planted(common.table(spark, sf_dir, "documents"))))
 
 
+def op13_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     import corpus_pipeline
