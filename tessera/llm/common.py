@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
+import uuid
 import weakref
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. Rows numbered by the tasks that make them keep their numbers, and columns that
+    a reader leaves out are not read."""
+    to = f"{shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(to)
+    return df.sparkSession.read.parquet(to)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from array import array
 from collections.abc import Iterator
 from pathlib import Path
@@ -62,18 +61,11 @@ def _blocked(schema: pa.Schema):
     return run
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its blocks are known by numbers that a task computed anew might change."""
-    to = f"{common.shared(df.sparkSession)}/words-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(to)
-    return df.sparkSession.read.parquet(to)
-
-
 def blocks(lists: DataFrame, of: str) -> DataFrame:
     """Rows (doc_id, list) in blocks; of: the type of what is listed."""
     spark = common.ship(lists.sparkSession)
     schema = BLOCK.format(of)
-    return _written(lists.mapInArrow(common.tidy(_blocked(common.arrow_schema(spark, schema))), schema))
+    return common.written(lists.mapInArrow(common.tidy(_blocked(common.arrow_schema(spark, schema))), schema))
 
 
 def split(docs: DataFrame) -> DataFrame:
