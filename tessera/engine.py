@@ -34,7 +34,7 @@ class Engine:
         planner = Planner(self.spark, m, self.responder, self.options or Options())
         found = planner.run(q)
         if self.graph.triples is not None:
-            found = found.unionByName(self.graph.triples.select("s", "p", "o", "o_kind")).distinct()
+            found = found.unionByName(self.graph.triples, allowMissingColumns=True).distinct()
         return q, Graph(self.graph.maps, found, self.graph.strings)
 
     def query(self, sparql: str, mapping: Mapping | str | None = None, mapping_path: str | None = None) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.relation import NUMERIC, Kind, Rel, _named
+from ..plans.relation import NUMBERS, NUMERIC, STRING_TAG, TAGGED, TYPED, WHOLE, Kind, Rel, _named, is_literal, term_class
 from ..plans.sparql import Call
-from ..plans.terms import XSD, BNode, Iri, Lit, UnsupportedQuery, Var
+from ..plans.terms import RDF, XSD, BNode, Iri, Lit, UnsupportedQuery, Var
 
 
 @dataclass(frozen=True)
 class E:
-    """A value: kind as in Rel; type num, int, str, bool, time or any; kinds: its kind's column if any."""
+    """A value: kind as in Rel; type num, int, str, bool, time or any; kinds: the column of its tag if any."""
 
     col: Column
     type: str
@@ -33,7 +33,49 @@ class E:
     def number(self) -> Column:
         if self.type in ("num", "int"):
             return self.col
-        return self.text.try_cast("double") if self.type == "any" else F.lit(None).cast("double")
+        if self.type != "any":
+            return F.lit(None).cast("double")
+        # what a source without types gives is read as a number where one is wanted
+        return F.when(self.kinds.isin("literal", *[TYPED + XSD + x for x in NUMBERS]), self.text.try_cast("double"))
+
+    @property
+    def tag(self) -> Column:
+        if self.kinds is not None:
+            return self.kinds
+        if self.kind.kind == "iri":
+            return F.when(self.col.isNotNull(), F.lit("iri"))
+        kind = {"num": "double", "int": "integer", "bool": "boolean", "time": "dateTime"}.get(self.type, "string")
+        return F.when(self.col.isNotNull(), F.lit(TAGGED + self.lang if self.lang else TYPED + XSD + kind))
+
+    @property
+    def family(self) -> Column:
+        """With which values it can be compared: n, b, t, s, u (text without a type), r (resources), or its own tag."""
+        if self.kinds is None:
+            return F.lit("r" if self.kind.kind == "iri" else {"num": "n", "int": "n", "bool": "b", "time": "t"}.get(self.type, "s"))
+        times = (TYPED + XSD + "dateTime", TYPED + XSD + "date")
+        return F.when(self.kinds == "literal", "u").when(self.kinds == TYPED + XSD + "boolean", "b").when(self.kinds.isin(*times), "t").otherwise(term_class(self.kinds))
+
+    @property
+    def whole(self) -> Column:
+        """As a whole number, null if it is none."""
+        if self.type == "int":
+            return self.col.cast("long")
+        return F.when(self.kinds.isin(*[TYPED + XSD + x for x in WHOLE]), self.text.try_cast("long")) if self.kinds is not None else F.lit(None).cast("long")
+
+    @property
+    def moment(self) -> Column:
+        return self.col.cast("timestamp") if self.type == "time" else self.text.try_cast("timestamp")
+
+    @property
+    def flag(self) -> Column:
+        return self.col if self.type == "bool" else self.text.try_cast("boolean")
+
+    @property
+    def order(self) -> list[Column]:
+        """What any terms are ordered by: unbound ones, blank nodes, IRIs, then numbers, times and other literals."""
+        f = self.family
+        rank = F.when(self.col.isNull(), 0).when((f == "r") & self.text.startswith("_:"), 1).when(f == "r", 2).when(f == "n", 3).when(f == "t", 4).when(f == "b", 5).otherwise(6)
+        return [rank, F.when(f == "n", self.number), F.when(f == "n", self.whole), F.when(f == "t", self.moment), self.text]
 
     @property
     def true(self) -> Column:
@@ -42,6 +84,9 @@ class E:
             return self.col
         if self.type in ("num", "int"):
             return (self.col != 0) & ~F.isnan(self.col.cast("double"))
+        if self.type == "any":
+            f = self.family
+            return F.when(f == "n", (self.number != 0) & ~F.isnan(self.number)).when(f == "b", self.flag).when(f.isin("s", "u"), F.length(self.col) > 0)
         if self.type in ("str", "any") and self.kind.kind != "iri":
             return F.length(self.col) > 0
         return F.lit(None).cast("boolean")
@@ -79,9 +124,8 @@ def _same(a: E, b: E) -> Column:
     if "iri" in (ka, kb) and "lit" in (ka, kb):
         return F.when(a.col.isNotNull() & b.col.isNotNull(), F.lit(False))
     if "any" in (ka, kb):
-        if a.type in ("num", "int") or b.type in ("num", "int"):
-            return a.number == b.number
-        return a.text == b.text
+        one, other = a.family == "r", b.family == "r"
+        return F.when(one & other, a.text == b.text).when(one | other, F.when(a.col.isNotNull() & b.col.isNotNull(), F.lit(False))).otherwise(_ordered(a, b, lambda x, y: x == y))
     return _ordered(a, b, lambda x, y: x == y)
 
 
@@ -89,17 +133,26 @@ def _ordered(a: E, b: E, op) -> Column:
     nums = ("num", "int")
     if a.type in nums and b.type in nums:
         return op(a.col, b.col)
-    if "any" in (a.type, b.type) and (a.type in nums or b.type in nums):
-        return op(a.number, b.number)
+    if "any" in (a.type, b.type):
+        return _ordered_any(a, b, op)
     if "time" in (a.type, b.type):
-        if a.type in ("time", "str", "any") and b.type in ("time", "str", "any"):
+        if a.type in ("time", "str") and b.type in ("time", "str"):
             return op(a.col.try_cast("timestamp") if a.type != "time" else a.col, b.col.try_cast("timestamp") if b.type != "time" else b.col)
         return F.lit(None).cast("boolean")
-    if a.type == b.type or {a.type, b.type} <= {"str", "any"}:
-        return op(a.col, b.col) if a.type == b.type == "bool" else op(a.text, b.text)
+    if a.type == b.type:
+        return op(a.col, b.col) if a.type == "bool" else op(a.text, b.text)
     return F.lit(None).cast("boolean")
 
 
+def _ordered_any(a: E, b: E, op) -> Column:
+    """Compares terms of any kind; those of unlike kinds are an error. Text without a type is what the other side is."""
+    x, y = a.family, b.family
+    either = lambda f: x.isin(f, "u") & y.isin(f, "u") & ((x == f) | (y == f))
+    out = F.when(a.whole.isNotNull() & b.whole.isNotNull(), op(a.whole, b.whole))
+    out = out.when(either("n"), op(a.number, b.number)).when(either("t"), op(a.moment, b.moment)).when(either("b"), op(a.flag, b.flag))
+    return out.when(x.isin("s", "u") & y.isin("s", "u") | (x == y), op(a.text, b.text))
+
+
 _CASTS = {"integer": ("long", "int"), "int": ("int", "int"), "long": ("long", "int"), "double": ("double", "num"), "float": ("float", "num"), "decimal": ("decimal(38,10)", "num"), "string": ("string", "str"), "boolean": ("boolean", "bool"), "dateTime": ("timestamp", "time")}
 
 
@@ -196,13 +249,16 @@ class Expressions:
     def _merged(self, values: list[E], merge) -> E:
         kinds = {v.kind for v in values}
         types = {v.type for v in values}
-        if len(kinds) == 1 and len(types) == 1:
+        if len(kinds) == 1 and len(types) == 1 and len({v.lang for v in values}) == 1:
             v = values[0]
             return E(merge([x.col for x in values]), v.type, v.kind, merge([x.kinds for x in values]) if v.kinds is not None else None)
         if types <= {"num", "int"}:
             return E(merge([x.col.cast("double") for x in values]), "num")
-        kind = Kind("iri") if all(k.kind == "iri" for k in kinds) else Kind("lit")
-        return E(merge([x.text for x in values]), "str", kind)
+        if all(k.kind == "iri" for k in kinds):
+            return E(merge([x.text for x in values]), "str", Kind("iri"))
+        if all(k.kind == "lit" for k in kinds) and types == {"str"} and len({v.lang for v in values}) == 1:
+            return E(merge([x.text for x in values]), "str", lang=values[0].lang)
+        return E(merge([x.text for x in values]), "any", Kind("any"), merge([x.tag for x in values]))
 
     def _arithmetic(self, f: str, a: list[E]) -> E:
         x = a[0].number
@@ -232,16 +288,16 @@ class Expressions:
         return E(a.text, "str")
 
     def f_lang(self, a: E) -> E:
-        return E(F.when(a.col.isNotNull(), F.lit(a.lang or "")), "str") if a.kind.kind != "iri" else E(F.lit(None).cast("string"), "str")
+        tag = a.tag
+        return E(F.when(tag.startswith(TAGGED), F.substr(tag, F.lit(len(TAGGED) + 1))).when(is_literal(tag), F.lit("")), "str")
 
     def f_langmatches(self, a: E, b: E) -> E:
         tag, want = F.lower(a.text), F.lower(b.text)
         return E(F.when(want == "*", tag != "").otherwise((tag == want) | tag.startswith(F.concat(want, F.lit("-")))), "bool")
 
     def f_datatype(self, a: E) -> E:
-        name = {"num": "double", "int": "integer", "bool": "boolean", "time": "dateTime"}.get(a.type, "string")
-        none = a.kind.kind == "iri"
-        return E(F.when(a.col.isNotNull() & F.lit(not none), F.lit(XSD + name)), "str", Kind("iri"))
+        tag = a.tag
+        return E(F.when(tag.startswith(TYPED), F.substr(tag, F.lit(len(TYPED) + 1))).when(tag.startswith(TAGGED), F.lit(RDF + "langString")).when(tag == "literal", F.lit(XSD + "string")), "str", Kind("iri"))
 
     def f_iri(self, a: E) -> E:
         return E(a.text, "str", Kind("iri"))
@@ -252,15 +308,15 @@ class Expressions:
         return E(F.concat(F.lit("_:"), F.sha1(a[0].text) if a else F.uuid()), "str", Kind("iri"))
 
     def f_strdt(self, a: E, b: E) -> E:
-        return E(a.text, "str")
+        return E(a.text, "any", Kind("any"), F.when(a.col.isNotNull(), F.concat(F.lit(TYPED), b.text)))
 
     def f_strlang(self, a: E, b: E) -> E:
-        return E(a.text, "str")
+        return E(a.text, "any", Kind("any"), F.when(a.col.isNotNull(), F.concat(F.lit(TAGGED), b.text)))
 
     def _is(self, a: E, want: str) -> E:
         if a.kinds is not None:
             blank = a.text.startswith("_:")
-            found = {"iri": (a.kinds == "iri") & ~blank, "blank": blank & (a.kinds != "literal"), "literal": a.kinds == "literal"}[want]
+            found = {"iri": (a.kinds == "iri") & ~blank, "blank": blank & ~is_literal(a.kinds), "literal": is_literal(a.kinds)}[want]
         elif a.kind.kind == "iri":
             blank = a.text.startswith("_:")
             found = {"iri": ~blank, "blank": blank, "literal": F.lit(False)}[want]
@@ -280,12 +336,14 @@ class Expressions:
         return self._is(a, "literal")
 
     def f_isnumeric(self, a: E) -> E:
-        return E(F.when(a.col.isNotNull(), F.lit(a.type in ("num", "int"))), "bool")
+        return E(F.when(a.col.isNotNull(), a.family == "n"), "bool")
 
     def f_sameterm(self, a: E, b: E) -> E:
         if "any" not in (a.kind.kind, b.kind.kind) and a.kind.kind != b.kind.kind or a.kind.kind == b.kind.kind == "lit" and a.type != b.type:
             return E(F.when(a.col.isNotNull() & b.col.isNotNull(), F.lit(False)), "bool")
-        return E(a.text == b.text, "bool")
+        if "any" in (a.kind.kind, b.kind.kind):
+            return E((a.text == b.text) & (F.when(a.tag == "literal", STRING_TAG).otherwise(F.lower(a.tag)) == F.when(b.tag == "literal", STRING_TAG).otherwise(F.lower(b.tag))), "bool")
+        return E((a.text == b.text) & F.lit(a.lang == b.lang), "bool")
 
     # strings
 
@@ -411,6 +469,24 @@ def encoded(c: Column) -> Column:
     return F.replace(F.replace(out, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def literal_equal(v: Column, t: T.DataType | None, x: Lit) -> Column:
+    """Whether a column of a type, or of plain text if None, has the literal's value."""
+    if t is None:
+        return v == x.value
+    c, mine = literal(x), type_of(t)
+    if x.lang is not None:
+        return F.lit(False)
+    if {mine, c.type} <= {"int", "num"} or mine == c.type:
+        return v == c.col
+    if mine == "time":
+        return v == F.lit(x.value).try_cast("timestamp")
+    return F.lit(False)
+
+
+def literal_tag(x: Lit) -> str:
+    return TAGGED + x.lang if x.lang else TYPED + (x.datatype or XSD + "string")
+
+
 def key_equal(col: Column, t: T.DataType, prefix: str, iri: str) -> Column:
     """Whether prefix + key is the IRI: a comparison of the native key, which reaches the scan."""
     if not iri.startswith(prefix):

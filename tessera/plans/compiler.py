@@ -7,18 +7,18 @@ or IRI take no part. Plain triples are joined as strings.
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import E, Expressions, key_equal, literal, type_of
+from ..functions.expressions import E, Expressions, key_equal, literal, literal_equal, literal_tag, type_of
 from ..shipping import shared_folder
-from ..sources.graph import Graph, SubjectMap, as_triples
+from ..sources.graph import Graph, SubjectMap, as_triples, shared_predicates
 from ..sources.graph import bound as has_key
-from .relation import Kind, Rel, _named, apart, beside, joined, key_text, left_joined, name, semi_joined, unioned
+from .relation import TAGGED, TYPED, Kind, Rel, _named, apart, beside, is_literal, joined, key_text, left_joined, name, semi_joined, tag_of, term_class, unioned
 from .sparql import Aggregate, Call, Exists, Group, Path, Select, Triple, variables
-from .terms import RDF_TYPE, Iri, Lit, UnsupportedQuery, Var
+from .terms import RDF_TYPE, XSD, Iri, Lit, UnsupportedQuery, Var
 
 UNIT = Rel(None)
 
@@ -38,6 +38,16 @@ def _vars(*terms) -> set[str]:
     return {t.name for t in terms if isinstance(t, Var)}
 
 
+@dataclass(frozen=True)
+class Domain:
+    """What a group inside EXISTS is evaluated for: the distinct bindings of the outer variables that it mentions, each
+    with an id. Outer variables stand for constants in there, at any depth, so nested groups start with them too.
+    outer: their names and that of the id."""
+
+    start: Rel
+    outer: frozenset[str]
+
+
 class Compiler:
     def __init__(self, spark: SparkSession, graph: Graph):
         self.spark, self.graph = spark, graph
@@ -49,8 +59,8 @@ class Compiler:
 
     # groups
 
-    def group(self, g: Group) -> Rel:
-        out, waiting, filters = UNIT, [], []
+    def group(self, g: Group, domain: Domain | None = None) -> Rel:
+        out, waiting, filters = domain.start if domain else UNIT, [], []
 
         def close():
             nonlocal out
@@ -58,7 +68,7 @@ class Compiler:
                 out = joined(out, self.patterns(waiting))
                 waiting.clear()
 
-        for kind, x in g.elements:
+        for kind, x in _triples_first(g.elements) if domain else g.elements:
             if kind == "triple":
                 waiting.append(x)
                 continue
@@ -67,13 +77,13 @@ class Compiler:
                 continue
             close()
             if kind == "optional":
-                out = self.optional(out, x)
+                out = self.optional(out, x, domain)
             elif kind == "minus":
-                out = semi_joined(out, self.group(x), False, minus=True)
+                out = semi_joined(out, self.nested(out, x, domain), False, minus=True, outer=domain.outer if domain else frozenset())
             elif kind == "group":
-                out = joined(out, self.group(x))
+                out = joined(out, self.nested(out, x, domain))
             elif kind == "union":
-                parts = [self.group(p) for p in x]
+                parts = [self.nested(out, p, domain) for p in x]
                 rel = parts[0]
                 for p in parts[1:]:
                     rel = unioned(rel, p)
@@ -87,16 +97,32 @@ class Compiler:
         close()
         return self.filtered(out, filters)
 
-    def optional(self, left: Rel, g: Group) -> Rel:
+    def nested(self, out: Rel, g: Group, domain: Domain | None) -> Rel:
+        """A group within one whose solutions so far are out. In a domain it starts with the outer bindings, and with the
+        values in out of what its own first triples bind, which only leaves out what would not join anyway."""
+        if domain is None:
+            return self.group(g)
+        if domain.start.maybe & domain.outer:  # out may have bound them, which the group doesn't see
+            return self.group(g, domain)
+        known = [v for v in out.kinds if v in domain.outer or v in _bound_first(g) and v not in out.maybe and not out.kinds[v].nameless]
+        start = out.keep(known)
+        return self.group(g, Domain(replace(start, df=start.df.distinct()), domain.outer))
+
+    def optional(self, left: Rel, g: Group, domain: Domain | None = None) -> Rel:
         """Filters of the group itself see the variables of both sides, so they join the condition."""
         inner = Group(tuple(e for e in g.elements if e[0] != "filter"))
         conditions = [e for k, e in g.elements if k == "filter"]
-        right = self.group(inner)
-        own = [e for e in conditions if _used(e) <= set(right.kinds) and not _has_exists(e)]
+        right = self.nested(left, inner, domain)
+        own = [e for e in conditions if (_used(e) | _mentioned_by(e) & set(left.kinds)) - {"."} <= set(right.kinds)]
         rest = [e for e in conditions if e not in own]
-        if any(_has_exists(e) for e in rest):
-            raise UnsupportedQuery("EXISTS over variables of both sides of an OPTIONAL")
         right = self.filtered(right, own)
+        if any(_has_exists(e) for e in rest):
+            # solutions of both sides are filtered; those of the left of which none is left stay alone
+            left, known = self.numbered(left, list(left.kinds))
+            both = self.filtered(joined(left, right), rest)
+            alone = replace(left, df=left.df.join(both.df.select(name(known)), name(known), "left_anti"))
+            out = unioned(both, alone)
+            return out.keep([v for v in out.kinds if v != known])
 
         def condition(scope: Rel):
             ex = Expressions(scope)
@@ -107,6 +133,13 @@ class Compiler:
 
         return left_joined(left, right, condition if rest else None)
 
+    def numbered(self, rel: Rel, names: list[str]) -> tuple[Rel, str]:
+        """The relation with a variable that tells apart the bindings of some others, unbound ones among them."""
+        known = self.temp()
+        df = rel.frame(self.spark)
+        columns = rel.keep(names).columns()
+        return replace(rel, df=df.withColumn(name(known), F.struct(*columns) if columns else F.struct(F.lit(0).alias("none"))), kinds=rel.kinds | {known: Kind()}), known
+
     def filtered(self, rel: Rel, filters: list) -> Rel:
         plain = []
         for e in filters:
@@ -128,6 +161,10 @@ class Compiler:
         return rel
 
     def exists(self, rel: Rel, e: Exists) -> Rel:
+        """Solutions for which the group has one, or none. Where outer variables occur only in what its own patterns join
+        on, and in its own filters, that is one semi-join; else see correlated()."""
+        if not _plain(e.group, set(rel.kinds)):
+            return self.correlated(rel, e)
         inner = Group(tuple(x for x in e.group.elements if x[0] != "filter"))
         right = self.group(inner)
         conditions = [x for k, x in e.group.elements if k == "filter"]
@@ -144,14 +181,30 @@ class Compiler:
 
         return semi_joined(rel, right, not e.negated, condition if outer else None)
 
+    def correlated(self, rel: Rel, e: Exists) -> Rel:
+        """EXISTS whose nested groups use outer variables: evaluated once for each distinct binding of these."""
+        seen = _mentioned(e.group)
+        mine = [v for v in rel.kinds if v in seen]
+        if not mine:
+            return semi_joined(rel, self.group(e.group).keep([]), not e.negated)
+        for v in mine:
+            _named(rel.kinds[v])
+        rel, known = self.numbered(rel, mine)
+        start = rel.keep([*mine, known])
+        start = replace(start, df=start.df.distinct())
+        hold = self.group(e.group, Domain(start, frozenset(start.kinds)))
+        df = rel.df.join(hold.df.select(name(known)), name(known), "left_anti" if e.negated else "left_semi")
+        out = replace(rel, df=df)
+        return out.keep([v for v in out.kinds if v != known])
+
     def flagged(self, rel: Rel, e) -> tuple[Rel, dict]:
         """Columns that tell whether EXISTS inside an expression holds: it depends on the values that a row
         shares with the pattern, so each combination of them is tested once."""
         flags = {}
         for x in _exists_in(e):
             rel = replace(rel, df=rel.frame(self.spark))
-            column = f"flag_{len(flags)}"
-            seen = set(variables(x.group)) | _used_in(x.group)
+            column = "flag" + self.temp().replace(".", "_")
+            seen = _mentioned(x.group)
             mine = [v for v in rel.kinds if v in seen]
             for v in mine:
                 _named(rel.kinds[v])
@@ -192,6 +245,8 @@ class Compiler:
             else:
                 kinds[v] = Kind("any") if whole == {True, False} else Kind("lit")
             types = {literal(x).type for x in given if isinstance(x, Lit)}
+            if len(types) > 1 and types != {"int", "num"} or any(isinstance(x, Lit) and (x.lang or literal_tag(x)[len(TYPED) :] != XSD + "string" and literal(x).type == "str") for x in given):
+                kinds[v], types = Kind("any"), set()
             kind = {"int": "long", "num": "double", "bool": "boolean", "time": "timestamp"}.get(types.copy().pop(), "string") if len(types) == 1 and whole == {False} else "double" if types == {"int", "num"} else "string"
             cells.append((v, kind))
         fields, data = [], []
@@ -205,7 +260,7 @@ class Compiler:
                 value = None if x is None else x.value if isinstance(x, Iri) or kind in ("string", "timestamp") else x.python()
                 row.append(float(value) if kind == "double" and value is not None else value)
                 if kinds[v].kind == "any":
-                    row.append(None if x is None else "iri" if isinstance(x, Iri) else "literal")
+                    row.append(None if x is None else "iri" if isinstance(x, Iri) else literal_tag(x))
             data.append(tuple(row))
         if not fields:
             return UNIT
@@ -267,7 +322,7 @@ class Compiler:
                 rel = parts[0]
                 for p in parts[1:]:
                     rel = unioned(rel, p)
-                out = joined(out, rel)
+                out = joined(out, _once(rel) if len(parts) > 1 else rel)
             return out
         rels = []
         for prefix in dict.fromkeys(m.prefix for m in self.graph.maps):
@@ -288,7 +343,7 @@ class Compiler:
                     for m in per[mine[0]]:
                         part = self.scan(m, s, mine)
                         rel = part if rel is None else unioned(rel, part)
-                    out = joined(out, rel)
+                    out = joined(out, _once(rel))  # a triple that two maps give is one
                 left = [t for t in left if t not in mine]
             rels.append(out)
         if not rels:
@@ -298,6 +353,19 @@ class Compiler:
             out = unioned(out, r)
         return out
 
+    def any_of(self, maps: list[SubjectMap], native: bool, s, o, without: frozenset[str]) -> list[DataFrame]:
+        """Triples of maps; repeats are looked for only among predicates that several maps of one prefix give."""
+        shared = shared_predicates(maps)
+        frames = [as_triples(m, native, s, o, without | shared[m.prefix], strings=self.graph.strings) for m in maps]
+        for prefix, names in shared.items():
+            if names := names - without:
+                parts = [as_triples(m, native, s, o, without, names, self.graph.strings) for m in maps if m.prefix == prefix]
+                both = parts[0]
+                for x in parts[1:]:
+                    both = both.union(x)
+                frames.append(both.distinct())
+        return frames
+
     def nothing(self, names: set[str]) -> Rel:
         kinds = {v: Kind("iri") for v in sorted(names)}
         df = self.spark.range(0).select(*[F.lit(None).cast("string").alias(name(v)) for v in kinds] or [F.lit(True).alias("unit")])
@@ -346,26 +414,16 @@ class Compiler:
             elif isinstance(t.o, Iri):
                 tests.append(key_equal(v, t_type, c.link, t.o.value))
             else:
-                tests.append(self.literal_test(v, t_type if not self.graph.strings else None, t.o))
+                tests.append(literal_equal(v, t_type if not self.graph.strings else None, t.o))
         for x in tests:
             df = df.where(x)
         rel = Rel(df.select(*[c.alias(name(n)) for n, (c, _) in cols.items()] or [F.lit(True).alias("unit")]), {n: k for n, (_, k) in cols.items()})
         return rel
 
-    def literal_test(self, v, t, x: Lit):
-        c = literal(x)
-        if t is None:
-            return v == x.value
-        mine = type_of(t)
-        if {mine, c.type} <= {"int", "num"} or mine == c.type:
-            return v == c.col
-        if mine == "time":
-            return v == F.lit(x.value).try_cast("timestamp")
-        return F.lit(False)
-
     def stored(self, t: Triple, subject: Kind = Kind("iri")) -> Rel:
         """A pattern over the plain triples. subject: what s holds."""
         df = self.graph.triples
+        tag = tag_of(F.col("o_kind"), *[F.col(c) if c in df.columns else None for c in ("o_datatype", "o_lang")])
         cols: dict[str, list] = {}
 
         def place(term, column, kind):
@@ -375,8 +433,13 @@ class Compiler:
                     return [F.col(column) == first]
                 cols[term.name] = [F.col(column), kind, column]
                 return []
+            if column == "o" and isinstance(term, Lit):
+                given, one = E(F.col("o"), "any", Kind("any"), tag), literal(term)
+                if one.type in ("int", "num"):
+                    return [is_literal(tag), given.number == one.col]
+                return [F.col("o") == term.value, is_literal(tag), (tag == "literal") | (term_class(tag) == term_class(F.lit(literal_tag(term))))]
             if column == "o":
-                return [F.col("o") == term.value, (F.col("o_kind") == "literal") == F.lit(isinstance(term, Lit))]
+                return [F.col("o") == term.value, ~is_literal(tag)]
             return [F.col(column) == term.value]
 
         for x in place(t.s, "s", subject) + place(t.p, "p", Kind("iri")) + place(t.o, "o", Kind("any")):
@@ -386,7 +449,7 @@ class Compiler:
             out.append(c.alias(name(v)))
             kinds[v] = kind
             if kind.kind == "any":
-                out.append(F.col("o_kind").alias(beside(v)))
+                out.append(tag.alias(beside(v)))
         return Rel(df.select(*out or [F.lit(True).alias("unit")]), kinds)
 
     def any_predicate(self, t: Triple, beside: Rel = UNIT, without: frozenset[str] = frozenset()) -> Rel:
@@ -399,15 +462,17 @@ class Compiler:
             maps = [m for m in maps if not apart(beside.kinds[t.s.name], Kind("iri", m.prefix))]
         native = isinstance(t.s, Var) and t.s not in (t.p, t.o) and self.graph.triples is None and len({(m.prefix, m.key and m.frame.schema[m.key].dataType) for m in maps}) == 1
         o = None if isinstance(t.o, Var) else t.o
-        frames = [as_triples(m, native, t.s, o, without) for m in maps]
+        frames = self.any_of(maps, native, t.s, o, without)
         if self.graph.triples is not None:
-            kept = self.graph.triples.select("s", "p", "o", "o_kind")
+            kept = self.graph.triples
             frames.append(kept.where(~F.col("p").isin(*sorted(without))) if without else kept)
         if not frames:
             return self.nothing(_vars(t.s, t.p, t.o))
         df = frames[0]
         for x in frames[1:]:
-            df = df.union(x)
+            df = df.unionByName(x, allowMissingColumns=True)
+        if self.graph.triples is not None and maps:
+            df = df.distinct()
         return Compiler(self.spark, Graph([], df)).stored(t, Kind("iri", maps[0].prefix) if native else Kind("iri"))
 
     # property paths
@@ -500,7 +565,9 @@ class Compiler:
         if found or q.group_by:
             rel, aggregates = self.grouped(rel, q, found)
             for e in q.having:
-                rel = rel.where(Expressions(rel, aggregates).condition(e))
+                rel, flags = self.flagged(rel, e)
+                rel = rel.where(Expressions(rel, aggregates, flags).condition(e))
+                rel = replace(rel, df=rel.df.drop(*flags.values())) if flags else rel
         names = []
         for v, e in q.projection:
             names.append(v)
@@ -519,15 +586,12 @@ class Compiler:
             rel = rel.keep(names)
             rel = replace(rel, df=rel.df.distinct())
         if q.order_by:
-            ex = Expressions(rel, aggregates)
             keys = []
             for e, up in q.order_by:
-                v = ex(e)
-                c = v.col if v.kind.prefix is None else v.text
-                if v.kinds is not None:  # unbound, blank, IRI, literal
-                    rank = F.when(v.col.isNull(), 0).when(v.kinds == "bnode", 1).when(v.kinds == "iri", 2).otherwise(3)
-                    keys.append(rank.asc() if up else rank.desc())
-                keys.append(c.asc_nulls_first() if up else c.desc_nulls_last())
+                rel, flags = self.flagged(rel, e)
+                v = Expressions(rel, aggregates, flags)(e)
+                for c in v.order if v.kinds is not None else [v.col if v.kind.prefix is None else v.text]:
+                    keys.append(c.asc_nulls_first() if up else c.desc_nulls_last())
             rel = replace(rel, df=rel.df.orderBy(*keys))
         if q.offset:
             rel = replace(rel, df=rel.df.offset(q.offset))
@@ -540,32 +604,38 @@ class Compiler:
         for v, e in q.group_by:
             if not (isinstance(e, Var) and e.name == v):
                 v = v or self.temp()
-                rel = self.put(rel, v, Expressions(rel)(e))
+                rel, flags = self.flagged(rel, e)
+                rel = self.put(rel, v, Expressions(rel, flags=flags)(e))
             elif v not in rel.kinds:
                 rel = self.put(rel, v, E(F.lit(None).cast("string"), "str"))
             _named(rel.kinds[v])
             keys.append(v)
-        ex = Expressions(rel)
+        flags = {}
+        for a in found:
+            rel, more = self.flagged(rel, a.arg)
+            flags |= more
+        ex = Expressions(rel, flags=flags)
         cols, kinds, names, after = [], {}, {}, {}
         for a in found:
             v = self.temp()
             col, kind, done = self.aggregate(rel, ex, a)
             cols.append(col.alias(name(v)))
             kinds[v], names[a] = kind, v
-            if done is not None:
-                after[name(v)] = done
+            if kind.kind == "any":
+                after[v] = done
         group = [c for v in keys for c in ([name(v), beside(v)] if rel.kinds[v].kind == "any" else [name(v)])]
         if cols:
             df = rel.df.groupBy(*group).agg(*cols) if keys else rel.df.agg(*cols)
         else:
             df = rel.df.select(*group).distinct()
-        for c, done in after.items():
-            df = df.withColumn(c, done(F.col(c)))
+        for v, done in after.items():
+            for c, part in zip((beside(v), name(v)), done(F.col(name(v)))):
+                df = df.withColumn(c, part)
         out = Rel(df, {v: rel.kinds[v] for v in keys} | kinds, frozenset(v for v in keys if v in rel.maybe) | {v for a, v in names.items() if a.name != "count"})
         return out, names
 
     def aggregate(self, rel: Rel, ex: Expressions, a: Aggregate):
-        """The column, its kind, and what is still done to it."""
+        """The column, its kind, and if that is any what of the column are the term's tag and text."""
         if a.arg is None:
             if not a.distinct:
                 return F.count(F.lit(1)), Kind(), None
@@ -573,7 +643,10 @@ class Compiler:
             return F.countDistinct(F.struct(*cols)), Kind(), None
         v = ex(a.arg)
         if a.name == "count":
-            return (F.countDistinct(v.text) if v.kind.kind != "lit" else F.countDistinct(v.col)) if a.distinct else F.count(v.col), Kind(), None
+            if a.distinct:
+                one = v.col if v.kind.kind == "lit" else v.text if v.kind.kind == "iri" else F.when(v.col.isNotNull(), F.struct(v.text, term_class(v.tag)))
+                return F.countDistinct(one), Kind(), None
+            return F.count(v.col), Kind(), None
         if a.name in ("sum", "avg"):
             n = v.number
             c = {("sum", False): F.sum, ("sum", True): F.sum_distinct, ("avg", False): F.avg, ("avg", True): lambda x: F.sum_distinct(x) / F.countDistinct(x)}[a.name, a.distinct](n)
@@ -584,6 +657,9 @@ class Compiler:
             f = F.max if a.name == "max" else F.min
             if v.kind.kind == "iri":
                 return f(v.text), Kind("iri"), None
+            if v.kind.kind == "any":
+                whole = F.struct(F.struct(*[c.alias(f"k{k}") for k, c in enumerate(v.order)]).alias("key"), v.tag.alias("tag"), v.text.alias("text"))
+                return f(F.when(v.col.isNotNull(), whole)), Kind("any"), lambda c: (c["tag"], c["text"])
             return f(v.col), Kind(), None
         text = v.text
         got = F.collect_set(text) if a.distinct else F.collect_list(text)
@@ -596,20 +672,27 @@ class Compiler:
         return df, rel.kinds
 
     def solutions(self, q: Select) -> DataFrame:
-        """A struct (type, value, datatype) for each variable, null if unbound."""
+        """A struct (type, value, datatype, xml:lang) for each variable, null if unbound."""
         rel = self.select(q)
         cols = []
         for v, k in rel.kinds.items():
             t = type_of(rel.type(v)) if k.kind == "lit" else "str"
-            datatype = {"int": "integer", "num": "double", "bool": "boolean", "time": "dateTime"}.get(t)
             text = F.date_format(rel.col(v), "yyyy-MM-dd'T'HH:mm:ss") if t == "time" else rel.text(v)
-            kind = F.when(text.startswith("_:") & (rel.kind_col(v) != "literal"), F.lit("bnode")).when(rel.kind_col(v) == "literal", F.lit("literal")).otherwise(F.lit("uri"))
-            from .terms import XSD
-
-            cols.append(F.when(rel.col(v).isNotNull(), F.struct(kind.alias("type"), text.alias("value"), F.lit(XSD + datatype if datatype else None).cast("string").alias("datatype"))).alias(v))
+            tag = rel.kind_col(v)
+            kind = F.when(is_literal(tag), F.lit("literal")).when(text.startswith("_:"), F.lit("bnode")).otherwise(F.lit("uri"))
+            type_ = F.when(tag.startswith(TYPED) & (tag != TYPED + XSD + "string"), F.substr(tag, F.lit(len(TYPED) + 1)))
+            lang = F.when(tag.startswith(TAGGED), F.substr(tag, F.lit(len(TAGGED) + 1)))
+            cols.append(F.when(rel.col(v).isNotNull(), F.struct(kind.alias("type"), text.alias("value"), type_.alias("datatype"), lang.alias("xml:lang"))).alias(v))
         return rel.df.select(*cols)
 
 
+def _once(rel: Rel) -> Rel:
+    """A set of solutions."""
+    for k in rel.kinds.values():
+        _named(k)
+    return replace(rel, df=rel.df.distinct())
+
+
 def _checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -625,23 +708,82 @@ def _used(e) -> set[str]:
     if isinstance(e, Call):
         return set().union(*[_used(x) for x in e.args]) if e.args else set()
     if isinstance(e, Aggregate):
-        return _used(e.arg)
+        return _used(e.arg) if e.arg is not None else set()
     return {"."} if isinstance(e, Exists) else set()
 
 
-def _used_in(g: Group) -> set[str]:
-    """Variables that conditions of a group use, at any depth."""
-    out: set[str] = set()
+def _mentioned_by(e) -> set[str]:
+    """Variables that an expression mentions, also in the groups of EXISTS."""
+    return (_used(e) - {"."}).union(*[_mentioned(x.group) for x in _exists_in(e)])
+
+
+def _mentioned(g: Group) -> set[str]:
+    """Variables that a group mentions at any depth, but for those that a sub-select keeps to itself."""
+    out = set(variables(g))
     for kind, x in g.elements:
         if kind == "filter":
-            out |= _used(x).union(*[_used_in(y.group) | set(variables(y.group)) for y in _exists_in(x)])
+            out |= _mentioned_by(x)
+        elif kind == "bind":
+            out |= _mentioned_by(x[1])
         elif kind in ("optional", "minus", "group"):
-            out |= _used_in(x)
+            out |= _mentioned(x)
         elif kind == "union":
-            out = out.union(*[_used_in(y) for y in x])
+            out = out.union(*[_mentioned(y) for y in x])
+    return out
+
+
+#: Elements whose order does not matter.
+_JOINS = ("triple", "group", "union", "values", "select")
+
+
+def _triples_first(elements) -> list:
+    """Among elements that are only joined triples come first, as they tell nested groups where to look."""
+    out, run = [], []
+    for e in [*elements, ("", None)]:
+        if e[0] in _JOINS:
+            run.append(e)
+            continue
+        out += sorted(run, key=lambda x: x[0] != "triple")
+        run = []
+        if e[0]:
+            out.append(e)
     return out
 
 
+def _bound_first(g: Group) -> set[str]:
+    """Variables of the triples that a group begins with, before anything whose result may depend on them."""
+    out: set[str] = set()
+    for kind, x in g.elements:
+        if kind == "triple":
+            out |= _vars(x.s, x.p, x.o)
+        elif kind not in _JOINS and kind != "filter":
+            break
+    return out
+
+
+def _plain(g: Group, outer: set[str]) -> bool:
+    """Whether outer variables have no part in a group but as what its patterns bind and its own filters compare."""
+    mine = outer - _bound_first(g)
+    for kind, x in g.elements:
+        if kind == "filter" and _has_exists(x) or kind == "bind" and _mentioned_by(x[1]) & outer:
+            return False
+        if kind in ("optional", "minus") and _mentioned(x) & (mine if kind == "optional" and _alike(x) else outer):
+            return False
+        if any(not _within(p, outer) for p in (x if kind == "union" else (x,) if kind == "group" else ())):
+            return False
+    return True
+
+
+def _alike(g: Group) -> bool:
+    return all(k == "triple" or k == "filter" and not _has_exists(x) for k, x in g.elements)
+
+
+def _within(g: Group, outer: set[str]) -> bool:
+    """As _plain, for a nested group, whose filters don't see the outer row by a join."""
+    seen = outer - _bound_first(g)
+    return _plain(g, outer) and not any(kind == "filter" and _used(x) & seen for kind, x in g.elements)
+
+
 def _exists_in(e) -> list[Exists]:
     if isinstance(e, Exists):
         return [e]

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .terms import UnsupportedQuery
+from .terms import XSD, UnsupportedQuery
 
 
 @dataclass(frozen=True)
 class Kind:
-    """kind: iri, lit, or any (a string whose kind stands in a column beside it). prefix: of an iri whose
+    """kind: iri, lit, or any (a string whose tag stands in a column beside it, see tag_of). prefix: of an iri whose
     column holds the native key behind it, a struct if several columns are the key; None for whole IRIs.
     nameless: rows without any key, which can be counted but neither joined, grouped nor shown."""
 
@@ -23,6 +23,46 @@ class Kind:
     nameless: bool = False
 
 
+NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+
+#: A tag tells what a term's text is: iri, bnode, "literal" (text of a source without types), or one of these before the
+#: datatype's IRI or the language.
+TYPED, TAGGED = "literal^", "literal@"
+STRING_TAG = TYPED + XSD + "string"
+#: Datatypes whose values are numbers, those of whole ones first.
+WHOLE = ("integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte")
+NUMBERS = (*WHOLE, "decimal", "double", "float")
+
+
+def datatype(t: T.DataType) -> str:
+    """The datatype of a column's literals."""
+    if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return XSD + "double"
+    if isinstance(t, NUMERIC):
+        return XSD + "integer"
+    if isinstance(t, T.BooleanType):
+        return XSD + "boolean"
+    return XSD + ("dateTime" if isinstance(t, (T.TimestampType, T.DateType, T.TimestampNTZType)) else "string")
+
+
+def tag_of(kind: Column, datatype: Column | None = None, lang: Column | None = None) -> Column:
+    """The tag of a stored term."""
+    none = F.lit(None).cast("string")
+    more = F.coalesce(F.concat(F.lit("@"), lang if lang is not None else none), F.concat(F.lit("^"), datatype if datatype is not None else none), F.lit(""))
+    return F.when(kind == "literal", F.concat(F.lit("literal"), more)).otherwise(kind)
+
+
+def is_literal(tag: Column) -> Column:
+    return tag.startswith("literal")
+
+
+def term_class(tag: Column) -> Column:
+    """What two terms of one text have in common where they are one: both resources, numbers, plain strings, or literals of the
+    same datatype or language."""
+    number = tag.isin(*[TYPED + XSD + x for x in NUMBERS])
+    return F.when(~is_literal(tag), "r").when(number, "n").when(tag.isin("literal", STRING_TAG), "s").otherwise(F.lower(tag))
+
+
 def key_text(col: Column, t: T.DataType) -> Column:
     """What stands behind the prefix: the key, or its parts with a slash between them."""
     if isinstance(t, T.StructType):
@@ -66,8 +106,9 @@ class Rel:
         return F.concat(F.lit(k.prefix), v) if k.prefix is not None else v
 
     def kind_col(self, var: str) -> Column:
+        """The tag of the term."""
         k = self.kinds[var].kind
-        return F.col(beside(var)) if k == "any" else F.when(self.col(var).isNotNull(), F.lit("iri" if k == "iri" else "literal"))
+        return F.col(beside(var)) if k == "any" else F.when(self.col(var).isNotNull(), F.lit("iri" if k == "iri" else TYPED + datatype(self.type(var))))
 
     def columns(self) -> list[str]:
         return [c for v, k in self.kinds.items() for c in ([name(v), beside(v)] if k.kind == "any" else [name(v)])]
@@ -87,7 +128,7 @@ class Rel:
         return self.where(F.lit(False))
 
     def with_text(self, var: str) -> Rel:
-        """The variable as a whole string, with its kind beside it if that isn't fixed."""
+        """The variable as a whole string, with its tag beside it if its kind isn't fixed."""
         k = self.kinds[var]
         if k.kind == "any" or k == Kind("iri") or k.kind == "lit" and isinstance(self.type(var), T.StringType):
             return self
@@ -101,9 +142,6 @@ class Rel:
         return replace(self, df=df, kinds=self.kinds | {var: Kind("any")})
 
 
-NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-
-
 def apart(a: Kind, b: Kind) -> bool:
     """Whether no IRI can have both kinds: neither prefix continues the other, or one is a literal."""
     if "any" in (a.kind, b.kind):
@@ -115,6 +153,11 @@ def apart(a: Kind, b: Kind) -> bool:
     return not (a.prefix.startswith(b.prefix) or b.prefix.startswith(a.prefix))
 
 
+def _comparable(s: T.DataType, t: T.DataType) -> bool:
+    """Columns that are compared as they are. A struct as a literal only tells rows apart, see Compiler.numbered()."""
+    return s == t or isinstance(s, NUMERIC) and isinstance(t, NUMERIC) or isinstance(s, T.StructType) and isinstance(t, T.StructType)
+
+
 def aligned(a: Rel, b: Rel, var: str) -> tuple[Rel, Rel]:
     """Both relations with the variable in one form, so that equal terms are equal values."""
     x, y = a.kinds[var], b.kinds[var]
@@ -124,8 +167,10 @@ def aligned(a: Rel, b: Rel, var: str) -> tuple[Rel, Rel]:
         return a, b  # the same prefix: native keys
     if x == y == Kind("lit"):
         s, t = a.type(var), b.type(var)
-        if s == t or isinstance(s, NUMERIC) and isinstance(t, NUMERIC):
+        if _comparable(s, t):
             return a, b
+    if {x.kind, y.kind} == {"any", "lit"}:
+        return a.with_any(var), b.with_any(var)
     return a.with_text(var), b.with_text(var)
 
 
@@ -139,9 +184,9 @@ def unioned(a: Rel, b: Rel) -> Rel:
             continue
         if x == y:
             s, t = a.type(v), b.type(v)
-            if s == t or isinstance(s, NUMERIC) and isinstance(t, NUMERIC):
+            if _comparable(s, t):
                 continue
-            a, b = a.with_text(v), b.with_text(v)
+            a, b = a.with_any(v), b.with_any(v)
         elif x.kind == y.kind == "iri":
             a, b = a.with_text(v), b.with_text(v)
         else:
@@ -188,14 +233,14 @@ def joined(a: Rel, b: Rel) -> Rel:
     left, right, on = a.df, b.df, [name(v) for v in shared]
     for v in shared:
         mine, other = a.kinds[v].kind == "any", b.kinds[v].kind == "any"
-        if mine and other:  # a literal is no IRI of the same text
-            left, right = (x.withColumn("lit" + name(v), F.col(beside(v)) == "literal") for x in (left, right))
+        if mine and other:  # a literal is no IRI of the same text, and a string no number
+            left, right = (x.withColumn("class" + name(v), term_class(F.col(beside(v)))) for x in (left, right))
             right = right.drop(beside(v))
-            on.append("lit" + name(v))
-        elif mine:
-            left = left.where((F.col(beside(v)) == "literal") == F.lit(b.kinds[v].kind == "lit")).drop(beside(v))
+            on.append("class" + name(v))
+        elif mine:  # the other one is an IRI
+            left = left.where(~is_literal(F.col(beside(v)))).drop(beside(v))
         elif other:
-            right = right.where((F.col(beside(v)) == "literal") == F.lit(a.kinds[v].kind == "lit")).drop(beside(v))
+            right = right.where(~is_literal(F.col(beside(v)))).drop(beside(v))
     df = left.join(right, on) if shared else left.crossJoin(right)
     return replace(Rel(df, kinds, a.maybe | b.maybe)).keep(list(kinds))
 
@@ -225,8 +270,7 @@ def _agree(a: Rel, b: Rel, v: str) -> Column:
     x, y = a.kinds[v].kind, b.kinds[v].kind
     if "any" not in (x, y):
         return same
-    left = F.col(beside(v)) == "literal" if x == "any" else F.lit(x == "lit")
-    right = F.col("r" + beside(v)) == "literal" if y == "any" else F.lit(y == "lit")
+    left, right = (term_class(F.col(c)) if k == "any" else F.lit("r") for c, k in ((beside(v), x), ("r" + beside(v), y)))
     return same & (left == right)
 
 
@@ -260,19 +304,19 @@ def left_joined(a: Rel, b: Rel, condition=None) -> Rel:
     return Rel(df.select(*both.columns()), kinds, a.maybe | b.maybe | (set(b.kinds) - set(a.kinds)))
 
 
-def semi_joined(a: Rel, b: Rel, keep: bool, condition=None, minus: bool = False) -> Rel:
+def semi_joined(a: Rel, b: Rel, keep: bool, condition=None, minus: bool = False, outer: frozenset[str] = frozenset()) -> Rel:
     """Solutions of a that agree with one of b (keep), or with none. minus: only agreement on a bound
-    variable counts."""
+    variable counts, and not on one that stands for a constant of an outer row."""
     spark = (a.df if a.df is not None else b.df).sparkSession if (a.df is not None or b.df is not None) else None
     shared = _shared(a, b)
-    if minus and not shared:
+    if minus and set(shared) <= outer:
         return a
     if spark is None:
         return a if keep else replace(a, df=SparkSession.getActiveSession().range(0).select(F.lit(True).alias("unit")))
     a, b = replace(a, df=a.frame(spark)), replace(b, df=b.frame(spark))
     loose = [v for v in shared if v in a.maybe or v in b.maybe]
     if loose:
-        return _semi_split(a, b, keep, condition, minus, loose[0])
+        return _semi_split(a, b, keep, condition, minus, loose[0], outer)
     dead = False
     for v in shared:
         dead = dead or apart(a.kinds[v], b.kinds[v])
@@ -291,7 +335,7 @@ def semi_joined(a: Rel, b: Rel, keep: bool, condition=None, minus: bool = False)
     return replace(a, df=a.df.join(right, on, "left_semi" if keep else "left_anti"))
 
 
-def _semi_split(a: Rel, b: Rel, keep: bool, condition, minus: bool, v: str) -> Rel:
+def _semi_split(a: Rel, b: Rel, keep: bool, condition, minus: bool, v: str, outer: frozenset[str]) -> Rel:
     """As _split: bound rows look for equal ones and for unbound ones, unbound rows for any."""
 
     def apart_by(r: Rel) -> tuple[Rel, Rel | None]:
@@ -302,14 +346,14 @@ def _semi_split(a: Rel, b: Rel, keep: bool, condition, minus: bool, v: str) -> R
 
     (a1, a2), (b1, b2) = apart_by(a), apart_by(b)
     # once a variable is bound on both sides, agreement on it is agreement
-    with_equal = semi_joined(a1, b1, keep, condition)
+    with_equal = semi_joined(a1, b1, keep, condition, minus and v in outer, outer)
     if b2 is None:
         out = with_equal
     elif keep:
-        out = unioned(with_equal, semi_joined(semi_joined(a1, b1, False, condition), b2, True, condition, minus))
+        out = unioned(with_equal, semi_joined(semi_joined(a1, b1, False, condition, minus and v in outer, outer), b2, True, condition, minus, outer))
     else:
-        out = semi_joined(with_equal, b2, False, condition, minus)
+        out = semi_joined(with_equal, b2, False, condition, minus, outer)
     if a2 is None:
         return replace(out, maybe=a.maybe)
-    alone = semi_joined(a2, b, keep, condition, minus)
+    alone = semi_joined(a2, b, keep, condition, minus, outer)
     return replace(unioned(out, alone).keep(list(a.kinds)), maybe=a.maybe)

@@ -37,7 +37,8 @@ class SubjectMap:
 
 @dataclass
 class Graph:
-    """Subject maps, and triples (s, p, o, o_kind) with o_kind iri, literal or bnode; a set, so distinct."""
+    """Subject maps, and triples (s, p, o, o_kind) with o_kind iri, literal or bnode; a set, so distinct. Triples may have the
+    columns o_datatype and o_lang, null where a literal's text has no type, which is then compared as what it looks like."""
 
     maps: list[SubjectMap] = field(default_factory=list)
     triples: DataFrame | None = None
@@ -72,12 +73,29 @@ def bound(key, t) -> object:
     return out
 
 
-def as_triples(m: SubjectMap, native: bool = False, s=None, o=None, without: frozenset[str] = frozenset()) -> DataFrame:
-    """The map's triples as rows (s, p, o, o_kind), by one scan. native: s is the key. s, o: constants that are
-    compared with keys and columns, so that they reach the scan. without: predicates that are left out."""
-    from ..functions.expressions import key_equal
-    from ..plans.relation import key_text
-    from ..plans.terms import RDF_TYPE, Iri, Lit, UnsupportedQuery
+def shared_predicates(maps: list[SubjectMap]) -> dict[str, frozenset[str]]:
+    """Of each prefix the predicates that several maps give, which may so have one triple twice."""
+    from ..plans.terms import RDF_TYPE
+
+    given: dict[str, list[str]] = {}
+    for m in maps:
+        given.setdefault(m.prefix, []).extend([*m.columns, *([RDF_TYPE] if m.classes and RDF_TYPE not in m.columns else [])])
+    return {prefix: frozenset(p for p in ps if ps.count(p) > 1) for prefix, ps in given.items()}
+
+
+def as_triples(m: SubjectMap, native: bool = False, s=None, o=None, without: frozenset[str] = frozenset(), only: frozenset[str] | None = None, strings: bool = False) -> DataFrame:
+    """The map's triples as rows (s, p, o, o_kind, o_datatype), by one scan. native: s is the key. s, o: constants that are
+    compared with keys and columns, so that they reach the scan. without: predicates that are left out; only: those that
+    are not. strings: literals as strings."""
+    from ..functions.expressions import key_equal, literal_equal
+    from ..plans.relation import datatype, key_text
+    from ..plans.terms import RDF_TYPE, XSD, Iri, Lit, UnsupportedQuery
+
+    def cell(p: str, o, kind: str, type_: str | None):
+        return F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(type_).cast("string").alias("o_datatype"))
+
+    if only is not None:
+        without = without | frozenset([*m.columns, RDF_TYPE]) - only
 
     if m.key is None:
         raise UnsupportedQuery(f"a variable predicate over rows of {m.prefix}, which have no key")
@@ -88,17 +106,17 @@ def as_triples(m: SubjectMap, native: bool = False, s=None, o=None, without: fro
     cells, tests = [], []
     for c in m.classes if RDF_TYPE not in without else ():
         if o is None or o == Iri(c):
-            cells.append(F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(c).alias("o"), F.lit("iri").alias("o_kind")))
+            cells.append(cell(RDF_TYPE, F.lit(c), "iri", None))
             tests.append(F.lit(True))
     for p, c in m.columns.items():
         col, kind = F.col(f"`{c.name}`"), m.frame.schema[c.name].dataType
         if p in without or isinstance(o, Iri) and (c.link is None or not o.value.startswith(c.link)) or isinstance(o, Lit) and c.link is not None:
             continue
         v = col.cast("string")
-        cells.append(F.struct(F.lit(p).alias("p"), (F.concat(F.lit(c.link), v) if c.link else v).alias("o"), F.lit("iri" if c.link else "literal").alias("o_kind")))
-        tests.append(col.isNotNull() if o is None else key_equal(col, kind, c.link or "", o.value))
+        cells.append(cell(p, F.concat(F.lit(c.link), v), "iri", None) if c.link else cell(p, v, "literal", XSD + "string" if strings else datatype(kind)))
+        tests.append(col.isNotNull() if o is None else key_equal(col, kind, c.link, o.value) if c.link else literal_equal(v if strings else col, None if strings else kind, o))
     if not cells:
-        df, cells = df.where(F.lit(False)), [F.struct(F.lit("").alias("p"), F.lit("").alias("o"), F.lit("").alias("o_kind"))]
+        df, cells = df.where(F.lit(False)), [cell("", F.lit(""), "", None)]
     elif o is not None:
         some = tests[0]
         for x in tests[1:]:
@@ -106,4 +124,4 @@ def as_triples(m: SubjectMap, native: bool = False, s=None, o=None, without: fro
         df = df.where(some)
     subject = key if native else F.concat(F.lit(m.prefix), key_text(key, t))
     df = df.select(subject.alias("s"), F.explode(F.array(*cells)).alias("x"))
-    return df.select("s", "x.p", "x.o", "x.o_kind").where("o IS NOT NULL")
+    return df.select("s", "x.p", "x.o", "x.o_kind", "x.o_datatype").where("o IS NOT NULL")

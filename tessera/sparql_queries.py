@@ -87,6 +87,47 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT ?s (COUNT(*) AS ?n) WHERE { ?o t:o_custkey ?c ; t:o_totalprice ?p BIND(IF(EXISTS { ?c t:c_acctbal ?b FILTER(?b * 20 > ?p) }, 'rich', 'poor') AS ?s) } GROUP BY ?s",
         "SELECT CASE WHEN c_acctbal * 20 > o_totalprice THEN 'rich' ELSE 'poor' END AS s, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     ),
+    # EXISTS whose nested parts use variables of the row outside
+    "exists_in_exists": (
+        "SELECT ?c WHERE { ?c t:c_acctbal ?a FILTER EXISTS { ?o t:o_custkey ?c ; t:o_orderstatus 'F' FILTER EXISTS { ?l t:l_orderkey ?o ; t:l_extendedprice ?p FILTER(?p > ?a * 15) } } }",
+        "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_extendedprice > c_acctbal * 15))",
+    ),
+    "not_exists_nested_group": (
+        "SELECT ?c WHERE { ?c t:c_acctbal ?a FILTER NOT EXISTS { { ?o t:o_totalprice ?p FILTER(?p > ?a * 50) } ?o t:o_custkey ?c } }",
+        "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)",
+    ),
+    "exists_union_correlated": (
+        "SELECT ?n WHERE { ?n t:n_nationkey ?k FILTER EXISTS { { ?c t:c_nationkey ?n ; t:c_acctbal ?b FILTER(?b > 9990 - ?k) } UNION { ?s t:s_nationkey ?n ; t:s_acctbal ?b FILTER(?b < ?k * -20) } } }",
+        "SELECT 'urn:t:nation/' || n_nationkey AS n FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9990 - n_nationkey) OR EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < n_nationkey * -20)",
+    ),
+    "exists_optional_filter": (
+        "SELECT ?c WHERE { ?c t:c_acctbal ?b FILTER NOT EXISTS { ?o t:o_custkey ?c OPTIONAL { ?o t:o_totalprice ?p FILTER(?p > ?b * 50) } FILTER(BOUND(?p)) } }",
+        "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)",
+    ),
+    "exists_minus_correlated": (
+        "SELECT ?c WHERE { ?c t:c_acctbal ?a FILTER EXISTS { ?o t:o_custkey ?c MINUS { ?o t:o_totalprice ?p FILTER(?p > ?a * 30) } } }",
+        "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT o_totalprice > c_acctbal * 30)",
+    ),
+    "exists_nested_unbound": (
+        "SELECT ?d ?q WHERE { ?d t:lang 'fr' OPTIONAL { ?d t:quality ?q } FILTER EXISTS { ?x t:r_name ?n FILTER NOT EXISTS { ?x t:r_regionkey ?q FILTER(?n != 'AFRICA') } FILTER(?n < 'B') } }",
+        "SELECT 'urn:t:documents/' || d.doc_id AS d, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'fr' AND EXISTS (SELECT 1 FROM region r WHERE r_name < 'B' AND NOT EXISTS (SELECT 1 FROM region x WHERE x.r_regionkey = r.r_regionkey AND (quality IS NULL OR quality = x.r_regionkey) AND r.r_name <> 'AFRICA'))",
+    ),
+    "optional_exists": (
+        "SELECT ?n ?s WHERE { ?x t:n_name ?n ; t:n_nationkey ?k OPTIONAL { ?y t:s_nationkey ?x ; t:s_name ?s FILTER EXISTS { ?c t:c_nationkey ?x ; t:c_acctbal ?a FILTER(?a > 9990 - ?k) } } }",
+        "SELECT n_name AS n, s_name AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9990 - n_nationkey)",
+    ),
+    "exists_in_having": (
+        "SELECT ?n (COUNT(?c) AS ?k) WHERE { ?c t:c_nationkey ?n } GROUP BY ?n HAVING (COUNT(?c) > 60 || EXISTS { ?s t:s_nationkey ?n ; t:s_acctbal ?b FILTER(?b > 9000) })",
+        "SELECT 'urn:t:nation/' || c_nationkey AS n, count(*) AS k FROM customer GROUP BY c_nationkey HAVING count(*) > 60 OR EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 9000)",
+    ),
+    "exists_in_aggregate": (
+        "SELECT ?m (SUM(IF(EXISTS { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > ?a * 50) }, 1, 0)) AS ?k) WHERE { ?c t:c_mktsegment ?m ; t:c_acctbal ?a } GROUP BY ?m",
+        "SELECT c_mktsegment AS m, count(*) FILTER (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)) AS k FROM customer GROUP BY 1",
+    ),
+    "exists_in_order": (
+        "SELECT ?n WHERE { ?x t:n_name ?n } ORDER BY DESC(EXISTS { ?s t:s_nationkey ?x ; t:s_acctbal ?b FILTER(?b > 9000) }) ?n LIMIT 7",
+        "SELECT n_name AS n FROM nation ORDER BY EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) DESC, n_name LIMIT 7",
+    ),
     # variable predicates of constants and of joined subjects
     "bgp_predicates_of_constant": (
         "SELECT ?p ?o WHERE { <urn:t:orders/5> ?p ?o FILTER(?p != t:o_orderdate && ?p != t:o_totalprice) }",
