@@ -1,28 +1,31 @@
-"""BPE encoding and decoding by tables of distinct words and of pieces.
+"""BPE encoding and decoding by a table of distinct words and one of pieces.
 
-Texts are split into words by Spark. The documents of an Arrow batch become a block, which has its distinct words once and,
-for each document, the places of its words among them. The distinct words of all blocks are a table; the tokenizers library
-encodes each of its words once. A block's words are joined with that table, and their ids go back to the words' positions.
-Decoding is the same with the pieces of a vocabulary: a block has its distinct ids once, which are joined with the
-table of pieces, and a document is its pieces in order.
+Texts are split into words by Spark. The documents of a task become blocks of about half a million words; a block has its
+distinct words once, dealt over parts by their hashes, and for each document the places of its words among them. Each part
+of all blocks goes to one task, so all occurrences of a word meet there: the tokenizers library encodes it once, and
+its ids go back to each block that has it, where they are joined to the words' positions. Decoding joins each id with its piece.
 
-What is shuffled are distinct words or ids of blocks, and blocks as numbers; texts are not. A word has at most one row in a
-block, however common it is. Nothing is sent to all workers but the vocabulary's own file, so the words may be any number.
+What is shuffled are the distinct words of blocks and their ids, compressed; texts are not, and the places of words lie
+in a table bucketed by block, so ids are joined to them where they are. A word comes at most once from a block, however
+common it is. A task that encodes holds the distinct words of its
+part, which are fewer the more shuffle partitions there are. Only the vocabulary's pieces are sent to all workers; the size
+of its file bounds them.
 
 Words of these vocabularies never hold white space, so what is between blanks can be encoded by itself; other white
 space stays within a word and is left to the tokenizer. Special tokens whose text stands in a document are found, as the
 library does. Truncation and padding of the file are not used.
 
-Defined cases: a null or empty text has no ids and decodes to an empty text; a null list of ids is like an empty one, and null ids in it count for nothing; ids that the vocabulary
-lacks are left out in decoding, as the library does; repeated rows are answered each; an empty table gives no rows;
-other columns are not read.
+Defined cases: a null or empty text has no ids and decodes to an empty text; a null list of ids is like an empty one, and
+null ids in it count for nothing; ids that the vocabulary lacks are left out in decoding, as the library does;
+repeated rows are answered each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from array import array
+import uuid
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -30,42 +33,40 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
+#: Words of a block, unless one document has more.
+BLOCK_WORDS = 500_000
 #: Words that are given to the tokenizers library at a time.
 TOGETHER = 2000
 #: Bits of a block's id below those of the partition that made it.
 BLOCK_BITS = 33
 
-#: refs: for each word or id of the documents its place in `keys`, as unsigned 32-bit integers.
-BLOCK = "block long, doc_ids array<long>, sizes array<int>, refs binary, keys array<{}>"
+#: refs: for each word 0 where it is new to the block, else 1 and its place among the distinct ones; dealt: the part of
+#: each distinct word; parts: those words by part. All packed.
+BLOCK = "block long, doc_ids array<long>, sizes array<int>, refs binary, dealt binary, parts array<binary>"
+#: ids of the words of a part of a block: how many each has, and all of them, packed.
+CODED = "block long, part int, counts binary, ids binary"
 
 
-def _blocked(schema: pa.Schema):
-    """(doc_id, list of words or ids): each batch as a block."""
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << BLOCK_BITS
-        for k, batch in enumerate(b for b in batches if b.num_rows):
-            lists = batch.column(1)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32())
-            coded = lists.flatten().dictionary_encode()
-            refs = coded.indices.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            row = [pa.array([base + k])] + [pa.array([x], t) for x, t in ((batch.column(0).to_pylist(), schema.field(1).type), (sizes.to_numpy(), schema.field(2).type), (refs, pa.binary()))]
-            keys = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(schema.field(4).type.value_type))
-            yield pa.RecordBatch.from_arrays([*row, keys.cast(schema.field(4).type)], schema=schema)
 
-    return run
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
-def blocks(lists: DataFrame, of: str) -> DataFrame:
-    """Rows (doc_id, list) in blocks; of: the type of what is listed."""
-    spark = common.ship(lists.sparkSession)
-    schema = BLOCK.format(of)
-    return common.written(lists.mapInArrow(common.tidy(_blocked(common.arrow_schema(spark, schema))), schema))
+def packed_numbers(x: np.ndarray) -> bytes:
+    """Unsigned numbers below 2**32, byte by byte of equal weight, which compresses better."""
+    return packed(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpacked(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -74,135 +75,187 @@ def split(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", F.split(F.translate(F.coalesce("text", F.lit("")), "\n\t\r", "   "), " ").alias("words"))
 
 
-def _ids(path: str):
+def _blocks(parts: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tokenizers
+        k = TaskContext.get().partitionId() << BLOCK_BITS
+        held: list[pa.RecordBatch] = []
+        waiting = 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal k, held, waiting
+            lists = pa.concat_arrays([b.column(1) for b in held])
+            docs = pa.concat_arrays([b.column(0) for b in held])
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            coded = lists.flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            part = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts for w in words), np.int64, len(words))
+            refs = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            new = refs > np.maximum.accumulate(np.concatenate([[-1], refs]))[:-1]
+            in_order = [words[x] for x in np.argsort(part, kind="stable").tolist()]
+            n = np.bincount(part, minlength=parts)
+            data = [packed(" ".join(in_order[b - m : b]).encode("utf-8", "surrogatepass")) if m else None for b, m in zip(np.cumsum(n).tolist(), n.tolist())]
+            row = (k, docs.to_pylist(), sizes, packed_numbers(np.where(new, 0, refs + 1)), packed_numbers(part), data)
+            k, held, waiting = k + 1, [], 0
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
-        full = tokenizers.Tokenizer.from_file(path)
-        full.no_truncation()
-        full.no_padding()
         for batch in batches:
-            for a in range(0, batch.num_rows, TOGETHER):
-                words = batch.column(0).slice(a, TOGETHER)
-                ids = [array("I", x.ids).tobytes() for x in full.encode_batch(words.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], names=["key", "value"])
+            if batch.num_rows:
+                held.append(batch)
+                waiting += len(batch.column(1).flatten())
+                if waiting >= BLOCK_WORDS:
+                    yield block()
+        if held:
+            yield block()
 
     return run
 
 
-def word_ids(blocks: DataFrame, path: str) -> DataFrame:
-    """Each distinct word of the blocks with its ids, as little-endian unsigned 32-bit integers."""
-    words = blocks.select(F.explode("keys").alias("key")).distinct()
-    words = words.repartition(common.partitions(words), "key")  # so the encoding is spread, however small the table
-    return common.cut(words.mapInArrow(common.tidy(_ids(path)), "key string, value binary"))
+def blocks(docs: DataFrame) -> DataFrame:
+    spark = common.ship(docs.sparkSession)
+    schema = common.arrow_schema(spark, BLOCK)
+    made = split(docs).mapInArrow(common.tidy(_blocks(common.partitions(docs), schema)), BLOCK)
+    # a table, as only these have buckets; its frame needs no name once it is there
+    name = f"words_{uuid.uuid4().hex}"
+    made.write.bucketBy(common.partitions(docs), "block").option("compression", "zstd").option("path", f"{common.shared(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The pieces of a vocabulary by id: rows of its file, whose size bounds them."""
-    held = json.loads(Path(path).read_text("utf-8"))
-    by = {i: p for p, i in held["model"]["vocab"].items()} | {t["id"]: t["content"] for t in held["added_tokens"]}
-    return spark.createDataFrame([(i, p.encode("utf-8")) for i, p in by.items()], "key int, value binary")
+def library(path: str):
+    import tokenizers
 
+    full = tokenizers.Tokenizer.from_file(path)
+    full.no_truncation()
+    full.no_padding()
+    return full
 
-def valued(blocks: DataFrame, table: DataFrame) -> DataFrame:
-    """Blocks with `values` beside their keys: what the table (key, value) has for each, or null."""
-    keys = blocks.select("block", F.posexplode("keys").alias("k", "key")).join(table, "key", "left")
-    by = keys.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("found"))
-    return blocks.join(by.select("block", F.col("found.value").alias("values")), "block", "left")
 
+def _coded(path: str, schema: pa.Schema):
+    """Packed words of a part of blocks to their ids; a word is encoded where it first occurs."""
 
-def _gathered(refs: np.ndarray, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the values of all refs, one after the other, and how many each ref has."""
-    if not len(refs) or not len(values):
-        return np.zeros(0, np.uint8), np.zeros(len(refs), np.int64)
-    size = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = np.frombuffer(b"".join(x or b"" for x in values.to_pylist()), np.uint8)
-    first = np.cumsum(size) - size
-    n = size[refs]
-    ends = np.cumsum(n)
-    return flat[np.repeat(first[refs] - (ends - n), n) + np.arange(ends[-1])], n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = library(path)
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            for block, part, data in zip(*(c.to_pylist() for c in batch.columns)):
+                words = unpacked(data).decode("utf-8", "surrogatepass").split(" ")
+                new = [w for w in words if w not in known]
+                for a in range(0, len(new), TOGETHER):
+                    some = new[a : a + TOGETHER]
+                    known |= zip(some, (x.ids for x in full.encode_batch(some, add_special_tokens=False)))
+                ids = [known[w] for w in words]
+                counts = packed_numbers(np.fromiter(map(len, ids), np.uint32, len(ids)))
+                flat = packed_numbers(np.array([x for i in ids for x in i], np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, part, counts, flat), schema)], schema=schema)
+
+    return run
 
 
-def _edges(sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Where documents end, counted in what the refs have."""
-    return np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
+def word_ids(blocks: DataFrame, path: str) -> DataFrame:
+    """The ids of the words of each part of each block, all occurrences of a word being looked up in one task."""
+    schema = common.arrow_schema(blocks.sparkSession, CODED)
+    parts = blocks.select("block", F.posexplode("parts").alias("part", "words")).where(F.col("words").isNotNull())
+    dealt = parts.repartition(common.partitions(parts), "part")
+    return dealt.mapInArrow(common.tidy(_coded(path, schema)), CODED)
 
 
-def _refs(batch: pa.RecordBatch, k: int) -> tuple[list, np.ndarray, np.ndarray, pa.Array]:
-    """Ids, sizes and refs of a block, and its values."""
-    row = batch.slice(k, 1)
-    by = {n: row.column(i) for i, n in enumerate(batch.schema.names)}
-    return by["doc_ids"].flatten(), by["sizes"].flatten().to_numpy(), np.frombuffer(by["refs"][0].as_buffer(), "<u4"), by["values"].flatten()
+def _with_ids(docs: DataFrame, path: str) -> DataFrame:
+    """Blocks beside the ids of their words, part after part."""
+    made = blocks(docs)
+    by = word_ids(made, path).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "counts", "ids"))).alias("coded"))
+    by = by.select("block", F.col("coded.counts").alias("counts"), F.col("coded.ids").alias("ids"))
+    return made.select("block", "doc_ids", "sizes", "refs", "dealt").join(by, "block", "left").select("doc_ids", "sizes", "refs", "dealt", "counts", "ids")
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Of each block the ids of its documents, all ids one after the other, and where documents begin and end in these."""
     for batch in batches:
         for k in range(batch.num_rows):
-            docs, sizes, refs, values = _refs(batch, k)
-            values = values.cast(pa.binary())
-            wide = np.frombuffer(b"".join(x or b"" for x in values.to_pylist()), "<u4").astype(np.int32)
-            size = (pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False) // 4).astype(np.int64)
-            n = size[refs] if len(refs) else np.zeros(0, np.int64)
-            ends = np.cumsum(n)
+            docs, sizes, refs, dealt, counts, ids = (c[k] for c in batch.columns)
+            size = np.concatenate([unpacked_numbers(x) for x in counts.as_py() or [packed_numbers(np.zeros(0))]]).astype(np.int64)
+            flat = np.concatenate([unpacked_numbers(x) for x in ids.as_py() or [packed_numbers(np.zeros(0))]])
             first = np.cumsum(size) - size
-            ids = wide[np.repeat(first[refs] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-            yield pa.RecordBatch.from_arrays([docs, pa.ListArray.from_arrays(pa.array(_edges(sizes, n), pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
-
+            place = np.argsort(np.argsort(unpacked_numbers(dealt.as_py()), kind="stable"), kind="stable")
+            size, first = size[place], first[place]
+            refs = unpacked_numbers(refs.as_py()).astype(np.int64) - 1
+            new = refs < 0
+            refs[new] = np.arange(np.count_nonzero(new))
+            n = size[refs]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            out = flat[np.repeat(first[refs] - ends[:-1], n) + np.arange(ends[-1])]
+            yield docs.values, out, ends[np.concatenate([[0], np.cumsum(sizes.values.to_numpy())])]
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the ids of its text."""
-    made = blocks(split(docs), "string")
-    return valued(made, word_ids(made, path)).select("doc_ids", "sizes", "refs", "values").mapInArrow(common.tidy(_encoded), "doc_id long, ids array<int>")
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for docs, ids, edges in _documents(batches):
+        yield pa.RecordBatch.from_arrays([docs, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
-def _joined(refs: np.ndarray, sizes: np.ndarray, values: pa.Array) -> Iterator[bytes]:
-    """The pieces of each document with a blank between them; values end in one already."""
-    data, n = _gathered(refs, values)
-    data, edges = data.tobytes(), _edges(sizes, n)
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        yield data[a : max(a, b - 1)]
-
-
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            docs, sizes, refs, values = _refs(batch, k)
-            texts = [x.decode("utf-8") for x in _joined(refs, sizes, values)]
-            yield pa.RecordBatch.from_arrays([docs, pa.array(texts, pa.string())], names=["doc_id", "text"])
 
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and the ids of its text."""
+    return _with_ids(docs, path).mapInArrow(common.tidy(_lists), "doc_id long, ids array<int>")
+
+
+class Pieces:
+    """The pieces of a vocabulary by id. A vocabulary without a decoder of its own, as those that mark the ends of words,
+    is decoded to its pieces with blanks between them."""
+
+    def __init__(self, path: str):
+        held = json.loads(Path(path).read_text("utf-8"))
+        if held.get("decoder") is not None:
+            raise ValueError("only vocabularies without a decoder of their own are decoded")
+        by = {i: p for p, i in held["model"]["vocab"].items()} | {t["id"]: t["content"] for t in held["added_tokens"]}
+        table = [by[k].encode("utf-8") + b" " if k in by else b"" for k in range(max(by) + 1)]
+        self.size = np.array([len(x) for x in table], np.int64)
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def texts(self, ids: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:
+        """Each document's pieces, by joining its ids with the table."""
+        ids = ids.astype(np.int64)
+        there = (ids >= 0) & (ids < len(self.size))
+        ids = np.where(there, ids, 0)
+        n = np.where(there, self.size[ids], 0)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        first = np.cumsum(self.size) - self.size
+        data = self.flat[np.repeat(first[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        at = ends[edges].tolist()
+        for a, b in zip(at, at[1:]):
+            yield data[a : max(a, b - 1)]  # without the last blank
+
+
+def _decoded(pieces: Pieces):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            texts = [x.decode("utf-8") for x in pieces.texts(lists.flatten().to_numpy(zero_copy_only=False), edges)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-def _with_pieces(coded: DataFrame, path: str) -> DataFrame:
-    """Blocks of ids, written, with the piece of each, to which the blank between pieces is added. A vocabulary without a
-    decoder of its own, as those that mark the ends of words, is decoded that way."""
-    if json.loads(Path(path).read_text("utf-8")).get("decoder") is not None:
-        raise ValueError("only vocabularies without a decoder of their own are decoded")
-    table = pieces(coded.sparkSession, path).select("key", F.concat("value", F.lit(b" ")).alias("value"))
-    return valued(coded, F.broadcast(table))
+    return run
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) to doc_id and text; special tokens are shown."""
+    common.ship(coded.sparkSession)
     lists = common.only(coded, doc_id="long", ids="array<int>").withColumn("ids", F.array_compact("ids"))
-    return _with_pieces(blocks(lists, "int"), path).select("doc_ids", "sizes", "refs", "values").mapInArrow(common.tidy(_decoded), "doc_id long, text string")
+    return lists.mapInArrow(common.tidy(_decoded(Pieces(path))), "doc_id long, text string")
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            docs, sizes, refs, values = _refs(batch, k)
-            keys = batch.column(batch.schema.get_field_index("keys")).slice(k, 1).flatten().to_numpy(zero_copy_only=False)
-            ids = keys[refs].astype("<u4") if len(refs) else np.zeros(0, "<u4")
-            ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            coded = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
-            shown = [hashlib.sha256(x).hexdigest() for x in _joined(refs, sizes, values)]
-            yield pa.RecordBatch.from_arrays([docs, pa.array(sizes, pa.int64()), pa.array(coded), pa.array(shown)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def _digests(pieces: Pieces):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, ids, edges in _documents(batches):
+            at = edges.tolist()
+            coded = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(at, at[1:])]
+            shown = [hashlib.sha256(x).hexdigest() for x in pieces.texts(ids, edges)]
+            yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(edges), pa.int64()), pa.array(coded, pa.string()), pa.array(shown, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document how many ids its text has, and checksums of these and of the text that they decode to."""
-    coded = blocks(encode(docs, path), "int")
-    shown = _with_pieces(coded, path).select("doc_ids", "sizes", "refs", "keys", "values")
-    return shown.mapInArrow(common.tidy(_digests), DIGESTS)
+    return _with_ids(docs, path).mapInArrow(common.tidy(_digests(Pieces(path))), DIGESTS)

@@ -50,11 +50,30 @@ def test_encode_and_decode_equal_the_library(spark, library):
     assert got == sorted(((d, library.decode(i, skip_special_tokens=False)) for d, i in want), key=key)
 
 
-def test_each_distinct_word_is_encoded_once(spark):
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
+    """All parts of all blocks through one mapper: what the library is given are the distinct words."""
     df, texts = rows(spark)
-    made = word_table.blocks(word_table.split(df), "string")
-    words = [r.key for r in word_table.word_ids(made, PATH).collect()]
-    assert sorted(words) == sorted({w for _, t in texts for w in (t or "").translate({9: 32, 10: 32, 13: 32}).split(" ")})
+    monkeypatch.setattr(word_table, "BLOCK_WORDS", 20)
+    size = spark.conf.get(common.BATCH_ROWS)
+    spark.conf.set(common.BATCH_ROWS, "2")
+    try:
+        made = word_table.blocks(df.repartition(2))
+        parts = made.selectExpr("block", "posexplode(parts) AS (part, words)").where("words IS NOT NULL").toArrow().combine_chunks()
+    finally:
+        spark.conf.set(common.BATCH_ROWS, size)
+    assert made.count() >= 4
+    given = []
+
+    class Library:
+        def encode_batch(self, words, add_special_tokens):
+            given.extend(words)
+            return [type("Coded", (), {"ids": [len(w)]}) for w in words]
+
+    monkeypatch.setattr(word_table, "library", lambda path: Library())
+    run = word_table._coded(PATH, common.arrow_schema(spark, word_table.CODED))
+    n = sum(len(word_table.unpacked_numbers(b.column(2)[0].as_py())) for b in run(iter(parts.to_batches())))
+    words = {w for _, t in texts for w in (t or "").translate({9: 32, 10: 32, 13: 32}).split(" ")}
+    assert sorted(given) == sorted(words) and n > len(words)
 
 
 def test_query_equals_the_library(spark, library):
