@@ -355,9 +355,42 @@ def ntriples_round_trip(spark, sf_dir):
     rows = rows.union(n.select(iri, F.lit("urn:in"), F.concat(F.lit("urn:r:"), F.col("n_regionkey").cast("string")), F.lit("iri")))
     to = f"{shared_folder(spark)}/triples-{uuid.uuid4().hex}"
     turtle.write_ntriples(rows, to)
+    return turtle.read_ntriples(spark, to).select("s", "p", "o", "o_kind")
+
+
+#: Texts that are easily read wrongly, put behind names.
+HARD_TEXTS = ("", "C:\\temp\\new", "\\", "\\\\n", 'say "x" . # "', "\t\n\r\b\f'", "\\u00e9 \u00e9 \U0001f642")
+
+
+def ntriples_typed_round_trip(spark, sf_dir):
+    """Orders as triples with datatypes, tags and backslashes, written as N-Triples and read again."""
+    import uuid
+
+    from .shipping import shared_folder
+    from .sources import turtle
+
+    o = _table(spark, sf_dir, "orders")
+    iri = F.concat(F.lit("urn:o:"), F.col("o_orderkey").cast("string"))
+    text = F.concat("o_orderpriority", F.element_at(F.array(*map(F.lit, HARD_TEXTS)), (F.col("o_orderkey") % len(HARD_TEXTS) + 1).cast("int")))
+    none = F.lit(None).cast("string")
+    rows = o.select(iri.alias("s"), F.lit("urn:text").alias("p"), text.alias("o"), F.lit("literal").alias("o_kind"), F.lit("http://www.w3.org/2001/XMLSchema#string").alias("o_datatype"), none.alias("o_lang"))
+    rows = rows.union(o.select(iri, F.lit("urn:status"), "o_orderstatus", F.lit("literal"), none, F.when(F.col("o_orderkey") % 2 == 0, "en").otherwise("it-CH")))
+    rows = rows.union(o.select(iri, F.lit("urn:key"), F.col("o_orderkey").cast("string"), F.lit("literal"), F.lit("http://www.w3.org/2001/XMLSchema#integer"), none))
+    rows = rows.union(o.select(iri, F.lit("urn:by"), F.concat(F.lit("urn:c <"), F.col("o_custkey").cast("string"), F.lit(">\\u")), F.lit("iri"), none, none))
+    to = f"{shared_folder(spark)}/triples-{uuid.uuid4().hex}"
+    turtle.write_ntriples(rows, to)
     return turtle.read_ntriples(spark, to)
 
 
+def stored_language_tags(spark, sf_dir):
+    """LANGMATCHES, DATATYPE and numbers over stored triples that were read from N-Triples."""
+    from .engine import Engine
+    from .sources.graph import Graph
+
+    e = Engine(spark, Graph(triples=ntriples_typed_round_trip(spark, sf_dir)))
+    return e.query("SELECT ?t (COUNT(*) AS ?n) (MAX(?k) AS ?top) WHERE { ?o <urn:status> ?v ; <urn:key> ?k BIND(LANG(?v) AS ?t) FILTER(LANGMATCHES(?t, 'EN') || LANGMATCHES(?t, 'it')) FILTER(?k > 9) } GROUP BY ?t")
+
+
 def _inferred_xml(spark, sf_dir):
     body = _xml(spark, sf_dir).orderBy("s_nationkey").first().body
     return infer.infer_mapping("http://h.x/api/list?nation=1", "xml", body, "urn:map:")
@@ -397,7 +430,7 @@ def vocabulary_terms(spark, sf_dir):
 
 NATIONS = "nation JOIN region ON n_regionkey = r_regionkey"
 
-QUERIES = {f.__name__: f for f in (input_object_triples, input_property_triples, parameter_product, deadline_partial_answer, failing_source, ntriples_round_trip, infer_schema_xml, readable_uris, nested_listing, edit_outputs, vocabulary_terms, fixpoint_chain, fixpoint_aggregate, limit_early_stop, dedup_calls, service_applicability, constants_of_query, iri_dereference_lookup, free_source_rows, row_entity_links, free_source_antijoin, generic_properties, input_subject_triples, entity_upsert_label_class, minting_by_label, json_path_extract, json_array_explode, root_array_wrap, xml_path_extract, xml_attr_extract, xml_ancestor_rows, url_params, infer_schema_json, merge_mappings, parameter_listing, edit_mapping, suggest_properties, type_infer_domain_range, equivalent_property_rewrite)}
+QUERIES = {f.__name__: f for f in (input_object_triples, input_property_triples, parameter_product, deadline_partial_answer, failing_source, ntriples_round_trip, ntriples_typed_round_trip, stored_language_tags, infer_schema_xml, readable_uris, nested_listing, edit_outputs, vocabulary_terms, fixpoint_chain, fixpoint_aggregate, limit_early_stop, dedup_calls, service_applicability, constants_of_query, iri_dereference_lookup, free_source_rows, row_entity_links, free_source_antijoin, generic_properties, input_subject_triples, entity_upsert_label_class, minting_by_label, json_path_extract, json_array_explode, root_array_wrap, xml_path_extract, xml_attr_extract, xml_ancestor_rows, url_params, infer_schema_json, merge_mappings, parameter_listing, edit_mapping, suggest_properties, type_infer_domain_range, equivalent_property_rewrite)}
 
 ORACLES = {
     "fixpoint_chain": "SELECT c_name AS c, o_orderkey::VARCHAR AS o, o_totalprice::VARCHAR AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'",
@@ -414,6 +447,14 @@ ORACLES = {
     "parameter_product": "SELECT x.r_name AS a, y.r_name AS b FROM region x CROSS JOIN region y",
     "deadline_partial_answer": "SELECT n_name AS l, NULL::VARCHAR AS c FROM nation WHERE n_name = 'NATION_3'",
     "failing_source": "SELECT n_name AS call_id, CASE n_nationkey % 3 WHEN 0 THEN 200 WHEN 2 THEN 404 END::INTEGER AS status, CASE WHEN n_nationkey % 3 = 0 THEN (n_nationkey * 2)::VARCHAR END AS body, CASE n_nationkey % 3 WHEN 1 THEN 'OSError: down' WHEN 2 THEN 'status 404' END AS error FROM nation",
+    "ntriples_typed_round_trip": r"""
+WITH t AS (SELECT *, 'urn:o:' || o_orderkey AS s, ['', 'C:\temp\new', '\', '\\n', 'say "x" . # "', chr(9) || chr(10) || chr(13) || chr(8) || chr(12) || chr(39), '\u00e9 ' || chr(233) || ' ' || chr(128578)][1 + o_orderkey % 7] AS hard FROM orders)
+SELECT s, 'urn:text' AS p, o_orderpriority || hard AS o, 'literal' AS o_kind, 'http://www.w3.org/2001/XMLSchema#string' AS o_datatype, NULL AS o_lang FROM t
+UNION ALL SELECT s, 'urn:status', o_orderstatus, 'literal', NULL, CASE WHEN o_orderkey % 2 = 0 THEN 'en' ELSE 'it-CH' END FROM t
+UNION ALL SELECT s, 'urn:key', o_orderkey::VARCHAR, 'literal', 'http://www.w3.org/2001/XMLSchema#integer', NULL FROM t
+UNION ALL SELECT s, 'urn:by', 'urn:c <' || o_custkey || '>\u', 'iri', NULL, NULL FROM t
+""",
+    "stored_language_tags": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'en' ELSE 'it-CH' END AS t, count(*) AS n, max(o_orderkey)::VARCHAR AS top FROM orders WHERE o_orderkey > 9 GROUP BY 1",
     "ntriples_round_trip": "SELECT 'urn:n:' || n_nationkey AS s, 'urn:name' AS p, n_name || ' \"x\"' || chr(10) AS o, 'literal' AS o_kind FROM nation UNION ALL SELECT 'urn:n:' || n_nationkey, 'urn:in', 'urn:r:' || n_regionkey, 'iri' FROM nation",
     "infer_schema_xml": "SELECT * FROM (VALUES ('/', '', false), ('/doc/row', '', false), ('/doc/row/@id', 'Number', true), ('/doc/row/name', 'String', false), ('/doc/row/bal', 'Number', false)) t(path, content, attribute)",
     "readable_uris": "SELECT 'urn:map:h-x-api-list-' || x AS uri FROM (VALUES ('root'), ('doc-row'), ('doc-row-id'), ('doc-row-name'), ('doc-row-bal'), ('nation')) t(x)",

@@ -91,31 +91,94 @@ def write(triples, prefixes: dict[str, str]) -> str:
     return "\n".join(lines)
 
 
-def ntriples_column():
-    """A row (s, p, o, o_kind) as a line of N-Triples."""
+#: Escapes of N-Triples beside the code points, \\ being undone before all others.
+_ESCAPES = (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
+#: What an IRI may not hold.
+_NOT_IN_IRIS = '<>"{}|^`\\ \n\r\t'
+COLUMNS = ("s", "p", "o", "o_kind", "o_datatype", "o_lang")
+
+
+def _replaced(c, pairs):
+    from pyspark.sql import functions as F
+
+    for a, b in pairs:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def ntriples_column(columns=COLUMNS):
+    """A row (s, p, o, o_kind), with o_datatype and o_lang if it has these, as a line of N-Triples."""
     from pyspark.sql import functions as F
 
+    def iri(c):
+        # the backslash first, as all others become one with digits
+        return F.concat(F.lit("<"), _replaced(c, [(x, f"\\u{ord(x):04X}") for x in sorted(_NOT_IN_IRIS, key=lambda x: x != "\\")]), F.lit(">"))
+
     def node(c):
-        return F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
+        return F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(iri(F.col(c)))
 
-    text = F.col("o")
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.concat(node("s"), F.lit(" "), node("p"), F.lit(" "), F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), text, F.lit('"'))).otherwise(node("o")), F.lit(" ."))
+    text = F.concat(F.lit('"'), _replaced(F.col("o"), [("\\", "\\\\"), *_ESCAPES]), F.lit('"'))
+    type_, lang = (F.col(c) if c in columns else F.lit(None).cast("string") for c in ("o_datatype", "o_lang"))
+    tail = F.when(lang.isNotNull(), F.concat(F.lit("@"), lang)).when(type_ != XSD + "string", F.concat(F.lit("^^"), iri(type_))).otherwise("")
+    return F.concat(node("s"), F.lit(" "), node("p"), F.lit(" "), F.when(F.col("o_kind") == "literal", F.concat(text, tail)).otherwise(node("o")), F.lit(" ."))
 
 
 def write_ntriples(triples, path: str) -> None:
-    triples.select(ntriples_column().alias("value")).write.mode("overwrite").text(path)
+    triples.select(ntriples_column(triples.columns).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_ntriples(spark, path: str):
-    """Rows (s, p, o, o_kind) of a dump in N-Triples; lines that are none are left out."""
+def unescaped(c):
+    """A text without its escapes, undone in one pass: after a cut at pairs of backslashes no other escape is ambiguous."""
+    from pyspark.sql import functions as F
+
+    def points(x):
+        """Of a piece that begins with an escape of a code point: that, and what follows."""
+        one = lambda digits, code: F.concat(F.decode(F.unhex(F.substr(x, F.lit(3), F.lit(digits))), code), F.substr(x, F.lit(3 + digits)))
+        return F.when(x.startswith("\\u"), one(4, "UTF-16BE")).when(x.startswith("\\P"), one(8, "UTF-16BE")).when(x.startswith("\\U"), one(8, "UTF-32")).otherwise(x)
+
+    def part(x):
+        x = _replaced(x, [(b, a) for a, b in _ESCAPES] + [("\\'", "'")])
+        x = F.regexp_replace(x, r"\\u([dD][89abAB][0-9a-fA-F]{2})\\u([dD][c-fC-F][0-9a-fA-F]{2})", r"\\P$1$2")  # a pair that is one character
+        return F.array_join(F.transform(F.split(x, r"(?=\\[uUP])", -1), points), "")
+
+    return F.when(~c.contains("\\"), c).otherwise(F.array_join(F.transform(F.split(c, r"\\\\", -1), part), "\\"))
+
+
+_SUBJECT, _PREDICATE = r"(<[^>]*>|_:\S*[^\s.])", r"<([^>]*)>"
+_TAIL = r"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>]*)>)?"
+_LINE = rf'^\s*{_SUBJECT}\s*{_PREDICATE}\s*(?:(<[^>]*>|_:\S*[^\s.])|"([^"]*)"{_TAIL})\s*\.\s*(?:#.*)?$'
+_ESCAPE = r"""\\(?:[tbnrf"'\\]|u[0-9A-Fa-f]{4}|U(?:000[0-9A-Fa-f]|0010)[0-9A-Fa-f]{4})"""
+
+
+def parsed_ntriples(lines):
+    """Rows (value) of N-Triples as rows (s, p, o, o_kind, o_datatype, o_lang, bad): bad is the line where it is no statement,
+    and null where it is one. Blank lines and comments give no rows."""
     from pyspark.sql import functions as F
 
-    pattern = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|\"(?:[^\"\\]|\\.)*\")(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?\s*\.\s*$"
-    df = spark.read.text(path).where(F.col("value").rlike(pattern))
-    s, p, o = (F.regexp_extract("value", pattern, k) for k in (1, 2, 3))
-    body = F.substr(o, F.lit(2), F.length(o) - 2)
-    for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        body = F.when(o.startswith('"'), F.replace(body, F.lit(a), F.lit(b))).otherwise(body)
-    return df.select(F.regexp_replace(s, "^<|>$", "").alias("s"), p.alias("p"), F.when(o.startswith("_:"), o).otherwise(body).alias("o"), F.when(o.startswith('"'), F.lit("literal")).when(o.startswith("_:"), F.lit("bnode")).otherwise(F.lit("iri")).alias("o_kind"))
+    df = lines.select("value").where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    # escaped characters of literals are masked by as many others, so that what is left shows where literals end
+    masked = F.regexp_replace("value", r"\\.", "__")
+    get = lambda k: F.regexp_extract("masked", _LINE, k)
+    df = df.select("value", masked.alias("masked"))
+    before = F.length(F.regexp_extract("masked", rf'^\s*{_SUBJECT}\s*{_PREDICATE}\s*"', 0))
+    body = F.substr(F.col("value"), before + 1, F.length(get(4)))
+    df = df.select("value", F.col("masked").rlike(_LINE).alias("fits"), (before > 0).alias("literal"), body.alias("body"), F.regexp_extract("value", rf"^\s*{_SUBJECT}\s*{_PREDICATE}\s*(<[^>]*>|_:\S*[^\s.])?", 1).alias("s"), F.regexp_extract("value", rf"^\s*{_SUBJECT}\s*{_PREDICATE}", 2).alias("p"), F.regexp_extract("value", rf"^\s*{_SUBJECT}\s*{_PREDICATE}\s*(<[^>]*>|_:\S*[^\s.])", 3).alias("node"), get(5).alias("lang"), F.substr(F.col("value"), before + F.length(get(4)) + 2).alias("tail"))
+    whole = lambda c: ~F.regexp_replace(c, _ESCAPE, "").contains("\\")
+    type_ = F.regexp_extract("tail", r"^\^\^<([^>]*)>", 1)
+    good = F.col("fits") & whole(F.col("s")) & whole(F.col("p")) & F.when(F.col("literal"), whole(F.col("body")) & whole(type_)).otherwise(whole(F.col("node")))
+    iri = lambda c: F.when(c.startswith("_:"), c).otherwise(unescaped(F.regexp_replace(c, "^<|>$", "")))
+    kind = F.when(F.col("literal"), "literal").when(F.col("node").startswith("_:"), "bnode").otherwise("iri")
+    lang = F.when(F.col("literal") & (F.col("lang") != ""), F.col("lang"))
+    datatype = F.when(F.col("literal") & lang.isNull(), F.when(type_ != "", unescaped(type_)).otherwise(XSD + "string"))
+    cells = {"s": iri(F.col("s")), "p": unescaped(F.col("p")), "o": F.when(F.col("literal"), unescaped(F.col("body"))).otherwise(iri(F.col("node"))), "o_kind": kind, "o_datatype": datatype, "o_lang": lang}
+    return df.select(*[F.when(good, c).alias(n) for n, c in cells.items()], F.when(~good, F.col("value")).alias("bad"))
+
+
+def read_ntriples(spark, path: str):
+    """Rows (s, p, o, o_kind, o_datatype, o_lang) of a dump in N-Triples."""
+    return parsed_ntriples(spark.read.text(path)).where("bad IS NULL").drop("bad")
+
+
+def bad_ntriples(spark, path: str):
+    """The lines of a dump that are no statements: rows (bad)."""
+    return parsed_ntriples(spark.read.text(path)).where("bad IS NOT NULL").select("bad")

@@ -194,6 +194,43 @@ PAIRS: dict[str, tuple[str, str]] = {
     "path_plus": ("SELECT ?y WHERE { <urn:t:orders/5> (t:o_custkey|t:c_nationkey|t:n_regionkey)+ ?y }", "SELECT unnest(['urn:t:customer/' || c_custkey, 'urn:t:nation/' || n_nationkey, 'urn:t:region/' || n_regionkey]) AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey = 5"),
     "path_optional": ("SELECT ?y WHERE { <urn:t:nation/5> t:n_regionkey? ?y }", "SELECT unnest(['urn:t:nation/5', 'urn:t:region/' || n_regionkey]) AS y FROM nation WHERE n_nationkey = 5"),
     "path_negated": ("SELECT ?o WHERE { <urn:t:nation/5> !(t:n_name|t:n_nationkey|rdf:type) ?o }", "SELECT 'urn:t:region/' || n_regionkey AS o FROM nation WHERE n_nationkey = 5"),
+    # terms of any kind: under a variable predicate, and in a UNION of unlike columns
+    "typed_min_max": (
+        "SELECT ?p (MIN(?v) AS ?lo) (MAX(?v) AS ?hi) WHERE { ?s ?p ?v ; t:n_name ?x FILTER(isLiteral(?v)) } GROUP BY ?p",
+        "SELECT 'urn:t:n_nationkey' AS p, min(n_nationkey)::VARCHAR AS lo, max(n_nationkey)::VARCHAR AS hi FROM nation UNION ALL SELECT 'urn:t:n_name', min(n_name), max(n_name) FROM nation",
+    ),
+    "typed_order": ("SELECT ?v WHERE { ?s ?p ?v ; t:n_name ?x FILTER(isNumeric(?v)) } ORDER BY DESC(?v) LIMIT 17", "SELECT n_nationkey::VARCHAR AS v FROM nation ORDER BY n_nationkey DESC LIMIT 17"),
+    "typed_compare": (
+        "SELECT ?p (COUNT(*) AS ?n) WHERE { ?c ?p ?v ; t:c_mktsegment 'BUILDING' FILTER(?v > 800) } GROUP BY ?p",
+        "SELECT 'urn:t:c_custkey' AS p, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey > 800 UNION ALL SELECT 'urn:t:c_acctbal', count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 800",
+    ),
+    "typed_time": (
+        "SELECT ?p (COUNT(*) AS ?n) (MIN(YEAR(?v)) AS ?y) WHERE { ?o ?p ?v ; t:o_orderstatus 'F' FILTER(?v >= '1996-01-01T00:00:00'^^xsd:dateTime) } GROUP BY ?p",
+        "SELECT 'urn:t:o_orderdate' AS p, count(*) AS n, min(year(o_orderdate))::INTEGER AS y FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01' HAVING n > 0",
+    ),
+    "typed_equal": ("SELECT ?p (COUNT(*) AS ?n) WHERE { ?x ?p ?v ; t:p_size ?z FILTER(?v = 7) } GROUP BY ?p", "SELECT * FROM (SELECT 'urn:t:p_partkey' AS p, count(*) AS n FROM part WHERE p_partkey = 7 UNION ALL SELECT 'urn:t:p_size', count(*) FROM part WHERE p_size = 7 UNION ALL SELECT 'urn:t:p_retailprice', count(*) FROM part WHERE p_retailprice = 7) WHERE n > 0"),
+    "typed_datatype": (
+        "SELECT ?p ?d (COUNT(*) AS ?n) WHERE { ?o ?p ?v ; t:o_orderstatus 'O' BIND(DATATYPE(?v) AS ?d) FILTER(BOUND(?d)) } GROUP BY ?p ?d",
+        "SELECT 'urn:t:' || c AS p, 'http://www.w3.org/2001/XMLSchema#' || t AS d, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS n FROM (VALUES ('o_orderkey', 'integer'), ('o_orderstatus', 'string'), ('o_totalprice', 'double'), ('o_orderdate', 'dateTime'), ('o_orderpriority', 'string')) v(c, t)",
+    ),
+    "typed_constant": ("SELECT ?s ?p WHERE { ?s ?p 17 ; t:p_brand ?b }", "SELECT 'urn:t:part/' || p_partkey AS s, 'urn:t:p_size' AS p FROM part WHERE p_size = 17 UNION ALL SELECT 'urn:t:part/' || p_partkey, 'urn:t:p_partkey' FROM part WHERE p_partkey = 17 UNION ALL SELECT 'urn:t:part/' || p_partkey, 'urn:t:p_retailprice' FROM part WHERE p_retailprice = 17"),
+    "typed_union": (
+        "SELECT (MIN(?v) AS ?lo) (MAX(?v) AS ?hi) (COUNT(DISTINCT ?v) AS ?n) WHERE { { ?x t:n_nationkey ?v } UNION { ?y t:n_name ?v } UNION { ?z t:o_orderdate ?v } }",
+        "SELECT min(n_nationkey)::VARCHAR AS lo, max(n_name) AS hi, 2 * count(*) + (SELECT count(DISTINCT o_orderdate) FROM orders) AS n FROM nation",
+    ),
+    "typed_union_order": ("SELECT ?v WHERE { { ?x t:n_nationkey ?v } UNION { ?y t:r_name ?v } } ORDER BY ?v OFFSET 12 LIMIT 16", "SELECT v FROM (SELECT n_nationkey::VARCHAR AS v, n_nationkey AS k FROM nation UNION ALL SELECT r_name, 1000 FROM region) ORDER BY k, v LIMIT 16 OFFSET 12"),
+    "typed_join": ("SELECT ?p (COUNT(*) AS ?n) WHERE { ?r t:r_regionkey ?v . ?x ?p ?v ; t:p_brand ?b } GROUP BY ?p", "SELECT 'urn:t:p_size' AS p, count(*) AS n FROM part JOIN region ON p_size = r_regionkey HAVING n > 0 UNION ALL SELECT 'urn:t:p_partkey', count(*) AS n FROM part JOIN region ON p_partkey = r_regionkey HAVING n > 0"),
+    "typed_language": (
+        "SELECT ?n ?l ?d WHERE { ?x t:r_name ?n BIND(IF(?n < 'B', STRLANG(?n, 'en-GB'), STRDT(?n, <urn:dt>)) AS ?v) BIND(LANG(?v) AS ?l) BIND(DATATYPE(?v) AS ?d) FILTER(?n != 'ASIA' || LANGMATCHES(LANG(?v), 'EN')) }",
+        "SELECT r_name AS n, CASE WHEN r_name < 'B' THEN 'en-GB' ELSE '' END AS l, CASE WHEN r_name < 'B' THEN 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString' ELSE 'urn:dt' END AS d FROM region",
+    ),
+    # predicates that two maps give to the same subjects
+    "shared_predicate": ("SELECT (COUNT(*) AS ?n) (MIN(?d) AS ?lo) WHERE { ?s t:doc_id ?d }", "SELECT count(*) AS n, min(doc_id) AS lo FROM documents"),
+    "shared_predicate_filter": ("SELECT ?s ?l WHERE { ?s t:doc_id ?d ; t:lang ?l FILTER(?d < 300) }", "SELECT 'urn:t:documents/' || doc_id AS s, lang AS l FROM documents WHERE doc_id < 300"),
+    "shared_predicate_any": (
+        "SELECT ?p (COUNT(*) AS ?n) WHERE { ?s ?p ?o ; t:lang 'de' FILTER(?p != t:text) } GROUP BY ?p",
+        "WITH d AS (SELECT d.*, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'de') SELECT 'urn:t:' || unnest(['doc_id', 'lang', 'source', 'n_chars', 'quality', 'toxic']) AS p, unnest([count(*), count(*), count(*), count(*), count(quality), count(toxic)]) AS n FROM d UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', count(*) + count(quality) FROM d",
+    ),
     # as in a store of plain text
     "strings_order": ("SELECT ?x ?k WHERE { ?x t:n_nationkey ?k } ORDER BY ?k LIMIT 12", "SELECT 'urn:t:nation/' || n_nationkey AS x, n_nationkey::VARCHAR AS k FROM nation ORDER BY k LIMIT 12"),
 }

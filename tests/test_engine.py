@@ -6,10 +6,10 @@ import math
 import duckdb
 import pytest
 
-from tessera import catalog_queries
+from tessera import catalog_queries, sparql_queries
 from tessera.engine import Engine
-from tessera.plans.sparql import Path, parse
-from tessera.plans.terms import UnsupportedQuery
+from tessera.plans.sparql import Exists, Group, Path, parse
+from tessera.plans.terms import Lit, UnsupportedQuery, Var
 from tessera.sources import tables
 from tessera.sources.graph import Graph
 
@@ -92,6 +92,98 @@ def test_variables_that_may_be_unbound_need_no_nested_loop(spark, tail):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+@pytest.mark.parametrize("name", ["exists_in_exists", "not_exists_nested_group", "exists_union_correlated", "exists_optional_filter", "exists_minus_correlated", "optional_exists", "exists_in_having", "exists_in_aggregate"])
+def test_correlated_exists_needs_no_nested_loop(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, sparql_queries.PAIRS[name][0])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+NUMBERS = [(f"u:{s}", f"u:{p}", o) for s, p, o in [("a", "p", 1), ("a", "p", 4), ("b", "p", 2), ("c", "p", 3), ("a", "q", 2), ("b", "q", 2), ("b", "q", 5), ("d", "q", 1), ("c", "r", 3), ("d", "r", 4), ("a", "r", 1)]]
+
+
+def solve(g, row):
+    """Plain solutions of a group for an outer row, whose values stand for its variables everywhere."""
+
+    def value(t, m):
+        return m.get(t.name) if isinstance(t, Var) else t.python() if isinstance(t, Lit) else t.value
+
+    def test(e, m):
+        if isinstance(e, Exists):
+            return bool(solve(e.group, m)) != e.negated
+        if e.name == "!":
+            return None if (x := test(e.args[0], m)) is None else not x
+        if e.name in ("&&", "||"):
+            x, y = (test(a, m) for a in e.args)
+            end = e.name == "||"
+            return end if end in (x, y) else None if None in (x, y) else not end
+        if e.name == "bound":
+            return e.args[0].name in m
+        x, y = (value(a, m) for a in e.args)
+        return None if x is None or y is None else {"<": x < y, ">": x > y, "=": x == y, "!=": x != y}[e.name]
+
+    def joined(a, b):
+        return [x | y for x in a for y in b if all(x[k] == y[k] for k in x.keys() & y.keys())]
+
+    out, filters = [dict(row)], []
+    for kind, x in g.elements:
+        if kind == "filter":
+            filters.append(x)
+        elif kind == "triple":
+            found = []
+            for s, p, o in NUMBERS:
+                if p == x.p.value:
+                    m = {x.s.name: s}
+                    if not isinstance(x.o, Var):
+                        found += [m] if value(x.o, {}) == o else []
+                    elif x.o.name != x.s.name:
+                        found.append(m | {x.o.name: o})
+            out = joined(out, found)
+        elif kind == "union":
+            out = joined(out, [m for part in x for m in solve(part, row)])
+        elif kind == "group":
+            out = joined(out, solve(x, row))
+        elif kind == "minus":
+            right = [{k: v for k, v in m.items() if k not in row} for m in solve(x, row)]
+            out = [m for m in out if not any(m.keys() & r.keys() and all(m[k] == r[k] for k in m.keys() & r.keys()) for r in right)]
+        elif kind == "optional":
+            inner = Group(tuple(e for e in x.elements if e[0] != "filter"))
+            conditions, kept = [e for k, e in x.elements if k == "filter"], []
+            for m in out:
+                both = [n for n in joined([m], solve(inner, row)) if all(test(c, n) for c in conditions)]
+                kept += both or [m]
+            out = kept
+    return [m for m in out if all(test(f, m) for f in filters)]
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "?x u:q ?b FILTER EXISTS { ?z u:r ?c FILTER(?c > ?a) FILTER NOT EXISTS { ?z u:q ?d FILTER(?d < ?b) } }",
+        "{ ?x u:q ?b FILTER(?b > ?a) } UNION { ?x u:r ?b FILTER(?b = ?a) }",
+        "?z u:q ?b OPTIONAL { ?z u:r ?c FILTER(?c > ?a) } FILTER(!BOUND(?c) && ?b > ?a)",
+        "?z u:q ?b OPTIONAL { ?z u:r ?a } FILTER(BOUND(?a))",
+        "?z u:r ?b MINUS { ?z u:q ?c FILTER(?c > ?a) }",
+        "?z u:r ?b MINUS { ?x u:p ?a }",
+        "{ { ?z u:r ?c FILTER(?c < ?a) } ?z u:q ?b } FILTER(?b != ?a)",
+        "?z u:r ?c OPTIONAL { ?z u:q ?b FILTER EXISTS { ?x u:r ?e FILTER(?e = ?c || ?b > ?a) } } FILTER(BOUND(?b))",
+        "{ ?z u:q ?a OPTIONAL { ?z u:r ?o } } FILTER(?o > 0 || ?a = 2)",
+        "OPTIONAL { ?x u:r ?o } ?z u:q ?b FILTER(?o < ?b)",
+    ],
+)
+@pytest.mark.parametrize("negated", [False, True])
+def test_exists_stands_for_the_outer_row(spark, inner, negated):
+    text = f"SELECT ?x ?a ?o WHERE {{ ?x u:p ?a OPTIONAL {{ ?x u:r ?o FILTER(?o != 3) }} FILTER {'NOT ' if negated else ''}EXISTS {{ {inner} }} }}"
+    rows = [(s, p, str(o), "literal", "http://www.w3.org/2001/XMLSchema#integer") for s, p, o in NUMBERS]
+    graph = Graph(triples=spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string"))
+    got = Engine(spark, graph, {"u": "u:"}).query(text).collect()
+    want = solve(parse(text, {"u": "u:"}).where, {})
+    assert sorted(repr((r.x, r.a, r.o)) for r in got) == sorted(repr((m["x"], str(m["a"]), str(m["o"]) if "o" in m else None)) for m in want)
+
+
 def test_variable_predicates_push_constants_and_keep_keys(spark):
     text = plan(spark, "SELECT ?p ?o WHERE { <urn:t:orders/5> ?p ?o }")
     assert "EqualTo(o_orderkey,5)" in text and text.count("FileScan") == 1
@@ -174,3 +266,19 @@ def test_results_document(spark):
     assert doc == {"head": {"vars": ["x", "k", "q"]}, "results": {"bindings": [{"x": {"type": "uri", "value": "urn:t:region/2"}, "k": {"type": "literal", "value": "2", "datatype": "http://www.w3.org/2001/XMLSchema#integer"}}]}}
     doc = json.loads(Engine(spark, triples(spark), {"u": "u:"}).json("SELECT ?y WHERE { ?x u:q ?y } ORDER BY ?y"))
     assert [b["y"]["type"] for b in doc["results"]["bindings"]] == ["uri", "literal"]
+
+
+def test_terms_of_any_kind_in_results_documents(spark):
+    doc = json.loads(Engine(spark, tables.graph(spark, SF), tables.PREFIXES).json("SELECT ?v WHERE { { ?x t:r_regionkey ?v FILTER(?v = 2) } UNION { ?x t:r_name ?v FILTER(?v = 'ASIA') } UNION { VALUES ?v { 'ciao'@it 2.5 <u:x> } } } ORDER BY ?v"))
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+    assert [b["v"] for b in doc["results"]["bindings"]] == [{"type": "uri", "value": "u:x"}, {"type": "literal", "value": "2", "datatype": xsd + "integer"}, {"type": "literal", "value": "2.5", "datatype": xsd + "decimal"}, {"type": "literal", "value": "ASIA"}, {"type": "literal", "value": "ciao", "xml:lang": "it"}]
+
+
+def test_unlike_terms_are_not_compared(spark):
+    e = Engine(spark, tables.graph(spark, SF), tables.PREFIXES)
+    ask = lambda text: e.query(text).count()
+    assert ask("SELECT ?v WHERE { ?x ?p ?v ; t:r_name ?n FILTER(?v < 'B') }") == 3  # names only, no keys and no IRIs
+    assert ask("SELECT ?v WHERE { ?x ?p ?v ; t:r_name ?n FILTER(?v < 2) }") == 2
+    assert ask("SELECT ?v WHERE { VALUES ?v { '1' 1 <u:1> '1'@en } ?x t:r_regionkey ?v }") == 1
+    assert ask("SELECT DISTINCT ?v WHERE { VALUES ?v { '1' 1 <u:1> '1'@en '1' 1 } }") == 4
+    assert ask("SELECT ?v WHERE { VALUES ?v { '1' 1 <u:1> '1'@en } FILTER sameTerm(?v, '1'@EN) }") == 1

@@ -34,7 +34,33 @@ def test_ntriples_round_trip(spark, tmp_path):
     rows = [("urn:a", "urn:p", 'say "hi"\n\\x', "literal"), ("_:b", "urn:p", "urn:c", "iri"), ("urn:a", "urn:p", "_:b", "bnode")]
     df = spark.createDataFrame(rows, "s string, p string, o string, o_kind string")
     turtle.write_ntriples(df, str(tmp_path / "nt"))
-    assert sorted(map(tuple, turtle.read_ntriples(spark, str(tmp_path / "nt")).collect())) == sorted(rows)
+    assert sorted(map(tuple, turtle.read_ntriples(spark, str(tmp_path / "nt")).select("s", "p", "o", "o_kind").collect())) == sorted(rows)
+
+
+def test_ntriples_lines(spark):
+    lines = [
+        ' <urn:a><urn:p>"x"@en-GB . # "no" .',
+        '_:b1 <urn:p\\u00e9> <urn:c> .',
+        '<urn:a> <urn:p> "\\\\u00e9\\u00E9\\U0001F642\\uD83D\\uDE42\\\\\\\\t" .',
+        '<urn:a> <urn:p> "1"^^<urn:int> .',
+        "# a remark",
+        "   ",
+        '<urn:a> <urn:p> "open .',
+        '<urn:a> <urn:p> "bad \\q" .',
+        '<urn:a> "p" <urn:c> .',
+        '<urn:a> <urn:p> "a" "b" .',
+        '<urn:a> <urn:p> "' + 'long \\" text ' * 20_000 + '" .',
+    ]
+    rows = turtle.parsed_ntriples(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [r.bad for r in rows if r.bad] == [lines[k] for k in (6, 7, 8, 9)]
+    xsd = "http://www.w3.org/2001/XMLSchema#string"
+    assert [tuple(r)[:6] for r in rows if not r.bad] == [
+        ("urn:a", "urn:p", "x", "literal", None, "en-GB"),
+        ("_:b1", "urn:p\u00e9", "urn:c", "iri", None, None),
+        ("urn:a", "urn:p", "\\u00e9\u00e9\U0001f642\U0001f642\\\\t", "literal", xsd, None),
+        ("urn:a", "urn:p", "1", "literal", "urn:int", None),
+        ("urn:a", "urn:p", 'long " text ' * 20_000, "literal", xsd, None),
+    ]
 
 
 def test_catalog_paths():
