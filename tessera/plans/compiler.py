@@ -277,7 +277,7 @@ class Compiler:
         parts: list[tuple[set[str], int, object]] = []
         for t in triples:
             if isinstance(t.p, Path):
-                parts.append((_vars(t.s, t.o), -1, lambda out, t=t: self.path(t.s, t.p, t.o)))
+                parts.append((_vars(t.s, t.o), -1, lambda out, t=t: self.path(t.s, t.p, t.o, out)))
             elif isinstance(t.p, Var):
                 parts.append((_vars(t.s, t.p, t.o), -2, lambda out, t=t: self.any_predicate(t, out)))
             else:
@@ -477,24 +477,25 @@ class Compiler:
 
     # property paths
 
-    def path(self, s, p, o) -> Rel:
+    def path(self, s, p, o, beside: Rel = UNIT) -> Rel:
+        """beside: the relation that the path will be joined with, whose values of an end tell a closure where to begin."""
         if p.op == "link":
             return self.patterns([Triple(s, Iri(p.args[0]), o)])
         if p.op == "inv":
-            return self.path(o, p.args[0], s)
+            return self.path(o, p.args[0], s, beside)
         if p.op == "seq":
             out, at = UNIT, s
             hidden = []
             for k, part in enumerate(p.args):
                 to = o if k == len(p.args) - 1 else Var(self.temp())
                 hidden += [to.name] if k < len(p.args) - 1 else []
-                out = joined(out, self.path(at, part, to))
+                out = joined(out, self.path(at, part, to, beside if k == 0 else out))
                 at = to
             return out.keep([v for v in out.kinds if v not in hidden])
         if p.op == "alt":
-            out = self.path(s, p.args[0], o)
+            out = self.path(s, p.args[0], o, beside)
             for part in p.args[1:]:
-                out = unioned(out, self.path(s, part, o))
+                out = unioned(out, self.path(s, part, o, beside))
             return replace(out, maybe=frozenset())
         if p.op == "neg":
             out = None
@@ -507,17 +508,21 @@ class Compiler:
                 rel = rel.keep([x for x in rel.kinds if x != v.name])
                 out = rel if out is None else unioned(out, rel)
             return out
-        return self.closure(s, p.op, p.args[0], o)
+        return self.closure(s, p.op, p.args[0], o, beside)
 
-    def closure(self, s, op: str, part: Path, o) -> Rel:
-        """?, + and * as sets of pairs: outward from a constant end, round by round, else in rounds that each
-        double the length that paths can have."""
+    def closure(self, s, op: str, part: Path, o, beside: Rel = UNIT) -> Rel:
+        """?, + and * as sets of pairs: outward from a constant end or from the values that an end has in the relation beside,
+        round by round, else in rounds that each double the length that paths can have."""
         a, b = self.temp(), self.temp()
         step = self.path(Var(a), part, Var(b)).with_text(a).with_text(b)
         step = replace(step, df=step.df.select(F.col(name(a)).alias("a"), F.col(name(b)).alias("b")).distinct())
         pairs = step.df
         if isinstance(s, Iri) or isinstance(o, Iri):
             return self.reached(s, op, pairs, o)
+        for here, there, start, end in (("a", "b", s, o), ("b", "a", o, s)):
+            if start.name in beside.kinds and start.name not in beside.maybe and beside.kinds[start.name].kind == "iri" and not beside.kinds[start.name].nameless:
+                seeds = beside.keep([start.name]).with_text(start.name)
+                return self.walked(seeds.df.select(F.col(name(start.name)).alias("from")).distinct(), start, op, pairs.select(F.col(here).alias("x"), F.col(there).alias("y")), end)
         if op in ("plus", "star"):
             pairs = _checkpointed(pairs)
             n = pairs.count()
@@ -552,6 +557,20 @@ class Compiler:
             return Rel(seen.select(F.col("x").alias(name(end.name))), {end.name: Kind("iri")})
         return Rel(seen.where(F.col("x") == end.value).select(F.lit(True).alias("unit")))
 
+    def walked(self, seeds: DataFrame, start: Var, op: str, step: DataFrame, end: Var) -> Rel:
+        """What each of the seeds (from) reaches by steps (x, y): a round goes on from the pairs that the last one found."""
+        seeds = _checkpointed(seeds)
+        new = seen = _checkpointed(step.join(seeds.withColumnRenamed("from", "x"), "x").select(F.col("x").alias("from"), "y").distinct())
+        while op != "opt" and not new.isEmpty():
+            far = step.join(new.withColumnRenamed("y", "x"), "x").select("from", "y").distinct()
+            new = _checkpointed(far.join(seen, ["from", "y"], "left_anti"))
+            seen = seen.union(new)
+        if op != "plus":  # each seed reaches itself, wherever it occurs
+            seen = seen.union(seeds.select("from", F.col("from").alias("y"))).distinct()
+        if start == end:
+            return Rel(seen.where("from = y").select(F.col("y").alias(name(end.name))), {end.name: Kind("iri")})
+        return Rel(seen.select(F.col("from").alias(name(start.name)), F.col("y").alias(name(end.name))), {start.name: Kind("iri"), end.name: Kind("iri")})
+
     # SELECT
 
     def select(self, q: Select, ordered: bool = False) -> Rel:

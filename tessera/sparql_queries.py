@@ -194,6 +194,14 @@ PAIRS: dict[str, tuple[str, str]] = {
     "path_plus": ("SELECT ?y WHERE { <urn:t:orders/5> (t:o_custkey|t:c_nationkey|t:n_regionkey)+ ?y }", "SELECT unnest(['urn:t:customer/' || c_custkey, 'urn:t:nation/' || n_nationkey, 'urn:t:region/' || n_regionkey]) AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey = 5"),
     "path_optional": ("SELECT ?y WHERE { <urn:t:nation/5> t:n_regionkey? ?y }", "SELECT unnest(['urn:t:nation/5', 'urn:t:region/' || n_regionkey]) AS y FROM nation WHERE n_nationkey = 5"),
     "path_negated": ("SELECT ?o WHERE { <urn:t:nation/5> !(t:n_name|t:n_nationkey|rdf:type) ?o }", "SELECT 'urn:t:region/' || n_regionkey AS o FROM nation WHERE n_nationkey = 5"),
+    "path_plus_seeded": (
+        "SELECT ?s ?y WHERE { ?s t:s_name ?n ; t:s_acctbal ?b FILTER(?b > 9000) ?s (t:s_nationkey|t:n_regionkey)+ ?y }",
+        "SELECT 'urn:t:supplier/' || s_suppkey AS s, 'urn:t:nation/' || n_nationkey AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 9000 UNION ALL SELECT 'urn:t:supplier/' || s_suppkey, 'urn:t:region/' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 9000",
+    ),
+    "path_star_backward_seeded": (
+        "SELECT ?n (COUNT(?x) AS ?k) WHERE { ?r t:r_name ?n . ?x (t:s_nationkey|t:n_regionkey)* ?r } GROUP BY ?n",
+        "SELECT r_name AS n, 1 + count(DISTINCT n_nationkey) + count(s_suppkey) AS k FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1",
+    ),
     # terms of any kind: under a variable predicate, and in a UNION of unlike columns
     "typed_min_max": (
         "SELECT ?p (MIN(?v) AS ?lo) (MAX(?v) AS ?hi) WHERE { ?s ?p ?v ; t:n_name ?x FILTER(isLiteral(?v)) } GROUP BY ?p",

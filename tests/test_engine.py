@@ -204,6 +204,21 @@ def test_paths_from_a_constant_keep_what_it_reaches(spark, monkeypatch):
     assert df.count() == 4 and sizes == [1, 1, 1, 0]
 
 
+def test_paths_from_a_joined_end_keep_what_its_values_reach(spark, monkeypatch):
+    from tessera.plans import compiler
+
+    sizes, keep = [], compiler._checkpointed
+    monkeypatch.setattr(compiler, "_checkpointed", lambda df: sizes.append((out := keep(df)).count()) or out)
+    e = Engine(spark, tables.graph(spark, SF), tables.PREFIXES)
+    df = e.query("SELECT ?y WHERE { ?x t:n_name 'NATION_3' . ?x (t:o_custkey|t:c_nationkey|t:n_regionkey)+ ?y }")
+    assert df.count() == 1 and sizes == [1, 1, 0]
+    sizes.clear()
+    df = e.query("SELECT ?c ?y WHERE { ?c t:c_name ?n FILTER(?c = <urn:t:customer/3> || ?c = <urn:t:customer/4>) ?c (t:c_nationkey/t:n_regionkey)* ?y }")
+    assert df.count() == 4
+    assert rows(spark, "SELECT ?x ?y WHERE { ?x u:n '5' . ?x u:p* ?y }") == [("u:a", "u:a"), ("u:a", "u:b"), ("u:a", "u:c")]
+    assert rows(spark, "SELECT ?x WHERE { ?x u:n ?v . ?x u:p+ ?x }") == [("u:a",), ("u:b",), ("u:c",)]
+
+
 def test_rows_without_a_key_are_not_joined(spark):
     from tessera.sources.graph import table_map
 
