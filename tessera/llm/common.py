@@ -264,13 +264,14 @@ def _hashed(held: list[tuple[int, str]], counts: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A bounded cache of a module: value(key) is computed on a miss, and the cache starts anew when it is full or a
-    task ends."""
+    """A bounded cache of a module: value(key) is computed on a miss, and the cache starts anew when it is full or,
+    unless its owner sees to that, a task ends."""
 
-    def __init__(self, value: Callable, most: int = 300_000):
+    def __init__(self, value: Callable, most: int = 300_000, owned: bool = False):
         super().__init__()
         self.value, self.most = value, most
-        kept(self)
+        if not owned:
+            kept(self)
 
     def __missing__(self, key):
         out = self.value(key)

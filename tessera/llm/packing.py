@@ -113,15 +113,50 @@ def lengths(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", (words + 1).cast("long").alias("length"))
 
 
-#: Parts and words whose ids a worker keeps while it counts: the other cores' workers and the heap need the rest.
-MOST_KNOWN = 50_000
+#: Parts, and words, whose numbers of ids a worker keeps.
+MOST_KNOWN = 300_000
+
+
+class Lengths:
+    """Numbers of ids. Only these are kept: the ids of as many words would take the memory that other cores' workers need."""
+
+    def __init__(self, path: str, most: int):
+        self.enc = simple8b.Tokenizer(path, most=1)
+        self.words = common.Memo(lambda low: len(self.enc._word(low)) // 4, most, owned=True)
+        self.parts = common.Memo(self._part, most, owned=True)
+        self.used = True
+        common.kept(self)
+        self.tails = {k: len(x) // 4 for k, x in self.enc.tails.items()}
+
+    def _part(self, part: str) -> int:
+        if not part:
+            return 0
+        found = self.enc.plain(part)
+        return self.words[found[0]] + self.tails[found[1]] if found else len(self.enc._whole(part)) // 4
+
+    def clear(self) -> None:
+        """Forgets all once a task has ended that did not use it."""
+        if not self.used:
+            self.words.clear()
+            self.parts.clear()
+        self.used = False
+
+    def of(self, text: str) -> int:
+        return sum(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+_LENGTHS: dict[tuple[str, int], Lengths] = {}
 
 
 def _token_lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = simple8b.tokenizer(path, MOST_KNOWN)
+        if (path, MOST_KNOWN) not in _LENGTHS:
+            _LENGTHS.clear()
+            _LENGTHS[path, MOST_KNOWN] = Lengths(path, MOST_KNOWN)
+        known = _LENGTHS[path, MOST_KNOWN]
+        known.used = True
         for batch in batches:
-            n = [len(enc.encode(t)) // 4 + 1 if t else 1 for t in batch.column(1).to_pylist()]
+            n = [known.of(t) + 1 if t else 1 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "length"])
 
     return run

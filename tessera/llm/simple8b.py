@@ -268,15 +268,20 @@ class Tokenizer:
                 self.words[low] = ids
         return ids
 
-    def part(self, part: str) -> bytes:
-        if self.direct and part.isascii():  # as _PLAIN has it
+    def plain(self, part: str) -> tuple[str, str] | None:
+        """The word and the mark after it of a part that the library's model takes directly."""
+        if not self.direct:
+            return None
+        if part.isascii():  # as _PLAIN has it
             if part.isalpha():
-                return self._word(part.lower())
-            if part[-1] in ".," and part[:-1].isalpha():
-                return self._word(part[:-1].lower()) + self.tails[part[-1]]
-            return self._whole(part)
-        m = _PLAIN.fullmatch(part) if self.direct else None
-        return self._direct(m) if m else self._whole(part)
+                return part.lower(), ""
+            return (part[:-1].lower(), part[-1]) if part[-1] in ".," and part[:-1].isalpha() else None
+        m = _PLAIN.fullmatch(part)
+        return (m[1].lower(), m[2]) if m else None
+
+    def part(self, part: str) -> bytes:
+        found = self.plain(part)
+        return self._word(found[0]) + self.tails[found[1]] if found else self._whole(part)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
