@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import documents
 from ..sources.mapping import ROOT, Mapping, Node, Service
 
 VALUE = "array<struct<node:string,pos:array<int>,value:string>>"
@@ -38,27 +39,73 @@ def xml_type(m: Mapping, n: Node, root: bool = False) -> T.DataType:
     return inner if root else T.ArrayType(inner)
 
 
-def _cell(n: Node, value: Column, pos: list[Column], null: bool) -> Column:
-    row = F.struct(F.lit(n.uri).alias("node"), F.array(*[p.cast("int") for p in pos]).alias("pos"), (F.coalesce(value, F.lit("null")) if null else value).cast("string").alias("value"))
-    return F.array(row) if null else F.when(value.isNotNull(), F.array(row)).otherwise(F.array().cast(VALUE))
+def _cell(n: Node, value: Column, pos: list[Column], null: bool, number: str) -> Column:
+    row = F.struct(F.lit(n.uri).alias("node"), F.array(*[p.cast(number) for p in pos]).alias("pos"), (F.coalesce(value, F.lit("null")) if null else value).cast("string").alias("value"))
+    return F.array(row) if null else F.when(value.isNotNull(), F.array(row)).otherwise(F.array().cast(_value(number)))
 
 
-def _values(m: Mapping, n: Node, col: Column, pos: list[Column], xml: bool, many: bool, null: bool) -> Column:
-    """All values at or below a node."""
+def _value(number: str) -> str:
+    return VALUE.replace("pos:array<int>", f"pos:array<{number}>")
+
+
+def _values(m: Mapping, n: Node, col: Column, pos: list[Column], xml: bool, many: bool, null: bool, at: Column | None = None, number: str = "int") -> Column:
+    """All values at or below a node. at: the place of a node that is one of many, but stands alone here. number: the
+    type of places."""
+    empty = F.array().cast(_value(number))
 
     def inside(c: Column, pos: list[Column]) -> Column:
         parts = []
         if n.data:
-            parts.append(_cell(n, c["_VALUE"] if xml and n.children else c.cast("string") if n.children else c, pos, null))
+            parts.append(_cell(n, c["_VALUE"] if xml and n.children else c.cast("string") if n.children else c, pos, null, number))
         for k in n.children:
             child = m.nodes[k]
             field = c["_" + child.label if xml and child.attribute else child.label]
-            parts.append(_values(m, child, field, pos, xml, not child.attribute if xml else child.structure == "JSON_Array", null))
-        return F.concat(*parts) if parts else F.array().cast(VALUE)
+            parts.append(_values(m, child, field, pos, xml, not child.attribute if xml else child.structure == "JSON_Array", null, number=number))
+        return F.concat(*parts) if parts else empty
 
+    if at is not None:
+        return F.when(col.isNotNull(), inside(col, [*pos, at])).otherwise(empty)
     if not many:
-        return F.when(col.isNotNull() | F.lit(null), inside(col, [*pos, F.lit(0)])).otherwise(F.array().cast(VALUE))
-    return F.coalesce(F.flatten(F.transform(col, lambda x, i: inside(x, [*pos, i + 1]))), F.array().cast(VALUE))
+        return F.when(col.isNotNull() | F.lit(null), inside(col, [*pos, F.lit(0)])).otherwise(empty)
+    return F.coalesce(F.flatten(F.transform(col, lambda x, i: inside(x, [*pos, i + 1]))), empty)
+
+
+def element_node(m: Mapping, service: Service) -> Node | None:
+    """What a document of a service can be split into: the objects of its only JSON array, or the one child of an XML root
+    that holds nothing else. None: it has to be read whole."""
+    roots = [m.nodes[r] for r in service.roots]
+    if len(roots) != 1:
+        return None
+    root = roots[0]
+    if service.language != "xml":
+        return root if root.structure == "JSON_Array" and root.children and not root.data else None
+    if root.data or len(root.children) != 1 or m.nodes[root.children[0]].attribute:
+        return None
+    row = m.nodes[root.children[0]]
+    below = lambda n: {m.nodes[c].label for c in n.children}.union(*[below(m.nodes[c]) for c in n.children])
+    return row if row.label not in below(row) else None
+
+
+def elements(spark, m: Mapping, service: Service, path: str) -> DataFrame:
+    """Rows (ordinal, body) of the elements of a service's document, a folder or file that the executors can read."""
+    n = element_node(m, service)
+    if n is None:
+        raise ValueError(f"the document of {service.uri} has no single array or row that it could be split into")
+    found = documents.xml_elements(spark, path, n.label) if service.language == "xml" else documents.json_elements(spark, path, None if n.label == ROOT else n.label)
+    return documents.ordinals(found).select("ordinal", "body")
+
+
+def extracted_elements(m: Mapping, service: Service, rows: DataFrame) -> DataFrame:
+    """As extracted(), of rows (call_id, ordinal, body) of elements: positions are as in the whole document."""
+    n, xml = element_node(m, service), service.language == "xml"
+    if xml:
+        t = xml_type(m, n, True)
+        doc = F.from_xml(F.col("body"), t if isinstance(t, T.StructType) else T.StructType([T.StructField("_VALUE", T.StringType())]))
+    else:
+        doc = F.from_json(F.col("body"), json_type(m, n).elementType)
+    df = rows.select("call_id", "ordinal", doc.alias("doc"))
+    cells = _values(m, n, F.col("doc"), [F.lit(0)] if xml else [], xml, False, False, F.col("ordinal"), "bigint")
+    return df.select("call_id", F.explode(cells).alias("x")).select("call_id", "x.node", "x.pos", "x.value")
 
 
 def extracted(m: Mapping, service: Service, responses: DataFrame, null_text: bool = False) -> DataFrame:

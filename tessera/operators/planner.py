@@ -19,7 +19,7 @@ from ..plans.sparql import Group, Select, patterns
 from ..plans.terms import RDF_TYPE, RDFS_LABEL, Iri, Lit, Var
 from ..sources.graph import Graph
 from ..sources.mapping import Mapping, Service
-from .extract import extracted
+from .extract import elements, extracted, extracted_elements
 from .materialise import Materialiser, Minting, minted
 
 MAX_ROUNDS = 10
@@ -232,7 +232,7 @@ class Planner:
         found = None
         for s in services:
             mine = new.where(F.col("service") == s.uri)
-            values = _checkpointed(extracted(self.mapping, s, answers.join(mine.select("call_id"), "call_id"), self.options.null_text))
+            values = _checkpointed(self.values(s, mine, answers))
             t = Materialiser(self.mapping, s, mine.join(answers.where("body IS NOT NULL").select("call_id"), "call_id", "left_semi"), values, self.options.minting, self.options.all_to_all).triples()
             if t is not None:
                 self.parts.append(t)
@@ -248,6 +248,15 @@ class Planner:
             self.constants = _checkpointed(self.constants.unionByName(fresh))
         return n
 
+    def values(self, s: Service, calls: DataFrame, answers: DataFrame) -> DataFrame:
+        path = getattr(self.responder, "paths", {}).get(s.uri)
+        if path is None:
+            return extracted(self.mapping, s, answers.join(calls.select("call_id"), "call_id"), self.options.null_text)
+        if s.inputs:
+            raise ValueError(f"{s.uri} has inputs, so a file can't answer it")
+        call = calls.first().call_id  # the only one
+        return extracted_elements(self.mapping, s, elements(self.spark, self.mapping, s, path).withColumn("call_id", F.lit(call)))
+
     def entities(self, rows: DataFrame) -> DataFrame:
         """Class and label of the entities that constants name."""
         out = None

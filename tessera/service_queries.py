@@ -150,6 +150,54 @@ def row_entity_links(spark, sf_dir):
     return _engine(spark, sf_dir, FREE).query("SELECT ?a ?b WHERE { ?row ex:key ?a ; ex:seenAs ?tag . ?tag a ex:Tag ; ex:key ?b }")
 
 
+#: Documents of all orders, read element by element from files.
+BIG_JSON = HEAD + """
+m:big m:hasUrl "http://x/big" ; m:hasLanguage "json" ; m:hasOutput m:big-root .
+m:big-root a rdf:Bag ; rdfs:label "orders" ; m:hasStructure "JSON_Array" ; m:isRelatedToService m:big ; rdf:li m:big-key , m:big-paid , m:big-customer .
+m:big-key a owl:DatatypeProperty ; owl:equivalentProperty ex:key ; rdfs:label "key" ; m:isData true ; m:isRelatedToService m:big .
+m:big-paid rdfs:label "paid" ; m:hasStructure "JSON_Object" ; m:isRelatedToService m:big ; rdf:li m:big-total .
+m:big-total a owl:DatatypeProperty ; owl:equivalentProperty ex:total ; rdfs:label "total" ; m:isData true ; m:isRelatedToService m:big .
+m:big-customer a ex:Customer ; rdfs:label "customer" ; m:isData true ; m:isRelatedToService m:big .
+m:big-resource1 a m:customResource , ex:Order ; m:big-key <http://www.w3.org/2001/XMLSchema#string> ; m:big-total <http://www.w3.org/2001/XMLSchema#string> ; ex:by m:big-customer .
+"""
+BIG_XML = HEAD + """
+m:big m:hasUrl "http://x/big" ; m:hasLanguage "xml" ; m:hasOutput m:big-root .
+m:big-root rdfs:label "orders" ; rdf:li m:big-order ; m:isRelatedToService m:big .
+m:big-order rdfs:label "order" ; m:hasAttribute m:big-key ; rdf:li m:big-total ; m:isRelatedToService m:big .
+m:big-key a ex:Order ; rdfs:label "key" ; m:isData true ; m:isRelatedToService m:big ; m:big-total <http://www.w3.org/2001/XMLSchema#double> .
+m:big-total a owl:DatatypeProperty ; owl:equivalentProperty ex:total ; rdfs:label "total" ; m:isData true ; m:isRelatedToService m:big .
+"""
+
+
+def _big(spark, sf_dir, mapping, elements, *ends) -> Engine:
+    import uuid
+
+    from .shipping import shared_folder
+    from .sources.documents import write_documents
+    from .sources.responders import Files
+
+    to = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    write_documents(elements, to, *ends)
+    return Engine(spark, prefixes=PREFIXES, mapping=Mapping.parse(mapping), responder=Files({"urn:map:big": to}), options=_options())
+
+
+def free_file_json(spark, sf_dir):
+    """All orders as JSON documents whose arrays are split over the tasks; some orders have no total."""
+    o = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+    one = F.struct(F.col("o_orderkey").cast("string").alias("key"), F.struct(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice").cast("string")).alias("total"), F.lit('}, {"key": "no"').alias("note")).alias("paid"), F.col("c_name").alias("customer"))
+    e = _big(spark, sf_dir, BIG_JSON, o.select(F.to_json(one).alias("value")), '{"made": {"by": ["x", 1]}, "orders": [', ",\n", '], "end": [{"key": "none"}]}')
+    return e.query("SELECT ?k ?t ?n WHERE { ?x a ex:Order ; ex:key ?k ; ex:by ?c . ?c rdfs:label ?n OPTIONAL { ?x ex:total ?t } }")
+
+
+def free_file_xml(spark, sf_dir):
+    """All orders as XML documents, read by row."""
+    o = _table(spark, sf_dir, "orders")
+    one = F.concat(F.lit('<order key="'), F.col("o_orderkey").cast("string"), F.lit('"><total>'), F.col("o_totalprice").cast("string"), F.lit("</total></order>"))
+    one = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('<order key="'), F.col("o_orderkey").cast("string"), F.lit('" />'))).otherwise(one)
+    e = _big(spark, sf_dir, BIG_XML, o.select(one.alias("value")), "<orders>", "\n", "</orders>")
+    return e.query("SELECT ?k ?t WHERE { ?x a ex:Order ; rdfs:label ?k OPTIONAL { ?x ex:total ?t } }")
+
+
 def free_source_antijoin(spark, sf_dir):
     m = Mapping.parse(CHAIN, base_path="http://x").merge(Mapping.parse(FREE))
     services = spark.createDataFrame([(u,) for u in m.services], "service string")
@@ -239,8 +287,7 @@ def url_params(spark, sf_dir):
 
 
 def infer_schema_json(spark, sf_dir):
-    body = _by_nation_json(spark, sf_dir).orderBy("s_nationkey").first().body
-    m = infer.infer_mapping("http://h.x/api/list?nation=1&lang=en", "json", body, "urn:map:")
+    m = infer.infer_mapping_of("http://h.x/api/list?nation=1&lang=en", "json", _by_nation_json(spark, sf_dir), "urn:map:")
     return spark.createDataFrame([(m.json_path(u), n.content or "", n.structure) for u, n in m.nodes.items()], "path string, content string, structure string")
 
 
@@ -392,8 +439,7 @@ def stored_language_tags(spark, sf_dir):
 
 
 def _inferred_xml(spark, sf_dir):
-    body = _xml(spark, sf_dir).orderBy("s_nationkey").first().body
-    return infer.infer_mapping("http://h.x/api/list?nation=1", "xml", body, "urn:map:")
+    return infer.infer_mapping_of("http://h.x/api/list?nation=1", "xml", _xml(spark, sf_dir), "urn:map:")
 
 
 def infer_schema_xml(spark, sf_dir):
@@ -430,7 +476,7 @@ def vocabulary_terms(spark, sf_dir):
 
 NATIONS = "nation JOIN region ON n_regionkey = r_regionkey"
 
-QUERIES = {f.__name__: f for f in (input_object_triples, input_property_triples, parameter_product, deadline_partial_answer, failing_source, ntriples_round_trip, ntriples_typed_round_trip, stored_language_tags, infer_schema_xml, readable_uris, nested_listing, edit_outputs, vocabulary_terms, fixpoint_chain, fixpoint_aggregate, limit_early_stop, dedup_calls, service_applicability, constants_of_query, iri_dereference_lookup, free_source_rows, row_entity_links, free_source_antijoin, generic_properties, input_subject_triples, entity_upsert_label_class, minting_by_label, json_path_extract, json_array_explode, root_array_wrap, xml_path_extract, xml_attr_extract, xml_ancestor_rows, url_params, infer_schema_json, merge_mappings, parameter_listing, edit_mapping, suggest_properties, type_infer_domain_range, equivalent_property_rewrite)}
+QUERIES = {f.__name__: f for f in (input_object_triples, input_property_triples, parameter_product, deadline_partial_answer, failing_source, free_file_json, free_file_xml, ntriples_round_trip, ntriples_typed_round_trip, stored_language_tags, infer_schema_xml, readable_uris, nested_listing, edit_outputs, vocabulary_terms, fixpoint_chain, fixpoint_aggregate, limit_early_stop, dedup_calls, service_applicability, constants_of_query, iri_dereference_lookup, free_source_rows, row_entity_links, free_source_antijoin, generic_properties, input_subject_triples, entity_upsert_label_class, minting_by_label, json_path_extract, json_array_explode, root_array_wrap, xml_path_extract, xml_attr_extract, xml_ancestor_rows, url_params, infer_schema_json, merge_mappings, parameter_listing, edit_mapping, suggest_properties, type_infer_domain_range, equivalent_property_rewrite)}
 
 ORACLES = {
     "fixpoint_chain": "SELECT c_name AS c, o_orderkey::VARCHAR AS o, o_totalprice::VARCHAR AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'",
@@ -454,6 +500,8 @@ UNION ALL SELECT s, 'urn:status', o_orderstatus, 'literal', NULL, CASE WHEN o_or
 UNION ALL SELECT s, 'urn:key', o_orderkey::VARCHAR, 'literal', 'http://www.w3.org/2001/XMLSchema#integer', NULL FROM t
 UNION ALL SELECT s, 'urn:by', 'urn:c <' || o_custkey || '>\u', 'iri', NULL, NULL FROM t
 """,
+    "free_file_json": "SELECT o_orderkey::VARCHAR AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice::VARCHAR END AS t, c_name AS n FROM orders JOIN customer ON o_custkey = c_custkey",
+    "free_file_xml": "SELECT o_orderkey::VARCHAR AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice::VARCHAR END AS t FROM orders",
     "stored_language_tags": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'en' ELSE 'it-CH' END AS t, count(*) AS n, max(o_orderkey)::VARCHAR AS top FROM orders WHERE o_orderkey > 9 GROUP BY 1",
     "ntriples_round_trip": "SELECT 'urn:n:' || n_nationkey AS s, 'urn:name' AS p, n_name || ' \"x\"' || chr(10) AS o, 'literal' AS o_kind FROM nation UNION ALL SELECT 'urn:n:' || n_nationkey, 'urn:in', 'urn:r:' || n_regionkey, 'iri' FROM nation",
     "infer_schema_xml": "SELECT * FROM (VALUES ('/', '', false), ('/doc/row', '', false), ('/doc/row/@id', 'Number', true), ('/doc/row/name', 'String', false), ('/doc/row/bal', 'Number', false)) t(path, content, attribute)",
