@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,10 +88,24 @@ def settle_driver(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_stage: list[int] = []
+
+
+def _begin() -> None:
+    """Forgets what tasks of another stage left to those that would follow them."""
+    task = TaskContext.get()
+    now = [task.stageId()] if task is not None else []
+    if now != _stage:
+        _stage[:] = now
+        settle()  # what was used since is kept once more,
+        settle()  # and then not
+
+
 def tidy(run: Callable):
     """A mapInArrow function that gives its memory back when it ends, as workers stay for later stages."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         try:
             yield from run(batches)
         finally:

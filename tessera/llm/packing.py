@@ -114,7 +114,7 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 
 #: Parts, and words, whose numbers of ids a worker keeps.
-MOST_KNOWN = 300_000
+MOST_KNOWN = 200_000
 
 
 class Lengths:
@@ -139,6 +139,8 @@ class Lengths:
         if not self.used:
             self.words.clear()
             self.parts.clear()
+            if self in _LENGTHS.values():
+                _LENGTHS.clear()
         self.used = False
 
     def of(self, text: str) -> int:

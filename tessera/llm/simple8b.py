@@ -249,6 +249,8 @@ class Tokenizer:
         if not self.used:
             self.known.clear()
             self.words.clear()
+            if self in _TOKENIZERS.values():  # the model itself, too
+                _TOKENIZERS.clear()
         self.used = False
 
     def _whole(self, part: str) -> bytes:
