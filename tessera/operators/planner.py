@@ -14,8 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.compiler import Compiler, _checkpointed
-from ..plans.sparql import Group, Select, patterns
+from ..plans.compiler import Compiler, _checkpointed, _has_exists
+from ..plans.relation import joined
+from ..plans.sparql import Group, Path, Select, patterns
 from ..plans.terms import RDF_TYPE, RDFS_LABEL, Iri, Lit, Var
 from ..sources.graph import Graph
 from ..sources.mapping import Mapping, Service
@@ -163,25 +164,32 @@ class Planner:
         self.constants: DataFrame = spark.createDataFrame([], CONSTANTS)
         self.responses: DataFrame | None = None
         self.parts: list[DataFrame] = []
+        self.known = self.spark.createDataFrame([], "s string, p string, o string, o_kind string")
+        self.solved = 0
 
     def applicable(self, service: Service, keys: set[str]) -> bool:
         return all(i.key in keys for i in service.inputs if i.required) and all(i.key is not None for i in service.inputs if i.required)
 
     def bindings(self, service: Service, r: int, keys: set[str]) -> DataFrame:
-        """Parameter combinations with a constant of the last round; the product of one column per input."""
-        df, fresh = None, F.lit(False)
+        """Parameter combinations with a constant of the last round. For each input, its new constants meet the old ones of
+        the inputs before it and all of those after it, so a combination comes once, and none that was there before."""
         inputs = [i for i in service.inputs if i.key in keys]
-        for k, i in enumerate(inputs):
-            one = self.constants.where(F.col("key") == i.key).select(F.regexp_replace("value", '"', "").alias(f"p{k}"), F.col("round").alias(f"r{k}"))
-            df = one if df is None else df.crossJoin(one)
-            fresh = fresh | (F.col(f"r{k}") == r - 1)
-        if df is None:
-            df = self.spark.range(1)
-            params = F.create_map().cast("map<string,string>")
-        else:
-            df = df.where(fresh)
+        if not inputs:
+            return self.named_calls(service, self.spark.range(1).select(F.create_map().cast("map<string,string>").alias("params")), r)
+        out = None
+        for new in range(len(inputs)):
+            df = None
+            for k, i in enumerate(inputs):
+                of_round = F.col("round") == r - 1 if k == new else F.col("round") < r - 1 if k < new else F.col("round") < r
+                one = self.constants.where((F.col("key") == i.key) & of_round).select(F.regexp_replace("value", '"', "").alias(f"p{k}"))
+                df = one if df is None else df.crossJoin(one)  # what is called is this product
             params = F.create_map(*[x for k, i in enumerate(inputs) for x in (F.lit(i.param), F.col(f"p{k}"))])
-        df = df.select(params.alias("params"))
+            df = df.select(params.alias("params"))
+            out = df if out is None else out.union(df)
+        return self.named_calls(service, out, r)
+
+    def named_calls(self, service: Service, df: DataFrame, r: int) -> DataFrame:
+        """Calls by their parameters; values that differ only in quotes are one."""
         text = F.array_join(F.array_sort(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("\u0002"), e["value"]))), "\u0001")
         df = df.select(F.sha2(F.concat(F.lit(service.uri + "\u0001"), text), 256).alias("call_id"), F.lit(service.uri).alias("service"), F.lit(service.url).alias("url"), "params", F.lit(r).alias("round"))
         return df.dropDuplicates(["call_id"]).join(self.calls.select("call_id"), "call_id", "left_anti")
@@ -214,7 +222,8 @@ class Planner:
             if query.limit is not None and self.enough(query):
                 break
             r += 1
-        return _checkpointed(self.triples())
+        self.settle()
+        return self.known
 
     def step(self, services: list[Service], r: int, keys: set[str]) -> int:
         """One round; the number of calls."""
@@ -271,19 +280,52 @@ class Planner:
         """Looked-up entities keep their own IRIs."""
         return rows.select(F.col("uri").alias("s"), F.lit(RDF_TYPE).alias("p"), F.col("type").alias("o"), F.lit("iri").alias("o_kind")).unionByName(rows.select(F.col("uri").alias("s"), F.lit(RDFS_LABEL).alias("p"), F.col("label").alias("o"), F.lit("literal").alias("o_kind")))
 
-    def triples(self) -> DataFrame:
-        out = self.spark.createDataFrame([], "s string, p string, o string, o_kind string")
+    def settle(self) -> DataFrame:
+        """The triples that the parts since the last time add to the known ones."""
+        new = self.known.limit(0)
         for t in self.parts:
             if t is not None:
-                out = out.unionByName(t)
-        return out.distinct()
+                new = new.unionByName(t)
+        self.parts = []
+        new = _checkpointed(new.distinct().join(self.known, ["s", "p", "o", "o_kind"], "left_anti"))
+        self.known = self.known.unionByName(new)
+        return new
 
     def enough(self, query: Select) -> bool:
-        """Whether the query's LIMIT is reached already; an order or an aggregate needs all rounds."""
+        """Whether the query's LIMIT is reached already; an order or an aggregate needs all rounds. Of patterns alone the
+        solutions that a round adds are those with a new triple, so only these are counted."""
         if query.order_by or query.group_by or query.offset:
             return False
-        rel = Compiler(self.spark, Graph(triples=self.triples())).select(query)
-        return rel.df.count() >= query.limit
+        old, new = self.known, self.settle()
+        patterns = [x for kind, x in query.where.elements if kind == "triple"]
+        filters = [x for kind, x in query.where.elements if kind == "filter"]
+        alone = len(patterns) + len(filters) == len(query.where.elements) and not any(isinstance(t.p, Path) for t in patterns)
+        if not alone or query.distinct or query.reduced or query.values or any(e is not None for _, e in query.projection) or any(_has_exists(e) for e in filters):
+            rel = Compiler(self.spark, Graph(triples=self.known)).select(query)
+            return rel.df.count() >= query.limit
+        self.solved += self.added(patterns, filters, old, new)
+        return self.solved >= query.limit
+
+    def added(self, patterns: list, filters: list, old: DataFrame, new: DataFrame) -> int:
+        """How many solutions have a new triple: for each pattern those where it is the first that has one."""
+        if new.isEmpty():
+            return 0
+        every, n = old.unionByName(new), 0
+        said = {r.p for r in new.select("p").distinct().collect()}  # predicates of the mapping at most
+        for k, t in enumerate(patterns):
+            if isinstance(t.p, Iri) and t.p.value not in said:
+                continue
+            # the new triples first, so that all others are only looked up
+            out = Compiler(self.spark, Graph(triples=new)).patterns([t])
+            left = [(x, old if j < k else every) for j, x in enumerate(patterns) if j != k]
+            while left:
+                seen = set(out.kinds)
+                x = next((y for y in left if {v.name for v in (y[0].s, y[0].p, y[0].o) if isinstance(v, Var)} & seen), left[0])
+                left.remove(x)
+                out = joined(out, Compiler(self.spark, Graph(triples=x[1])).patterns([x[0]]))
+            compiler = Compiler(self.spark, Graph(triples=every))
+            n += compiler.filtered(out, filters).frame(self.spark).count()
+        return n
 
 
 __all__ = ["Options", "Planner", "constants", "looked_up", "minted", "needed"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.terms import RDFS
@@ -16,15 +16,27 @@ def domains_and_ranges(triples: DataFrame) -> DataFrame:
     return domain.join(range_, "property").distinct()
 
 
-def suggest(resources: DataFrame, ontologies: list[DataFrame]) -> DataFrame:
-    """resources: (uri, class). Rows (subject, object, property, ontology) for ordered pairs of different
-    resources; a property that two ontologies give a pair of classes counts for the first."""
+def suggest_classes(resources: DataFrame, ontologies: list[DataFrame]) -> DataFrame:
+    """Rows (domain, range, property, ontology, subjects, objects): the properties that could link resources (uri, class) of
+    two classes, and how many resources these have. With the resources' classes that says all that suggest() lists, whose
+    rows are all pairs. A property that two ontologies give a pair of classes counts for the first."""
     out = None
     for k, o in enumerate(ontologies):
         part = o.select("property", "domain", "range", F.lit(k).alias("ontology"))
         out = part if out is None else out.unionByName(part)
     links = out.groupBy("property", "domain", "range").agg(F.min("ontology").alias("ontology"))
-    a = resources.select(F.col("uri").alias("subject"), F.col("class").alias("domain"))
+    sizes = resources.distinct().groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    a = sizes.select(F.col("class").alias("domain"), F.col("n").alias("subjects"))
+    b = sizes.select(F.col("class").alias("range"), F.col("n").alias("objects"))
+    return links.join(a, "domain").join(b, "range").select("domain", "range", "property", "ontology", "subjects", "objects")
+
+
+def suggest(resources: DataFrame, ontologies: list[DataFrame], subjects: Column | None = None) -> DataFrame:
+    """resources: (uri, class). Rows (subject, object, property, ontology) for ordered pairs of different
+    resources. subjects: a condition on uri, for the pairs of some only."""
+    links = suggest_classes(resources, ontologies).select("domain", "range", "property", "ontology")
+    mine = resources if subjects is None else resources.where(subjects)
+    a = mine.select(F.col("uri").alias("subject"), F.col("class").alias("domain"))
     b = resources.select(F.col("uri").alias("object"), F.col("class").alias("range"))
     return links.join(a, "domain").join(b, "range").where("subject != object").select("subject", "object", "property", "ontology").distinct()
 

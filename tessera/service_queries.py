@@ -317,6 +317,47 @@ def suggest_properties(spark, sf_dir):
     return suggest.suggest(resources, [_ontology(spark, sf_dir), _ontology(spark, sf_dir)])
 
 
+def _tables_as_resources(spark, sf_dir):
+    """Rows of tables as resources of the table's class."""
+    out = None
+    for table, key in (("nation", "n_name"), ("region", "r_name"), ("supplier", "s_name"), ("customer", "c_name"), ("orders", "o_orderkey")):
+        part = _table(spark, sf_dir, table).select(F.concat(F.lit(f"{table}/"), F.col(key).cast("string")).alias("uri"), F.lit(table).alias("class"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def suggest_class_pairs(spark, sf_dir):
+    """Properties between the classes of all rows of five tables, with the sizes of both sides instead of all pairs."""
+    return suggest.suggest_classes(_tables_as_resources(spark, sf_dir), [_ontology(spark, sf_dir), _ontology(spark, sf_dir)])
+
+
+def suggest_for_one(spark, sf_dir):
+    """What could link one customer."""
+    return suggest.suggest(_tables_as_resources(spark, sf_dir), [_ontology(spark, sf_dir)], F.col("uri") == "nation/NATION_3")
+
+
+def fixpoint_product(spark, sf_dir):
+    """Three inputs over two rounds: pairs of what the first round found are asked for with what the query says."""
+    text = HEAD + """m:first m:hasUrl "http://x/first" ; m:hasLanguage "json" ; m:hasInput m:first-n ; m:hasOutput m:first-root .
+m:first-n m:paramName "n" ; a ex:Nation .
+m:first-root a rdf:Bag ; rdfs:label "list" ; m:hasStructure "JSON_Array" ; m:isRelatedToService m:first ; rdf:li m:first-s , m:first-r .
+m:first-s a ex:Supplier ; rdfs:label "s" ; m:isData true ; m:isRelatedToService m:first .
+m:first-r a ex:Region ; rdfs:label "r" ; m:isData true ; m:isRelatedToService m:first .
+m:then m:hasUrl "http://x/then" ; m:hasLanguage "json" ; m:hasInput m:then-s , m:then-r , m:then-n ; m:hasOutput m:then-o .
+m:then-s m:paramName "s" ; a ex:Supplier . m:then-r m:paramName "r" ; a ex:Region . m:then-n m:paramName "n" ; a ex:Nation .
+m:then-o a ex:Region ; rdfs:label "o" ; m:isData true ; m:isRelatedToService m:then ."""
+    s = _table(spark, sf_dir, "supplier").join(_table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey")).join(_table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+
+    def first(calls):
+        rows = calls.select("call_id", F.col("params")["n"].alias("n")).join(s, F.expr("n = n_name"))
+        return rows.groupBy("call_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(F.col("s_name").alias("s"), F.col("r_name").alias("r")))).alias("list"))).alias("body"))
+
+    then = lambda calls: calls.select("call_id", F.to_json(F.struct(F.concat(F.lit("near "), F.substring(F.col("params")["r"], 1, 2)).alias("o"))).alias("body"))
+    p = Planner(spark, Mapping.parse(text), Tables({"urn:map:first": first, "urn:map:then": then}), _options())
+    p.run(parse('SELECT * WHERE { ?a a ex:Nation ; rdfs:label "NATION_1" . ?b a ex:Nation ; rdfs:label "NATION_2" . ?x a ex:Region }', PREFIXES))
+    return p.calls.groupBy("service", "round").agg(F.count(F.lit(1)).alias("n"))
+
+
 def type_infer_domain_range(spark, sf_dir):
     from .operators.planner import classes_of, patterns
     from .plans.terms import Var
@@ -476,7 +517,7 @@ def vocabulary_terms(spark, sf_dir):
 
 NATIONS = "nation JOIN region ON n_regionkey = r_regionkey"
 
-QUERIES = {f.__name__: f for f in (input_object_triples, input_property_triples, parameter_product, deadline_partial_answer, failing_source, free_file_json, free_file_xml, ntriples_round_trip, ntriples_typed_round_trip, stored_language_tags, infer_schema_xml, readable_uris, nested_listing, edit_outputs, vocabulary_terms, fixpoint_chain, fixpoint_aggregate, limit_early_stop, dedup_calls, service_applicability, constants_of_query, iri_dereference_lookup, free_source_rows, row_entity_links, free_source_antijoin, generic_properties, input_subject_triples, entity_upsert_label_class, minting_by_label, json_path_extract, json_array_explode, root_array_wrap, xml_path_extract, xml_attr_extract, xml_ancestor_rows, url_params, infer_schema_json, merge_mappings, parameter_listing, edit_mapping, suggest_properties, type_infer_domain_range, equivalent_property_rewrite)}
+QUERIES = {f.__name__: f for f in (input_object_triples, input_property_triples, parameter_product, deadline_partial_answer, failing_source, suggest_class_pairs, suggest_for_one, fixpoint_product, free_file_json, free_file_xml, ntriples_round_trip, ntriples_typed_round_trip, stored_language_tags, infer_schema_xml, readable_uris, nested_listing, edit_outputs, vocabulary_terms, fixpoint_chain, fixpoint_aggregate, limit_early_stop, dedup_calls, service_applicability, constants_of_query, iri_dereference_lookup, free_source_rows, row_entity_links, free_source_antijoin, generic_properties, input_subject_triples, entity_upsert_label_class, minting_by_label, json_path_extract, json_array_explode, root_array_wrap, xml_path_extract, xml_attr_extract, xml_ancestor_rows, url_params, infer_schema_json, merge_mappings, parameter_listing, edit_mapping, suggest_properties, type_infer_domain_range, equivalent_property_rewrite)}
 
 ORACLES = {
     "fixpoint_chain": "SELECT c_name AS c, o_orderkey::VARCHAR AS o, o_totalprice::VARCHAR AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'",
@@ -499,6 +540,16 @@ SELECT s, 'urn:text' AS p, o_orderpriority || hard AS o, 'literal' AS o_kind, 'h
 UNION ALL SELECT s, 'urn:status', o_orderstatus, 'literal', NULL, CASE WHEN o_orderkey % 2 = 0 THEN 'en' ELSE 'it-CH' END FROM t
 UNION ALL SELECT s, 'urn:key', o_orderkey::VARCHAR, 'literal', 'http://www.w3.org/2001/XMLSchema#integer', NULL FROM t
 UNION ALL SELECT s, 'urn:by', 'urn:c <' || o_custkey || '>\u', 'iri', NULL, NULL FROM t
+""",
+    "suggest_class_pairs": "WITH c AS (SELECT 'nation' AS k, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'region', (SELECT count(*) FROM region) UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier) UNION ALL SELECT 'customer', (SELECT count(*) FROM customer) UNION ALL SELECT 'orders', (SELECT count(*) FROM orders)) SELECT domain, range, property, 0 AS ontology, a.n AS subjects, b.n AS objects FROM (VALUES ('c_nationkey', 'customer', 'nation'), ('s_nationkey', 'supplier', 'nation'), ('n_regionkey', 'nation', 'region'), ('o_custkey', 'orders', 'customer'), ('billed', 'orders', 'customer')) v(property, domain, range) JOIN c a ON a.k = domain JOIN c b ON b.k = range",
+    "suggest_for_one": "SELECT 'nation/NATION_3' AS subject, 'region/' || r_name AS object, 'n_regionkey' AS property, 0 AS ontology FROM region",
+    "fixpoint_product": """
+WITH f AS (SELECT s_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE n_name IN ('NATION_1', 'NATION_2')),
+     s AS (SELECT count(DISTINCT s_name) AS n FROM f), r AS (SELECT count(DISTINCT r_name) AS n, count(DISTINCT substr(r_name, 1, 2)) AS near FROM f)
+SELECT * FROM (SELECT 'urn:map:first' AS service, 1 AS round, 2::BIGINT AS n
+UNION ALL SELECT 'urn:map:then', 2, s.n * r.n * 2 FROM s, r
+UNION ALL SELECT 'urn:map:then', 3, s.n * r.near * 2 FROM s, r
+UNION ALL SELECT 'urn:map:then', 4, s.n * 2 FROM s) WHERE n > 0
 """,
     "free_file_json": "SELECT o_orderkey::VARCHAR AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice::VARCHAR END AS t, c_name AS n FROM orders JOIN customer ON o_custkey = c_custkey",
     "free_file_xml": "SELECT o_orderkey::VARCHAR AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice::VARCHAR END AS t FROM orders",

@@ -1,6 +1,7 @@
 """Turtle, mappings, inference, extraction, responders and planning."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,11 +12,13 @@ from tessera.engine import Engine
 from tessera.operators.materialise import Minting, nearest
 from tessera.operators.planner import Options, Planner, needed
 from tessera.operators.suggest import domains_and_ranges, suggestions
+from tessera.plans.compiler import Compiler
 from tessera.plans.sparql import parse
 from tessera.plans.terms import Iri
 from tessera.sources import config, turtle
+from tessera.sources.graph import Graph
 from tessera.sources.mapping import MalformedMapping, Mapping, merged
-from tessera.sources.responders import Http, full_url
+from tessera.sources.responders import Http, Tables, full_url
 
 
 def test_turtle_round_trip():
@@ -275,3 +278,80 @@ def test_nearest_place_equals_brute_force(spark):
     for k, a, b in points:
         best = min(((a - x) ** 2 + (b - y) ** 2, p) for p, x, y in places)
         assert got[k] == (best[1] if best[0] <= 0.25 else None)
+
+
+COUNTING = sq.HEAD + """m:s m:hasUrl "http://x/s" ; m:hasLanguage "json" ; m:hasInput m:s-a , m:s-b , m:s-c ; m:hasOutput m:s-o , m:s-p .
+m:s-a m:paramName "a" ; a ex:A ; ex:gave m:s-o . m:s-b m:paramName "b" ; a ex:B . m:s-c m:paramName "c" ; a ex:C .
+m:s-o a ex:A ; rdfs:label "o" ; m:isData true ; m:isRelatedToService m:s . m:s-p a ex:B ; rdfs:label "p" ; m:isData true ; m:isRelatedToService m:s ."""
+
+
+def counting(spark, limit=None, **options):
+    """Each call gives A and B with one more digit, up to three."""
+    longer = lambda c: F.when(F.length(c) < 3, F.concat(c, F.lit("1"))).otherwise(c)
+    answer = Tables({"urn:map:s": lambda calls: calls.select("call_id", F.to_json(F.struct(longer(F.col("params")["a"]).alias("o"), longer(F.col("params")["b"]).alias("p"))).alias("body"))})
+    p = Planner(spark, Mapping.parse(COUNTING), answer, Options(deadline=None, **options))
+    q = parse('SELECT ?x ?y WHERE { ?x a ex:A ; rdfs:label ?l ; ex:gave ?y . ?y rdfs:label ?m FILTER(?l != "zz") ' + '?a rdfs:label "q" ; a ex:A . ?b rdfs:label "q" ; a ex:B . ?c a ex:C ; rdfs:label "1" . ?d a ex:C ; rdfs:label "2" . }' + (f" LIMIT {limit}" if limit else ""), sq.PREFIXES)
+    return p, q
+
+
+def test_a_round_makes_its_new_calls_only(spark, monkeypatch):
+    made, named = [], Planner.named_calls
+    monkeypatch.setattr(Planner, "named_calls", lambda self, s, df, r: made.append(df.count()) or named(self, s, df, r))
+    p, q = counting(spark)
+    p.run(q)
+    calls = {r["round"]: r["count"] for r in p.calls.groupBy("round").count().collect()}
+    # q, q1, q11 on both sides: what is new to a round, times two
+    assert calls == {1: 1 * 2, 2: (4 - 1) * 2, 3: (9 - 4) * 2} and made == [2, 6, 10, 0]
+
+
+def test_limit_counts_what_a_round_adds(spark, monkeypatch):
+    work, added = [], Planner.added
+    monkeypatch.setattr(Planner, "added", lambda self, patterns, filters, old, new: work.append((new.count(), n := added(self, patterns, filters, old, new))) or n)
+    text = 'SELECT ?x ?y WHERE { ?x ex:gave ?y . ?a rdfs:label "q" ; a ex:A , ex:B . ?c a ex:C ; rdfs:label "1" FILTER(?x != ?y) } LIMIT '
+    p, _ = counting(spark)
+    found = p.run(parse(text.replace("ex:A , ex:B", "ex:A ; rdfs:label ?l . ?b rdfs:label \"q\" ; a ex:B") + "2", sq.PREFIXES))
+    assert p.rounds == 2 and [n for _, n in work] == [1, 1] and sum(k for k, _ in work) == found.count()
+
+
+def test_calls_are_asked_once_though_their_task_is_killed(spark, tmp_path):
+    """A worker that dies after some calls; whoever runs the task again asks for the rest only."""
+    asked = tmp_path / "asked"
+
+    def get(url):
+        with open(asked, "a") as f:
+            f.write(url + "\n")
+        if url.endswith("=7") and not (tmp_path / "died").exists():
+            (tmp_path / "died").touch()
+            os._exit(1)
+        return 200, url[-1]
+
+    calls = spark.createDataFrame([(f"c{k}", f"http://h{k % 2}/s", {"k": str(k)}) for k in range(10)], "call_id string, url string, params map<string,string>")
+    df = Http(get, parallel=1).answer(calls)
+    with pytest.raises(Exception):
+        df.collect()
+    again = df.select("*")  # what failed is remembered by the frame that ran
+    assert {r.call_id: r.body for r in again.collect()} == {f"c{k}": str(k) for k in range(10)}
+    urls = asked.read_text().split()
+    assert sorted(urls) == sorted([f"http://h{k % 2}/s?k={k}" for k in range(10)] + ["http://h1/s?k=7"])  # the one that died unanswered
+
+
+def test_hosts_are_asked_by_few_tasks_and_again_after_a_while(spark, tmp_path):
+    def get(url):
+        import time
+
+        from pyspark import TaskContext
+
+        with open(tmp_path / "tasks", "a") as f:
+            f.write(f"{url.split('/')[2]} {TaskContext.get().partitionId()} {url} {time.time()}\n")
+        n = (tmp_path / "tasks").read_text().count(f" {url} ")
+        if "=3" in url:
+            raise OSError("down")
+        return (503, None) if "=4" in url and n < 3 else (404, None) if "=5" in url else (200, "x")
+
+    calls = spark.createDataFrame([(f"c{k}", f"http://h{k % 2}/s", {"k": str(k)}) for k in range(40)], "call_id string, url string, params map<string,string>")
+    got = {r.call_id: r for r in Http(get, parallel=8, per_host=2, tries=3, wait=0.05).answer(calls).collect()}
+    lines = [x.split() for x in (tmp_path / "tasks").read_text().splitlines()]
+    assert all(len({t for h, t, *_ in lines if h == host}) <= 2 for host in ("h0", "h1"))
+    times = lambda k: [float(t) for *_, u, t in lines if u.endswith(f"k={k}")]
+    assert [len(times(k)) for k in (1, 3, 4, 5)] == [1, 3, 3, 1] and times(4)[2] - times(4)[1] >= 0.1
+    assert (got["c3"].error, got["c4"].status, got["c5"].error, got["c6"].body) == ("OSError: down", 200, "status 404", "x")
