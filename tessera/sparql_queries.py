@@ -210,7 +210,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "typed_order": ("SELECT ?v WHERE { ?s ?p ?v ; t:n_name ?x FILTER(isNumeric(?v)) } ORDER BY DESC(?v) LIMIT 17", "SELECT n_nationkey::VARCHAR AS v FROM nation ORDER BY n_nationkey DESC LIMIT 17"),
     "typed_compare": (
         "SELECT ?p (COUNT(*) AS ?n) WHERE { ?c ?p ?v ; t:c_mktsegment 'BUILDING' FILTER(?v > 800) } GROUP BY ?p",
-        "SELECT 'urn:t:c_custkey' AS p, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey > 800 UNION ALL SELECT 'urn:t:c_acctbal', count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 800",
+        "SELECT 'urn:t:c_custkey' AS p, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey > 800 HAVING n > 0 UNION ALL SELECT 'urn:t:c_acctbal', count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 800 HAVING n > 0",
     ),
     "typed_time": (
         "SELECT ?p (COUNT(*) AS ?n) (MIN(YEAR(?v)) AS ?y) WHERE { ?o ?p ?v ; t:o_orderstatus 'F' FILTER(?v >= '1996-01-01T00:00:00'^^xsd:dateTime) } GROUP BY ?p",
