@@ -100,3 +100,23 @@ def test_cut_gives_back_what_was_shuffled(spark):
     assert tracker.shuffleStatuses().size() <= before + 2
     assert [sorted(tuple(r) for r in df.collect()) for df in cuts] == [sorted(tuple(r) for r in df.collect()) for df in made]
     assert [df.count() for df in cuts] == [k + 2 for k in range(6)]
+
+
+def test_a_task_of_another_stage_begins_without_what_the_one_before_left(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tessera.llm import packing
+
+    stage = [1]
+    monkeypatch.setattr(common.TaskContext, "get", staticmethod(lambda: type("Task", (), {"stageId": lambda self: stage[0]})()))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", None])], names=["doc_id", "text"])
+    run = common.tidy(packing._token_lengths(path))
+    assert [b.column(1).to_pylist() for b in run(iter([batch]))] == [[3, 1]]
+    held = packing._LENGTHS[path, packing.MOST_KNOWN]
+    assert held.parts  # for the stage's next task
+    list(run(iter([batch])))
+    assert packing._LENGTHS[path, packing.MOST_KNOWN] is held
+    stage[0] = 2
+    assert list(common.tidy(lambda batches: iter(()))(iter(()))) == [] and not packing._LENGTHS and not held.parts
