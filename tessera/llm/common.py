@@ -21,6 +21,9 @@ from ..shipping import removed, shared_folder, ship_code
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch; long texts times this stay far below a worker's memory.
 ROWS = 1000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of one, which the JVM and the worker both hold; rows of packed numbers reach them.
+BYTES = 16 << 20
 
 _WORD = re.compile(r"\w+")
 
@@ -34,6 +37,8 @@ def ship(spark: SparkSession) -> SparkSession:
     ship_code(spark)
     if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default
         spark.conf.set(BATCH_ROWS, str(ROWS))
+    if spark.conf.get(BATCH_BYTES, None) is None:  # nobody has set it
+        spark.conf.set(BATCH_BYTES, str(BYTES))
     return spark
 
 
