@@ -42,6 +42,8 @@ from . import common
 BLOCK_WORDS = 500_000
 #: Words that are given to the tokenizers library at a time.
 TOGETHER = 2000
+#: Buckets that Spark permits; with more shuffle partitions the table is shuffled, too.
+MOST_BUCKETS = 100_000
 #: Bits of a block's id below those of the partition that made it.
 BLOCK_BITS = 33
 
@@ -120,7 +122,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     made = split(docs).mapInArrow(common.tidy(_blocks(common.partitions(docs), schema)), BLOCK)
     # a table, as only these have buckets; its frame needs no name once it is there
     name = f"words_{uuid.uuid4().hex}"
-    made.write.bucketBy(common.partitions(docs), "block").option("compression", "zstd").option("path", f"{common.shared(spark)}/{name}").saveAsTable(name)
+    made.write.bucketBy(min(common.partitions(docs), MOST_BUCKETS), "block").option("compression", "zstd").option("path", f"{common.shared(spark)}/{name}").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return out
