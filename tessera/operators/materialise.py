@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -27,12 +29,15 @@ def by_label(namespace: str, label: Column, cls: str) -> Column:
 class Minting:
     """How entities get their IRIs. plugins: findURI name -> expression of namespace, label column and class.
     lookups: findURI name -> rows (label, class, iri); labels that it lacks get readable IRIs.
-    known: rows (label, class, iri) of entities that have an IRI already; they win."""
+    known: rows (label, class, iri) of entities that have an IRI already; they win.
+    rows: findURI name of row entities -> a function of rows (call_id, pos, values), values being a map from properties to
+    the row's values, that adds a column iri, null where it knows none (see places)."""
 
     namespace: str = "urn:entity:"
     plugins: dict[str, Callable[[str, Column, str], Column]] = field(default_factory=lambda: {"label": by_label})
     lookups: dict[str, DataFrame] = field(default_factory=dict)
     known: DataFrame | None = None
+    rows: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
     def put(self, df: DataFrame, column: str, cls: str, find_uri: str | None) -> DataFrame:
         """The column of labels replaced by IRIs."""
@@ -61,6 +66,36 @@ def nearest(points: DataFrame, places: DataFrame, within: float = 0.5) -> DataFr
     return points.select("id").join(hit, "id", "left")
 
 
+EARTH_KM = 6371.0088
+
+
+def nearest_on_earth(points: DataFrame, places: DataFrame, within_km: float) -> DataFrame:
+    """Distinct points (lat, long) in degrees with the nearest of places (iri, lat, long) along the surface, or null where none
+    is within the distance. Both lie on a sphere in cubes as wide as the chord of that distance, and a point looks into its
+    own and the 26 around it: neither the poles nor the date line are borders. Equally near places: the least IRI."""
+    chord = 2 * math.sin(min(within_km / EARTH_KM, math.pi) / 2)
+    lat, long = F.radians("lat"), F.radians("long")
+    axes = {"x": F.cos(lat) * F.cos(long), "y": F.cos(lat) * F.sin(long), "z": F.sin(lat)}
+    cube = lambda c: F.floor(F.col(c) / chord).cast("long")
+    steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(d, "xyz")]) for d in itertools.product((-1, 0, 1), repeat=3)])
+    here = points.select("lat", "long").where("lat BETWEEN -90 AND 90 AND abs(long) <= 360").distinct()
+    p = here.select("lat", "long", *[c.alias(k) for k, c in axes.items()]).withColumn("d", F.explode(steps)).select("lat", "long", "x", "y", "z", *[(cube(c) + F.col(f"d.d{c}")).alias(f"c{c}") for c in "xyz"])
+    q = places.select("iri", *[c.alias(k) for k, c in axes.items()]).select("iri", *[cube(c).alias(f"c{c}") for c in "xyz"], *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    far = sum(((F.col(c) - F.col(f"p{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+    hit = p.join(q, ["cx", "cy", "cz"]).where(far <= chord**2).groupBy("lat", "long").agg(F.min(F.struct(far.alias("far"), "iri")).alias("best"))
+    return here.join(hit.select("lat", "long", F.col("best.iri").alias("iri")), ["lat", "long"], "left")
+
+
+def places(table: DataFrame, lat: str, long: str, within_km: float) -> Callable[[DataFrame], DataFrame]:
+    """For Minting.rows: the IRI of the nearest of table's places (iri, lat, long), by two properties of a row together."""
+
+    def find(rows: DataFrame) -> DataFrame:
+        at = rows.withColumn("lat", F.col("values")[lat].try_cast("double")).withColumn("long", F.col("values")[long].try_cast("double"))
+        return at.join(nearest_on_earth(at, table, within_km), ["lat", "long"], "left").drop("lat", "long")
+
+    return find
+
+
 def stripped(value: Column) -> Column:
     """Without the quotes around a raw value."""
     return F.regexp_replace(value, '^"|"$', "")
@@ -108,7 +143,17 @@ class Materialiser:
                 rows = self.calls.select("call_id", F.array().cast("array<int>").alias("pos"))
             key = F.concat_ws("\u0001", "call_id", F.array_join(F.transform("pos", lambda x: x.cast("string")), "."))
             path = self.m.path(uris[0])[:depth] if uris else ()
-            return rows.withColumn("x", minted(self.minting.namespace, key, uri)), "iri", path, uri
+            own = minted(self.minting.namespace, key, uri)
+            if r.find_uri not in self.minting.rows or not uris:
+                return rows.withColumn("x", own), "iri", path, uri
+            # the least value of each property of a row
+            cells = {u: self.m.nodes[u].equivalent or u for u in dict.fromkeys(uris)}
+            got = self.values.where(F.col("node").isin(list(cells))).groupBy("call_id", F.slice("pos", 1, depth).alias("pos"))
+            got = got.agg(*[F.min(F.when(F.col("node") == u, F.col("value"))).alias(f"v{k}") for k, u in enumerate(cells)])
+            of = {u: [F.col(f"v{k}") for k, v in enumerate(cells.values()) if v == u] for u in cells.values()}
+            whole = F.create_map(*[x for u, cols in of.items() for x in (F.lit(u), F.coalesce(*cols))])
+            found = self.minting.rows[r.find_uri](got.select("call_id", "pos", whole.alias("values")))
+            return found.select("call_id", "pos", F.coalesce("iri", own).alias("x")), "iri", path, uri
         if uri in self.m.nodes and self.m.nodes[uri].service == self.service.uri:
             n: Node = self.m.nodes[uri]
             rows = self.values.where(F.col("node") == uri).select("call_id", "pos", F.col("value").alias("x"))

@@ -198,6 +198,30 @@ def free_file_xml(spark, sf_dir):
     return e.query("SELECT ?k ?t WHERE { ?x a ex:Order ; rdfs:label ?k OPTIONAL { ?x ex:total ?t } }")
 
 
+STOPS = HEAD + """
+m:big m:hasUrl "http://x/big" ; m:hasLanguage "json" ; m:hasOutput m:big-root .
+m:big-root a rdf:Bag ; rdfs:label "stops" ; m:hasStructure "JSON_Array" ; m:isRelatedToService m:big ; rdf:li m:big-key , m:big-lat , m:big-long .
+m:big-key a owl:DatatypeProperty ; owl:equivalentProperty ex:key ; rdfs:label "key" ; m:isData true ; m:isRelatedToService m:big .
+m:big-lat a owl:DatatypeProperty ; owl:equivalentProperty ex:lat ; rdfs:label "lat" ; m:isData true ; m:isRelatedToService m:big .
+m:big-long a owl:DatatypeProperty ; owl:equivalentProperty ex:long ; rdfs:label "long" ; m:isData true ; m:isRelatedToService m:big .
+m:big-resource1 a m:customResource , ex:Stop ; m:findURI "place" ; m:big-key <http://www.w3.org/2001/XMLSchema#string> ; m:big-lat <http://www.w3.org/2001/XMLSchema#double> ; m:big-long <http://www.w3.org/2001/XMLSchema#double> .
+"""
+#: Where the rows of a table lie: all over the earth, by their keys.
+LAT, LONG = "asin(2 * ((%s * 7919 + 13) %% 1000 + 0.5) / 1000 - 1) * 57.29577951308232", "((%s * 104729 + 7) %% 36000) / 100.0 - 180"
+
+
+def mint_by_place(spark, sf_dir):
+    """Rows of customers that become the nearest nation within 2,000 km, by latitude and longitude together."""
+    from .operators.materialise import places
+
+    c = _table(spark, sf_dir, "customer")
+    one = F.struct(F.col("c_custkey").cast("string").alias("key"), F.expr(LAT % "c_custkey").cast("double").alias("lat"), F.expr(LONG % "c_custkey").cast("double").alias("long"))
+    nations = _table(spark, sf_dir, "nation").select(F.concat(F.lit("urn:nation:"), F.col("n_name")).alias("iri"), F.expr(LAT % "n_nationkey").cast("double").alias("lat"), F.expr(LONG % "n_nationkey").cast("double").alias("long"))
+    e = _big(spark, sf_dir, STOPS, c.select(F.to_json(one).alias("value")), '{"stops": [', ",\n", "]}")
+    e.options.minting = Minting(rows={"place": places(nations, EX + "lat", EX + "long", 2000.0)})
+    return e.query('SELECT ?x (COUNT(?k) AS ?n) WHERE { ?x a ex:Stop ; ex:key ?k FILTER(STRSTARTS(STR(?x), "urn:nation:")) } GROUP BY ?x')
+
+
 def free_source_antijoin(spark, sf_dir):
     m = Mapping.parse(CHAIN, base_path="http://x").merge(Mapping.parse(FREE))
     services = spark.createDataFrame([(u,) for u in m.services], "service string")
@@ -517,7 +541,7 @@ def vocabulary_terms(spark, sf_dir):
 
 NATIONS = "nation JOIN region ON n_regionkey = r_regionkey"
 
-QUERIES = {f.__name__: f for f in (input_object_triples, input_property_triples, parameter_product, deadline_partial_answer, failing_source, suggest_class_pairs, suggest_for_one, fixpoint_product, free_file_json, free_file_xml, ntriples_round_trip, ntriples_typed_round_trip, stored_language_tags, infer_schema_xml, readable_uris, nested_listing, edit_outputs, vocabulary_terms, fixpoint_chain, fixpoint_aggregate, limit_early_stop, dedup_calls, service_applicability, constants_of_query, iri_dereference_lookup, free_source_rows, row_entity_links, free_source_antijoin, generic_properties, input_subject_triples, entity_upsert_label_class, minting_by_label, json_path_extract, json_array_explode, root_array_wrap, xml_path_extract, xml_attr_extract, xml_ancestor_rows, url_params, infer_schema_json, merge_mappings, parameter_listing, edit_mapping, suggest_properties, type_infer_domain_range, equivalent_property_rewrite)}
+QUERIES = {f.__name__: f for f in (input_object_triples, input_property_triples, parameter_product, deadline_partial_answer, failing_source, mint_by_place, suggest_class_pairs, suggest_for_one, fixpoint_product, free_file_json, free_file_xml, ntriples_round_trip, ntriples_typed_round_trip, stored_language_tags, infer_schema_xml, readable_uris, nested_listing, edit_outputs, vocabulary_terms, fixpoint_chain, fixpoint_aggregate, limit_early_stop, dedup_calls, service_applicability, constants_of_query, iri_dereference_lookup, free_source_rows, row_entity_links, free_source_antijoin, generic_properties, input_subject_triples, entity_upsert_label_class, minting_by_label, json_path_extract, json_array_explode, root_array_wrap, xml_path_extract, xml_attr_extract, xml_ancestor_rows, url_params, infer_schema_json, merge_mappings, parameter_listing, edit_mapping, suggest_properties, type_infer_domain_range, equivalent_property_rewrite)}
 
 ORACLES = {
     "fixpoint_chain": "SELECT c_name AS c, o_orderkey::VARCHAR AS o, o_totalprice::VARCHAR AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'",
@@ -540,6 +564,13 @@ SELECT s, 'urn:text' AS p, o_orderpriority || hard AS o, 'literal' AS o_kind, 'h
 UNION ALL SELECT s, 'urn:status', o_orderstatus, 'literal', NULL, CASE WHEN o_orderkey % 2 = 0 THEN 'en' ELSE 'it-CH' END FROM t
 UNION ALL SELECT s, 'urn:key', o_orderkey::VARCHAR, 'literal', 'http://www.w3.org/2001/XMLSchema#integer', NULL FROM t
 UNION ALL SELECT s, 'urn:by', 'urn:c <' || o_custkey || '>\u', 'iri', NULL, NULL FROM t
+""",
+    "mint_by_place": f"""
+WITH c AS (SELECT c_custkey AS k, radians(({LAT % "c_custkey"})::DOUBLE) AS a, radians(({LONG % "c_custkey"})::DOUBLE) AS b FROM customer),
+     p AS (SELECT n_name, radians(({LAT % "n_nationkey"})::DOUBLE) AS a, radians(({LONG % "n_nationkey"})::DOUBLE) AS b FROM nation),
+     d AS (SELECT k, n_name, 2 * 6371.0088 * asin(least(1, sqrt(pow(sin((c.a - p.a) / 2), 2) + cos(c.a) * cos(p.a) * pow(sin((c.b - p.b) / 2), 2)))) AS km FROM c, p),
+     n AS (SELECT k, arg_min(n_name, km) AS n_name FROM d WHERE km <= 2000 GROUP BY k)
+SELECT 'urn:nation:' || n_name AS x, count(*) AS n FROM n GROUP BY 1
 """,
     "suggest_class_pairs": "WITH c AS (SELECT 'nation' AS k, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'region', (SELECT count(*) FROM region) UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier) UNION ALL SELECT 'customer', (SELECT count(*) FROM customer) UNION ALL SELECT 'orders', (SELECT count(*) FROM orders)) SELECT domain, range, property, 0 AS ontology, a.n AS subjects, b.n AS objects FROM (VALUES ('c_nationkey', 'customer', 'nation'), ('s_nationkey', 'supplier', 'nation'), ('n_regionkey', 'nation', 'region'), ('o_custkey', 'orders', 'customer'), ('billed', 'orders', 'customer')) v(property, domain, range) JOIN c a ON a.k = domain JOIN c b ON b.k = range",
     "suggest_for_one": "SELECT 'nation/NATION_3' AS subject, 'region/' || r_name AS object, 'n_regionkey' AS property, 0 AS ontology FROM region",

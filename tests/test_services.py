@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera import service_queries as sq
 from tessera.operators import extract, infer
 from tessera.engine import Engine
-from tessera.operators.materialise import Minting, nearest
+from tessera.operators.materialise import Minting, nearest, nearest_on_earth
 from tessera.operators.planner import Options, Planner, needed
 from tessera.operators.suggest import domains_and_ranges, suggestions
 from tessera.plans.compiler import Compiler
@@ -280,6 +280,33 @@ def test_nearest_place_equals_brute_force(spark):
         assert got[k] == (best[1] if best[0] <= 0.25 else None)
 
 
+def test_nearest_on_earth_equals_brute_force(spark):
+    import math
+    import random
+
+    rnd = random.Random(5)
+
+    def somewhere():
+        return math.degrees(math.asin(rnd.uniform(-1, 1))), rnd.uniform(-180, 180)
+
+    points = [*(somewhere() for _ in range(60)), (10.0, 179.9), (10.0, -179.9), (89.9, 0.0), (-90.0, 77.0)]
+    places = [(f"p{k:02}", *somewhere()) for k in range(40)] + [("date", 10.0, -179.5), ("pole", 89.8, 180.0), ("twin", 10.0, -179.5)]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(math.sin((a - c) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((b - d) / 2) ** 2)))
+
+    rows = spark.createDataFrame([*points, points[0], (None, 1.0), (95.0, 1.0)], "lat double, long double")
+    table = spark.createDataFrame(places, "iri string, lat double, long double")
+    for within in (60.0, 1500.0, 30_000.0):
+        got = {(r.lat, r.long): r.iri for r in nearest_on_earth(rows, table, within).collect()}
+        assert len(got) == len(points)
+        for a, b in points:
+            far, iri = min((round(km(a, b, c, d), 6), p) for p, c, d in places)
+            assert got[a, b] == (iri if far <= within else None)
+    assert got[10.0, 179.9] == "date" and got[89.9, 0.0] == "pole"
+
+
 COUNTING = sq.HEAD + """m:s m:hasUrl "http://x/s" ; m:hasLanguage "json" ; m:hasInput m:s-a , m:s-b , m:s-c ; m:hasOutput m:s-o , m:s-p .
 m:s-a m:paramName "a" ; a ex:A ; ex:gave m:s-o . m:s-b m:paramName "b" ; a ex:B . m:s-c m:paramName "c" ; a ex:C .
 m:s-o a ex:A ; rdfs:label "o" ; m:isData true ; m:isRelatedToService m:s . m:s-p a ex:B ; rdfs:label "p" ; m:isData true ; m:isRelatedToService m:s ."""
