@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators.planner import Options, Planner
 from .plans.compiler import Compiler
 from .plans.sparql import Select, parse
+from .shipping import size_of_frame, spread
 from .sources.config import within
 from .sources.graph import Graph
 from .sources.mapping import Mapping
@@ -24,6 +25,8 @@ class Engine:
 
     def _ready(self, sparql: str, mapping: Mapping | str | None, path: str | None) -> tuple[Select, Graph]:
         q = parse(sparql, self.prefixes)
+        frames = [m.frame for m in self.graph.maps] + [x for x in (self.graph.triples,) if x is not None]
+        spread(self.spark, sum(map(size_of_frame, frames)))
         if path is not None:
             if self.folder is None:
                 raise ValueError("the engine has no folder of mappings")
