@@ -18,6 +18,7 @@ from ..plans.compiler import Compiler, _checkpointed, _has_exists
 from ..plans.relation import joined
 from ..plans.sparql import Group, Path, Select, patterns
 from ..plans.terms import RDF_TYPE, RDFS_LABEL, Iri, Lit, Var
+from ..shipping import size_of_files, spread
 from ..sources.graph import Graph
 from ..sources.mapping import Mapping, Service
 from .extract import elements, extracted, extracted_elements
@@ -264,6 +265,7 @@ class Planner:
         if s.inputs:
             raise ValueError(f"{s.uri} has inputs, so a file can't answer it")
         call = calls.first().call_id  # the only one
+        spread(self.spark, size_of_files(self.spark, path))
         return extracted_elements(self.mapping, s, elements(self.spark, self.mapping, s, path).withColumn("call_id", F.lit(call)))
 
     def entities(self, rows: DataFrame) -> DataFrame:
