@@ -42,6 +42,10 @@ from . import common
 BLOCK_WORDS = 500_000
 #: Words that are given to the tokenizers library at a time.
 TOGETHER = 2000
+#: Words of a block that are looked up at a time, unless one document has more.
+TOGETHER_WORDS = 50_000
+#: Ids that are decoded at a time, unless one document has more.
+TOGETHER_IDS = 50_000
 #: Buckets that Spark permits; with more shuffle partitions the table is shuffled, too.
 MOST_BUCKETS = 100_000
 #: Bits of a block's id below those of the partition that made it.
@@ -175,22 +179,35 @@ def _with_ids(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Of each block the ids of its documents, all ids one after the other, and where documents begin and end in these."""
+    """Of some documents of a block at a time their ids one after the other, and where documents begin and end in these."""
     for batch in batches:
         for k in range(batch.num_rows):
             docs, sizes, refs, dealt, counts, ids = (c[k] for c in batch.columns)
-            size = np.concatenate([unpacked_numbers(x) for x in counts.as_py() or [packed_numbers(np.zeros(0))]]).astype(np.int64)
+            size = np.concatenate([unpacked_numbers(x) for x in counts.as_py() or [packed_numbers(np.zeros(0))]])
             flat = np.concatenate([unpacked_numbers(x) for x in ids.as_py() or [packed_numbers(np.zeros(0))]])
-            first = np.cumsum(size) - size
+            first = np.cumsum(size, dtype=np.int64) - size
             place = np.argsort(np.argsort(unpacked_numbers(dealt.as_py()), kind="stable"), kind="stable")
-            size, first = size[place], first[place]
-            refs = unpacked_numbers(refs.as_py()).astype(np.int64) - 1
-            new = refs < 0
-            refs[new] = np.arange(np.count_nonzero(new))
-            n = size[refs]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            out = flat[np.repeat(first[refs] - ends[:-1], n) + np.arange(ends[-1])]
-            yield docs.values, out, ends[np.concatenate([[0], np.cumsum(sizes.values.to_numpy())])]
+            size, first = size[place].astype(np.int64), first[place]
+            refs = unpacked_numbers(refs.as_py())
+            new = refs == 0
+            refs = refs - np.uint32(1)
+            refs[new] = np.arange(np.count_nonzero(new), dtype=np.uint32)
+            edges = np.concatenate([[0], np.cumsum(sizes.values.to_numpy(), dtype=np.int64)])
+            for a, b in spans(edges, TOGETHER_WORDS):
+                some = refs[edges[a] : edges[b]]
+                n = size[some]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                out = flat[np.repeat(first[some] - ends[:-1], n) + np.arange(ends[-1])]
+                yield docs.values[a:b], out, ends[edges[a : b + 1] - edges[a]]
+
+
+def spans(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of documents that have so many words together, unless one has more."""
+    a = 0
+    while a < len(edges) - 1:
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + most, "right")) - 1)
+        yield a, b
+        a = b
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +234,12 @@ class Pieces:
         self.flat = np.frombuffer(b"".join(table), np.uint8)
 
     def texts(self, ids: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:
-        """Each document's pieces, by joining its ids with the table."""
+        """Each document's pieces, by joining its ids with the table, for some documents at a time: the places of
+        characters take 24 bytes each."""
+        for a, b in spans(edges, TOGETHER_IDS):
+            yield from self._texts(ids[edges[a] : edges[b]], edges[a : b + 1] - edges[a])
+
+    def _texts(self, ids: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:
         ids = ids.astype(np.int64)
         there = (ids >= 0) & (ids < len(self.size))
         ids = np.where(there, ids, 0)

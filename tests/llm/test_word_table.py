@@ -1,6 +1,7 @@
 """Encoding and decoding by word tables against the tokenizers library."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -106,3 +107,17 @@ def test_odd_ids_and_empty_tables(spark, library):
     assert word_table.decode(df.limit(0), PATH).count() == 0 and word_table.digests(docs.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         word_table.decode(df, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_decoding_holds_the_characters_of_some_documents_at_a_time():
+    pieces = word_table.Pieces(PATH)
+    ids = np.tile(np.arange(1000, 6000, dtype=np.uint32), 200)
+    edges = np.arange(0, len(ids) + 1, 500)
+    tracemalloc.start()
+    n = sum(len(x) + 1 for x in pieces.texts(ids, edges))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == pieces.size[ids].sum()
+    assert most < 30e6
+    uneven = np.array([0, 0, 120_000, 120_000, 120_001, 400_000, 400_000])
+    assert [len(x) for x in pieces.texts(ids, uneven)] == [max(0, int(pieces.size[ids[a:b]].sum()) - 1) for a, b in zip(uneven, uneven[1:])]
