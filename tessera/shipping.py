@@ -49,14 +49,16 @@ PART_BYTES, MOST_PARTS, MERGED_BYTES = 8 << 20, 10_000, 2 << 20
 
 def spread(spark: SparkSession, size: int) -> None:
     """Has what is shuffled dealt into more parts the larger the input is, so that a task's memory does not grow with it. The
-    number only rises, as frames that were made before may still run; what the user has set stays."""
+    number only rises, as frames that were made before may still run; what the user has set stays. Where Spark makes as many
+    parts anyway, only their merging is bounded: it would undo them as soon as each core has one."""
     sc, floor = spark.sparkContext, int(spark.conf.get("spark.sql.shuffle.partitions"))
     n, mine = min(size // PART_BYTES, MOST_PARTS), getattr(sc, "_tessera_parts", None)
-    if n <= max(floor, mine or 0) or spark.conf.get(PARTS, None) not in (None, str(mine)):
+    if spark.conf.get(PARTS, None) not in (None, str(mine)):
         return
-    spark.conf.set(PARTS, str(n))
-    sc._tessera_parts = n
-    if spark.conf.get(MERGED, None) is None:
+    if n > max(floor, mine or 0):
+        spark.conf.set(PARTS, str(n))
+        sc._tessera_parts = n
+    if n > min(floor, sc.defaultParallelism) and spark.conf.get(MERGED, None) is None:
         spark.conf.set(MERGED, str(MERGED_BYTES))
 
 

@@ -37,6 +37,16 @@ def test_larger_documents_are_dealt_into_more_parts(spark, parts, name):
     assert parts() > 4
 
 
+def test_many_parts_of_spark_are_not_merged_into_large_ones(spark, parts):
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert len(answer(spark, "free_file_json", "sf0.01")) == spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+    assert spark.conf.get(shipping.PARTS, None) is None and spark.conf.get(shipping.MERGED, None) == str(shipping.MERGED_BYTES)
+
+
 def test_what_the_user_set_stays(spark, parts):
     spark.conf.set(shipping.PARTS, "7")
     answer(spark, "keyless_minus", "sf0.01")
