@@ -48,6 +48,11 @@ def test_ntriples_lines_are_matched_once(spark):
     assert [tuple(r) for r in df.collect()] == [("a", "x", "en")]
 
 
+def test_stored_triples_are_parsed_once_for_each_pattern(spark):
+    df = sq.QUERIES["stored_language_tags"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("(?:#.*)?$") == 2
+
+
 def test_ntriples_nodes_end_with_the_statement(spark):
     lines = ["<a> <p> _:b.# c", "<a> <p> _:b.c.", '_:b<p>"' + "\\\\\\n" * 100_000 + '".']
     rows = turtle.parsed_ntriples(spark.createDataFrame([(x,) for x in lines], "value string")).select("s", "o", "bad").collect()
