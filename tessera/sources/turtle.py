@@ -110,18 +110,25 @@ def _replaced(c, pairs):
     return c
 
 
+def _escaped(c, pairs):
+    """With what is to be replaced looked for at once, as few texts have any."""
+    from pyspark.sql import functions as F
+
+    return F.when(c.rlike("[" + "".join(re.escape(a) for a, _ in pairs) + "]"), _replaced(c, pairs)).otherwise(c)
+
+
 def ntriples_column(columns=COLUMNS):
     """A row (s, p, o, o_kind), with o_datatype and o_lang if it has these, as a line of N-Triples."""
     from pyspark.sql import functions as F
 
     def iri(c):
         # the backslash first, as all others become one with digits
-        return F.concat(F.lit("<"), _replaced(c, [(x, _code(x)) for x in sorted(_NOT_IN_IRIS, key=lambda x: x != "\\")]), F.lit(">"))
+        return F.concat(F.lit("<"), _escaped(c, [(x, _code(x)) for x in sorted(_NOT_IN_IRIS, key=lambda x: x != "\\")]), F.lit(">"))
 
     def node(c):
         return F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(iri(F.col(c)))
 
-    text = F.concat(F.lit('"'), _replaced(F.col("o"), [("\\", "\\\\"), *_ESCAPES]), F.lit('"'))
+    text = F.concat(F.lit('"'), _escaped(F.col("o"), [("\\", "\\\\"), *_ESCAPES]), F.lit('"'))
     type_, lang = (F.col(c) if c in columns else F.lit(None).cast("string") for c in ("o_datatype", "o_lang"))
     tail = F.when(lang.isNotNull(), F.concat(F.lit("@"), lang)).when(type_ != XSD + "string", F.concat(F.lit("^^"), iri(type_))).otherwise("")
     return F.concat(node("s"), F.lit(" "), node("p"), F.lit(" "), F.when(F.col("o_kind") == "literal", F.concat(text, tail)).otherwise(node("o")), F.lit(" ."))
@@ -155,38 +162,61 @@ def unescaped(c):
 
 
 _NODE = r"<[^>\n]*+>|_:\S*[^\s.]"
-#: A statement: subject, predicate, object that is a node, body of a literal, its tag, its datatype. Loops are possessive, as Java
-#: would otherwise need stack for each character or escape.
-_LINE = rf'^\s*+({_NODE})\s*+<([^>\n]*+)>\s*+(?:({_NODE})|"((?:[^"\\\n]++|\\.)*+)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>\n]*+)>)?)\s*+\.\s*+(?:#.*)?$(?s:.*)'
-#: Its parts as lines of their own, which no part is.
-_PARTS = "\n$1\n$2\n$3\n$5\n$6\n$4"
+#: Subject and predicate, which no other cut of a line gives, and what follows. A label has no "<", with which the predicate begins.
+#: Loops are possessive, as Java would otherwise need stack for each character or escape.
+_HEAD = r"^\s*+(?:(<[^>\n]*+)>|(_:[^\s<]*[^\s<.]))\s*+<([^>\n]*+)>\s*+(?s:(.*))$"
+#: What follows: object that is a node, body of a literal, its tag, its datatype.
+_REST = rf'^\s*+(?:({_NODE})|"((?:[^"\\\n]++|\\.)*+)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>\n]*+)>)?)\s*+\.\s*+(?:#.*)?$(?s:.*)'
 _ESCAPE = r"""\\(?:[tbnrf"'\\]|u[0-9A-Fa-f]{4}|U(?:000[0-9A-Fa-f]|0010)[0-9A-Fa-f]{4})"""
 
 
-def parsed_ntriples(lines):
-    """Rows (value) of N-Triples as rows (s, p, o, o_kind, o_datatype, o_lang, bad): bad is the line where it is no statement,
-    and null where it is one. Blank lines and comments give no rows."""
+def _matched(lines):
+    """Of lines of N-Triples but blank ones and comments the cells of a statement, and x, null where there is none."""
     from pyspark.sql import functions as F
 
-    df = lines.select("value").where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    line = F.when(F.col("value").contains("\n"), F.regexp_replace("value", r"^\s+|\s+$", "")).otherwise(F.col("value"))
-    df = df.select("value", F.regexp_replace(line, _LINE, _PARTS).alias("parts"))
-    fits, escaped = F.col("parts").startswith("\n"), F.col("parts").contains("\\")
-    good = fits & (~escaped | ~F.regexp_replace("parts", _ESCAPE, "").contains("\\"))
-    # exploded, so that filters on the columns stand above and a line is matched once, not once for each mention
-    df = df.select("value", F.explode(F.array(F.when(good, F.split("parts", "\n", -1)))).alias("x"))
-    s, p, node, lang, type_, body = (F.col("x")[k] for k in range(1, 7))
+    def strays(c):
+        return c.contains("\\") & F.regexp_replace(c, _ESCAPE, "").contains("\\")
+
+    value = F.col("value")
+    df = lines.select("value").where(value.startswith("<") | ~value.rlike(r"^\s*(#.*)?$"))
+    line = F.when(value.contains("\n"), F.regexp_replace("value", r"^\s+|\s+$", "")).otherwise(value)
+    # parts stand between separators that they lack, the first one in front, where neither a line nor what follows has it
+    usual = value.startswith("<") & ~value.contains("\n") & (F.instr(value, ">") == F.instr(value, "> <"))
+    head = F.when(usual, F.split(F.concat(F.lit(">"), value), ">", 4)).otherwise(F.split(F.regexp_replace(line, _HEAD, "\n$1$2\n <$3\n$4"), "\n", 4))
+    # exploded, so that filters stand above and a line is cut once, not once for each mention; those on subjects and
+    # predicates stand below the second explode, so that only the objects are matched that are asked for
+    df = df.select("value", F.explode(F.array(head)).alias("h"))
+    s, p, rest = (F.get("h", F.lit(k)) for k in (1, 2, 3))
+    df = df.select("value", "h", F.when((F.get("h", F.lit(0)) == "") & rest.isNotNull(), F.regexp_replace(rest, _REST, "\n$1\n$3\n$4\n$2")).alias("parts"))
+    good = F.col("parts").startswith("\n") & ~strays(s) & ~strays(p) & ~strays(F.col("parts"))
+    df = df.select("value", "h", F.explode(F.array(F.when(good, F.split("parts", "\n", -1)))).alias("x"))
+    node, lang, type_, body = (F.col("x")[k] for k in range(1, 5))
     literal = node == ""
-    iri = lambda c: F.when(c.startswith("_:"), c).otherwise(unescaped(F.substr(c, F.lit(2), F.length(c) - 2)))
+    iri = lambda c, end: F.when(c.startswith("_:"), c).otherwise(unescaped(F.substr(c, F.lit(2), F.length(c) - end) if end else F.substr(c, F.lit(2))))
     kind = F.when(literal, "literal").when(node.startswith("_:"), "bnode").otherwise("iri")
     datatype = F.when(literal & (lang == ""), F.when(type_ != "", unescaped(type_)).otherwise(XSD + "string"))
-    cells = {"s": iri(s), "p": unescaped(p), "o": F.when(literal, unescaped(body)).otherwise(iri(node)), "o_kind": kind, "o_datatype": datatype, "o_lang": F.when(literal & (lang != ""), lang)}
+    cells = (iri(s, 0), unescaped(F.substr(p, F.lit(3))), F.when(literal, unescaped(body)).otherwise(iri(node, 2)), kind, datatype, F.when(literal & (lang != ""), lang))
+    return df, dict(zip(COLUMNS, cells))
+
+
+def parsed_ntriples(lines):
+    """Rows (value) of N-Triples as rows (s, p, o, o_kind, o_datatype, o_lang, bad): bad is the line where it is no statement,
+    and null where it is one. Blank lines and comments give no rows."""
+    from pyspark.sql import functions as F
+
+    df, cells = _matched(lines)
     return df.select(*[F.when(F.col("x").isNotNull(), c).alias(n) for n, c in cells.items()], F.when(F.col("x").isNull(), F.col("value")).alias("bad"))
 
 
+def statements(lines):
+    """The statements alone: rows (s, p, o, o_kind, o_datatype, o_lang)."""
+    df, cells = _matched(lines)
+    return df.where("x IS NOT NULL").select(*[c.alias(n) for n, c in cells.items()])
+
+
 def read_ntriples(spark, path: str):
     """Rows (s, p, o, o_kind, o_datatype, o_lang) of a dump in N-Triples."""
-    return parsed_ntriples(spark.read.text(path)).where("bad IS NULL").drop("bad")
+    return statements(spark.read.text(path))
 
 
 def bad_ntriples(spark, path: str):

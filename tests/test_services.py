@@ -53,6 +53,17 @@ def test_stored_triples_are_parsed_once_for_each_pattern(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("(?:#.*)?$") == 2
 
 
+def test_only_objects_that_are_asked_for_are_matched(spark):
+    """A filter on the predicate stands below the expression for what follows it, whatever form the line has."""
+    lines = ['<a> <p> "x"@en .', '<a>\t<p> "y" .', '_:b <\\u0070> "z" .', '<a> <q> "x" .', '<a> <p> "\\q" .', "<a> <p> .", '<a> <p>\n"n"\n.', '<a> <p>\n n .', '_:b<r><a> <p> "x" .']
+    rows = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert [r.bad for r in turtle.parsed_ntriples(rows).where("bad IS NOT NULL").collect()] == [lines[k] for k in (4, 5, 7, 8)]
+    df = turtle.statements(rows).where("p = 'p'").select("s", "o")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("(?:#.*)?$") < plan.rindex("END = p)")
+    assert [tuple(r) for r in df.collect()] == [("a", "x"), ("a", "y"), ("_:b", "z"), ("a", "n")]
+
+
 def test_ntriples_nodes_end_with_the_statement(spark):
     lines = ["<a> <p> _:b.# c", "<a> <p> _:b.c.", '_:b<p>"' + "\\\\\\n" * 100_000 + '".']
     rows = turtle.parsed_ntriples(spark.createDataFrame([(x,) for x in lines], "value string")).select("s", "o", "bad").collect()
