@@ -63,7 +63,9 @@ def spread(spark: SparkSession, size: int) -> None:
 
 
 def size_of_frame(df) -> int:
-    """Bytes that Spark estimates for a frame; 0 where it knows none."""
+    """Bytes that Spark estimates for a frame; 0 where it knows none, as of a stream, which has no plan before it is started."""
+    if df.isStreaming:
+        return 0
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if size < 1 << 60 else 0
 
