@@ -6,8 +6,10 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.materialise import minted_prefix
 from .operators.planner import Options, Planner
 from .plans.compiler import Compiler
+from .plans.relation import Kind, apart
 from .plans.sparql import Select, parse
 from .shipping import size_of_frame, spread
 from .sources.config import within
@@ -35,10 +37,13 @@ class Engine:
         if m is None:
             return q, self.graph
         planner = Planner(self.spark, m, self.responder, self.options or Options())
+        prefix = minted_prefix(planner.options.minting.namespace)
+        # rows of documents are tables where nothing else can have their subjects, and no LIMIT is counted on triples
+        planner.keep_apart = q.limit is None and self.graph.triples is None and all(apart(Kind("iri", m.prefix), Kind("iri", prefix)) for m in self.graph.maps)
         found = planner.run(q)
         if self.graph.triples is not None:
             found = found.unionByName(self.graph.triples, allowMissingColumns=True).distinct()
-        return q, Graph(self.graph.maps, found, self.graph.strings)
+        return q, Graph([*self.graph.maps, *planner.maps], found, self.graph.strings, frozenset(planner.said) if self.graph.triples is None else None)
 
     def query(self, sparql: str, mapping: Mapping | str | None = None, mapping_path: str | None = None) -> DataFrame:
         """A column for each projected variable; unbound is null."""

@@ -95,15 +95,32 @@ def elements(spark, m: Mapping, service: Service, path: str) -> DataFrame:
     return documents.ordinals(found).select("ordinal", "body")
 
 
-def extracted_elements(m: Mapping, service: Service, rows: DataFrame) -> DataFrame:
-    """As extracted(), of rows (call_id, ordinal, body) of elements: positions are as in the whole document."""
+def parsed_elements(m: Mapping, service: Service, rows: DataFrame) -> DataFrame:
+    """Rows (call_id, ordinal, doc) of rows (call_id, ordinal, body) of elements."""
     n, xml = element_node(m, service), service.language == "xml"
     if xml:
         t = xml_type(m, n, True)
         doc = F.from_xml(F.col("body"), t if isinstance(t, T.StructType) else T.StructType([T.StructField("_VALUE", T.StringType())]))
     else:
         doc = F.from_json(F.col("body"), json_type(m, n).elementType)
-    df = rows.select("call_id", "ordinal", doc.alias("doc"))
+    return rows.select("call_id", "ordinal", doc.alias("doc"))
+
+
+def single_value(m: Mapping, service: Service, n: Node) -> Column | None:
+    """The value of a node in rows of parsed_elements(), if an element has one at most; else None."""
+    steps = [m.nodes[u] for u in n.path[1:]]
+    if service.language == "xml" or n.children or not n.data or not steps or any(x.structure == "JSON_Array" for x in steps):
+        return None
+    out = F.col("doc")
+    for x in steps:
+        out = out[x.label]
+    return out
+
+
+def extracted_elements(m: Mapping, service: Service, rows: DataFrame) -> DataFrame:
+    """As extracted(), of rows (call_id, ordinal, body) of elements: positions are as in the whole document."""
+    n, xml = element_node(m, service), service.language == "xml"
+    df = parsed_elements(m, service, rows)
     cells = _values(m, n, F.col("doc"), [F.lit(0)] if xml else [], xml, False, False, F.col("ordinal"), "bigint")
     return df.select("call_id", F.explode(cells).alias("x")).select("call_id", "x.node", "x.pos", "x.value")
 

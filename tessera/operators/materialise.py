@@ -12,12 +12,23 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import encoded
 from ..plans.terms import RDF_TYPE, RDFS_LABEL, Iri
+from ..sources.graph import Column as Place
+from ..sources.graph import SubjectMap
 from ..sources.mapping import Input, Mapping, Node, RowEntity, Service
+from .extract import single_value
+
+
+def digest(label: Column, cls: str) -> Column:
+    return F.sha2(F.concat_ws("\u0001", F.lit(cls), label), 256)
+
+
+def minted_prefix(namespace: str) -> str:
+    return namespace + "resource-"
 
 
 def minted(namespace: str, label: Column, cls: str) -> Column:
     """The IRI of an entity: the same label and class always give the same one."""
-    return F.concat(F.lit(namespace + "resource-"), F.sha2(F.concat_ws("\u0001", F.lit(cls), label), 256))
+    return F.concat(F.lit(minted_prefix(namespace)), digest(label, cls))
 
 
 def by_label(namespace: str, label: Column, cls: str) -> Column:
@@ -39,6 +50,10 @@ class Minting:
     known: DataFrame | None = None
     rows: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
+    def plain(self, find_uri: str | None) -> bool:
+        """Whether all IRIs are those of minted()."""
+        return self.known is None and find_uri not in self.lookups and (find_uri or "") not in self.plugins
+
     def put(self, df: DataFrame, column: str, cls: str, find_uri: str | None) -> DataFrame:
         """The column of labels replaced by IRIs."""
         tables = [t for t in (self.known, self.lookups.get(find_uri or "")) if t is not None]
@@ -107,6 +122,8 @@ class Materialiser:
     def __init__(self, mapping: Mapping, service: Service, calls: DataFrame, values: DataFrame, minting: Minting, all_to_all: bool = False):
         self.m, self.service, self.calls, self.values, self.minting = mapping, service, calls, values, minting
         self.all_to_all = all_to_all
+        self.apart: dict[str, SubjectMap] = {}  # row entities of which triples() says nothing, see keep_apart()
+        self.said: set[str] = {RDF_TYPE, RDFS_LABEL}  # predicates of the triples
 
     def depth(self, uris: list[str]) -> int:
         """How many positions rows have that hold all these nodes."""
@@ -130,6 +147,42 @@ class Materialiser:
                     return True
         return False
 
+    def keep_apart(self, elements: DataFrame) -> None:
+        """Row entities of which an element of the service's document (see parsed_elements) is one at most, with one value of a
+        property at most, become tables: an element has all that their triples say, so these are neither joined nor kept."""
+        for uri, r in self.m.row_entities.items():
+            if self.mine(r) and (table := self.table(uri, r, elements)) is not None:
+                self.apart[uri] = table
+
+    def table(self, uri: str, r: RowEntity, elements: DataFrame) -> SubjectMap | None:
+        uris, depth = self.scope(r)
+        cells = {u: single_value(self.m, self.service, self.m.nodes[u]) for u in uris}
+        if not uris or self.all_to_all or self.service.inputs or r.find_uri in self.minting.rows or any(c is None for c in cells.values()):
+            return None
+        prefix, columns, values = minted_prefix(self.minting.namespace), {}, []
+        for s, p, o in self.m.links():
+            target = p if p in self.m.nodes or p in self.m.inputs else o.value if isinstance(o, Iri) else None
+            public = self.m.equivalent(p) if target == p else p
+            if s != uri or public is None or target is None:
+                continue
+            if target in self.m.row_entities and self.mine(self.m.row_entities[target]):
+                return None  # a row of its own
+            if target not in self.m.nodes or self.m.nodes[target].service != self.service.uri:
+                continue
+            n = self.m.nodes[target]
+            value, cls = single_value(self.m, self.service, n), n.entity_class
+            if value is None or public in columns or public in (RDF_TYPE, RDFS_LABEL) or cls is not None and not self.minting.plain(n.find_uri):
+                return None
+            name = f"value{len(columns)}"
+            columns[public] = Place(name) if cls is None else Place(name, prefix, minted=cls)
+            values.append((value if cls is None else F.when(value.isNotNull(), digest(value, cls))).alias(name))
+        pos = F.concat(F.col("ordinal").cast("string"), F.lit(".0" * (depth - 1)))
+        label = F.concat(F.lit(uri + "R"), pos, F.lit("-"), F.col("call_id"))
+        frame = elements.where(F.coalesce(*cells.values()).isNotNull())
+        frame = frame.select(digest(F.concat_ws("\u0001", "call_id", pos), uri).alias("key"), stripped(label).alias("label"), *values)
+        classes = r.classes or (self.m.term("customResource"),)
+        return SubjectMap(frame, prefix, "key", {RDFS_LABEL: Place("label"), **columns}, tuple(dict.fromkeys(classes)), minted=uri)
+
     def end(self, uri: str) -> tuple[DataFrame, str, tuple[str, ...], str | None] | None:
         """Rows (call_id, pos, x) of a node, input or row entity; iri or literal; its path; its class."""
         if uri in self.m.row_entities:
@@ -191,7 +244,7 @@ class Materialiser:
         parts: list[DataFrame] = []
         used: set[str] = set()
         for s, p, o in self.m.links():
-            subject = self.end(s)
+            subject = self.end(s) if s not in self.apart else None
             if subject is None:
                 continue
             target = p if p in self.m.nodes or p in self.m.inputs else o.value if isinstance(o, Iri) else None
@@ -204,8 +257,9 @@ class Materialiser:
             used |= {s, target}
             if (t := self.pair(subject, public, found)) is not None:
                 parts.append(t)
+                self.said.add(public)
         ends = used | {n.uri for n in self.m.outputs(self.service.uri) if n.entity_class} | {i.uri for i in self.service.inputs if not i.literal and i.classes and i.fixed is None}
-        for u in sorted(ends):
+        for u in sorted(ends - set(self.apart)):
             parts += self.described(u)
         if not parts:
             return None

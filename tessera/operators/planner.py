@@ -19,9 +19,9 @@ from ..plans.relation import joined
 from ..plans.sparql import Group, Path, Select, patterns
 from ..plans.terms import RDF_TYPE, RDFS_LABEL, Iri, Lit, Var
 from ..shipping import size_of_files, spread
-from ..sources.graph import Graph
+from ..sources.graph import Graph, SubjectMap
 from ..sources.mapping import Mapping, Service
-from .extract import elements, extracted, extracted_elements
+from .extract import elements, extracted, extracted_elements, parsed_elements
 from .materialise import Materialiser, Minting, minted
 
 MAX_ROUNDS = 10
@@ -158,9 +158,14 @@ def needed(query: Select, mapping: Mapping) -> set[str]:
 
 
 class Planner:
+    """keep_apart: row entities of documents may become tables (maps) instead of triples; said: predicates of the triples."""
+
     def __init__(self, spark: SparkSession, mapping: Mapping, responder, options: Options | None = None):
         self.spark, self.mapping, self.responder, self.options = spark, mapping, responder, options or Options()
         self.rounds = 0
+        self.keep_apart = False
+        self.maps: list[SubjectMap] = []
+        self.said: set[str] = {RDF_TYPE, RDFS_LABEL}
         self.calls: DataFrame = spark.createDataFrame([], "call_id string, service string, url string, params map<string,string>, round int")
         self.constants: DataFrame = spark.createDataFrame([], CONSTANTS)
         self.responses: DataFrame | None = None
@@ -242,8 +247,16 @@ class Planner:
         found = None
         for s in services:
             mine = new.where(F.col("service") == s.uri)
-            values = _checkpointed(self.values(s, mine, answers))
-            t = Materialiser(self.mapping, s, mine.join(answers.where("body IS NOT NULL").select("call_id"), "call_id", "left_semi"), values, self.options.minting, self.options.all_to_all).triples()
+            rows = self.elements(s, mine)
+            values = extracted_elements(self.mapping, s, rows) if rows is not None else extracted(self.mapping, s, answers.join(mine.select("call_id"), "call_id"), self.options.null_text)
+            made = Materialiser(self.mapping, s, mine.join(answers.where("body IS NOT NULL").select("call_id"), "call_id", "left_semi"), values, self.options.minting, self.options.all_to_all)
+            if rows is not None and self.keep_apart:
+                made.keep_apart(parsed_elements(self.mapping, s, rows))
+            if not made.apart:
+                made.values = values = _checkpointed(values)  # else few of them are read again, and elements are kept already
+            t = made.triples()
+            self.maps += made.apart.values()
+            self.said |= made.said
             if t is not None:
                 self.parts.append(t)
             keyed = {n.uri: n.entity_class for n in self.mapping.outputs(s.uri) if n.entity_class}
@@ -258,15 +271,16 @@ class Planner:
             self.constants = _checkpointed(self.constants.unionByName(fresh))
         return n
 
-    def values(self, s: Service, calls: DataFrame, answers: DataFrame) -> DataFrame:
+    def elements(self, s: Service, calls: DataFrame) -> DataFrame | None:
+        """Rows (call_id, ordinal, body) of a service whose answer is read from files."""
         path = getattr(self.responder, "paths", {}).get(s.uri)
         if path is None:
-            return extracted(self.mapping, s, answers.join(calls.select("call_id"), "call_id"), self.options.null_text)
+            return None
         if s.inputs:
             raise ValueError(f"{s.uri} has inputs, so a file can't answer it")
         call = calls.first().call_id  # the only one
         spread(self.spark, size_of_files(self.spark, path))
-        return extracted_elements(self.mapping, s, elements(self.spark, self.mapping, s, path).withColumn("call_id", F.lit(call)))
+        return elements(self.spark, self.mapping, s, path).withColumn("call_id", F.lit(call))
 
     def entities(self, rows: DataFrame) -> DataFrame:
         """Class and label of the entities that constants name."""

@@ -60,21 +60,27 @@ class Compiler:
     # groups
 
     def group(self, g: Group, domain: Domain | None = None) -> Rel:
-        out, waiting, filters = domain.start if domain else UNIT, [], []
+        out, waiting, extra, filters = domain.start if domain else UNIT, [], [], []
 
         def close():
             nonlocal out
             if waiting:
-                out = joined(out, self.patterns(waiting))
+                out = joined(out, self.patterns(waiting, extra))
                 waiting.clear()
+                extra.clear()
 
         for kind, x in _triples_first(g.elements) if domain else g.elements:
             if kind == "triple":
+                if extra:
+                    close()
                 waiting.append(x)
                 continue
             if kind == "filter":
                 filters.append(x)
                 continue
+            if kind == "optional" and domain is None and self.same_row(x, out, waiting, extra):
+                extra.append(x.elements[0][1])
+                continue
             close()
             if kind == "optional":
                 out = self.optional(out, x, domain)
@@ -108,6 +114,17 @@ class Compiler:
         start = out.keep(known)
         return self.group(g, Domain(replace(start, df=start.df.distinct()), domain.outer))
 
+    def same_row(self, g: Group, out: Rel, waiting: list[Triple], extra: list[Triple]) -> bool:
+        """Whether an OPTIONAL is one property, with a variable of its own, of a subject of the patterns before it, so that a row
+        of a document that has these has it too: no join is needed."""
+        if [kind for kind, _ in g.elements] != ["triple"] or not any(m.minted for m in self.graph.maps):
+            return False
+        t = g.elements[0][1]
+        if not (isinstance(t.s, Var) and isinstance(t.p, Iri) and isinstance(t.o, Var)) or t.p.value == RDF_TYPE:
+            return False
+        subjects = [w.s for w in waiting if not isinstance(w.p, (Path, Var))]
+        return t.s in subjects and t.o.name not in {*out.kinds}.union(*[_vars(w.s, w.p, w.o) for w in [*waiting, *extra]])
+
     def optional(self, left: Rel, g: Group, domain: Domain | None = None) -> Rel:
         """Filters of the group itself see the variables of both sides, so they join the condition."""
         inner = Group(tuple(e for e in g.elements if e[0] != "filter"))
@@ -272,7 +289,8 @@ class Compiler:
 
     # patterns
 
-    def patterns(self, triples: list[Triple]) -> Rel:
+    def patterns(self, triples: list[Triple], extra: list[Triple] = ()) -> Rel:
+        """extra: those that may be missing, see same_row()."""
         stars: dict = {}
         parts: list[tuple[set[str], int, object]] = []
         for t in triples:
@@ -285,7 +303,8 @@ class Compiler:
         for s, ts in stars.items():
             found = _vars(s).union(*[_vars(t.o) for t in ts])
             fixed = sum(not isinstance(t.o, Var) for t in ts) + 3 * (not isinstance(s, Var))
-            parts.append((found, fixed, lambda out, s=s, ts=ts: self.star(s, ts)))
+            more = [t for t in extra if t.s == s]
+            parts.append((found, fixed, lambda out, s=s, ts=ts, more=more: self.star(s, ts, more, out)))
         out = UNIT
         for _, _, build in order(parts, lambda p: p[0], lambda p: p[1]):
             out = joined(out, build(out))
@@ -312,8 +331,11 @@ class Compiler:
             out.append(m)
         return out
 
-    def star(self, s, ts: list[Triple]) -> Rel:
+    def star(self, s, ts: list[Triple], extra: list[Triple] = (), beside: Rel = UNIT) -> Rel:
+        """Patterns of one subject, and those that may be missing. beside: the relation that they will be joined with."""
         ts = list(dict.fromkeys(ts))
+        if any(m.minted for m in self.graph.maps):
+            return self.star_of_rows(s, ts, extra, beside)
         options = {t: self.candidates(t) for t in ts}
         if self.graph.triples is not None:
             out = UNIT
@@ -353,6 +375,29 @@ class Compiler:
             out = unioned(out, r)
         return out
 
+    def star_of_rows(self, s, ts: list[Triple], extra: list[Triple], beside: Rel) -> Rel:
+        """A star where some maps have subjects of their own: these are one scan each, and what the other sources give is found
+        without them."""
+        per = [self.candidates(t) for t in ts]
+        known = beside.kinds.get(s.name) if isinstance(s, Var) and s.name not in beside.maybe else None
+        rels = []
+        for m in self.graph.maps:
+            if m.minted and all(m in ms for ms in per) and not (known and apart(known, Kind("iri", m.prefix, minted=m.minted))):
+                rels.append(self.scan(m, s, ts, extra))
+        others = Compiler(self.spark, replace(self.graph, maps=[m for m in self.graph.maps if not m.minted]))
+        said = self.graph.said
+        if all(said is None or t.p.value in said or others.candidates(t) for t in ts):
+            rel = others.star(s, ts)
+            for t in extra:
+                rel = left_joined(rel, others.star(s, [t]))
+            rels.append(rel)
+        if not rels:
+            return self.nothing(set().union(*[_vars(t.s, t.o) for t in [*ts, *extra]]))
+        out = rels[0]
+        for r in rels[1:]:
+            out = unioned(out, r)
+        return out
+
     def any_of(self, maps: list[SubjectMap], native: bool, s, o, without: frozenset[str]) -> list[DataFrame]:
         """Triples of maps; repeats are looked for only among predicates that several maps of one prefix give."""
         shared = shared_predicates(maps)
@@ -371,14 +416,14 @@ class Compiler:
         df = self.spark.range(0).select(*[F.lit(None).cast("string").alias(name(v)) for v in kinds] or [F.lit(True).alias("unit")])
         return Rel(df, kinds)
 
-    def scan(self, m: SubjectMap, s, ts: list[Triple]) -> Rel:
-        """One scan of a map for patterns of one subject."""
+    def scan(self, m: SubjectMap, s, ts: list[Triple], extra: list[Triple] = ()) -> Rel:
+        """One scan of a map for patterns of one subject, and for those that may be missing."""
         df = m.frame
         key = F.col(f"`{m.key}`") if m.key else F.monotonically_increasing_id()
-        tests = [has_key(key, df.schema[m.key].dataType)] if m.key else []
+        tests = [has_key(key, df.schema[m.key].dataType)] if m.key and not m.minted else []
         cols: dict[str, tuple] = {}
         if isinstance(s, Var):
-            cols[s.name] = (key, Kind("iri", m.prefix, nameless=m.key is None))
+            cols[s.name] = (key, Kind("iri", m.prefix, nameless=m.key is None, minted=m.minted))
         else:
             tests.append(key_equal(key, df.schema[m.key].dataType, m.prefix, s.value))
         many: str | None = None
@@ -398,7 +443,7 @@ class Compiler:
                 v = v.cast("string")
             tests.append(v.isNotNull())
             if isinstance(t.o, Var):
-                kind = Kind("iri", c.link) if c.link is not None else Kind("lit")
+                kind = Kind("iri", c.link, minted=c.minted) if c.link is not None else Kind("any" if m.minted else "lit")
                 if t.o.name in cols:
                     other, kind2 = cols[t.o.name]
                     _named(kind2)
@@ -413,12 +458,24 @@ class Compiler:
                     cols[t.o.name] = (v, kind)
             elif isinstance(t.o, Iri):
                 tests.append(key_equal(v, t_type, c.link, t.o.value))
+            elif m.minted and literal(t.o).type in ("int", "num"):
+                tests.append(E(v, "any", Kind("any"), F.lit("literal")).number == literal(t.o).col)
+            elif m.minted:
+                tests.append(v == t.o.value)  # as stored() has it
             else:
                 tests.append(literal_equal(v, t_type if not self.graph.strings else None, t.o))
+        for t in extra:
+            c = m.columns.get(t.p.value)
+            v = F.col(f"`{c.name}`") if c else F.lit(None).cast("string")
+            cols[t.o.name] = (v, Kind("iri", c.link, minted=c.minted) if c and c.link is not None else Kind("any"))
         for x in tests:
             df = df.where(x)
-        rel = Rel(df.select(*[c.alias(name(n)) for n, (c, _) in cols.items()] or [F.lit(True).alias("unit")]), {n: k for n, (_, k) in cols.items()})
-        return rel
+        out = []
+        for n, (c, k) in cols.items():
+            out.append(c.alias(name(n)))
+            if k.kind == "any":
+                out.append(F.when(c.isNotNull(), F.lit("literal")).alias(beside(n)))
+        return Rel(df.select(*out or [F.lit(True).alias("unit")]), {n: k for n, (_, k) in cols.items()}, frozenset(t.o.name for t in extra))
 
     def stored(self, t: Triple, subject: Kind = Kind("iri")) -> Rel:
         """A pattern over the plain triples. subject: what s holds."""
@@ -459,7 +516,7 @@ class Compiler:
         if isinstance(t.s, Iri):
             maps = [m for m in maps if t.s.value.startswith(m.prefix)]
         elif isinstance(t.s, Var) and t.s.name in beside.kinds and t.s.name not in beside.maybe:
-            maps = [m for m in maps if not apart(beside.kinds[t.s.name], Kind("iri", m.prefix))]
+            maps = [m for m in maps if not apart(beside.kinds[t.s.name], Kind("iri", m.prefix, minted=m.minted))]
         native = isinstance(t.s, Var) and t.s not in (t.p, t.o) and self.graph.triples is None and len({(m.prefix, m.key and m.frame.schema[m.key].dataType) for m in maps}) == 1
         o = None if isinstance(t.o, Var) else t.o
         frames = self.any_of(maps, native, t.s, o, without)
@@ -471,7 +528,7 @@ class Compiler:
         df = frames[0]
         for x in frames[1:]:
             df = df.unionByName(x, allowMissingColumns=True)
-        if self.graph.triples is not None and maps:
+        if self.graph.triples is not None and not all(m.minted for m in maps):
             df = df.distinct()
         return Compiler(self.spark, Graph([], df)).stored(t, Kind("iri", maps[0].prefix) if native else Kind("iri"))
 

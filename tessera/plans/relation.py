@@ -16,11 +16,13 @@ from .terms import XSD, UnsupportedQuery
 class Kind:
     """kind: iri, lit, or any (a string whose tag stands in a column beside it, see tag_of). prefix: of an iri whose
     column holds the native key behind it, a struct if several columns are the key; None for whole IRIs.
-    nameless: rows without any key, which can be counted but neither joined, grouped nor shown."""
+    nameless: rows without any key, which can be counted but neither joined, grouped nor shown.
+    minted: of keys that are digests, the class or row entity that they are digests of: those of two are never equal."""
 
     kind: str = "lit"
     prefix: str | None = None
     nameless: bool = False
+    minted: str | None = None
 
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -150,6 +152,8 @@ def apart(a: Kind, b: Kind) -> bool:
         return True
     if a.kind == "lit" or a.prefix is None or b.prefix is None:
         return False
+    if a.prefix == b.prefix and a.minted and b.minted:
+        return a.minted != b.minted
     return not (a.prefix.startswith(b.prefix) or b.prefix.startswith(a.prefix))
 
 

@@ -137,7 +137,7 @@ def json_elements(spark: SparkSession, path: str, field: str | None = None) -> D
     ship_code(spark)
     level = 1 if field is None else 2
     records = _records(spark, path, "}")
-    sums = records.mapInArrow(_summed, _SUMMARY)
+    sums = _once(records.mapInArrow(_summed, _SUMMARY))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     quotes = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2
     states = sums.withColumn("odd", quotes == 1)
@@ -153,12 +153,12 @@ def json_elements(spark: SparkSession, path: str, field: str | None = None) -> D
     torn = torn.withColumn("first", F.last(F.when(F.col("opened"), F.struct("split", "local")), ignorenulls=True).over(in_order))
     mended = torn.where("first IS NOT NULL").groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct("split", "body", "closed", "array"))).alias("x"))
     mended = mended.where(F.exists("x", lambda x: x["closed"])).select("file", F.col("first.split").alias("split"), F.col("first.local").alias("local"), F.col("x")[0]["array"].alias("array"), F.array_join("x.body", "").alias("body"))
-    out = whole.select("file", "split", "local", "array", "body").unionByName(mended)
+    out = whole.select("file", "split", "local", "array", "body").unionByName(_once(mended))
     if field is not None:
         # an array that was opened in an earlier split
         ends = parts.where("array IS NOT NULL").groupBy("file", "split").agg(F.max_by("array", "local").alias("ends"))
         ends = sums.select("file", "split").join(ends, ["file", "split"], "left")
-        ends = ends.withColumn("goes_on", F.last("ends", ignorenulls=True).over(before)).select("file", "split", "goes_on")
+        ends = _once(ends.withColumn("goes_on", F.last("ends", ignorenulls=True).over(before)).select("file", "split", "goes_on"))
         out = out.join(F.broadcast(ends), ["file", "split"]).where(F.coalesce("array", "goes_on") == field)
     return out.select("file", "split", "local", "body")
 
@@ -196,7 +196,7 @@ def xml_elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
 
 
 def _once(df: DataFrame) -> DataFrame:
-    """Elements, cut once: they are counted and read."""
+    """Elements, cut once: they are counted and read, several times maybe; and what is told of splits."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -205,7 +205,7 @@ def ordinals(elements: DataFrame, of: Column | None = None) -> DataFrame:
     """Elements with their places among all of a document (or of what `of` names), from 1."""
     counts = elements.groupBy("file", "split").agg((F.max("local") + 1).alias("n"))
     upto = F.sum("n").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("file", "split", F.coalesce(upto, F.lit(0)).alias("base"))  # a row for each split
+    base = _once(counts.select("file", "split", F.coalesce(upto, F.lit(0)).alias("base")))  # a row for each split
     return elements.join(F.broadcast(base), ["file", "split"]).withColumn("ordinal", F.col("base") + F.col("local") + 1).drop("base")
 
 

@@ -16,33 +16,38 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Column:
-    """A predicate's column. link: prefix of the IRIs it holds the keys of; None: a literal."""
+    """A predicate's column. link: prefix of the IRIs it holds the keys of; None: a literal. minted: see Kind."""
 
     name: str
     link: str | None = None
     nullable: bool = False
+    minted: str | None = None
 
 
 @dataclass(frozen=True)
 class SubjectMap:
     """key: the unique column that makes the IRI, a struct if several do; None: rows are subjects that can be
-    counted, but not named, joined or grouped."""
+    counted, but not named, joined or grouped. minted: what its IRIs were minted for (see Kind); then no other map and no triple
+    has its subjects, and its literals are text without a type."""
 
     frame: DataFrame
     prefix: str
     key: str | None
     columns: dict[str, Column]  # by predicate IRI
     classes: tuple[str, ...] = ()
+    minted: str | None = None
 
 
 @dataclass
 class Graph:
     """Subject maps, and triples (s, p, o, o_kind) with o_kind iri, literal or bnode; a set, so distinct. Triples may have the
-    columns o_datatype and o_lang, null where a literal's text has no type, which is then compared as what it looks like."""
+    columns o_datatype and o_lang, null where a literal's text has no type, which is then compared as what it looks like.
+    said: the only predicates that the triples can have, where these are known."""
 
     maps: list[SubjectMap] = field(default_factory=list)
     triples: DataFrame | None = None
     strings: bool = False  # literals of tables as strings, as in a store of plain text
+    said: frozenset[str] | None = None
 
 
 #: As a key: the place of a row in its file.
@@ -113,8 +118,9 @@ def as_triples(m: SubjectMap, native: bool = False, s=None, o=None, without: fro
         if p in without or isinstance(o, Iri) and (c.link is None or not o.value.startswith(c.link)) or isinstance(o, Lit) and c.link is not None:
             continue
         v = col.cast("string")
-        cells.append(cell(p, F.concat(F.lit(c.link), v), "iri", None) if c.link else cell(p, v, "literal", XSD + "string" if strings else datatype(kind)))
-        tests.append(col.isNotNull() if o is None else key_equal(col, kind, c.link, o.value) if c.link else literal_equal(v if strings else col, None if strings else kind, o))
+        cells.append(cell(p, F.concat(F.lit(c.link), v), "iri", None) if c.link else cell(p, v, "literal", None if m.minted else XSD + "string" if strings else datatype(kind)))
+        # how text without a type is compared is told by who asks
+        tests.append(col.isNotNull() if o is None or m.minted and c.link is None else key_equal(col, kind, c.link, o.value) if c.link else literal_equal(v if strings else col, None if strings else kind, o))
     if not cells:
         df, cells = df.where(F.lit(False)), [cell("", F.lit(""), "", None)]
     elif o is not None:
